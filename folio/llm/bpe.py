@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import json
 import unicodedata
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +20,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folio.llm.common import arrow_column
+
 #: Most symbols of a word that is merged in the array of trees.
 WIDE = 32
 #: Words remembered by a Python worker before the older half goes.
@@ -249,18 +251,15 @@ def tokenizer(path: str) -> Tokenizer:
     return _LOADED[path]
 
 
-def bpe(text: Column, path: str) -> Column:
-    """struct<n_tokens, packed, decoded>: the ids packed as little-endian unsigned 32-bit integers, and their text."""
+def _batch(texts: pa.Array, path: str) -> pa.Array:
+    done = tokenizer(path).run([x or "" for x in texts.to_pylist()])
+    sizes = pa.array([len(ids) // 4 for ids, _ in done], pa.int64())
+    return pa.StructArray.from_arrays([sizes, pa.array([x for x, _ in done], pa.binary()), pa.array([x for _, x in done], pa.binary()).cast(pa.string())], names=["n_tokens", "packed", "decoded"])
 
-    def step(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        model = tokenizer(path)
-        for texts in batches:
-            done = model.run([x or "" for x in texts.to_pylist()])
-            sizes = pa.array([len(ids) // 4 for ids, _ in done], pa.int64())
-            yield pa.StructArray.from_arrays([sizes, pa.array([x for x, _ in done], pa.binary()), pa.array([x for _, x in done], pa.binary()).cast(pa.string())], names=["n_tokens", "packed", "decoded"])
 
-    step.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return F.arrow_udf(step, "n_tokens long, packed binary, decoded string").asNondeterministic()(text)
+def bpe(text: Column, path: str) -> Column:
+    """struct<n_tokens, packed, decoded>: the ids packed as little-endian unsigned 32-bit integers, and their text."""
+    return arrow_column(lambda: lambda texts: _batch(texts, path), "n_tokens long, packed binary, decoded string")(text)
 
 
 def unpack(packed: bytes) -> list[int]:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -168,3 +168,18 @@ def per_doc(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Sums of `values` (one each word) by document, given the index of each document's first word."""
     total = np.concatenate(([0], np.cumsum(values, dtype=np.int64)))
     return total[first[1:]] - total[first[:-1]]
+
+
+def arrow_column(make: Callable[[], Callable[[pa.Array], pa.Array]], returns: str) -> Callable[..., Column]:
+    """A column function over Arrow batches; `make` builds, once a task, what turns a batch into its results.
+
+    It counts as nondeterministic so that the optimizer neither repeats it nor moves filters on its results below it.
+    """
+
+    def step(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        run = make()
+        for batch in batches:
+            yield run(batch)
+
+    step.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(step, returns).asNondeterministic()

@@ -14,15 +14,16 @@ hashes keep all of them, and other columns are kept, whatever their names.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.common import ALNUM_BYTES, LOWER, chunks, gram_hashes, mix, span_hashes, unit_hash, word_bounds
+from folio.llm.common import ALNUM_BYTES, LOWER, arrow_column, chunks, gram_hashes, mix, span_hashes, unit_hash, word_bounds
 
 #: Words of a window, and of a k-gram; fingerprints are minima over WINDOW - GRAM + 1 k-grams.
 WINDOW, GRAM = 10, 5
@@ -184,6 +185,10 @@ def _candidates(hashes: np.ndarray, last: np.ndarray, index: Index) -> np.ndarra
     return at[at + WINDOW <= last[at]]
 
 
+def _scanner(index: Broadcast) -> Callable[..., Column]:
+    return arrow_column(lambda: lambda texts: scan(texts, index.value), FIELDS)
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", out: str = "decon", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """Add a struct `out`: n_words, the spans of words that are hit, and the sorted ids of the items found."""
     spark = docs.sparkSession
@@ -195,12 +200,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", out
         part = items if blocks == 1 else items.where(F.floor(unit_hash(11, F.col("id"), F.col("text")) * blocks) == block)
         index = spark.sparkContext.broadcast(build_index([(r.id, r.text) for r in part.collect()]))
 
-        def step(batches: Iterator[pa.Array], index=index) -> Iterator[pa.Array]:
-            for texts in batches:
-                yield scan(texts, index.value)
-
-        step.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-        scanned.append(F.arrow_udf(step, FIELDS).asNondeterministic()(F.col(f"`{text}`")))
+        scanned.append(_scanner(index)(F.col(f"`{text}`")))
     if blocks == 1:
         return docs.withColumn(out, scanned[0])
     # Several blocks: their columns are made one after another in the same pass over the documents, then merged.

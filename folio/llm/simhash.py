@@ -16,15 +16,13 @@ id in it (null if all ids are null); other columns are kept, whatever their name
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.common import checkpoint
+from folio.llm.common import arrow_column, checkpoint
 from folio.llm.graph import components
 
 #: Bits in which linked fingerprints may differ. The star values within buckets are made for two.
@@ -55,16 +53,14 @@ def fingerprint(text: bytes) -> int:
     return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(text: Column) -> Column:
-    """Fingerprints as signed 64-bit integers."""
+def _batch(texts: pa.Array) -> pa.Array:
+    found = np.fromiter((fingerprint(t) for t in texts.fill_null("").cast(pa.binary()).to_pylist()), np.uint64, len(texts))
+    return pa.array(found.view(np.int64))
 
-    def step(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for texts in batches:
-            found = np.fromiter((fingerprint(t) for t in texts.fill_null("").cast(pa.binary()).to_pylist()), np.uint64, len(texts))
-            yield pa.array(found.view(np.int64))
 
-    step.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return F.arrow_udf(step, "long").asNondeterministic()(text)
+def fingerprints(text: Column) -> Column:
+    """Fingerprints as signed 64-bit integers."""
+    return arrow_column(lambda: _batch, "long")(text)
 
 
 def masks(radius: int = RADIUS, seed: int = 1) -> list[int]:
@@ -114,9 +110,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows of `docs` whose id is the least of its component; rows with a null id are kept only if no other is there.
+    """Rows of `docs` whose id is the least of its component.
 
-    Rows that repeat an id and a text are one document, of which one row stays.
+    A row with a null id stays only where no other id is in its component; rows that repeat the id that stays all do.
     """
     groups = near_duplicates(docs, doc_id, text)
     stay = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__stay")).distinct()
