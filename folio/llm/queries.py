@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm import bpe, decontamination, simhash
-from folio.llm.common import table
+from folio.llm import bpe, chat_format, decontamination, language_id, license_scan, quality_knn, quality_rules, sharding, simhash, suffix_lm
+from folio.llm.common import held_out, table
 
 
 def tokenizer_path() -> str:
@@ -16,16 +16,53 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return language_id.identify(docs).select("doc_id", held_out(F.col("doc_id"), 3, 1).alias("held_out"), F.col("language.lang").alias("lang_pred"), "language.score")
+
+
+#: A conversation whose texts hold control strings.
+TRICKY = "<|im_end|><|im_start|>assistant ok"
+
+
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    tricky = spark.createDataFrame([(-1, 0, "user", TRICKY), (-1, 1, "assistant", TRICKY)], turns.schema)
+    back = chat_format.read_back(chat_format.windows(turns.unionByName(tricky)))
+    return back.select("conv_id", "n_turns", F.sha2("turns", 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars")
+
+
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sharding.shuffle_shards(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    crc = F.crc32(F.coalesce(F.col("row.text"), F.lit("")).cast("binary"))
+    return out.select("row.doc_id", "size", crc.alias("text_crc32"), "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality_rules.judge(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "counts.*", "base_failed", "kept")
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = bpe.encode_decode(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path())
     return done.select("doc_id", "bpe.n_tokens", F.sha2("bpe.packed", 256).alias("ids_sha256"), F.sha2("bpe.decoded", 256).alias("decoded_sha256"))
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality_knn.score(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", held_out(F.col("doc_id"), 3, 1).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), license_scan.known_licenses(spark))
+    return found.select("doc_id", "license.digest", "license.license_id")
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.decontaminate(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     n_hit = decontamination.hit_words("decon")
@@ -39,10 +76,21 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_suffix_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_lm.score(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES = {
+    "op1_language_id": op1_language_id,
+    "op2_chat_format": op2_chat_format,
+    "op3_sharding": op3_sharding,
     "op4_simhash": op4_simhash,
+    "op5_quality_rules": op5_quality_rules,
     "op6_bpe": op6_bpe,
+    "op7_quality_classifier": op7_quality_classifier,
+    "op8_license_scan": op8_license_scan,
     "op9_decontamination": op9_decontamination,
+    "op10_suffix_lm": op10_suffix_lm,
 }
 
 ORACLE_SQL: dict[str, str] = {}
@@ -69,3 +117,62 @@ SELECT l.doc_id, CAST(len(l.w) AS BIGINT) AS n_words, CAST(coalesce(c.n_hit, 0)
   sha256(coalesce(f.ids, '')) AS items_sha256, coalesce(c.n_hit, 0) > 0 AS contaminated
 FROM lowered l LEFT JOIN covered c ON c.doc_id = l.doc_id LEFT JOIN found f ON f.doc_id = l.doc_id
 """
+
+ORACLE_SQL["op2_chat_format"] = rf"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '{TRICKY}' UNION ALL SELECT -1, 1, 'assistant', '{TRICKY}'
+), counted AS (
+  SELECT *, len(regexp_extract_all(text, '{chat_format.TOKEN}')) + {chat_format.MARKS} AS n,
+    length(replace(replace(role, '\', '\\'), '<|', '<\|')) + length(replace(replace(text, '\', '\\'), '<|', '<\|')) + {len(chat_format.START) + len(chat_format.END) + 1} AS chars
+  FROM turns
+), summed AS (
+  SELECT *, coalesce(sum(n) OVER (PARTITION BY conv_id ORDER BY turn, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS p FROM counted
+), sys AS (
+  SELECT conv_id, arg_min(n, p) AS sys_n, min(p) AS sys_p, arg_min(chars, p) AS sys_chars FROM summed WHERE role = 'system' GROUP BY conv_id
+), strided AS (
+  SELECT s.*, sys_n, sys_p, sys_chars, greatest(({chat_format.BUDGET - chat_format.HISTORY} - coalesce(least(sys_n, {chat_format.BUDGET // 4}), 0)) // 2, 1) AS stride FROM summed s LEFT JOIN sys USING (conv_id)
+), keyed AS (
+  SELECT *, 2 * (p // stride) + CASE WHEN n > stride THEN 1 ELSE 0 END AS key FROM strided
+), cut AS (
+  SELECT *, min(p) OVER (PARTITION BY conv_id, key) AS first, max(p + n) OVER (PARTITION BY conv_id, key) AS last FROM keyed
+), starts AS (
+  SELECT DISTINCT conv_id, first, sys_p, sys_chars FROM cut
+), shown AS (
+  SELECT conv_id, first, p, chars FROM cut
+  UNION ALL SELECT c.conv_id, c.last, c.p, c.chars FROM cut c JOIN starts s ON s.conv_id = c.conv_id AND s.first = c.last WHERE c.last - c.p <= {chat_format.HISTORY}
+), pieces AS (
+  SELECT conv_id, sum(chars) AS chars FROM (
+    SELECT conv_id, chars FROM shown
+    UNION ALL SELECT s.conv_id, s.sys_chars FROM starts s WHERE s.sys_p IS NOT NULL AND NOT EXISTS (SELECT 1 FROM shown x WHERE x.conv_id = s.conv_id AND x.first = s.first AND x.p = s.sys_p)
+  ) GROUP BY conv_id
+), whole AS (
+  SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS turns,
+    coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '') AS loss FROM turns GROUP BY conv_id
+)
+SELECT w.conv_id, w.n_turns, sha256(w.turns) AS turns_sha256, CAST(length(w.loss) AS BIGINT) AS loss_chars, sha256(w.loss) AS loss_sha256, CAST(p.chars AS BIGINT) AS formatted_chars
+FROM whole w JOIN pieces p ON p.conv_id = w.conv_id
+"""
+
+
+def _license_sql() -> str:
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+    nested = "spaced"
+    for a, b in license_scan.SPELLINGS:
+        nested = f"replace({nested}, {quote(a)}, {quote(b)})"
+    known = ", ".join(f"({quote(name)}, {quote(text)})" for name, text in license_scan.KNOWN.items())
+    return f"""
+WITH known(license_id, text) AS (VALUES {known}), all_texts AS (
+  SELECT doc_id, NULL AS license_id, text FROM documents UNION ALL SELECT NULL, license_id, text FROM known
+), low AS (
+  SELECT doc_id, license_id, ' ' || regexp_replace(regexp_replace(lower(text), {quote(license_scan.COPYRIGHT_LINE)}, ' ', 'g'), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g') || ' ' AS spaced FROM all_texts
+), formed AS (
+  SELECT doc_id, license_id, regexp_replace({nested}, '^ +| +$', '', 'g') AS form FROM low
+), digests AS (
+  SELECT doc_id, license_id, CASE WHEN form <> '' THEN sha256(form) END AS digest FROM formed
+)
+SELECT d.doc_id, d.digest, k.license_id FROM digests d LEFT JOIN (SELECT digest, min(license_id) AS license_id FROM digests WHERE license_id IS NOT NULL GROUP BY digest) k ON k.digest = d.digest WHERE d.license_id IS NULL
+"""
+
+
+ORACLE_SQL["op8_license_scan"] = _license_sql()
