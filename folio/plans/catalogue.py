@@ -1,10 +1,6 @@
 """All queries of the engine by name, with the SQL that gives the same rows."""
 
-from __future__ import annotations
+from folio.plans import job_queries, layout_queries, text_queries  # noqa: F401  they register themselves
+from folio.plans.registry import ORACLE_SQL, QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
