@@ -221,7 +221,7 @@ def dehyphenate_basic(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {DICTIONARY_SQL}, runs AS (SELECT doc_id, lang, unnest(regexp_extract_all({SEEDED_SQL}, '[\\p{{L}}\\p{{N}}_-]+(?:[ \\t]*\\n[ \\t]*[\\p{{L}}\\p{{N}}_-]+)*')) AS r FROM documents),
-broken AS (SELECT doc_id, lang, unnest(list_filter(list_transform(regexp_extract_all(' ' || regexp_replace(r, '([^-])([ \\t]*\\n[ \\t]*)', '\\1 \\2', 'g') || ' ', '(?:^|[^\\p{{L}}\\p{{N}}_-])\\p{{L}}+-(?:[ \\t]*\\n[ \\t]*)?\\p{{L}}+(?:[^\\p{{L}}\\p{{N}}_-])'), lambda x: trim(x)), lambda x: x <> '')) AS b FROM runs),
+broken AS (SELECT doc_id, lang, unnest(list_filter(list_transform(regexp_extract_all(' ' || regexp_replace(r, '([^-])([ \\t]*\\n[ \\t]*)', '\\1 \\2', 'g') || ' ', '(?:^|[^\\p{{L}}\\p{{N}}_-])\\p{{L}}+-(?:[ \\t]*\\n[ \\t]*)?\\p{{L}}+(?:[^\\p{{L}}\\p{{N}}_-])'), lambda x: {strip_sql('x')}), lambda x: x <> '')) AS b FROM runs),
 parts AS (SELECT doc_id, lang, b, regexp_replace(b, '-\\s*', '') AS whole, regexp_replace(b, '-\\s*', '-') AS dashed, contains(b, chr(10)) AS cut FROM broken),
 judged AS (SELECT *, {known_sql('q.lang', 'q.whole')} AS whole_known, ({known_sql('q.lang', 'q.dashed')} OR ({known_sql('q.lang', "string_split(q.dashed, '-')[1]")} AND {known_sql('q.lang', "string_split(q.dashed, '-')[2]")})) AS dashed_known FROM parts q)
 SELECT d.doc_id, count(*) FILTER (WHERE NOT dashed_known AND (whole_known OR (cut AND regexp_matches(string_split(dashed, '-')[2], '^\\p{{Ll}}')))) AS joined, count(*) FILTER (WHERE NOT dashed_known AND NOT whole_known AND cut AND regexp_matches(string_split(dashed, '-')[2], '^\\p{{Ll}}')) AS guessed
