@@ -146,3 +146,23 @@ def free_bytes_needed(present: Column) -> Column:
 def job_view(jobs: DataFrame) -> DataFrame:
     """Columns that a list of jobs shows: file name and time left."""
     return jobs.withColumn("name", F.regexp_extract("source", r"[^/\\]+$", 0)).withColumn("eta", seconds_left(F.col("state"), F.col("seconds"), F.col("pages_done"), F.col("pages_total")))
+
+
+def merged_outputs(jobs: DataFrame, added: DataFrame) -> DataFrame:
+    """Jobs with more outputs (id, outputs map): a format that comes again takes the new path."""
+    more = added.select("id", F.col("outputs").alias("__more"))
+    joined = jobs.join(more, "id", "left")
+    old = F.map_filter("outputs", lambda k, _: ~F.map_contains_key("__more", k))
+    return joined.withColumn("outputs", F.when(F.col("__more").isNull(), F.col("outputs")).otherwise(F.map_concat(F.coalesce(old, F.create_map().cast("map<string,string>")), F.col("__more")))).drop("__more")
+
+
+def added_jobs(jobs: DataFrame, new: DataFrame) -> DataFrame:
+    """Jobs with new ones (id, source, error) at the end of the list; one that can't be read is failed at once."""
+    last = jobs.agg(F.coalesce(F.max("pos"), F.lit(-1)).alias("__last"))
+    placed = new.crossJoin(F.broadcast(last)).withColumn("pos", F.row_number().over(W.orderBy("id")) + F.col("__last"))
+    rows = placed.select("id", "source", F.when(F.col("error").isNull(), "pending").otherwise("failed").alias("state"), "error", "pos")
+    return jobs.unionByName(rows, allowMissingColumns=True)
+
+
+def without_finished(jobs: DataFrame) -> DataFrame:
+    return jobs.where(~F.col("state").isin("done", "failed", "cancelled"))

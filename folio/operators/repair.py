@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from folio.functions.lineage import checkpoint
 from folio.functions.text import LIGATURES, mask_tags, matches
 from folio.operators.edits import apply_edits
 from folio.operators.lexicon import known_words, protected, tokens
@@ -146,13 +147,15 @@ def word_edits(blocks: DataFrame, dictionary: DataFrame, personal: list[str] | N
         joined = found.join(texts, BLOCK_KEYS)
         return joined.where(~protected(F.col("word"), F.expr("substring(__text, 1, start)"), personal)).drop("__text")
 
-    marked = open_words(apostrophe_words(shown, BLOCK_KEYS))
-    first = marked.join(marked_soft_words(marked, dictionary), ["lang", "word"]).withColumn("note", F.lit("R1: letter + apostrophe is ď/ť"))
+    marked = checkpoint(open_words(apostrophe_words(shown, BLOCK_KEYS)))
+    first = checkpoint(marked.join(marked_soft_words(marked, dictionary), ["lang", "word"])).withColumn("note", F.lit("R1: letter + apostrophe is ď/ť"))
     covered = first.select(*(F.col(k).alias(f"c_{k}") for k in BLOCK_KEYS), F.col("start").alias("c_start"), F.col("end").alias("c_end"))
     meets = (F.col("c_start") < F.col("end")) & (F.col("start") < F.col("c_end"))
     for k in BLOCK_KEYS:
         meets = meets & (F.col(k) == F.col(f"c_{k}"))
-    rest = open_words(tokens(shown, BLOCK_KEYS).drop("ord").join(covered, meets, "left_anti"))
+    # only words that a rule may touch go on, and three branches read them
+    touched = is_foreign(F.col("word")) | F.rlike("word", F.lit("[dtDT]"))
+    rest = checkpoint(open_words(tokens(shown, BLOCK_KEYS).drop("ord").where(touched).join(covered, meets, "left_anti")))
     foreign = rest.join(foreign_words(rest, dictionary), ["lang", "word"]).withColumn("note", F.when(F.col("new").isNull(), "letter does not exist in Czech").otherwise("R2: foreign letter replaced by its Czech look-alike"))
     soft_asked = rest.where(~is_foreign(F.col("word")))
     soft = soft_asked.join(plain_soft_words(soft_asked, dictionary), ["lang", "word"]).withColumn("note", F.lit("d/t without its háček"))
@@ -164,7 +167,7 @@ def repair(blocks: DataFrame, dictionary: DataFrame, personal: list[str] | None
     """Blocks (with flags and a lang) after the character rules and, where lang is cs, the word rules."""
     skipped = F.col("label").isin(*SKIPPED)
     none = F.array().cast(f"array<{EDIT}>")
-    first = apply_edits(blocks.withColumn("__edits", F.when(skipped, none).otherwise(character_edits(F.col("text")))), "__edits").drop("__edits")
+    first = checkpoint(apply_edits(blocks.withColumn("__edits", F.when(skipped, none).otherwise(character_edits(F.col("text")))), "__edits").drop("__edits"))
     found = word_edits(first.where("lang = 'cs'"), dictionary, personal)
     edit = F.struct("start", "end", "new", F.lit("repaired").alias("kind"), "note")
     flag = F.struct(F.lit("foreign_letter").alias("kind"), "start", "end", F.col("word").alias("original"), "note")

@@ -250,3 +250,19 @@ def sidecar_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     compared = told.join(again.select("doc_id", F.to_json(F.struct(*[c for c in again.columns if c != "doc_id"]), {"ignoreNullFields": "false"}).alias("again")), "doc_id")
     counts = read.select("doc_id", F.size("pages").alias("n_pages"), F.aggregate("pages", F.lit(0), lambda a, p: a + F.size(p["blocks"])).alias("n_blocks"), F.aggregate("pages", F.lit(0), lambda a, p: a + F.size(F.flatten(p["blocks"]["flags"]))).alias("n_flags"))
     return counts.join(compared.select("doc_id", (F.col("json") == F.col("again")).alias("same")), "doc_id")
+
+
+@query(values([("a", "done", 0, "x=/n;y=/b"), ("b", "pending", 1, ""), ("c", "failed", 2, None), ("d", "pending", 3, None)], "id, state, pos, outputs"))
+def queue_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """New jobs at the end of the list, one of them unreadable, and outputs merged into an old one."""
+    old = fixed(spark, [("a", "done", 0, {"x": "/a", "y": "/b"}), ("b", "pending", 1, {})], "id string, state string, pos int, outputs map<string,string>")
+    new = fixed(spark, [("c", "/c", "unreadable"), ("d", "/d", None)], "id string, source string, error string")
+    merged = jobs.merged_outputs(jobs.added_jobs(old, new), fixed(spark, [("a", {"x": "/n"})], "id string, outputs map<string,string>"))
+    told = F.array_join(F.array_sort(F.transform(F.map_entries("outputs"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ";")
+    return merged.select("id", "state", "pos", told.alias("outputs"))
+
+
+@query(values([("b",)], "id"))
+def open_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fixed(spark, [("a", "done"), ("b", "paused"), ("c", "failed"), ("d", "cancelled")], "id string, state string")
+    return jobs.without_finished(rows).select("id")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from folio.functions.text import collapse
 from folio.operators import guards, layout, parse, render
+from folio.operators.process import process
 from folio.plans.inputs import BLOCKS_SQL, blocks, strip_sql, table
 from folio.plans.registry import fixed, query, values
 from folio.schema import PAGE_KEYS
@@ -227,3 +228,39 @@ def hardware_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     cards = guards.graphics_cards(fixed(spark, _CARDS, "machine string, line string")).withColumn("driver", F.col("driver").cast("double"))
     ram = fixed(spark, [("m1", 16000), ("m2", 16000), ("m3", 16000), ("m4", 8000), ("m5", 8000)], "machine string, ram_mib int")
     return guards.choose_tier(ram.join(cards, "machine", "left"), ["machine"], 528.0, 10000, 7000)
+
+
+_WORDS = [("cs", w) for w in ("žena", "buď", "plat", "nový", "je", "doma")] + [("en", w) for w in ("house", "stands", "here", "the")]
+_READ = [
+    (1, 0, "ocr", None, "<|det|>text [10, 200, 900, 240]<|/det|>żena je doma, ted bud' plat<|det|>header [10, 10, 900, 40]<|/det|>Hlava", False),
+    (1, 1, "text_layer", "the house\n\nstands heer", None, False),
+    (1, 2, "ocr", None, "la " * 3000, False),
+    (1, 3, "blank", None, None, False),
+]
+
+
+@query(values([(1, 0, 0, "header", "Hlava", 0), (1, 0, 1, "text", "žena je doma, ted buď plat", 2), (1, 1, 0, "text", "the house", 0), (1, 1, 1, "text", "stands heer", 0), (1, 2, 0, "text", ("la " * 3000)[:200].rstrip(), 0)], "doc_id, page_index, block_no, label, text, n_flags"))
+def processed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole path: a recognised page, a text layer, a page that loops and a blank one."""
+    pages = fixed(spark, _READ, "doc_id int, page_index int, source string, layer string, raw string, hit_token_cap boolean")
+    done, _ = process(pages, fixed(spark, _WORDS, "lang string, form string"))
+    return done.select(*PAGE_KEYS, "block_no", "label", "text", F.size("flags").alias("n_flags"))
+
+
+@query(values([(1, 1, "heer"), (1, 0, "żena"), (1, 0, "bud'"), (1, 0, "ted"), (1, 0, "Hlava"), (1, 2, "la")], "doc_id, page_index, original"))
+def processed_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the same path flags, each word of a page once."""
+    pages = fixed(spark, _READ, "doc_id int, page_index int, source string, layer string, raw string, hit_token_cap boolean")
+    _, flags = process(pages, fixed(spark, _WORDS, "lang string, form string"))
+    return flags.select(*PAGE_KEYS, "original").distinct()
+
+
+@query(f"""WITH {BLOCKS_SQL}, l AS (SELECT doc_id, page_index, block_no, x1, y1, greatest((y2 - y1) / 999 * 842, 1.0) AS h, (x2 - x1) / 999 * 595 AS w, {_FLAT} AS t FROM blocks WHERE label NOT IN ('image', 'figure')),
+g AS (SELECT *, sqrt(w * h / (greatest(length(t), 1) * 0.5 * 1.2)) AS s FROM l WHERE t <> ''),
+n AS (SELECT *, greatest(1, least(round_even(h / (s * 1.2), 0), len(string_split(t, ' ')))) AS n FROM g)
+SELECT doc_id, page_index, block_no, 0 AS line, round(greatest(1.0, least(400.0, h / (n * 1.2))), 6) AS size, round(x1 / 999 * 595, 6) AS x, round(842 - y1 / 999 * 842 - h / n + 0.2 * greatest(1.0, least(400.0, h / (n * 1.2))), 6) AS y FROM n""")
+def pdf_first_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place and size of each block's first line on an A4 page."""
+    sheet = blocks(spark, sf_dir).withColumn("width_pt", F.lit(595.0)).withColumn("height_pt", F.lit(842.0))
+    plan = render.pdf_text_plan(sheet).where("line = 0")
+    return plan.select(*PAGE_KEYS, "block_no", "line", F.round("size", 6).alias("size"), F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
