@@ -5,12 +5,13 @@ leftmost pair of lowest rank. A merge updates three leaves and their ancestors.
 are merged side by side, one tree to a row of an array; longer ones get a tree of their own.
 
 Defined results: a null text is an empty one and gives no ids and an empty decoded text; a symbol that the
-vocabulary lacks is left out; equal rows give equal results; other columns are kept, whatever their names.
+vocabulary lacks is left out; equal rows give equal results; other columns are kept, and one that is named as the result is replaced.
 """
 
 from __future__ import annotations
 
 import json
+import struct
 import unicodedata
 from collections.abc import Iterable
 
@@ -25,7 +26,7 @@ from folio.llm.common import arrow_column, chunks
 #: Most symbols of a word that is merged in the array of trees.
 WIDE = 32
 #: Words remembered by a Python worker before the older half goes.
-REMEMBERED = 100_000
+REMEMBERED = 150_000
 _NONE = np.int64((1 << 62) - 1)
 
 
@@ -112,20 +113,19 @@ class Tokenizer:
             symbols[j] = -1
         return [s for s in symbols if s >= 0]
 
-    def merge_many(self, words: list[np.ndarray]) -> list[np.ndarray]:
-        """A segment tree for each of many short words, all stepped together until no root has a pair."""
-        n = np.fromiter(map(len, words), np.int64, len(words))
-        width = 1 << max(1, int(n.max() - 1).bit_length())
-        symbols = np.full((len(words), width + 1), -1, np.int64)
-        symbols[np.arange(width + 1) < n[:, None]] = np.concatenate(words)
+    def merge_many(self, start: np.ndarray) -> np.ndarray:
+        """A segment tree for each row of symbols (-1: none), all stepped together until no root has a pair."""
+        rows_, width = start.shape
+        symbols = np.full((rows_, width + 1), -1, np.int64)
+        symbols[:, :-1] = start
         ranks = self._rank(symbols[:, :-1], symbols[:, 1:])
         place = np.arange(width)
         levels = [np.where(ranks == _NONE, _NONE, ranks * width + place)]
         while levels[-1].shape[1] > 1:
             levels.append(np.minimum(levels[-1][:, ::2], levels[-1][:, 1::2]))
-        after = np.broadcast_to(place + 1, (len(words), width)).copy()
-        before = np.broadcast_to(place - 1, (len(words), width)).copy()
-        rows = np.arange(len(words))
+        after = np.broadcast_to(place + 1, (rows_, width)).copy()
+        before = np.broadcast_to(place - 1, (rows_, width)).copy()
+        rows = np.arange(rows_)
 
         def put(r: np.ndarray, i: np.ndarray, value: np.ndarray) -> None:
             levels[0][r, i] = value
@@ -137,7 +137,7 @@ class Tokenizer:
             root = levels[-1][:, 0]
             rows = rows[root[rows] != _NONE]
             if not len(rows):
-                return [s[s >= 0] for s in symbols]
+                return symbols
             rank, i = np.divmod(root[rows], width)
             j = after[rows, i]
             k = after[rows, j]
@@ -153,27 +153,37 @@ class Tokenizer:
             r = self._rank(symbols[rows_h, h], symbols[rows_h, i[led]])
             put(rows_h, h, np.where(r == _NONE, _NONE, r * width + h))
 
-    def encode_words(self, words: list[str]) -> list[np.ndarray]:
+    def encode_words(self, words: list[str]) -> list[list[int]]:
         """Ids of each word, whose last symbol carries the word end."""
+        raw = [w.encode() for w in words]
+        size = np.fromiter(map(len, raw), np.int64, len(raw))
+        data = np.frombuffer(b"".join(raw), np.uint8)
+        end = np.cumsum(size)
+        symbols = self.inner[data]
+        symbols[end - 1] = self.final[data[end - 1]]
         out: list = [None] * len(words)
-        sizes: dict[int, list[int]] = {}
-        starts = []
-        for at, word in enumerate(words):
-            raw = np.frombuffer(word.encode(), np.uint8)
-            ids = self.inner[raw]
-            ids[-1] = self.final[raw[-1]]
-            ids = ids[ids >= 0]
-            starts.append(ids)
-            if len(ids) <= 1:
-                out[at] = ids
-            elif len(ids) <= WIDE:
-                sizes.setdefault(max(4, 1 << (len(ids) - 1).bit_length()), []).append(at)
-            else:
-                out[at] = np.array(self.merge_long(ids.tolist()), np.int64)
-        for group in sizes.values():
+        odd = np.zeros(len(words), bool)
+        if (symbols < 0).any():  # symbols that the vocabulary lacks: those words are merged without them
+            odd[np.unique(np.searchsorted(end, np.flatnonzero(symbols < 0), "right"))] = True
+        for at in np.flatnonzero(odd | (size > WIDE)):
+            own = symbols[end[at] - size[at] : end[at]]
+            out[at] = self.merge_long(own[own >= 0].tolist())
+        width = 4
+        while width <= WIDE:
+            group = np.flatnonzero(~odd & (size <= width) & ((size > width // 2) | (width == 4)))
             for lo in range(0, len(group), 4096):
-                for at, ids in zip(group[lo : lo + 4096], self.merge_many([starts[x] for x in group[lo : lo + 4096]]), strict=True):
-                    out[at] = ids
+                part = group[lo : lo + 4096]
+                place = np.arange(width)
+                inside = place < size[part, None]
+                at = np.where(inside, (end - size)[part, None] + place, 0)
+                merged = self.merge_many(np.where(inside, symbols[at], -1))
+                cut = np.cumsum((merged >= 0).sum(axis=1)).tolist()
+                flat = merged[merged >= 0].tolist()
+                first = 0
+                for word, last in zip(part.tolist(), cut, strict=True):
+                    out[word] = flat[first:last]
+                    first = last
+            width *= 2
         return out
 
     def pieces(self, text: str) -> list[str]:
@@ -197,7 +207,8 @@ class Tokenizer:
 
     def decode(self, ids: Iterable[int]) -> bytes:
         """The tokens' strings, spaced: what a tokenizer without a decoder gives."""
-        return b" ".join(self.strings[i] for i in ids if i < len(self.strings))
+        strings = self.strings
+        return b" ".join([strings[i] for i in ids])
 
     def learn(self, words: set[str]) -> None:
         """Remember the ids and decoded text of words."""
@@ -215,7 +226,7 @@ class Tokenizer:
             i = self.added[w[1:]]
             self.young[w] = (i.to_bytes(4, "little"), self.decode([i]))
         for w, ids in zip(plain, self.encode_words(plain), strict=True):
-            self.young[w] = (ids.astype("<u4").tobytes(), self.decode(ids.tolist()))
+            self.young[w] = (struct.pack(f"<{len(ids)}I", *ids), self.decode(ids))
 
     def _is_added(self, word: str) -> bool:
         return word[0] == "\0" and word[1:] in self.added
