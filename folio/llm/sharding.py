@@ -1,9 +1,10 @@
 """Shuffled shards by a two-pass external shuffle, with DataFrame functions only.
 
-Pass one scatters rows over memory-sized buckets by a seeded hash. Pass two puts each bucket in order and runs Spark's
-Fisher-Yates shuffle over it; buckets follow each other in one global order, whose rows are dealt out to the shards in
-runs that differ by one row at most (the law `rows`). Buckets' first places come from counts of hashed ids alone, so
-that texts are shuffled once. A bucket is what a task holds at a time: BUCKET_BYTES on average.
+Pass one scatters rows over memory-sized buckets by a seeded hash, each sent straight to its bucket's partition. Pass
+two puts each bucket in order and runs Spark's Fisher-Yates shuffle over it; buckets follow each other in one global
+order, whose rows are dealt out to the shards in runs that differ by one row at most (the law `rows`). Buckets' first
+places come from counts of hashed ids alone, so that texts are shuffled once. A bucket is what a task holds at a time:
+BUCKET_BYTES, or more where there would be over MOST_BUCKETS, which bounds the broadcast table of first places.
 
 Rows that repeat an id are told apart by their text's hash, and rows that are wholly equal by nothing: they share a
 bucket.
@@ -18,7 +19,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-BUCKET_BYTES, SEED = 8 << 20, 17
+BUCKET_BYTES, MOST_BUCKETS, SEED = 8 << 20, 1_000_000, 17
+#: Partitions of the scatter; with more buckets each takes several, one after another.
+MOST_PARTS = 20_000
 #: Buckets whose offsets one task adds up at a time.
 GROUP = 1000
 
@@ -32,7 +35,8 @@ def shuffle_shards(docs: DataFrame, shards: int = 16, doc_id: str = "doc_id", te
     """All columns of `docs` in a struct `row`, with size, law, shard and slot."""
     i, t = F.col(f"`{doc_id}`"), F.col(f"`{text}`")
     sums = docs.agg(F.sum(size_of(t)).alias("bytes"), F.count("*").alias("rows")).first()
-    total, buckets = sums.rows, max(1, -(-(sums.bytes or 0) // bucket_bytes))
+    total, buckets = sums.rows, min(MOST_BUCKETS, max(1, -(-(sums.bytes or 0) // bucket_bytes)))
+    parts = min(MOST_PARTS, buckets)
     key = F.xxhash64(F.lit(seed), i, t)
     bucket = F.pmod(key, F.lit(buckets)).alias("bucket")
 
@@ -43,8 +47,9 @@ def shuffle_shards(docs: DataFrame, shards: int = 16, doc_id: str = "doc_id", te
     first = counts.withColumn("inner", inner).join(groups, "g").select("bucket", (F.col("inner") + F.col("before")).alias("first"))
 
     scattered = docs.select(bucket, F.struct(key.alias("h"), i.alias("i"), t.alias("t"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")).alias("x"))
-    gathered = scattered.groupBy("bucket").agg(F.shuffle(F.array_sort(F.collect_list("x")), seed).alias("all"))
-    placed = gathered.join(first, "bucket").select("first", F.posexplode("all").alias("at", "x")).select((F.col("first") + F.col("at")).alias("place"), F.col("x.row").alias("row"), size_of(F.col("x.t")).alias("size"))
+    scattered = scattered.withColumn("part", (F.col("bucket") % parts).cast("int")).repartitionById(parts, F.col("part"))
+    gathered = scattered.groupBy("part", "bucket").agg(F.shuffle(F.array_sort(F.collect_list("x")), seed).alias("all"))
+    placed = gathered.join(F.broadcast(first), "bucket").select("first", F.posexplode("all").alias("at", "x")).select((F.col("first") + F.col("at")).alias("place"), F.col("x.row").alias("row"), size_of(F.col("x.t")).alias("size"))
     # shard s has places ceil(s * total / shards) up to the next shard's first
     shard = F.floor(F.col("place") * shards / F.lit(max(1, total))).cast("int")
     exact = F.when(F.col("place") * shards >= (shard + 1).cast("long") * total, shard + 1).when(F.col("place") * shards < shard.cast("long") * total, shard - 1).otherwise(shard)
