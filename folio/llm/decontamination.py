@@ -9,7 +9,7 @@ that no broadcast grows with the benchmark; documents aren't shuffled unless the
 
 Defined results: a null or wordless text has no words and is clean; an item without words, a null item and an item
 whose id is null are ignored; items of equal text all count; repeated rows get equal results; ties between equal
-hashes keep all of them, and other columns are kept, whatever their names.
+hashes keep all of them, and other columns are kept, and one that is named as the result is replaced.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.common import ALNUM_BYTES, LOWER, arrow_column, chunks, gram_hashes, mix, span_hashes, unit_hash, word_bounds
+from folio.llm.common import ALNUM_BYTES, LOWER, arrow_column, chunks, fresh, gram_hashes, mix, span_hashes, unit_hash, word_bounds
 
 #: Words of a window, and of a k-gram; fingerprints are minima over WINDOW - GRAM + 1 k-grams.
 WINDOW, GRAM = 10, 5
@@ -204,7 +204,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", out
     if blocks == 1:
         return docs.withColumn(out, scanned[0])
     # Several blocks: their columns are made one after another in the same pass over the documents, then merged.
-    names = [f"__block{i}" for i in range(blocks)]
+    names = fresh(docs, *(f"__block{i}" for i in range(blocks)))
     wide = docs.select("*", *(c.alias(n) for c, n in zip(scanned, names, strict=True)))
     spans = F.array_sort(F.flatten(F.array(*(F.col(n).getField("spans") for n in names))))
     merged = F.aggregate(

@@ -11,7 +11,7 @@ Prediction covers every whole text.
 
 Defined results: a null text, and one without a letter, is `und` with score 0; so is every text if there is no row to
 learn from; ties go to the language that sorts first; repeated rows get equal results; other columns are kept,
-whatever their names.
+and one that is named as the result is replaced.
 """
 
 from __future__ import annotations

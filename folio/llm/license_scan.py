@@ -6,7 +6,7 @@ Copies of one text cost one digest each and meet the same licence row, so the li
 number is at most BROADCAST_ROWS, and joined by a shuffle with skew handling beyond.
 
 Defined results: a null text, and a text without letters or digits, has no digest and no licence; of licences with
-one digest the first name counts; repeated rows get equal results; other columns are kept, whatever their names.
+one digest the first name counts; repeated rows get equal results; other columns are kept, and one that is named as the result is replaced.
 """
 
 from __future__ import annotations
@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folio.llm.common import fresh
+
 BROADCAST_ROWS = 10_000
 #: Spellings that licence comparison treats as equal, each to the one used here.
 SPELLINGS = [
@@ -67,8 +69,9 @@ def known_licenses(spark: SparkSession) -> DataFrame:
 
 def scan(docs: DataFrame, licenses: DataFrame, text: str = "text", out: str = "license") -> DataFrame:
     """Add a struct `out` with the digest of the whole text and the licence that has it, if any."""
-    known = licenses.select(digest(F.col("text")).alias("__digest"), "license_id").where("__digest IS NOT NULL").groupBy("__digest").agg(F.min("license_id").alias("__license"))
+    own, met, found = fresh(docs, "__own", "__digest", "__license")
+    known = licenses.select(digest(F.col("text")).alias(met), "license_id").where(F.col(met).isNotNull()).groupBy(met).agg(F.min("license_id").alias(found))
     few = known.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    hashed = docs.select("*", digest(F.col(f"`{text}`")).alias("__own"))
-    joined = hashed.join(F.broadcast(known) if few else known, F.col("__own") == F.col("__digest"), "left")
-    return joined.withColumn(out, F.struct(F.col("__own").alias("digest"), F.col("__license").alias("license_id"))).drop("__own", "__digest", "__license")
+    hashed = docs.withColumn(own, digest(F.col(f"`{text}`")))
+    joined = hashed.join(F.broadcast(known) if few else known, F.col(own) == F.col(met), "left")
+    return joined.withColumn(out, F.struct(F.col(own).alias("digest"), F.col(found).alias("license_id"))).drop(own, met, found)

@@ -11,8 +11,8 @@ The model is fitted on a bounded sample: about SAMPLE / 2 rows of either label,
 labelled rows that aren't held out, texts of over SAMPLE_BYTES left to scoring. Scoring covers every whole text.
 
 Defined results: a null text is an empty one; without labelled rows every score is 0.5; an id with several labels counts
-as its lowest; labels other than 0 and 1 are ignored; repeated rows get equal scores; other columns are kept, whatever
-their names.
+as its lowest; labels other than 0 and 1 are ignored; repeated rows get equal scores; other columns are kept, and one
+that is named as the result is replaced.
 """
 
 from __future__ import annotations
