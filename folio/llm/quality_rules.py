@@ -2,16 +2,17 @@
 
 Base rules reject texts of under 20 words and texts in which over 30 % of the words stand in repeated eight-word
 windows. Each further rule compares a statistic with a cutoff that is chosen on labelled holdouts: within a stratum
-(a class of text length) and for every candidate cutoff, the documents of label 1 that it would reject are counted,
-and the exact (Clopper-Pearson) upper bound on their share must be at most RISK over the number of rules, at a
-confidence that is corrected for all rules, strata and cutoffs tried (Bonferroni). The strictest cutoff that passes is
-used; where none passes, the rule rejects nothing there.
+(a class of text length) the documents of label 1 that a cutoff would reject are counted, and the exact
+(Clopper-Pearson) upper bound on their share must be at most RISK over the number of rules. Cutoffs are tested from
+the mildest on and testing ends at the first that fails, so a rule's cutoffs need no correction among themselves;
+rules and strata share the error DELTA (Bonferroni). The strictest cutoff that passed is used; where none passes, the
+rule rejects nothing there.
 
 Labelled rows are counted into histograms over the candidate cutoffs before anything is gathered, so that the driver
 gets rules x strata x cutoffs counts whatever the input.
 
 Defined results: a null text has no words; without labels only the base rules reject; an id with several labels counts
-as its lowest; repeated rows get equal verdicts; other columns are kept, whatever their names.
+as its lowest; repeated rows get equal verdicts; other columns are kept, and one that is named as the result is replaced.
 """
 
 from __future__ import annotations
@@ -29,14 +30,17 @@ WINDOW, LEAST_WORDS, REPEAT_PERCENT = 8, 20, 30
 #: Share of good documents that may be falsely rejected, by all rules together, and the chance of breaking that.
 RISK, DELTA = 0.02, 0.05
 #: Upper ends of the strata's word counts; one more stratum is open.
-STRATA = (60, 150, 400, 1200)
+STRATA = (120, 400)
 SYMBOLS = byte_set(*b"#*$%&|<>")
-STATS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
+CAPITALS, MARKS = byte_set((0x41, 0x5A)), byte_set(*b"!?")
+STATS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_upper long, n_marks long"
 #: Statistics of the rules and their candidate cutoffs, strictest first.
 CUTOFFS = {
     "symbols_a_word": [0.01, 0.02, 0.03, 0.05, 0.08, 0.1, 0.15, 0.2, 0.3, 0.5, 0.75, 1.0, 1.5, 2.0],
     "dup_lines_a_word": [0.002, 0.005, 0.01, 0.02, 0.03, 0.05, 0.08, 0.1, 0.15, 0.2, 0.3],
     "repeat_share": [0.01, 0.02, 0.03, 0.05, 0.08, 0.1, 0.13, 0.16, 0.2, 0.25],
+    "capital_share": [0.05, 0.08, 0.1, 0.15, 0.2, 0.3, 0.5, 0.7],
+    "marks_a_word": [0.02, 0.05, 0.1, 0.2, 0.3, 0.5, 1.0, 2.0],
     "word_length": [6.0, 6.5, 7.0, 7.5, 8.0, 9.0, 10.0, 12.0, 15.0, 20.0, 40.0],
 }
 
@@ -86,7 +90,7 @@ def stats(texts: pa.Array) -> pa.Array:
             text = c.data[c.offsets[d] : c.offsets[d + 1]].tobytes()
             n_lines[d] = repeated_lines(text) if lines[d] else 0
             n_repeats[d] = repeated_words(text.split()) if repeats[d] else 0
-        for column, values in zip(columns, (np.diff(first), per_doc(inside, c.offsets), per_doc(SYMBOLS[c.data], c.offsets), n_lines, n_repeats), strict=True):
+        for column, values in zip(columns, (np.diff(first), per_doc(inside, c.offsets), per_doc(SYMBOLS[c.data], c.offsets), n_lines, n_repeats, per_doc(CAPITALS[c.data], c.offsets), per_doc(MARKS[c.data], c.offsets)), strict=True):
             column.append(values)
     return pa.StructArray.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *x]), pa.int64()) for x in columns], names=names)
 
@@ -107,6 +111,8 @@ def statistics(counts: Column) -> dict[str, Column]:
         "symbols_a_word": counts["n_symbols"] / words,
         "dup_lines_a_word": counts["n_dup_lines"] / words,
         "repeat_share": counts["n_repeat_words"] / words,
+        "capital_share": counts["n_upper"] / F.greatest(counts["word_chars"], F.lit(1)),
+        "marks_a_word": counts["n_marks"] / words,
         "word_length": counts["word_chars"] / words,
     }
 
@@ -143,14 +149,14 @@ def passes(rejected: int, good: int, risk: float, delta: float) -> bool:
 def choose(histogram: dict[tuple[str, int, int], int], risk: float = RISK, delta: float = DELTA) -> dict[tuple[str, int], float]:
     """Cutoffs by rule and stratum from counts of good documents by rule, stratum and number of cutoffs exceeded."""
     out = {}
-    tests = sum(len(c) for c in CUTOFFS.values()) * (len(STRATA) + 1)
+    families = len(CUTOFFS) * (len(STRATA) + 1)
     for rule, cutoffs in CUTOFFS.items():
         for part in range(len(STRATA) + 1):
             by = [histogram.get((rule, part, i), 0) for i in range(len(cutoffs) + 1)]
-            for i, cutoff in enumerate(cutoffs):
-                if passes(sum(by[i + 1 :]), sum(by), risk / len(CUTOFFS), delta / tests):
-                    out[rule, part] = cutoff
+            for i in reversed(range(len(cutoffs))):
+                if not passes(sum(by[i + 1 :]), sum(by), risk / len(CUTOFFS), delta / families):
                     break
+                out[rule, part] = cutoffs[i]
     return out
 
 

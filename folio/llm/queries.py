@@ -45,7 +45,8 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality_rules.judge(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
-    return found.select("doc_id", "counts.*", "base_failed", "kept")
+    counts = [f"counts.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
+    return found.select("doc_id", *counts, "base_failed", "kept", "counts.n_upper", "counts.n_marks")
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
