@@ -28,7 +28,8 @@ def one_of(characters: str) -> str:
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, rf"^{SPACE}+|{SPACE}+$", "")
+    # a run is tried from its start alone, so that long runs within a text cost their length once
+    return F.regexp_replace(text, rf"^{SPACE}++|(?<!{SPACE}){SPACE}++$", "")
 
 
 def collapse(text: Column) -> Column:

@@ -41,7 +41,7 @@ def apply_edits(blocks: DataFrame, edits: str = "edits", text: str = "text", fla
 
     def moved(p: Column, inner: str) -> Column:
         # the last edit that begins before p decides: p lies within it, or is shifted as its end was
-        last = F.element_at(F.filter(spans, lambda s: s["a"] < p), -1)
+        last = F.try_element_at(F.filter(spans, lambda s: s["a"] < p), F.lit(-1))
         return F.when(last.isNull(), p).when(p < last["b"], last[inner]).otherwise(p + last["d"] - last["b"])
 
     old = F.transform(flags, lambda f: F.struct(f["kind"].alias("kind"), moved(f["start"], "c").alias("start"), moved(f["end"], "d").alias("end"), f["original"].alias("original"), f["note"].alias("note")))

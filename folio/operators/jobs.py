@@ -114,12 +114,11 @@ def throttle(events: DataFrame, key: str, time: str, value: str, gap: float = TH
     none = F.array().cast(f"array<struct<t:{kind['t'].dataType.simpleString()},v:{kind['v'].dataType.simpleString()}>>")
 
     def step(sent: Column, x: Column) -> Column:
-        last = F.element_at(sent, -1)
+        last = F.try_element_at(sent, F.lit(-1))
         due = (F.size(sent) == 0) | ((x["t"] - last["t"] >= gap) & (x["v"] != last["v"]))
         return F.when(due, F.concat(sent, F.array(x))).otherwise(sent)
 
-    # try_element_at isn't needed: `due` is true while nothing was sent
-    return events.groupBy(key).agg(F.aggregate(line, none, lambda s, x: F.when(F.size(s) == 0, F.array(x)).otherwise(step(s, x))).alias("sent")).select(key, F.explode("sent").alias("x")).select(key, F.col("x.t").alias(time), F.col("x.v").alias(value))
+    return events.groupBy(key).agg(F.aggregate(line, none, step).alias("sent")).select(key, F.explode("sent").alias("x")).select(key, F.col("x.t").alias(time), F.col("x.v").alias(value))
 
 
 def correlated(events: DataFrame, request: str = "id") -> DataFrame:

@@ -38,6 +38,8 @@ def values(rows: list[tuple], names: str) -> str:
             return str(x).upper()
         if isinstance(x, (list, tuple)):
             return "[" + ", ".join(map(literal, x)) + "]"
+        if isinstance(x, float):
+            return f"CAST({x!r} AS DOUBLE)"
         return "'" + x.replace("'", "''") + "'" if isinstance(x, str) else repr(x)
 
     return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(literal, r)) + ')' for r in rows)}) AS v({names})"
