@@ -8,11 +8,18 @@ from pyspark.sql import functions as F
 from folio.llm.common import checkpoint
 
 
+#: Parts into which a node's links are dealt when its least neighbour is joined to them.
+SALTS = 16
+
+
 def _to_least(links: DataFrame) -> DataFrame:
     """Large star: each node's greater neighbours are linked to the least node around it."""
     both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    salts = F.explode(F.array(*(F.lit(i) for i in range(SALTS)))).alias("salt")
+    least = both.groupBy("u").agg(F.min("v").alias("m"), F.max("v").alias("top")).where("top > u").select("u", F.least("u", "m").alias("m"), salts)
+    greater = both.where("v > u").withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
+    # a node gets the same least node from many neighbours; what is equal is folded before it is dealt by node again
+    return greater.join(least, ["u", "salt"]).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _inward(links: DataFrame) -> DataFrame:

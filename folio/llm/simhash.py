@@ -11,18 +11,20 @@ Components of the links come from alternating large and small stars; copies were
 
 Defined results: a text without words, null texts included, has fingerprint zero and is linked like any other; a text
 of fewer than three words is one shingle; repeated rows fall into one component; the component is the least non-null
-id in it (null if all ids are null); other columns are kept, whatever their names.
+id in it (null if all ids are null); other columns are kept, and one that is named as the result is replaced.
 """
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.common import arrow_column, checkpoint
+from folio.llm.common import arrow_column, checkpoint, chunks, fresh
 from folio.llm.graph import components
 
 #: Bits in which linked fingerprints may differ. The star values within buckets are made for two.
@@ -54,7 +56,7 @@ def fingerprint(text: bytes) -> int:
 
 
 def _batch(texts: pa.Array) -> pa.Array:
-    found = np.fromiter((fingerprint(t) for t in texts.fill_null("").cast(pa.binary()).to_pylist()), np.uint64, len(texts))
+    found = np.fromiter((fingerprint(c.data[a:b].tobytes()) for c in chunks(texts) for a, b in itertools.pairwise(c.offsets.tolist())), np.uint64, len(texts))
     return pa.array(found.view(np.int64))
 
 
@@ -115,6 +117,6 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     A row with a null id stays only where no other id is in its component; rows that repeat the id that stays all do.
     """
     groups = near_duplicates(docs, doc_id, text)
-    stay = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__stay")).distinct()
-    same = docs[f"`{doc_id}`"].eqNullSafe(F.col("__stay"))
-    return docs.join(stay, same, "left_semi")
+    (name,) = fresh(docs, "__stay")
+    stay = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(stay, F.col(f"`{doc_id}`").eqNullSafe(F.col(name)), "left_semi")
