@@ -210,7 +210,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", out
     merged = F.aggregate(
         spans,
         F.array().cast("array<struct<start:bigint,end:bigint>>"),
-        lambda done, x: F.when((F.size(done) > 0) & (x["start"] <= F.element_at(done, -1)["end"]), F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(F.element_at(done, -1)["start"].alias("start"), F.greatest(F.element_at(done, -1)["end"], x["end"]).alias("end"))))).otherwise(F.concat(done, F.array(x))),
+        lambda done, x: F.when((F.size(done) > 0) & (x["start"] <= F.try_element_at(done, F.lit(-1))["end"]), F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(F.try_element_at(done, F.lit(-1))["start"].alias("start"), F.greatest(F.try_element_at(done, F.lit(-1))["end"], x["end"]).alias("end"))))).otherwise(F.concat(done, F.array(x))),
     )
     items_found = F.array_sort(F.array_distinct(F.flatten(F.array(*(F.col(n).getField("items") for n in names)))))
     return wide.withColumn(out, F.struct(F.col(names[0]).getField("n_words").alias("n_words"), merged.alias("spans"), items_found.alias("items"))).drop(*names)
