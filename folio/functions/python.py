@@ -9,9 +9,12 @@ from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
+import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from folio.functions.text import BLANKS, SENTENCE_END, START_OPENERS, TAG
+
 WINDOW = 1000
 
 
@@ -140,6 +143,43 @@ def differences(a: list[str], b: list[str]) -> dict:
     return {"agreed": agreed, "found": found}
 
 
+_SKIPPED = frozenset(BLANKS + START_OPENERS)
+
+
+def placed_words(texts: pa.Array, pattern: str) -> pa.Array:
+    """Words of each text with their places, tags masked, and whether each starts a sentence.
+
+    Sums of lengths are linear here; as expressions they take a shuffle of all words, or a square of a text's words.
+    """
+    find, tag = regex.compile(pattern).finditer, regex.compile(TAG)
+    sizes, start, end, words, first = [0], [], [], [], []
+    for text in texts.to_pylist():
+        shown = text or ""
+        masked = tag.sub(lambda m: " " * len(m.group()), shown) if "<" in shown else shown
+        for m in find(masked):
+            i = m.start() - 1
+            while i >= 0 and shown[i] in _SKIPPED:
+                i -= 1
+            start.append(m.start())
+            end.append(m.end())
+            words.append(m.group())
+            first.append(i < 0 or shown[i] in SENTENCE_END)
+        sizes.append(len(words))
+    found = pa.StructArray.from_arrays([pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(words, pa.string()), pa.array(first, pa.bool_())], names=["start", "end", "word", "starts"])
+    return pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), found)
+
+
+def placed_words_of(text: Column, pattern: str) -> Column:
+    """array<struct<start, end, word, starts>> of a text column."""
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield placed_words(batch, pattern)
+
+    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(run, "array<struct<start:int,end:int,word:string,starts:boolean>>")(text)
+
+
 _DIFF = pa.struct([(k, pa.string()) for k in ("kind", "before", "a", "b", "after")])
 nfc_of = _column(nfc, pa.string(), "string")
 fold_of = _column(fold, pa.string(), "string")

@@ -22,14 +22,30 @@ OPENERS = "\"'„“‚‘«(["
 START_OPENERS = "\"'„“”‚‘’«»([{–—-*•"
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """`then` of a value that is computed once and may be used within lambdas, which results of Python may not."""
+    return F.transform(F.array(value), then)[0]
+
+
 def one_of(characters: str) -> str:
     """A regular expression class of the characters."""
     return "[" + "".join("\\" + c if c in "\\[]^-&" else c for c in characters) + "]"
 
 
+#: The same characters as a set for trimming, which looks at a text's ends alone.
+BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(text: Column) -> Column:
-    # a run is tried from its start alone, so that long runs within a text cost their length once
-    return F.regexp_replace(text, rf"^{SPACE}++|(?<!{SPACE}){SPACE}++$", "")
+    return F.btrim(text, F.lit(BLANKS))
+
+
+def right_strip(text: Column, characters: str = BLANKS) -> Column:
+    return F.rtrim(text, F.lit(characters))
+
+
+def left_strip(text: Column, characters: str = BLANKS) -> Column:
+    return F.ltrim(text, F.lit(characters))
 
 
 def collapse(text: Column) -> Column:
@@ -78,19 +94,18 @@ def matches(text: Column, pattern: str) -> Column:
 
 def ends_sentence(text: Column) -> Column:
     """Whether a text's last character, closing quotes and brackets aside, ends a sentence; an empty text does."""
-    bare = F.regexp_replace(text, rf"{SPACE}+$", "")
-    bare = F.regexp_replace(F.regexp_replace(bare, one_of(CLOSERS) + "+$", ""), rf"{SPACE}+$", "")
-    return (bare == "") | F.rlike(bare, F.lit(one_of(SENTENCE_END + ":") + "$"))
+    bare = right_strip(right_strip(right_strip(text), CLOSERS))
+    return (bare == "") | F.substring(bare, -1, 1).isin(*SENTENCE_END, ":")
 
 
 def starts_lower(text: Column) -> Column:
-    return F.rlike(text, F.lit(rf"^{SPACE}*{one_of(OPENERS)}*\p{{Ll}}"))
+    return F.rlike(left_strip(left_strip(text), OPENERS), F.lit(r"^\p{Ll}"))
 
 
 def at_sentence_start(before: Column) -> Column:
     """Whether a word with this text before it starts a sentence."""
-    bare = F.regexp_replace(before, f"(?:{SPACE}|{one_of(START_OPENERS)})+$", "")
-    return (bare == "") | F.rlike(bare, F.lit(one_of(SENTENCE_END) + "$"))
+    bare = right_strip(before, BLANKS + START_OPENERS)
+    return (bare == "") | F.substring(bare, -1, 1).isin(*SENTENCE_END)
 
 
 def clean_model_text(raw: Column) -> Column:
@@ -164,8 +179,3 @@ def joined(value: Column | str, gap: str, *order: Column | str) -> Column:
     keys = [(F.col(o) if isinstance(o, str) else o).alias(f"o{i}") for i, o in enumerate(order)]
     ordered = F.array_sort(F.collect_list(F.struct(*keys, (F.col(value) if isinstance(value, str) else value).alias("t"))))
     return F.array_join(ordered["t"], gap)
-
-
-def let(value: Column, then: Callable[[Column], Column]) -> Column:
-    """`then` of a value that is computed once and may be used within lambdas, which results of Python may not."""
-    return F.transform(F.array(value), then)[0]

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from folio.functions.text import ends_sentence, joined, matches, starts_lower
+from folio.functions.text import ends_sentence, matches, starts_lower
 from folio.operators.lexicon import known_words
 from folio.schema import BLOCK_KEYS, CAPTIONS, FIGURE_RUN, FLOW, FURNITURE, HYPHEN_LABELS, PAGE_KEYS
 
@@ -78,14 +78,12 @@ def dehyphenate(blocks: DataFrame, dictionary: DataFrame) -> DataFrame:
     judged = asked.join(whole, ["lang", "whole"]).join(dashed, ["lang", "dashed"])
     sure = F.col("whole_known") & ~F.col("dashed_known")
     guess = F.contains("piece", F.lit("\n")) & ~F.col("whole_known") & ~F.col("dashed_known") & F.rlike("b", F.lit(r"^\p{Ll}"))
-    changed = judged.where(sure | guess).select(*BLOCK_KEYS, "at", F.col("whole").alias("new"), guess.alias("guess"))
-    rebuilt = (
-        cut.join(changed, [*BLOCK_KEYS, "at"], "left")
-        .groupBy(*BLOCK_KEYS)
-        .agg(joined(F.coalesce("new", "piece"), "", "at").alias("__text"), F.count("new").alias("__joined"), F.count_if("guess").alias("__guessed"))
-    )
-    merged = blocks.join(rebuilt, BLOCK_KEYS, "left")
-    return merged.withColumn("text", F.coalesce("__text", "text")).withColumn("joined", F.coalesce("__joined", F.lit(0))).withColumn("guessed", F.coalesce("__guessed", F.lit(0))).drop("__text", "__joined", "__guessed")
+    changed = judged.where(sure | guess).select(*BLOCK_KEYS, F.struct("at", F.col("whole").alias("new")).alias("edit"), guess.alias("guess"))
+    edits = changed.groupBy(*BLOCK_KEYS).agg(F.map_from_entries(F.collect_list("edit")).alias("__edits"), F.count("*").alias("__joined"), F.count_if("guess").alias("__guessed"))
+    merged = blocks.join(edits, BLOCK_KEYS, "left")
+    # the text is cut again where there is something to put in, rather than sent around in pieces
+    rebuilt = F.array_join(F.transform(matches(F.col("text"), BROKEN), lambda p, i: F.coalesce(F.try_element_at(F.col("__edits"), i), p)), "")
+    return merged.withColumn("text", F.when(F.col("__edits").isNotNull(), rebuilt).otherwise(F.col("text"))).withColumn("joined", F.coalesce("__joined", F.lit(0))).withColumn("guessed", F.coalesce("__guessed", F.lit(0))).drop("__edits", "__joined", "__guessed")
 
 
 def arrange(blocks: DataFrame, dictionary: DataFrame | None = None) -> DataFrame:

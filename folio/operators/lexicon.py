@@ -3,21 +3,19 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from folio.functions.text import WORD, at_sentence_start, mask_tags, matches, word_list
+from folio.functions.python import placed_words_of
+from folio.functions.text import WORD, word_list
 from folio.schema import BLOCK_KEYS, SKIPPED
 
 LEAST_LETTERS, RATE_WORDS = 2, 300
 
 
-def tokens(blocks: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """Words of texts with start, end and number, by the keys. Places come from a running sum over the text's pieces."""
-    pieces = blocks.select(*keys, F.posexplode(matches(mask_tags(F.col(text)), WORD)).alias("at", "piece"))
-    before = F.coalesce(F.sum(F.length("piece")).over(W.partitionBy(*keys).orderBy("at").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    placed = pieces.withColumn("start", before.cast("int")).where("at % 2 = 1")
-    return placed.select(*keys, "start", (F.col("start") + F.length("piece")).alias("end"), F.col("piece").alias("word"), ((F.col("at") + 1) / 2).cast("int").alias("ord"))
+def tokens(blocks: DataFrame, keys: list[str], text: str = "text", pattern: str = WORD) -> DataFrame:
+    """Words of texts by the keys: start, end, word, number (ord), and whether it starts a sentence (starts)."""
+    found = blocks.select(*keys, F.posexplode(placed_words_of(F.col(text), pattern)).alias("i", "w"))
+    return found.select(*keys, "w.start", "w.end", "w.word", (F.col("i") + 1).alias("ord"), "w.starts")
 
 
 def plain(word: Column) -> Column:
@@ -82,16 +80,16 @@ def chosen_language(option: Column, detected: Column, available: Column, fallbac
     return F.when(option != "auto", option).when(available, detected).otherwise(fallback)
 
 
-def protected(word: Column, before: Column, personal: list[str] | None = None) -> Column:
+def protected(word: Column, starts: Column, personal: list[str] | None = None) -> Column:
     """Capitalised within a sentence, or on the personal list."""
     own = F.lower(word).isin([w.lower() for w in personal]) if personal else F.lit(False)
-    return own | (F.rlike(word, F.lit(r"^\p{Lu}")) & ~at_sentence_start(before))
+    return own | (F.rlike(word, F.lit(r"^\p{Lu}")) & ~starts)
 
 
 def suspicious(blocks: DataFrame, dictionary: DataFrame, taken: DataFrame | None = None, personal: list[str] | None = None) -> DataFrame:
     """Flags of unknown, unprotected words (blocks have a lang) that overlap none of the `taken` flags."""
     shown = blocks.where(~F.col("label").isin(*SKIPPED))
-    words = tokens(shown, BLOCK_KEYS).where(F.length("word") >= LEAST_LETTERS)
+    words = tokens(shown, [*BLOCK_KEYS, "lang"]).where(F.length("word") >= LEAST_LETTERS)
     if taken is not None:
         t = taken.select(*(F.col(k).alias(f"t_{k}") for k in BLOCK_KEYS), F.col("start").alias("t_start"), F.col("end").alias("t_end"))
         same = [F.col(k) == F.col(f"t_{k}") for k in BLOCK_KEYS]
@@ -99,7 +97,6 @@ def suspicious(blocks: DataFrame, dictionary: DataFrame, taken: DataFrame | None
         for s in same:
             overlaps = overlaps & s
         words = words.join(t, overlaps, "left_anti")
-    joined = words.join(shown.select(*BLOCK_KEYS, "lang", F.col("text").alias("__text")), BLOCK_KEYS)
-    open_ = joined.where(~protected(F.col("word"), F.expr("substring(__text, 1, start)"), personal))
+    open_ = words.where(~protected(F.col("word"), F.col("starts"), personal))
     verdicts = known_words(open_, dictionary).where("NOT known").select("lang", "word")
     return open_.join(verdicts, ["lang", "word"]).select(*BLOCK_KEYS, "start", "end", F.lit("suspicious").alias("kind"), F.col("word").alias("original"), F.lit("not in the dictionary").alias("note"))

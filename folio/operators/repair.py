@@ -5,7 +5,6 @@ from __future__ import annotations
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from folio.functions.lineage import checkpoint
@@ -131,23 +130,15 @@ def plain_soft_words(words: DataFrame, dictionary: DataFrame) -> DataFrame:
     return unique_known(unknown, softened(F.col("word")), dictionary)
 
 
-def apostrophe_words(blocks: DataFrame, keys: list[str]) -> DataFrame:
-    """Places of words with d' or t'."""
-    pieces = blocks.select(*keys, F.posexplode(matches(mask_tags(F.col("text")), APOSTROPHE_WORD)).alias("at", "piece"))
-    before = F.coalesce(F.sum(F.length("piece")).over(W.partitionBy(*keys).orderBy("at").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return pieces.withColumn("start", before.cast("int")).where("at % 2 = 1").select(*keys, "start", (F.col("start") + F.length("piece")).alias("end"), F.col("piece").alias("word"))
-
-
 def word_edits(blocks: DataFrame, dictionary: DataFrame, personal: list[str] | None = None) -> DataFrame:
     """Edits and foreign-letter flags of blocks (with a lang) by the word rules; `new` is null for a flag."""
     shown = blocks.where(~F.col("label").isin(*SKIPPED))
-    texts = shown.select(*BLOCK_KEYS, "lang", F.col("text").alias("__text"))
+    keys = [*BLOCK_KEYS, "lang"]
 
     def open_words(found: DataFrame) -> DataFrame:
-        joined = found.join(texts, BLOCK_KEYS)
-        return joined.where(~protected(F.col("word"), F.expr("substring(__text, 1, start)"), personal)).drop("__text")
+        return found.where(~protected(F.col("word"), F.col("starts"), personal)).drop("starts", "ord")
 
-    marked = checkpoint(open_words(apostrophe_words(shown, BLOCK_KEYS)))
+    marked = checkpoint(open_words(tokens(shown, keys, pattern=APOSTROPHE_WORD)))
     first = checkpoint(marked.join(marked_soft_words(marked, dictionary), ["lang", "word"])).withColumn("note", F.lit("R1: letter + apostrophe is ď/ť"))
     covered = first.select(*(F.col(k).alias(f"c_{k}") for k in BLOCK_KEYS), F.col("start").alias("c_start"), F.col("end").alias("c_end"))
     meets = (F.col("c_start") < F.col("end")) & (F.col("start") < F.col("c_end"))
@@ -155,7 +146,7 @@ def word_edits(blocks: DataFrame, dictionary: DataFrame, personal: list[str] | N
         meets = meets & (F.col(k) == F.col(f"c_{k}"))
     # only words that a rule may touch go on, and three branches read them
     touched = is_foreign(F.col("word")) | F.rlike("word", F.lit("[dtDT]"))
-    rest = checkpoint(open_words(tokens(shown, BLOCK_KEYS).drop("ord").where(touched).join(covered, meets, "left_anti")))
+    rest = checkpoint(open_words(tokens(shown, keys).where(touched).join(covered, meets, "left_anti")))
     foreign = rest.join(foreign_words(rest, dictionary), ["lang", "word"]).withColumn("note", F.when(F.col("new").isNull(), "letter does not exist in Czech").otherwise("R2: foreign letter replaced by its Czech look-alike"))
     soft_asked = rest.where(~is_foreign(F.col("word")))
     soft = soft_asked.join(plain_soft_words(soft_asked, dictionary), ["lang", "word"]).withColumn("note", F.lit("d/t without its háček"))

@@ -83,9 +83,8 @@ def xml_safe_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of documents; placed: every word stands where its offsets say."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = lexicon.tokens(docs, ["doc_id"]).join(docs, "doc_id")
-    right = F.expr("substring(text, start + 1, end - start)") == F.col("word")
-    return found.groupBy("doc_id").agg(F.count("*").alias("n_words"), F.md5(text.joined("word", " ", "ord")).alias("digest"), F.bool_and(right).alias("placed"))
+    told = lexicon.tokens(docs, ["doc_id"]).groupBy("doc_id").agg(F.count("*").cast("int").alias("n_words"), F.md5(text.joined("word", " ", "ord")).alias("digest"), F.bool_and(F.col("end") - F.col("start") == F.length("word")).alias("placed"))
+    return told
 
 
 @query(f"SELECT page_id, len(w) AS n_words, md5(array_to_string(w, ' ')) AS digest FROM (SELECT page_id, {words_sql("regexp_replace(html, '<[^>]*>', ' ', 'g')")} AS w FROM pages)")
@@ -134,8 +133,8 @@ FROM (SELECT *, regexp_replace(t[1:start], '[\\s"''„“”‚‘’«»(\\[{{
 def sentence_protection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of turns that are capitalised within a sentence."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
-    found = lexicon.tokens(turns, ["conv_id", "turn"]).join(turns, ["conv_id", "turn"])
-    kept = lexicon.protected(F.col("word"), F.expr("substring(text, 1, start)"))
+    found = lexicon.tokens(turns, ["conv_id", "turn"])
+    kept = lexicon.protected(F.col("word"), F.col("starts"))
     return found.groupBy("conv_id", "turn").agg(F.count("*").alias("n_words"), F.count_if(kept).alias("n_protected"))
 
 
