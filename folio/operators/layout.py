@@ -68,8 +68,9 @@ def dehyphenate(blocks: DataFrame, dictionary: DataFrame) -> DataFrame:
     At a line end, where neither form is known, a word that goes on in lower case is joined too and counted as guessed.
     Adds `joined` and `guessed`, the numbers of joins.
     """
-    cut = blocks.where(F.col("label").isin(*HYPHEN_LABELS) & F.contains("text", F.lit("-"))).select(*BLOCK_KEYS, "lang", F.posexplode(matches(F.col("text"), BROKEN)).alias("at", "piece"))
-    broken = cut.where("at % 2 = 1")
+    given = blocks.where(F.col("label").isin(*HYPHEN_LABELS) & F.contains("text", F.lit("-")))
+    numbered = F.filter(F.transform(matches(F.col("text"), BROKEN), lambda p, i: F.struct(i.alias("at"), p.alias("piece"))), lambda x: x["at"] % 2 == 1)
+    broken = given.select(*BLOCK_KEYS, "lang", F.explode(numbered).alias("x")).select(*BLOCK_KEYS, "lang", "x.at", "x.piece")
     parts = F.split("piece", r"-[ \t]*\n?[ \t]*", 2)
     asked = broken.select(*BLOCK_KEYS, "lang", "at", "piece", parts[0].alias("a"), parts[1].alias("b")).withColumn("whole", F.concat("a", "b")).withColumn("dashed", F.concat_ws("-", "a", "b"))
     verdicts = known_words(asked.select("lang", F.explode(F.array("whole", "dashed")).alias("word")), dictionary)

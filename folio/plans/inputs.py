@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folio.functions.lineage import checkpoint
 from folio.functions.text import word_list
+from folio.sources.files import read_table
 
 #: Labels by turns for blocks made of lines.
 TURNS = ["title", "text", "text", "image", "image_caption", "text", "list", "header", "page_number", "footer", "text", "table_caption"]
@@ -15,7 +17,7 @@ SEEN = 8
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return read_table(spark, sf_dir, name)
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,10 +45,10 @@ blocks AS (SELECT doc_id, CAST(no // {LINES_A_PAGE} AS INT) AS page_index, CAST(
 
 
 def dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """lang and form: words seen in SEEN documents of a language or more."""
+    """lang and form: words seen in SEEN documents of a language or more; checkpointed, as a dictionary is a given table."""
     docs = table(spark, sf_dir, "documents")
     seen = docs.select("doc_id", "lang", F.explode(F.array_distinct(word_list(F.col("text")))).alias("form"))
-    return seen.groupBy("lang", "form").agg(F.count("*").alias("n")).where(F.col("n") >= SEEN).select("lang", "form")
+    return checkpoint(seen.groupBy("lang", "form").agg(F.count("*").alias("n")).where(F.col("n") >= SEEN).select("lang", "form"))
 
 
 def words_sql(text: str) -> str:

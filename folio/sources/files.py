@@ -11,6 +11,19 @@ from folio.schema import BLOCK, DOCUMENT, FLAG, PAGE_KEYS
 SUFFIXES = ("png", "jpg", "jpeg", "webp", "bmp", "tif", "tiff", "pdf")
 
 
+#: Bytes below which a table isn't worth spreading, and bytes a core above which its splits are enough anyway.
+SMALL_BYTES, AMPLE_BYTES = 2 << 20, 128 << 20
+
+
+def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A Parquet table; a small one of fewer files than cores is spread, as its row groups may be fewer than its splits."""
+    table = spark.read.parquet(f"{folder}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    size = int(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    few = SMALL_BYTES < size < cores * AMPLE_BYTES and len(table.inputFiles()) < cores
+    return table.repartition(cores) if few else table
+
+
 def listing(spark: SparkSession, folder: str) -> DataFrame:
     """path, length and time of all files below a folder; contents aren't read."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", "length", "modificationTime")
