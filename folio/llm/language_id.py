@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 
 from folio.llm.common import arrow_column, held_out, unit_hash
 
+#: Landmarks of all languages together, beside those of one.
+MOST_LANDMARKS = 512
 #: Sampled rows of a language, landmarks of a language, bytes of a sampled text, ridge, and rows of a batch.
 PER_LANGUAGE, LANDMARKS, SAMPLE_BYTES, RIDGE, BATCH = 300, 24, 32768, 1e-3, 128
 #: Below this score no language claims a document.
@@ -93,8 +95,9 @@ def fit(rows: list[tuple[str, str]]) -> Model | None:
     flags = np.zeros(CODES, bool)
     grams = [presences(text, classes, flags) for _, text in rows]
     chosen, used = [], dict.fromkeys(languages, 0)
+    most = max(1, min(LANDMARKS, MOST_LANDMARKS // len(languages)))
     for i, (lang, _) in enumerate(rows):
-        if used[lang] < LANDMARKS:
+        if used[lang] < most:
             used[lang] += 1
             chosen.append(i)
     column = np.full(CODES, -1, np.int32)
