@@ -95,7 +95,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     """doc_id, fp and component_id of every row."""
     rows = checkpoint(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), fingerprints(F.col(f"`{text}`")).alias("fp")))
     values = checkpoint(rows.groupBy("fp").agg(F.count("*").alias("n"), F.min("doc_id").alias("least")))
-    of = components(links(values.select("fp"))).select(F.col("node").alias("fp"), "root")
+    return assign(rows, values, components(links(values.select("fp"))))
+
+
+def assign(rows: DataFrame, values: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows (doc_id, fp) with component_id, given their values (fp, n, least) and the components found of those."""
+    of = found.select(F.col("node").alias("fp"), "root")
     rooted = values.join(of, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("n").alias("size"))
     # only fingerprints in components of several rows need to be looked up
@@ -116,7 +121,11 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
 
     A row with a null id stays only where no other id is in its component; rows that repeat the id that stays all do.
     """
-    groups = near_duplicates(docs, doc_id, text)
+    return stay(docs, near_duplicates(docs, doc_id, text), doc_id)
+
+
+def stay(docs: DataFrame, groups: DataFrame, doc_id: str = "doc_id") -> DataFrame:
+    """Rows of `docs` whose id is the least of its component in `groups`."""
     (name,) = fresh(docs, "__stay")
-    stay = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(name)).distinct()
-    return docs.join(stay, F.col(f"`{doc_id}`").eqNullSafe(F.col(name)), "left_semi")
+    least = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(least, F.col(f"`{doc_id}`").eqNullSafe(F.col(name)), "left_semi")
