@@ -21,12 +21,14 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.common import arrow_column, chunks
+from folio.llm.common import arrow_column
 
 #: Most symbols of a word that is merged in the array of trees.
 WIDE = 32
 #: Words remembered by a Python worker before the older half goes.
 REMEMBERED = 150_000
+#: Characters that are cut into words at a time, or one text.
+PART = 1 << 19
 _NONE = np.int64((1 << 62) - 1)
 
 
@@ -237,7 +239,7 @@ class Tokenizer:
         lo = 0
         while lo < len(texts):
             hi, size, found, words = lo, 0, [], set()
-            while hi < len(texts) and (hi == lo or size < 1 << 21):
+            while hi < len(texts) and (hi == lo or size < PART):
                 found.append(p := self.pieces(texts[hi]))
                 words.update(p)
                 size += len(texts[hi])
@@ -263,11 +265,6 @@ def tokenizer(path: str) -> Tokenizer:
 
 
 def _batch(texts: pa.Array, path: str) -> pa.Array:
-    parts = [_part(texts[c.lo : c.hi], path) for c in chunks(texts, 1 << 21)]
-    return pa.concat_arrays(parts or [_part(texts, path)])
-
-
-def _part(texts: pa.Array, path: str) -> pa.Array:
     done = tokenizer(path).run([x or "" for x in texts.to_pylist()])
     sizes = pa.array([len(ids) // 4 for ids, _ in done], pa.int64())
     return pa.StructArray.from_arrays([sizes, pa.array([x for x, _ in done], pa.binary()), pa.array([x for _, x in done], pa.binary()).cast(pa.string())], names=["n_tokens", "packed", "decoded"])

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +17,8 @@ from folio.sources.files import read_table
 
 #: Documents are handled in chunks of about so many bytes; a longer document is a chunk of its own.
 CHUNK_BYTES = 1 << 20
+#: Text that a function gets, and so results that it holds, at a time; a longer text comes alone.
+PIECE_BYTES = 1 << 20
 #: Words above this many bytes are hashed by xxHash instead of the prefix polynomial.
 LONG_WORD = 1 << 20
 _BASE = 0x9E3779B97F4A7C15
@@ -62,14 +65,28 @@ def chunks(texts: pa.Array, most: int = CHUNK_BYTES) -> Iterator[Chunk]:
     offsets = np.frombuffer(flat.buffers()[1], np.int64)[flat.offset : flat.offset + len(flat) + 1] if len(flat) else np.zeros(1, np.int64)
     body = flat.buffers()[2] if len(flat) else None
     data = np.frombuffer(body, np.uint8) if body is not None and body.size else np.zeros(0, np.uint8)
-    lo = 0
-    while lo < len(flat):
-        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + most, "right")) - 1)
-        hi = min(hi, len(flat))
+    for lo, hi in _runs(offsets, most):
         yield Chunk(lo, hi, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+
+
+def _runs(offsets: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Runs of texts of at most so many bytes, or of one text."""
+    lo, n = 0, len(offsets) - 1
+    while lo < n:
+        hi = min(n, max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + most, "right")) - 1))
+        yield lo, hi
         lo = hi
 
 
+def pieces(texts: pa.Array, most: int = PIECE_BYTES) -> Iterator[pa.Array]:
+    """Slices of a string array of at most so many bytes, or of one text; an empty array is one slice."""
+    sizes = np.asarray(pc.binary_length(texts).fill_null(0), np.int64)
+    if not len(sizes):
+        yield texts
+    for lo, hi in _runs(np.concatenate(([0], np.cumsum(sizes))), most):
+        yield texts.slice(lo, hi - lo)
+
+
 def byte_set(*parts: int | tuple[int, int]) -> np.ndarray:
     """A 256-entry table that is True for the bytes and ranges given."""
     out = np.zeros(256, bool)
@@ -167,15 +184,16 @@ def per_doc(values: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def arrow_column(make: Callable[[], Callable[[pa.Array], pa.Array]], returns: str) -> Callable[..., Column]:
-    """A column function over Arrow batches; `make` builds, once a task, what turns a batch into its results.
+    """A column function over texts in Arrow batches; `make` builds, once a task, what turns a batch into its results.
 
-    It counts as nondeterministic so that the optimizer neither repeats it nor moves filters on its results below it.
+    Results are sent on piece by piece, so that a worker never holds those of a whole batch. It counts as nondeterministic so that the optimizer neither repeats it nor moves filters on its results below it.
     """
 
     def step(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         run = make()
         for batch in batches:
-            yield run(batch)
+            for piece in pieces(batch):
+                yield run(piece)
 
     step.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return F.arrow_udf(step, returns).asNondeterministic()
