@@ -33,6 +33,8 @@ RADIUS = 2
 HOT_SHARE = 1000
 #: Parts into which a bucket's fingerprints are dealt for the join with their bucket.
 SALTS = 8
+#: Ids that are broadcast at most: about 32 MB.
+BROADCAST_IDS = 1_000_000
 SHINGLE, SEED = 3, 42
 
 
@@ -125,7 +127,12 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
 
 
 def stay(docs: DataFrame, groups: DataFrame, doc_id: str = "doc_id") -> DataFrame:
-    """Rows of `docs` whose id is the least of its component in `groups`."""
+    """Rows of `docs` whose id is the least of its component in `groups`.
+
+    The ids that go are broadcast while they are BROADCAST_IDS at most, so that texts aren't shuffled.
+    """
     (name,) = fresh(docs, "__stay")
-    least = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(name)).distinct()
-    return docs.join(least, F.col(f"`{doc_id}`").eqNullSafe(F.col(name)), "left_semi")
+    least = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    gone = checkpoint(groups.groupBy(F.col("doc_id").alias(name)).agg(F.max(least).alias("stays")).where("NOT stays").select(name))
+    few = gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(gone) if few else gone, F.col(f"`{doc_id}`").eqNullSafe(F.col(name)), "left_anti")
