@@ -183,16 +183,16 @@ def per_doc(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     return total[first[1:]] - total[first[:-1]]
 
 
-def arrow_column(make: Callable[[], Callable[[pa.Array], pa.Array]], returns: str) -> Callable[..., Column]:
+def arrow_column(make: Callable[[], Callable[[pa.Array], pa.Array]], returns: str, cut: bool = True) -> Callable[..., Column]:
     """A column function over texts in Arrow batches; `make` builds, once a task, what turns a batch into its results.
 
-    Results are sent on piece by piece, so that a worker never holds those of a whole batch. It counts as nondeterministic so that the optimizer neither repeats it nor moves filters on its results below it.
+    Results are sent on piece by piece, so that a worker never holds those of a whole batch (`cut`: the column holds texts). It counts as nondeterministic so that the optimizer neither repeats it nor moves filters on its results below it.
     """
 
     def step(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         run = make()
         for batch in batches:
-            for piece in pieces(batch):
+            for piece in pieces(batch) if cut else [batch]:
                 yield run(piece)
 
     step.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}

@@ -1,7 +1,6 @@
 import random
 
 import numpy as np
-import pyarrow as pa
 
 from folio.llm import decontamination as d
 from tests.llm.conftest import prose
@@ -25,13 +24,25 @@ def told(x):
     return x["n_words"], sum(s["end"] - s["start"] for s in x["spans"]), x["items"]
 
 
-def test_against_brute_force():
+def test_against_brute_force(spark):
     rng = random.Random(1)
-    for _ in range(150):
-        items = [(str(i), " ".join(rng.choices("ab cé D".split(), k=rng.choice([0, 1, 2, 9, 10, 11, 30])))) for i in range(4)]
-        docs = [" ".join(rng.choices("ab cé D, q".split(), k=rng.randint(0, 60))) for _ in range(4)] + [items[3][1] + "!" + items[2][1], None, ""]
-        for text, got in zip(docs, d.scan(pa.array(docs, pa.string()), d.build_index(items)).to_pylist(), strict=True):
-            assert told(got) == brute(text, items)
+    texts = lambda letters, sizes, n: [" ".join(rng.choices(letters.split(), k=rng.choice(sizes))) for _ in range(n)]
+    for letters in ("ab cé", "ab cé D x y z w v u t s r q p o n m l k j i"):
+        items = list(enumerate(texts(letters, [0, 1, 2, 9, 10, 11, 30], 25)))
+        docs = [*texts(letters + ", q!", range(60), 200), *(f"{items[i][1]}!{items[i + 1][1]}?? {items[i][1]}" for i in range(20)), None, ""]
+        found = d.decontaminate(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+        for r in found.collect():
+            assert told(r.decon.asDict(True)) == brute(r.text, [(str(i), t) for i, t in items])
+
+
+def test_the_places_of_a_bounded_map_miss_nothing(spark, monkeypatch):
+    """A map that is full lets everything through; the join decides alike."""
+    items = spark.createDataFrame([(i, prose(i, 40)) for i in range(50)], "item_id long, text string")
+    docs = spark.createDataFrame([(i, prose(i + 40, 90)) for i in range(30)], "doc_id long, text string")
+    before = sorted(map(str, d.decontaminate(docs, items).collect()))
+    monkeypatch.setattr(d, "LEAST_BITS", 7)
+    monkeypatch.setattr(d, "MOST_BITS", 7)
+    assert sorted(map(str, d.decontaminate(docs, items).collect())) == before and "Row(start" in str(before)
 
 
 def test_winnowing_guarantee():
@@ -46,10 +57,12 @@ def test_words_as_the_contract_has_them():
     assert d.words_of("A-b_c É1\x7fz") == [b"a", b"b", b"c", "É1".encode(), b"z"]
 
 
-def test_blocks_give_the_same(spark, odd, monkeypatch):
-    items = spark.createDataFrame([(1, prose(3, 25)), (2, prose(8, 12)), (3, "two words"), (None, "x"), (4, None), (5, prose(3, 25))], "item_id long, text string")
-    one = d.decontaminate(odd, items, out="found").collect()
-    monkeypatch.setattr(d, "BLOCK_BYTES", 60)
+def test_odd_rows_by_either_join(spark, odd, monkeypatch):
+    items = spark.createDataFrame([(1, prose(3, 25)), (2, prose(8, 12)), (3, "two words"), (None, "x"), (4, None), (5, prose(3, 25)), (6, " , "), (7, "river"), (1, "stone")], "item_id long, text string")
+    one = d.decontaminate(odd, items, out="found")
+    assert one.columns == [*odd.columns, "found"]
+    one = one.collect()
+    monkeypatch.setattr(d, "BROADCAST_BYTES", -1)
     many = d.decontaminate(odd, items, out="found").collect()
     key = lambda r: (str(r.doc_id), str(r.text)[:40], str(r.found))
     assert sorted(map(key, one)) == sorted(map(key, many))

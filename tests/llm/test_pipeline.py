@@ -2,9 +2,9 @@ import pytest
 
 pipeline = pytest.importorskip("corpus_pipeline")
 
-from folio.llm import bpe, decontamination, queries  # noqa: E402
-
-from test_near_copies import brute  # noqa: E402
+from folio.llm import bpe, queries  # noqa: E402
+from tests.llm.test_decontamination import brute as contamination  # noqa: E402
+from tests.llm.test_near_copies import brute  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 
@@ -34,9 +34,8 @@ def test_decisions(spark, stages):
     # near-duplicate stages take five words and a Jaccard index of 0.8: every pair of sets is compared
     assert {r.doc_id for r in made.collect()} == {c for _, c in brute([(r.doc_id, r.text) for r in given.collect()])}
     _, given, made = stages[3]
-    index = decontamination.build_index([(str(r.item_id), r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()])
-    texts = given.select("doc_id", "text").toArrow()
-    clean = [i for i, x in zip(texts["doc_id"].to_pylist(), decontamination.scan(texts["text"].combine_chunks(), index).to_pylist(), strict=True) if not x["items"]]
+    items = [(str(r.item_id), r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    clean = [r.doc_id for r in given.collect() if not contamination(r.text, items)[1]]
     assert sorted(clean) == sorted(r.doc_id for r in made.collect()) and len(clean) < given.count()
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     _, given, made = stages[1]
