@@ -1,12 +1,17 @@
 """Licence texts found by canonical digests, with DataFrame functions only.
 
-A text is lower-cased, lines that state a copyright go, spellings that count as equal become one, and all but letters
-and digits becomes single spaces. The digest of the whole canonical text is joined with those of known licences.
-Copies of one text cost one digest each and meet the same licence row, so the licences are broadcast while their
-number is at most BROADCAST_ROWS, and joined by a shuffle with skew handling beyond.
+A text is lower-cased, copyright statements go, all but letters and digits parts words, and whole words whose spellings
+count as equal become one. The digest of the whole canonical text is joined with those of known licences, with and
+without their title lines. Copies of one text cost one digest each and meet the same licence row, so the licences are
+broadcast while their number is at most BROADCAST_ROWS, and joined by a shuffle with skew handling beyond.
+
+A copyright statement begins at its mark ("copyright 2020", "(c) 2020", "copyright (c)") and ends with its line if at
+most SHORT characters follow; in a longer line it ends with its first sentence, and up to three words that make a
+sentence of their own ("All rights reserved.", or a name after an initial) go with it.
 
 Defined results: a null text, and a text without letters or digits, has no digest and no licence; of licences with
-one digest the first name counts; repeated rows get equal results; other columns are kept, and one that is named as the result is replaced.
+one digest the first name counts; repeated rows get equal results; a text of any length has one digest; an empty table
+gives none, and no known licences find none; other columns are kept, and one that is named as the result is replaced.
 """
 
 from __future__ import annotations
@@ -28,7 +33,7 @@ SPELLINGS = [
     ("organisation", "organization"), ("organise", "organize"), ("practise", "practice"), ("programme", "program"),
     ("realise", "realize"), ("recognise", "recognize"), ("signalling", "signaling"), ("utilisation", "utilization"),
     ("whilst", "while"), ("wilful", "willful"), ("sub license", "sublicense"), ("non commercial", "noncommercial"),
-    ("per cent", "percent"), ("copyright owner", "copyright holder"),
+    ("per cent", "percent"), ("copyright owner", "copyright holder"), ("copyright owners", "copyright holders"),
 ]
 #: Short public licence texts and notices.
 KNOWN = {
@@ -41,21 +46,60 @@ KNOWN = {
     "CC-BY-4.0-notice": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "CC-BY-NC-4.0-notice": "Licensed under CC BY-NC 4.0.",
     "GPL-3.0-notice": "This work is licensed under the GNU General Public License, version 3.",
+    "MIT-notice": "Released under the MIT License.",
+    "BSD-2-Clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+    "BSD-3-Clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+    "BSL-1.0": """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following: The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+    "Unlicense": """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE. For more information, please refer to <https://unlicense.org>""",
+}
+#: Title lines that may stand above a text.
+TITLES = {
+    "MIT": ["MIT License", "The MIT License", "The MIT License (MIT)"],
+    "ISC": ["ISC License", "The ISC License"],
+    "0BSD": ["BSD Zero Clause License", "Zero-Clause BSD"],
+    "Zlib": ["zlib License", "The zlib/libpng License"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "The BSD 2-Clause License"],
+    "BSD-3-Clause": ["BSD 3-Clause License", "The BSD 3-Clause License", "New BSD License"],
+    "BSL-1.0": ["Boost Software License - Version 1.0 - August 17th, 2003"],
+    "Unlicense": ["The Unlicense"],
 }
-#: Lines that state a copyright, in lower-cased text.
-COPYRIGHT_LINE = r"(?m)^[^\n]*(?:copyright[ \t]+(?:\(c\)|©|[0-9])|(?:\(c\)|©)[ \t]+(?:copyright|[0-9])|all rights reserved)[^\n]*$"
+#: Digests of the canonical forms of longer public licences, as Debian distributes their texts.
+KNOWN_DIGESTS = {
+    "Apache-2.0": "6074c3536c43b739207170b87d1681477d0f07374ed3d862ba461334cce848e3",
+    "Artistic-1.0-Perl": "08f1dc258c8f9e175155356aa1dd0dead8cfdec586bc1bb4c8b1452699a91702",
+    "CC0-1.0": "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f",
+    "GFDL-1.2": "5379e6f33e826ba185b23fd11a414555c2161fda481478babd1e73a3ae098a71",
+    "GFDL-1.3": "93d6108daecdddc5f284cf8f2512fb0d72f6e9ee12381feb9704ba194b00c3e6",
+    "GPL-1.0": "e80b630fa4f92f7da9cffbd75699f62bfac51ce5b33da44e74b5acc53e5187f6",
+    "GPL-2.0": "ada43b21b16dd64b4b8f1d9c2ab43ff16f75a8f0f835fc2f37a0c7e65f28d243",
+    "GPL-3.0": "861bd38e22ab70ae8dcfee80ab5d4466cb70842e09c5df25ffd0ff2f1661dd9c",
+    "LGPL-2.0": "61af4dcea4e412e8ccfb8877fd2762bd6d962f8d42a9fa2c06cf7b4613f2c908",
+    "LGPL-2.1": "4d55922bdeafabde164d75448bbfb0b474bf952bbb541325364010900acd9891",
+    "LGPL-3.0": "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be",
+    "MPL-1.1": "4be4a6251869e153404f424bbd1c116ada60f8969d5610b406e2a430e206b0bc",
+    "MPL-2.0": "f82071285728ca3ec7685ee9bc4acdae0b8267142a4d20b8f1805eabedb4a98a",
+}
+#: Characters after the mark of a copyright statement that go with their line.
+SHORT = 160
+MARK = r"(?:copyright[ \t]+(?:\(c\)|©|[0-9])|copyright(?:\(c\)|©)|(?:\(c\)|©)[ \t]*(?:copyright|[0-9]))"
+#: Copyright statements in lower-cased text.
+STATEMENT = MARK + rf"(?:[^\n]{{0,{SHORT}}}(?:\n|\z)|[^\n.]*\.(?:[ \t]+[^ \t\n.]+(?:[ \t]+[^ \t\n.]+){{0,2}}\.)?(?:[ \t\n]|\z))|all rights reserved"
+#: A spelling that isn't the one used, between the spaces that part words.
+ODD = " (?:" + "|".join(a.replace(" ", "  ") for a, _ in SPELLINGS) + ") "
 
 
 def canonical(text: Column) -> Column:
     """The canonical form of a whole text; empty where no letter or digit is left."""
-    # only texts that hold the marks of such a line are searched for it; the result is the same
+    # only texts that hold the marks of a statement, or an odd spelling, are changed there; the result is the same
     low = F.lower(text)
     marked = F.contains(low, F.lit("copyright")) | F.contains(low, F.lit("(c)")) | F.contains(low, F.lit("©")) | F.contains(low, F.lit("all rights reserved"))
-    out = F.when(marked, F.regexp_replace(low, COPYRIGHT_LINE, " ")).otherwise(low)
-    out = F.concat(F.lit(" "), F.regexp_replace(out, r"[^\p{L}\p{N}]+", " "), F.lit(" "))
+    bare = F.when(marked, F.regexp_replace(low, STATEMENT, "\n")).otherwise(low)
+    # two spaces between words, so that each has one on either side
+    words = F.concat(F.lit(" "), F.trim(F.regexp_replace(bare, r"[^\p{L}\p{N}]+", "  ")), F.lit(" "))
+    even = words
     for a, b in SPELLINGS:
-        out = F.replace(out, F.lit(a), F.lit(b))
-    return F.regexp_replace(out, r"^ +| +$", "")
+        even = F.replace(even, F.lit(f" {a.replace(' ', '  ')} "), F.lit(f" {b.replace(' ', '  ')} "))
+    return F.trim(F.replace(F.when(words.rlike(ODD), even).otherwise(words), F.lit("  "), F.lit(" ")))
 
 
 def digest(text: Column) -> Column:
@@ -63,14 +107,25 @@ def digest(text: Column) -> Column:
     return F.when(form != "", F.sha2(form, 256))
 
 
+def known_texts() -> list[tuple[str, str]]:
+    """Names and texts, with and without titles."""
+    return [(name, text) for name, body in KNOWN.items() for text in (body, *(f"{title}\n\n{body}" for title in TITLES.get(name, [])))]
+
+
 def known_licenses(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(KNOWN.items()), "license_id string, text string")
+    """license_id and digest of the licences that are known here; `digests` makes such a table of others."""
+    return digests(spark.createDataFrame(known_texts(), "license_id string, text string")).unionByName(spark.createDataFrame(list(KNOWN_DIGESTS.items()), "license_id string, digest string"))
+
+
+def digests(licenses: DataFrame) -> DataFrame:
+    """license_id and digest of licence texts (license_id, text)."""
+    return licenses.select("license_id", digest(F.col("text")).alias("digest"))
 
 
 def scan(docs: DataFrame, licenses: DataFrame, text: str = "text", out: str = "license") -> DataFrame:
-    """Add a struct `out` with the digest of the whole text and the licence that has it, if any."""
+    """Add a struct `out` with the digest of the whole text and the licence (license_id, digest) that has it, if any."""
     own, met, found = fresh(docs, "__own", "__digest", "__license")
-    known = licenses.select(digest(F.col("text")).alias(met), "license_id").where(F.col(met).isNotNull()).groupBy(met).agg(F.min("license_id").alias(found))
+    known = licenses.select(F.col("digest").alias(met), "license_id").where(F.col(met).isNotNull()).groupBy(met).agg(F.min("license_id").alias(found))
     few = known.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     hashed = docs.withColumn(own, digest(F.col(f"`{text}`")))
     joined = hashed.join(F.broadcast(known) if few else known, F.col(own) == F.col(met), "left")

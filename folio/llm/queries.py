@@ -59,8 +59,20 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id"), 3, 1).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
 
+def license_files() -> list[tuple[int, str]]:
+    """Documents that are licence texts, as they stand in files: under a title and a copyright line, in other case or spelling."""
+    out = []
+    for i, (name, body) in enumerate(license_scan.KNOWN.items()):
+        title = license_scan.TITLES.get(name, [""])[-1]
+        form = (body, body.upper(), body.replace(" license ", " licence ").replace(". ", ".\n\n"))[i % 3]
+        out.append((-1 - i, f"{title}\n\nCopyright (c) {2000 + i} Example Person\n\n{form}"))
+    return out
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = license_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), license_scan.known_licenses(spark))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    files = spark.createDataFrame(license_files(), docs.schema)
+    found = license_scan.scan(docs.unionByName(files), license_scan.known_licenses(spark))
     return found.select("doc_id", "license.digest", "license.license_id")
 
 
@@ -158,21 +170,24 @@ FROM whole w JOIN pieces p ON p.conv_id = w.conv_id
 
 def _license_sql() -> str:
     quote = lambda x: "'" + x.replace("'", "''") + "'"
-    nested = "spaced"
+    even = "words"
     for a, b in license_scan.SPELLINGS:
-        nested = f"replace({nested}, {quote(a)}, {quote(b)})"
-    known = ", ".join(f"({quote(name)}, {quote(text)})" for name, text in license_scan.KNOWN.items())
+        even = f"replace({even}, {quote(' ' + a.replace(' ', '  ') + ' ')}, {quote(' ' + b.replace(' ', '  ') + ' ')})"
+    rows = lambda x: ", ".join(f"({', '.join(quote(c) if isinstance(c, str) else 'NULL' if c is None else str(c) for c in r)})" for r in x)
     return f"""
-WITH known(license_id, text) AS (VALUES {known}), all_texts AS (
-  SELECT doc_id, NULL AS license_id, text FROM documents UNION ALL SELECT NULL, license_id, text FROM known
-), low AS (
-  SELECT doc_id, license_id, ' ' || regexp_replace(regexp_replace(lower(text), {quote(license_scan.COPYRIGHT_LINE)}, ' ', 'g'), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g') || ' ' AS spaced FROM all_texts
+WITH all_texts AS (
+  SELECT doc_id, NULL AS license_id, text FROM documents UNION ALL FROM (VALUES {rows((i, None, t) for i, t in license_files())})
+  UNION ALL SELECT NULL, license_id, text FROM (VALUES {rows(license_scan.known_texts())}) known(license_id, text)
+), spaced AS (
+  SELECT doc_id, license_id, ' ' || trim(regexp_replace(regexp_replace(lower(text), {quote(license_scan.STATEMENT)}, chr(10), 'g'), '[^\\p{{L}}\\p{{N}}]+', '  ', 'g')) || ' ' AS words FROM all_texts
 ), formed AS (
-  SELECT doc_id, license_id, regexp_replace({nested}, '^ +| +$', '', 'g') AS form FROM low
+  SELECT doc_id, license_id, trim(replace({even}, '  ', ' ')) AS form FROM spaced
 ), digests AS (
   SELECT doc_id, license_id, CASE WHEN form <> '' THEN sha256(form) END AS digest FROM formed
+), known AS (
+  SELECT digest, license_id FROM digests WHERE doc_id IS NULL UNION ALL FROM (VALUES {rows((d, n) for n, d in license_scan.KNOWN_DIGESTS.items())})
 )
-SELECT d.doc_id, d.digest, k.license_id FROM digests d LEFT JOIN (SELECT digest, min(license_id) AS license_id FROM digests WHERE license_id IS NOT NULL GROUP BY digest) k ON k.digest = d.digest WHERE d.license_id IS NULL
+SELECT d.doc_id, d.digest, k.license_id FROM digests d LEFT JOIN (SELECT digest, min(license_id) AS license_id FROM known GROUP BY digest) k ON k.digest = d.digest WHERE d.doc_id IS NOT NULL
 """
 
 
