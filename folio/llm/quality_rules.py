@@ -1,18 +1,20 @@
 """Quality rules with risk-controlled thresholds.
 
 Base rules reject texts of under 20 words and texts in which over 30 % of the words stand in repeated eight-word
-windows. Each further rule compares a statistic with a cutoff that is chosen on labelled holdouts: within a stratum
-(a class of text length) the documents of label 1 that a cutoff would reject are counted, and the exact
-(Clopper-Pearson) upper bound on their share must be at most RISK over the number of rules. Cutoffs are tested from
-the mildest on and testing ends at the first that fails, so a rule's cutoffs need no correction among themselves;
-rules and strata share the error DELTA (Bonferroni). The strictest cutoff that passed is used; where none passes, the
-rule rejects nothing there.
+windows. Further rules compare statistics with cutoffs chosen on labelled holdouts, within each stratum (a class of text
+length). Labelled documents of label 1 are dealt into two halves by a seeded hash. The first half gives each rule a
+ladder of cutoffs, at which a share of LADDER of its documents would be over. The second half tests the rungs, all
+rules together, from the mildest on: the exact (Clopper-Pearson) upper bound on the share of good documents that the
+rules reject must be at most RISK. Testing ends at the first rung that fails (fixed sequence), so rungs need no
+correction among themselves; strata share the error DELTA (Bonferroni). The strictest rung that passed is used; where
+none does, only the base rules reject.
 
-Labelled rows are counted into histograms over the candidate cutoffs before anything is gathered, so that the driver
-gets rules x strata x cutoffs counts whatever the input.
+Statistics are compared on a logarithmic grid, and labelled rows are counted by its steps before anything is gathered,
+so that the driver gets strata x rules x STEPS counts at most whatever the input, and the same ones in any order of rows.
 
 Defined results: a null text has no words; without labels only the base rules reject; an id with several labels counts
-as its lowest; repeated rows get equal verdicts; other columns are kept, and one that is named as the result is replaced.
+as its lowest; a statistic in the step of its cutoff is not over it; repeated rows get equal verdicts; an empty table
+gives no rows; a text of any length is counted whole; the results have columns of their own, whatever the table's are.
 """
 
 from __future__ import annotations
@@ -24,26 +26,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.common import WORD_BYTES, arrow_column, byte_set, checkpoint, chunks, gram_hashes, per_doc, span_hashes, word_bounds
+from folio.llm.common import WORD_BYTES, arrow_column, byte_set, checkpoint, chunks, gram_hashes, per_doc, span_hashes, unit_hash, word_bounds
 
 WINDOW, LEAST_WORDS, REPEAT_PERCENT = 8, 20, 30
 #: Share of good documents that may be falsely rejected, by all rules together, and the chance of breaking that.
 RISK, DELTA = 0.02, 0.05
+#: Shares of the first half's good documents that are over a rule's cutoff at each rung, mildest first.
+LADDER = (0.0, 0.0005, 0.001, 0.002, 0.003, 0.004, 0.006, 0.008, 0.012, 0.02)
 #: Upper ends of the strata's word counts; one more stratum is open.
 STRATA = (120, 400)
+#: Steps of the grid: A_DECADE to a tenfold value, from 10^LOWEST on; step 0 holds what is below.
+STEPS, A_DECADE, LOWEST = 480, 80, -4
 SYMBOLS = byte_set(*b"#*$%&|<>")
 CAPITALS, MARKS = byte_set((0x41, 0x5A)), byte_set(*b"!?")
 STATS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_upper long, n_marks long"
-#: Statistics of the rules and their candidate cutoffs, strictest first.
-CUTOFFS = {
-    "symbols_a_word": [0.01, 0.02, 0.03, 0.05, 0.08, 0.1, 0.15, 0.2, 0.3, 0.5, 0.75, 1.0, 1.5, 2.0],
-    "dup_lines_a_word": [0.002, 0.005, 0.01, 0.02, 0.03, 0.05, 0.08, 0.1, 0.15, 0.2, 0.3],
-    "repeat_share": [0.01, 0.02, 0.03, 0.05, 0.08, 0.1, 0.13, 0.16, 0.2, 0.25],
-    "capital_share": [0.05, 0.08, 0.1, 0.15, 0.2, 0.3, 0.5, 0.7],
-    "marks_a_word": [0.02, 0.05, 0.1, 0.2, 0.3, 0.5, 1.0, 2.0],
-    "word_length": [6.0, 6.5, 7.0, 7.5, 8.0, 9.0, 10.0, 12.0, 15.0, 20.0, 40.0],
-}
-
 
 def repeated_words(words: list[bytes]) -> int:
     """Words in windows of WINDOW words that are found twice or more."""
@@ -146,36 +142,65 @@ def passes(rejected: int, good: int, risk: float, delta: float) -> bool:
     return binomial_tail(rejected, good, risk) <= delta
 
 
-def choose(histogram: dict[tuple[str, int, int], int], risk: float = RISK, delta: float = DELTA) -> dict[tuple[str, int], float]:
-    """Cutoffs by rule and stratum from counts of good documents by rule, stratum and number of cutoffs exceeded."""
-    out = {}
-    families = len(CUTOFFS) * (len(STRATA) + 1)
-    for rule, cutoffs in CUTOFFS.items():
-        for part in range(len(STRATA) + 1):
-            by = [histogram.get((rule, part, i), 0) for i in range(len(cutoffs) + 1)]
-            for i in reversed(range(len(cutoffs))):
-                if not passes(sum(by[i + 1 :]), sum(by), risk / len(CUTOFFS), delta / families):
-                    break
-                out[rule, part] = cutoffs[i]
+def step(value: Column) -> Column:
+    """The grid's step of a statistic."""
+    return F.when(value < 10.0**LOWEST, 0).otherwise(F.least(F.floor((F.log10(value) - LOWEST) * A_DECADE) + 1, F.lit(STEPS))).cast("int")
+
+
+def ladder(counts: dict[int, int]) -> list[int]:
+    """For each rung the least step beyond which at most its share of the counted documents lies."""
+    total, out = sum(counts.values()), []
+    for share in LADDER:
+        over, at = 0, STEPS
+        while at and over + counts.get(at, 0) <= share * total:
+            over += counts.get(at, 0)
+            at -= 1
+        out.append(at)
     return out
 
 
-def thresholds(measured: DataFrame, labels: DataFrame) -> dict[tuple[str, int], float]:
-    """Cutoffs from rows with columns doc_id and counts, and labels; documents that the base rules reject don't count."""
+def climb(rejected: list[int], good: int) -> int:
+    """Rungs that pass, from the mildest on, given how many of the second half's good documents each rejects."""
+    for rung, n in enumerate(rejected):
+        if not passes(n, good, RISK, DELTA / (len(STRATA) + 1)):
+            return rung
+    return len(rejected)
+
+
+def thresholds(measured: DataFrame, labels: DataFrame, seed: int = 9) -> dict[int, dict[str, int]]:
+    """Cutoffs by stratum and rule from rows (doc_id, counts) and labels; what the base rules reject doesn't count."""
     good = labels.select("doc_id", "quality").where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min("quality").alias("quality")).where("quality = 1").select("doc_id")
     counts = F.col("counts")
-    rows = measured.where(F.col("doc_id").isNotNull() & ~base_failed(counts)).join(good, "doc_id")
-    stats_of = statistics(counts)
-    exceeded = [F.struct(F.lit(rule).alias("rule"), sum((F.when(stats_of[rule] > c, 1).otherwise(0) for c in cutoffs), F.lit(0)).alias("n")) for rule, cutoffs in CUTOFFS.items()]
-    found = rows.select(stratum(counts).alias("part"), F.explode(F.array(*exceeded)).alias("x")).groupBy("part", "x.rule", "x.n").count().collect()
-    return choose({(r.rule, r.part, r.n): r["count"] for r in found})
+    first = unit_hash(seed, F.col("doc_id").cast("string")) < 0.5
+    steps = {rule: step(value).alias(rule) for rule, value in statistics(counts).items()}
+    rows = checkpoint(measured.where(F.col("doc_id").isNotNull() & ~base_failed(counts)).join(good, "doc_id").select(first.alias("first"), stratum(counts).alias("part"), *steps.values()))
+    each = F.explode(F.array(*(F.struct(F.lit(rule).alias("rule"), F.col(rule).alias("step")) for rule in steps)))
+    found: dict[tuple[int, str], dict[int, int]] = {}
+    for r in rows.where("first").select("part", each.alias("x")).groupBy("part", "x.rule", "x.step").count().collect():
+        found.setdefault((r.part, r.rule), {})[r.step] = r["count"]
+    rungs = {key: ladder(counted) for key, counted in found.items()}
+    out = {}
+    for part in sorted({part for part, _ in rungs}):
+        over = [F.count_if(_over({rule: rungs[part, rule][i] for rule in steps})).alias(f"r{i}") for i in range(len(LADDER))]
+        tested = rows.where(~F.col("first") & (F.col("part") == part)).agg(F.count("*").alias("good"), *over).first()
+        if passed := climb([tested[f"r{i}"] for i in range(len(LADDER))], tested.good):
+            out[part] = {rule: rungs[part, rule][passed - 1] for rule in steps}
+    return out
+
+
+def _over(cutoffs: dict[str, int]) -> Column:
+    out = F.lit(False)
+    for rule, at in cutoffs.items():
+        out = out | (F.col(rule) > at)
+    return out
 
 
-def rejected(counts: Column, cutoffs: dict[tuple[str, int], float]) -> Column:
+def rejected(counts: Column, cutoffs: dict[int, dict[str, int]]) -> Column:
     """Whether any rule's statistic is over its stratum's cutoff."""
     out, stats_of, part = F.lit(False), statistics(counts), stratum(counts)
-    for (rule, i), cutoff in cutoffs.items():
-        out = out | ((part == i) & (stats_of[rule] > cutoff))
+    for i, by_rule in cutoffs.items():
+        for rule, at in by_rule.items():
+            out = out | ((part == i) & (step(stats_of[rule]) > at))
     return out
 
 
