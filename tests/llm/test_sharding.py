@@ -36,6 +36,30 @@ def test_order_is_shuffled_and_seeded(spark):
     assert sum(abs(a - i) for i, a in enumerate(orders[0])) / 500 > 100
 
 
+def brute(rows, buckets, shards=16):
+    """Shard and slot of rows (bucket, key, id), bucket by bucket in order of their keys."""
+    order = [i for b in range(buckets) for *_, i in sorted(r for r in rows if r[0] == b)]
+    bounds = [-(-s * len(order) // shards) for s in range(shards + 1)]
+    return {i: (s, at - bounds[s]) for at, i in enumerate(order) for s in range(shards) if bounds[s] <= at < bounds[s + 1]}
+
+
+def test_places_against_brute_force_for_any_split_of_the_input(spark):
+    docs = spark.range(2000).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), F.col("id") % 50).alias("text"))
+    size = sum(len(r.text) + 1 for r in docs.collect())
+    for buckets in (1, 7, 40):
+        of = lambda seed: F.xxhash64(F.lit(seed), "doc_id", "text")
+        rows = [(r.b, r.k, r.doc_id) for r in docs.select("doc_id", F.pmod(of(3), F.lit(buckets)).alias("b"), of(4).alias("k")).collect()]
+        want = brute(rows, buckets)
+        for parts in (1, 9):
+            got = sharding.shuffle_shards(docs.repartition(parts), seed=3, bucket_bytes=-(-size // buckets)).collect()
+            assert {r.row.doc_id: (r.shard, r.slot) for r in got} == want
+
+
+def test_texts_cross_the_shuffle_once(spark, odd):
+    plan = sharding.shuffle_shards(odd)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionById") + plan.count("RepartitionByExpression") == 1 and "collect_list" not in plan
+
+
 def test_written_shards(odd, tmp_path, spark):
     sharding.write_shards(sharding.shuffle_shards(odd.select("doc_id", "text")), str(tmp_path / "out"))
     back = spark.read.parquet(str(tmp_path / "out"))
