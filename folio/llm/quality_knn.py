@@ -11,8 +11,9 @@ The model is fitted on a bounded sample: about SAMPLE / 2 rows of either label,
 labelled rows that aren't held out, texts of over SAMPLE_BYTES left to scoring. Scoring covers every whole text.
 
 Defined results: a null text is an empty one; without labelled rows every score is 0.5; an id with several labels counts
-as its lowest; labels other than 0 and 1 are ignored; repeated rows get equal scores; other columns are kept, and one
-that is named as the result is replaced.
+as its lowest; labels other than 0 and 1 are ignored; repeated rows get equal scores; of neighbours at equal cosines
+those count whose rows were drawn first; a text of any length is one vector; an empty table gives no rows; other columns
+are kept, and one that is named as the result is replaced.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ from folio.llm.common import LOWER, WORD_BYTES, arrow_column, chunks, gram_hashe
 SAMPLE, SAMPLE_BYTES, RANK, NEIGHBOURS, SHARPNESS = 3000, 32768, 48, 15, 8.0
 #: Documents scored by one matrix product.
 BLOCK = 512
+#: Decimal places to which cosines count.
+PLACES = 6
 WORD_TERMS, SHAPES = 1024, 16
 LAGS, WINDOW = 8, 8
 SIGNS = LAGS + 3
@@ -132,9 +135,11 @@ def fit(rows: list[tuple[str, int]]) -> Model | None:
 
 def vote(rows: np.ndarray, model: Model) -> np.ndarray:
     """Scores of feature rows: exact cosines with every labelled vector, then a weighted vote of the nearest."""
-    close = _unit(rows @ model.basis) @ model.vectors.T
+    close = np.round((_unit(rows @ model.basis) @ model.vectors.T).astype(np.float64), PLACES)
     k = min(NEIGHBOURS, close.shape[1])
-    near = np.argpartition(-close, k - 1, axis=1)[:, :k]
+    # of equal cosines those of rows that were drawn first
+    order = close - np.arange(close.shape[1]) * (0.1**PLACES / SAMPLE / 2)
+    near = np.argpartition(-order, k - 1, axis=1)[:, :k]
     weight = np.exp(SHARPNESS * (np.take_along_axis(close, near, axis=1) - 1))
     return (weight * model.labels[near]).sum(axis=1) / weight.sum(axis=1)
 

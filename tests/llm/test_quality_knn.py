@@ -20,6 +20,17 @@ def test_votes_against_plain_cosines():
     assert (got[:10] > 0.5).all() and (got[10:] < 0.5).all()
 
 
+def test_of_equal_cosines_the_first_drawn_count():
+    """Copies of a labelled text tie; labels of the NEIGHBOURS first ones vote."""
+    n = k.NEIGHBOURS
+    model = k.fit([(GOOD[0], 1)] * n + [(GOOD[0], 0)] * (2 * n) + [(t, 0) for t in BAD])
+    rows = np.concatenate(list(k.all_features(pa.array([GOOD[0]] * 3))))
+    assert np.allclose(k.vote(rows, model), 1.0)
+    model.labels = model.labels[::-1].copy()
+    model.vectors = model.vectors[::-1].copy()
+    assert np.allclose(k.vote(rows, model), 0.0)
+
+
 def test_features_do_not_depend_on_neighbours():
     alone = np.concatenate([np.concatenate(list(k.all_features(pa.array([t])))) for t in GOOD[:5] + BAD[:5]])
     together = np.concatenate(list(k.all_features(pa.array(GOOD[:5] + BAD[:5]))))
