@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.common import checkpoint
+from folio.llm.common import checkpoint, release
 
 
 #: Parts into which a node's links are dealt when its least neighbour is joined to them.
@@ -42,3 +42,4 @@ def components(links: DataFrame) -> DataFrame:
             return links.select(F.col("u").alias("node"), F.col("v").alias("root"))
         before = now
         links = checkpoint(_inward(_to_least(links)))
+        release(links.sparkSession)
