@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folio.functions.lineage import checkpoint
+
 
 def blob_sha1(content: Column) -> Column:
     """The digest that git gives a file's content."""
@@ -23,20 +25,32 @@ def verify(manifest: DataFrame, files: DataFrame, deep: bool = True) -> DataFram
 
 
 def is_ready(checked: DataFrame, wanted_revision: str, revision: str) -> DataFrame:
+    """Whether all files are sound and the revision is the wanted one."""
     return checked.agg((F.coalesce(F.bool_and(F.col("status") == "ok"), F.lit(True)) & F.lit(wanted_revision == revision)).alias("ready"))
 
 
+def are_ready(checked: DataFrame, keys: list[str], wanted: Column) -> DataFrame:
+    """The same for each of several installations; `wanted` tells of a row whether its revision is the wanted one."""
+    return checked.groupBy(*keys).agg(F.bool_and((F.col("status") == "ok") & wanted).alias("ready"))
+
+
 def is_safe(path: Column) -> Column:
     """Whether a path stays below its folder: not absolute, no drive or share, no step up."""
     return (path != "") & ~F.rlike(path, F.lit(r"^[/\\]|^[A-Za-z]:|(?:^|[/\\])\.\.(?:[/\\]|$)|\x00"))
 
 
 def closure(edges: DataFrame, roots: DataFrame) -> DataFrame:
-    """All names that can be reached from the roots over edges (name, needs), as one recursive query."""
-    spark = edges.sparkSession
-    edges.createOrReplaceTempView("__edges")
-    roots.createOrReplaceTempView("__roots")
-    return spark.sql("WITH RECURSIVE c(name) MAX RECURSION LEVEL 1000 AS (SELECT name FROM __roots UNION ALL SELECT DISTINCT e.needs FROM c JOIN __edges e ON e.name = c.name) SELECT DISTINCT name FROM c")
+    """All names that can be reached from the roots over edges (name, needs).
+
+    Each round follows the edges of the names that the last one added; it ends when none is new, on cycles too. Rounds
+    are as many as the longest of the shortest ways.
+    """
+    edges = checkpoint(edges.select("name", F.col("needs").alias("__needs")).distinct())
+    reached = new = checkpoint(roots.select("name").distinct())
+    while not new.isEmpty():
+        new = checkpoint(new.join(edges, "name").select(F.col("__needs").alias("name")).where("name IS NOT NULL").distinct().join(reached, "name", "left_anti"))
+        reached = checkpoint(reached.unionByName(new))
+    return reached
 
 
 def unlisted(bundled: DataFrame, listed: DataFrame) -> DataFrame:

@@ -82,6 +82,29 @@ def outcome(attempts: Column) -> Column:
     return F.aggregate(attempts, start, step)
 
 
+def page_outcome(attempts: Column, mode: Column) -> Column:
+    """What the rules for single pages make of a page's attempts in a mode: state, mode and whether it warns of memory.
+
+    A worker that died is started again once in a mode; out of memory is tried once more, only from `quality`, in the
+    fast mode, where the worker may be started again once more.
+    """
+    start = F.struct(F.lit("running").alias("state"), mode.alias("mode"), F.lit(False).alias("again"), F.lit(False).alias("reduced"))
+
+    def step(s: Column, x: Column) -> Column:
+        def to(state: str, now: Column, again: Column, reduced: Column) -> Column:
+            return F.struct(F.lit(state).alias("state"), now.alias("mode"), again.alias("again"), reduced.alias("reduced"))
+
+        after = (
+            F.when(x == "ok", to("done", s["mode"], s["again"], s["reduced"]))
+            .when((x == "oom") & (s["mode"] == "quality"), to("running", F.lit("fast"), F.lit(False), F.lit(True)))
+            .when((x == "died") & ~s["again"], to("running", s["mode"], F.lit(True), s["reduced"]))
+            .otherwise(to("failed", s["mode"], s["again"], s["reduced"]))
+        )
+        return F.when(s["state"] == "running", after).otherwise(s)
+
+    return F.aggregate(attempts, start, step, lambda s: F.struct(s["state"].alias("state"), s["mode"].alias("mode"), s["reduced"].alias("reduced")))
+
+
 def collapse_progress(events: DataFrame, key: str, stage: str, state: str, order: list[str]) -> DataFrame:
     """Of consecutive progress events of a stage only the last; all other events."""
     line = W.partitionBy(key).orderBy(*order)

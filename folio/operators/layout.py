@@ -6,10 +6,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from folio.functions.text import ends_sentence, matches, starts_lower
-from folio.operators.lexicon import known_words
-from folio.schema import BLOCK_KEYS, CAPTIONS, FIGURE_RUN, FLOW, FURNITURE, HYPHEN_LABELS, PAGE_KEYS
-
+from folio.functions.lineage import checkpoint
+from folio.functions.python import placed_words_of
+from folio.functions.text import ends_sentence, starts_lower
+from folio.operators.edits import apply_edits
+from folio.operators.lexicon import UNKNOWN, known_words, looked_up
+from folio.schema import BLOCK_KEYS, CAPTIONS, EDIT, FIGURE_RUN, FLAG, FLOW, FURNITURE, HYPHEN_LABELS, PAGE_KEYS
+
+#: What flags say of joined words.
+JOINED = "word split by a line-break hyphen joined"
+GUESSED = f"{JOINED} (not in the dictionary)"
 #: A word, a hyphen, perhaps a line end, and a word.
 BROKEN = r"(?<![\p{L}\p{N}_-])\p{L}+-(?:[ \t]*\n[ \t]*)?\p{L}+(?![\p{L}\p{N}_-])"
 
@@ -65,26 +71,31 @@ def join_hyphens(label: Column, text: Column) -> Column:
 def dehyphenate(blocks: DataFrame, dictionary: DataFrame) -> DataFrame:
     """With a dictionary (blocks have a lang): join broken words that are known joined and unknown with a hyphen.
 
-    At a line end, where neither form is known, a word that goes on in lower case is joined too and counted as guessed.
-    Adds `joined` and `guessed`, the numbers of joins.
+    At a line end, where neither form is known, a word that goes on in lower case is joined too, as a guess. Each join
+    leaves a flag, a guess another one that is suspicious; old flags move along. Adds `joined` and `guessed`, the numbers
+    of joins. Broken words are judged once each, whatever number of blocks holds them.
     """
-    given = blocks.where(F.col("label").isin(*HYPHEN_LABELS) & F.contains("text", F.lit("-")))
-    numbered = F.filter(F.transform(matches(F.col("text"), BROKEN), lambda p, i: F.struct(i.alias("at"), p.alias("piece"))), lambda x: x["at"] % 2 == 1)
-    broken = given.select(*BLOCK_KEYS, "lang", F.explode(numbered).alias("x")).select(*BLOCK_KEYS, "lang", "x.at", "x.piece")
+    given = blocks if "flags" in blocks.columns else blocks.withColumn("flags", F.array().cast(f"array<{FLAG}>"))
+    cut = given.where(F.col("label").isin(*HYPHEN_LABELS) & F.contains("text", F.lit("-")))
+    pieces = checkpoint(cut.select(*BLOCK_KEYS, "lang", F.explode(placed_words_of(F.col("text"), BROKEN, mask=False)).alias("w")).select(*BLOCK_KEYS, "lang", "w.start", "w.end", F.col("w.word").alias("piece")))
     parts = F.split("piece", r"-[ \t]*\n?[ \t]*", 2)
-    asked = broken.select(*BLOCK_KEYS, "lang", "at", "piece", parts[0].alias("a"), parts[1].alias("b")).withColumn("whole", F.concat("a", "b")).withColumn("dashed", F.concat_ws("-", "a", "b"))
-    verdicts = known_words(asked.select("lang", F.explode(F.array("whole", "dashed")).alias("word")), dictionary)
-    whole = verdicts.select("lang", F.col("word").alias("whole"), F.col("known").alias("whole_known"))
-    dashed = verdicts.select("lang", F.col("word").alias("dashed"), F.col("known").alias("dashed_known"))
-    judged = asked.join(whole, ["lang", "whole"]).join(dashed, ["lang", "dashed"])
+    asked = pieces.select("lang", "piece").distinct().select("lang", "piece", parts[0].alias("a"), parts[1].alias("b"))
+    both = checkpoint(asked.select("lang", "piece", "b", F.posexplode(F.array(F.concat("a", "b"), F.concat_ws("-", "a", "b"))).alias("dashed", "word")))
+    judged = both.join(known_words(both, dictionary).select("lang", "word", "known"), ["lang", "word"]).groupBy("lang", "piece", "b").agg(
+        F.min_by("word", "dashed").alias("whole"), F.min_by("known", "dashed").alias("whole_known"), F.max_by("known", "dashed").alias("dashed_known")
+    )
     sure = F.col("whole_known") & ~F.col("dashed_known")
     guess = F.contains("piece", F.lit("\n")) & ~F.col("whole_known") & ~F.col("dashed_known") & F.rlike("b", F.lit(r"^\p{Ll}"))
-    changed = judged.where(sure | guess).select(*BLOCK_KEYS, F.struct("at", F.col("whole").alias("new")).alias("edit"), guess.alias("guess"))
-    edits = changed.groupBy(*BLOCK_KEYS).agg(F.map_from_entries(F.collect_list("edit")).alias("__edits"), F.count("*").alias("__joined"), F.count_if("guess").alias("__guessed"))
-    merged = blocks.join(edits, BLOCK_KEYS, "left")
-    # the text is cut again where there is something to put in, rather than sent around in pieces
-    rebuilt = F.array_join(F.transform(matches(F.col("text"), BROKEN), lambda p, i: F.coalesce(F.try_element_at(F.col("__edits"), i), p)), "")
-    return merged.withColumn("text", F.when(F.col("__edits").isNotNull(), rebuilt).otherwise(F.col("text"))).withColumn("joined", F.coalesce("__joined", F.lit(0))).withColumn("guessed", F.coalesce("__guessed", F.lit(0))).drop("__edits", "__joined", "__guessed")
+    changed = checkpoint(judged.where(sure | guess).select("lang", "piece", F.col("whole").alias("new"), F.when(guess, GUESSED).otherwise(JOINED).alias("note")))
+    edit = F.struct("start", "end", "new", F.lit("repaired").alias("kind"), "note")
+    edits = looked_up(pieces, changed, ["lang", "piece"]).groupBy(*BLOCK_KEYS).agg(F.collect_list(edit).alias("__edits"), F.count_if(F.col("note") == GUESSED).alias("__guessed"))
+    merged = given.join(edits, BLOCK_KEYS, "left").withColumn("__edits", F.coalesce("__edits", F.array().cast(f"array<{EDIT}>")))
+    done = apply_edits(merged, "__edits")
+    guesses = F.filter("flags", lambda f: (f["kind"] == "repaired") & (f["note"] == GUESSED))
+    told = F.transform(guesses, lambda f: F.struct(F.lit("suspicious").alias("kind"), f["start"].alias("start"), f["end"].alias("end"), F.substring(F.col("text"), f["start"] + 1, f["end"] - f["start"]).alias("original"), F.lit(UNKNOWN).alias("note")))
+    both_flags = F.array_sort(F.concat("flags", told), lambda x, y: F.when(x["start"] != y["start"], x["start"] - y["start"]).otherwise(x["end"] - y["end"]))
+    flagged = done.withColumn("flags", F.when(F.col("__guessed") > 0, both_flags).otherwise(F.col("flags")))
+    return flagged.withColumn("joined", F.size("__edits").cast("long")).withColumn("guessed", F.coalesce("__guessed", F.lit(0))).drop("__edits", "__guessed")
 
 
 def arrange(blocks: DataFrame, dictionary: DataFrame | None = None) -> DataFrame:
@@ -122,3 +133,32 @@ def own_blocks(blocks: DataFrame, strips: DataFrame, keys: list[str]) -> DataFra
     centre = F.when(F.col("y1").isNull(), (F.col("top") + F.col("bottom")) / 2).otherwise((y1 + y2) / 2 / 999 * F.col("height"))
     mine = (F.col("own_top") <= centre) & (centre < F.col("own_bottom"))
     return joined.where(mine).withColumn("y1", y1).withColumn("y2", y2)
+
+
+#: Warnings of pages.
+EMPTY, EMPTY_RETRIED, ROTATED = "empty", "empty_retried", "rotated"
+
+
+def strip_warnings(readings: DataFrame, keys: list[str]) -> DataFrame:
+    """Warnings of tall pages from those of their strips (keys, n, warnings, has_text, stopped), each once, in order.
+
+    Where any strip has text, none of them is told to be empty; where none has, the page is, unless reading was stopped.
+    """
+    ordered = F.array_sort(F.collect_list(F.struct("n", "warnings")))
+    pages = readings.groupBy(*keys).agg(F.array_distinct(F.flatten(ordered["warnings"])).alias("__all"), F.bool_or("has_text").alias("__text"), F.bool_or("stopped").alias("__stopped"))
+    told = F.when(F.col("__text"), F.filter("__all", lambda w: ~w.isin(EMPTY, EMPTY_RETRIED))).when(~F.col("__stopped") & ~F.array_contains("__all", EMPTY), F.array_append("__all", EMPTY)).otherwise(F.col("__all"))
+    return pages.select(*keys, told.alias("warnings"))
+
+
+def read_again(first: DataFrame, turns: DataFrame, second: DataFrame, keys: list[str]) -> DataFrame:
+    """Which reading of each page counts: the first (keys, doubtful, rate, rotation, warnings), or one after a turn.
+
+    `turns` (keys, degrees) come from `guards.best_rotation`; a second reading (keys, rotation, rate, cancelled, warnings)
+    at the first one's rotation plus the turn takes its place if more of its words are known. Adds `reread`.
+    """
+    turned = first.join(turns, keys, "left").withColumn("__total", (F.col("rotation") + F.coalesce("degrees", F.lit(0))) % 360)
+    other = second.select(*keys, F.col("rotation").alias("__total"), F.col("rate").alias("__rate"), F.col("cancelled").alias("__cancelled"), F.col("warnings").alias("__warnings"))
+    both = turned.join(other, [*keys, "__total"], "left")
+    better = F.coalesce(F.col("doubtful") & (F.col("degrees") != 0) & ~F.col("__cancelled") & (F.col("__rate") > F.col("rate")), F.lit(False))
+    pick = lambda a, b: F.when(better, a).otherwise(F.col(b)).alias(b)
+    return both.select(*keys, better.alias("reread"), pick(F.col("__total"), "rotation"), pick(F.col("__rate"), "rate"), pick(F.array_append("__warnings", ROTATED), "warnings"))

@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folio.functions.lineage import checkpoint
 from folio.functions.python import placed_words_of
 from folio.functions.text import WORD, word_list
 from folio.schema import BLOCK_KEYS, SKIPPED
 
 LEAST_LETTERS, RATE_WORDS = 2, 300
+#: Fixed value: what flags say of unknown words.
+UNKNOWN = "not in the dictionary"
 
 
 def tokens(blocks: DataFrame, keys: list[str], text: str = "text", pattern: str = WORD) -> DataFrame:
@@ -31,6 +34,16 @@ def forms(word: Column) -> Column:
     return F.array_distinct(F.array_compact(F.array(word, F.when(shouted | (word == title) & capital, low), F.when(shouted, title))))
 
 
+#: Words with their verdicts that are broadcast at most: about 64 MB.
+BROADCAST_WORDS = 1_000_000
+
+
+def looked_up(rows: DataFrame, found: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Rows joined with a checkpointed table of different words: by broadcast while that is small, else by a shuffle."""
+    few = found.limit(BROADCAST_WORDS + 1).count() <= BROADCAST_WORDS
+    return rows.join(F.broadcast(found) if few else found, on, how)
+
+
 def known_words(words: DataFrame, dictionary: DataFrame) -> DataFrame:
     """lang, word, available, known and strict of distinct words (lang, word).
 
@@ -38,31 +51,33 @@ def known_words(words: DataFrame, dictionary: DataFrame) -> DataFrame:
     counts as known but not strictly so.
     """
     asked = words.select("lang", "word").distinct()
-    whole = F.array(F.struct(F.lit(0).alias("part"), plain(F.col("word")).alias("w")))
     split = F.split(plain(F.col("word")), "-")
+    whole = F.array(F.struct(F.lit(0).alias("part"), plain(F.col("word")).alias("w")))
     parts = F.when(F.size(split) > 1, F.transform(split, lambda w, i: F.struct((i + 1).alias("part"), w.alias("w"))))
-    looked = asked.select("lang", "word", F.explode(F.concat(whole, F.coalesce(parts, F.array().cast("array<struct<part:int,w:string>>")))).alias("x")).select("lang", "word", "x.part", F.explode(forms(F.col("x.w"))).alias("form"))
-    listed = dictionary.select("lang", "form", F.lit(True).alias("hit")).distinct()
-    by_part = looked.join(listed, ["lang", "form"], "left").groupBy("lang", "word", "part").agg(F.coalesce(F.bool_or("hit"), F.lit(False)).alias("hit"))
-    found = by_part.groupBy("lang", "word").agg((F.coalesce(F.bool_or(F.when(F.col("part") == 0, F.col("hit"))), F.lit(False)) | F.coalesce(F.bool_and(F.when(F.col("part") > 0, F.col("hit"))), F.lit(False))).alias("found"))
+    looked = asked.select("lang", "word", F.size(split).alias("parts"), F.explode(F.concat(whole, F.coalesce(parts, F.array().cast("array<struct<part:int,w:string>>")))).alias("x")).select("lang", "word", "parts", "x.part", F.explode(forms(F.col("x.w"))).alias("form"))
+    listed = dictionary.select("lang", "form", F.lit(True).alias("hit"))
+    hits = looked.join(listed, ["lang", "form"], "left").groupBy("lang", "word", "parts").agg(F.collect_set(F.when(F.col("hit"), F.col("part"))).alias("hits"))
+    found = F.array_contains("hits", 0) | ((F.col("parts") > 1) & (F.size(F.array_remove("hits", 0)) == F.col("parts")))
     has = dictionary.select("lang").distinct().withColumn("available", F.lit(True))
-    joined = found.join(F.broadcast(has), "lang", "left")
+    joined = hits.join(F.broadcast(has), "lang", "left")
     available = F.coalesce("available", F.lit(False))
-    return joined.select("lang", "word", available.alias("available"), (F.col("found") | ~available).alias("known"), (F.col("found") & available).alias("strict"))
+    return joined.select("lang", "word", available.alias("available"), (found | ~available).alias("known"), (found & available).alias("strict"))
 
 
 def hit_rates(texts: DataFrame, keys: list[str], dictionary: DataFrame, text: str = "text") -> DataFrame:
     """Share of a text's first RATE_WORDS words (of two letters or more) that its lang's dictionary knows.
 
-    Without words 0; null without a dictionary.
+    Without words 0; null without a dictionary. Words are looked up once each; a text's own stay in its row.
     """
     first = F.slice(F.filter(word_list(F.col(text)), lambda w: F.length(w) >= LEAST_LETTERS), 1, RATE_WORDS)
-    words = texts.select(*keys, "lang", F.explode_outer(first).alias("word")).groupBy(*keys, "lang", "word").agg(F.count("word").alias("n"))
-    verdicts = known_words(words.where("word IS NOT NULL"), dictionary)
-    has = dictionary.select("lang").distinct().withColumn("__has", F.lit(True))
-    joined = words.join(verdicts, ["lang", "word"], "left").join(F.broadcast(has), "lang", "left")
-    rate = F.coalesce(F.sum(F.when(F.col("known"), F.col("n"))) / F.nullif(F.sum("n"), F.lit(0)), F.lit(0.0))
-    return joined.groupBy(*keys, "lang").agg(F.when(F.bool_or("__has"), rate).alias("rate"))
+    given = checkpoint(texts.select(*keys, "lang", first.alias("words")))
+    asked = given.select("lang", F.explode(F.array_distinct("words")).alias("word"))
+    unknown = checkpoint(known_words(asked, dictionary).where("NOT known").select("lang", "word", F.lit(1).alias("miss")))
+    has = F.broadcast(dictionary.select("lang").distinct().withColumn("__has", F.lit(True)))
+    each = looked_up(given.select(*keys, "lang", F.explode_outer("words").alias("word")), unknown, ["lang", "word"], "left")
+    rates = each.groupBy(*keys, "lang").agg(F.count("word").alias("n"), F.count("miss").alias("misses")).join(has, "lang", "left")
+    rate = F.coalesce((F.col("n") - F.col("misses")) / F.nullif(F.col("n"), F.lit(0)), F.lit(0.0))
+    return rates.select(*keys, "lang", F.when(F.col("__has"), rate).alias("rate"))
 
 
 def vote(cs: Column, en: Column) -> Column:
@@ -72,7 +87,7 @@ def vote(cs: Column, en: Column) -> Column:
 
 def best_language(rates: DataFrame, keys: list[str]) -> DataFrame:
     """The language of the highest rate for each key; the first by name on a tie."""
-    return rates.where("rate IS NOT NULL").groupBy(*keys).agg(F.max_by("lang", F.struct(F.col("rate"), -F.ascii("lang"))).alias("language"), F.max("rate").alias("rate"))
+    return rates.where("rate IS NOT NULL").groupBy(*keys).agg(F.min_by("lang", F.struct(-F.col("rate"), F.col("lang"))).alias("language"), F.max("rate").alias("rate"))
 
 
 def chosen_language(option: Column, detected: Column, available: Column, fallback: str = "cs") -> Column:
@@ -87,16 +102,22 @@ def protected(word: Column, starts: Column, personal: list[str] | None = None) -
 
 
 def suspicious(blocks: DataFrame, dictionary: DataFrame, taken: DataFrame | None = None, personal: list[str] | None = None) -> DataFrame:
-    """Flags of unknown, unprotected words (blocks have a lang) that overlap none of the `taken` flags."""
+    """Flags of unknown, unprotected words (blocks have a lang) that overlap none of the `taken` flags.
+
+    Texts are cut into words once; words are looked up once each, and only the unknown ones leave their block's row.
+    """
     shown = blocks.where(~F.col("label").isin(*SKIPPED))
-    words = tokens(shown, [*BLOCK_KEYS, "lang"]).where(F.length("word") >= LEAST_LETTERS)
+    placed = shown.select(*BLOCK_KEYS, "lang", placed_words_of(F.col("text"), WORD).alias("w"))
+    wanted = F.filter("w", lambda w: (F.length(w["word"]) >= LEAST_LETTERS) & ~protected(w["word"], w["starts"], personal))
+    open_ = checkpoint(placed.select(*BLOCK_KEYS, "lang", wanted.alias("w")).where(F.size("w") > 0))
+    asked = open_.select("lang", F.explode(F.array_distinct("w.word")).alias("word"))
+    unknown = checkpoint(known_words(asked, dictionary).where("NOT known").select("lang", "word"))
+    each = open_.select(*BLOCK_KEYS, "lang", F.explode("w").alias("w")).select(*BLOCK_KEYS, "lang", "w.start", "w.end", "w.word")
+    found = looked_up(each, unknown, ["lang", "word"])
     if taken is not None:
         t = taken.select(*(F.col(k).alias(f"t_{k}") for k in BLOCK_KEYS), F.col("start").alias("t_start"), F.col("end").alias("t_end"))
-        same = [F.col(k) == F.col(f"t_{k}") for k in BLOCK_KEYS]
         overlaps = (F.col("t_start") < F.col("end")) & (F.col("start") < F.col("t_end"))
-        for s in same:
-            overlaps = overlaps & s
-        words = words.join(t, overlaps, "left_anti")
-    open_ = words.where(~protected(F.col("word"), F.col("starts"), personal))
-    verdicts = known_words(open_, dictionary).where("NOT known").select("lang", "word")
-    return open_.join(verdicts, ["lang", "word"]).select(*BLOCK_KEYS, "start", "end", F.lit("suspicious").alias("kind"), F.col("word").alias("original"), F.lit("not in the dictionary").alias("note"))
+        for k in BLOCK_KEYS:
+            overlaps = overlaps & (F.col(k) == F.col(f"t_{k}"))
+        found = found.join(t, overlaps, "left_anti")
+    return found.select(*BLOCK_KEYS, "start", "end", F.lit("suspicious").alias("kind"), F.col("word").alias("original"), F.lit(UNKNOWN).alias("note"))

@@ -14,7 +14,6 @@ _N = r"\s*-?\d+\s*"
 BOX = rf"\[{_N},{_N},{_N},{_N}\]"
 #: A block's tag: a label with one box, or the older form with a label and a list of boxes.
 TAG = rf"<\|det\|>\s*([\p{{L}}\p{{N}}_-]+)\s*{BOX}\s*<\|/det\|>|<\|ref\|>([^<]*)<\|/ref\|>\s*<\|det\|>\s*\[.*?\]\s*<\|/det\|>"
-_CUT = "\ue000"
 
 
 def clamp(x: Column) -> Column:
@@ -41,7 +40,7 @@ def parse_raw(pages: DataFrame, raw: str = "raw") -> DataFrame:
     Text before the first tag is a `text` block without a box, if any is left after cleaning.
     """
     keep = [c for c in pages.columns if c != raw]
-    parts = F.split(F.regexp_replace(F.col(raw), f"(?s)(?={TAG})", _CUT), _CUT, -1)
+    parts = F.split(F.col(raw), f"(?s)(?={TAG})", -1)
     cut = pages.select(*keep, F.posexplode(parts).alias("part", "piece"))
     tag = F.regexp_substr(F.col("piece"), F.lit(f"(?s)^(?:{TAG})"))
     first = f"(?s)^(?:{TAG})"

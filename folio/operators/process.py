@@ -47,9 +47,9 @@ def process(pages: DataFrame, dictionary: DataFrame, personal: list[str] | None
     """Finished blocks, with flags as an array, and the flags as a flat table, of routed pages."""
     blocks = checkpoint(read_blocks(pages))
     languages = page_languages(blocks, dictionary, option)
-    arranged = checkpoint(layout.arrange(checkpoint(blocks.join(languages, PAGE_KEYS)), dictionary).drop("joined", "guessed"))
-    flagged = arranged.withColumn("flags", F.array().cast(f"array<{FLAG}>"))
-    repaired = checkpoint(repair.repair(flagged, dictionary, personal) if repairs else flagged)
+    flagged = blocks.join(languages, PAGE_KEYS).withColumn("flags", F.array().cast(f"array<{FLAG}>"))
+    arranged = checkpoint(layout.arrange(checkpoint(flagged), dictionary).drop("joined", "guessed"))
+    repaired = checkpoint(repair.repair(arranged, dictionary, personal) if repairs else arranged)
     own = repaired.select(*BLOCK_KEYS, F.explode("flags").alias("f")).select(*BLOCK_KEYS, "f.*")
     taken = own.where(F.col("kind").isin("foreign_letter", "suspicious"))
     found = lexicon.suspicious(repaired, dictionary, taken, personal)

@@ -28,8 +28,15 @@ MOST_CANDIDATES, MOST_SOFT = 64, 4
 #: Words whose apostrophe is a soft letter even though they are words without it.
 SOFT_ANYWAY = ("bud", "Bud")
 FOREIGN = rf"[^\x00-\x7F{CZECH}\P{{L}}]"
-#: A word that holds d' or t'.
-APOSTROPHE_WORD = r"(?<![\p{L}\p{N}_'’])\p{L}*[dDtT]['’]\p{L}*(?![\p{L}\p{N}_'’])"
+#: A word that holds a softening letter and an apostrophe, and touches nothing that belongs to a word.
+_INNER = r"[\p{L}\p{N}_'’]"
+APOSTROPHE_WORD = rf"(?<!{_INNER})\p{{L}}*[{''.join(SOFT)}]['’]\p{{L}}*(?!{_INNER})"
+#: What flags say of each rule.
+NOTES = {
+    "quote": "R4: ,, is a low quotation mark", "dash": "R3: hyphen between spaces is a dash", "ligature": "R5: ligature",
+    "marked": "R1: letter + apostrophe is ď/ť", "foreign": "letter does not exist in Czech",
+    "look_alike": "R2: foreign letter replaced by its Czech look-alike", "plain": "d/t without its háček",
+}
 CHARACTER_RULES = f"[{''.join(LIGATURES)}]|,,|(?<=[\\p{{L}}\\p{{N}}_]) - (?=[\\p{{L}}\\p{{N}}_])"
 
 
@@ -51,7 +58,7 @@ def character_edits(text: Column) -> Column:
         new = F.when(x == ",,", "„").when(x == " - ", " – ")
         for a, b in LIGATURES.items():
             new = new.when(x == a, b)
-        note = F.when(x == ",,", "R4: ,, is a low quotation mark").when(x == " - ", "R3: hyphen between spaces is a dash").otherwise("R5: ligature")
+        note = F.when(x == ",,", NOTES["quote"]).when(x == " - ", NOTES["dash"]).otherwise(NOTES["ligature"])
         to = s["at"] + F.length(x)
         edit = F.struct(s["at"].alias("start"), to.alias("end"), new.alias("new"), F.lit("repaired").alias("kind"), note.alias("note"))
         return F.struct(to.alias("at"), (s["i"] + 1).alias("i"), F.when(s["i"] % 2 == 1, F.concat(s["edits"], F.array(edit))).otherwise(s["edits"]).alias("edits"))
@@ -139,7 +146,7 @@ def word_edits(blocks: DataFrame, dictionary: DataFrame, personal: list[str] | N
         return found.where(~protected(F.col("word"), F.col("starts"), personal)).drop("starts", "ord")
 
     marked = checkpoint(open_words(tokens(shown, keys, pattern=APOSTROPHE_WORD)))
-    first = checkpoint(marked.join(marked_soft_words(marked, dictionary), ["lang", "word"])).withColumn("note", F.lit("R1: letter + apostrophe is ď/ť"))
+    first = checkpoint(marked.join(marked_soft_words(marked, dictionary), ["lang", "word"])).withColumn("note", F.lit(NOTES["marked"]))
     covered = first.select(*(F.col(k).alias(f"c_{k}") for k in BLOCK_KEYS), F.col("start").alias("c_start"), F.col("end").alias("c_end"))
     meets = (F.col("c_start") < F.col("end")) & (F.col("start") < F.col("c_end"))
     for k in BLOCK_KEYS:
@@ -147,9 +154,9 @@ def word_edits(blocks: DataFrame, dictionary: DataFrame, personal: list[str] | N
     # only words that a rule may touch go on, and three branches read them
     touched = is_foreign(F.col("word")) | F.rlike("word", F.lit("[dtDT]"))
     rest = checkpoint(open_words(tokens(shown, keys).where(touched).join(covered, meets, "left_anti")))
-    foreign = rest.join(foreign_words(rest, dictionary), ["lang", "word"]).withColumn("note", F.when(F.col("new").isNull(), "letter does not exist in Czech").otherwise("R2: foreign letter replaced by its Czech look-alike"))
+    foreign = rest.join(foreign_words(rest, dictionary), ["lang", "word"]).withColumn("note", F.when(F.col("new").isNull(), NOTES["foreign"]).otherwise(NOTES["look_alike"]))
     soft_asked = rest.where(~is_foreign(F.col("word")))
-    soft = soft_asked.join(plain_soft_words(soft_asked, dictionary), ["lang", "word"]).withColumn("note", F.lit("d/t without its háček"))
+    soft = soft_asked.join(plain_soft_words(soft_asked, dictionary), ["lang", "word"]).withColumn("note", F.lit(NOTES["plain"]))
     columns = [*BLOCK_KEYS, "start", "end", "word", "new", "note"]
     return first.select(columns).unionByName(foreign.select(columns)).unionByName(soft.select(columns))
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folio.functions.lineage import checkpoint
 from folio.functions.python import accents_of, differences_of, fold_of, nfc_of
-from folio.functions.text import collapse
+from folio.functions.text import collapse, let
 
 CER_GATE, ACCENT_GATE = 0.03, 0.95
 
@@ -16,9 +17,21 @@ def normalise(text: Column, is_nfc: bool = False) -> Column:
     return collapse(text if is_nfc else nfc_of(text))
 
 
+#: Distances that are looked for in a band along the diagonal before all cells are worked out.
+BANDS = (8, 64)
+
+
+def distance(truth: Column, reading: Column) -> Column:
+    """Edits between two texts. Its cost is the length times the distance, or for unlike texts the product of lengths."""
+    whole = F.levenshtein(truth, reading)
+    for band in reversed(BANDS):
+        whole = let(F.levenshtein(truth, reading, band), lambda near, beyond=whole: F.when(near >= 0, near).otherwise(beyond))
+    return whole
+
+
 def cer(truth: Column, reading: Column) -> Column:
-    """Character error rate. Its cost is the product of the lengths: score pages, not corpora."""
-    return F.levenshtein(truth, reading) / F.greatest(F.length(truth), F.lit(1))
+    """Character error rate."""
+    return distance(truth, reading) / F.greatest(F.length(truth), F.lit(1))
 
 
 def cer_without_marks(truth: Column, reading: Column) -> Column:
@@ -69,15 +82,35 @@ def pair_up(truths: DataFrame, readings: DataFrame) -> DataFrame:
     return readings.join(truths, "page")
 
 
-def passages(docs: DataFrame, items: DataFrame, anchor: int = 24) -> DataFrame:
-    """doc_id and item_id where an item's whole text stands in a document's, from the beginning of a word.
+#: Lengths of anchors: an item's is the greatest that it holds.
+ANCHORS = (1, 2, 4, 8, 16, 32)
+#: Anchors that are broadcast at most, so that a document's other places stay where they are.
+BROADCAST_ANCHORS = 200_000
+#: Parts into which a document's candidates are dealt with its text.
+SALTS = 8
+
+
+def passages(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """doc_id and item_id where an item's whole text stands anywhere in a document's.
 
-    Candidates meet on the item's first characters, `anchor` or as many as the shortest item has; only they are compared.
+    Items meet documents by their anchor: the first characters, as many as the greatest of ANCHORS that they hold. A
+    document gives its distinct pieces of the lengths that items need, kept where an anchor is one of them; only what
+    meets is compared. A document's text goes to as many salts as it has candidates in.
     """
-    shortest = items.where("text <> ''").agg(F.min(F.length("text"))).first()[0] or anchor
-    size = min(anchor, shortest)
-    firsts = F.array_distinct(F.regexp_extract_all("text", F.lit(rf"(?s)(?:^|(?<=[ \n]))(?=(.{{{size}}}))"), F.lit(1)))
-    heads = docs.select("doc_id", F.explode(firsts).alias("head"))
-    wanted = items.where("text <> ''").select("item_id", F.col("text").alias("item"), F.substring("text", 1, size).alias("head"))
-    candidates = heads.join(wanted, "head").select("doc_id", "item_id", "item").distinct()
-    return candidates.join(docs.select("doc_id", "text"), "doc_id").where(F.contains("text", F.col("item"))).select("doc_id", "item_id")
+    wanted = items.where("text <> ''").select("item_id", F.col("text").alias("item"))
+    size = F.array_max(F.filter(F.array(*map(F.lit, ANCHORS)), lambda n: n <= F.length("item")))
+    anchored = checkpoint(wanted.withColumn("head", F.substring("item", F.lit(1), size)))
+    heads = checkpoint(anchored.select("head").distinct())
+    few = heads.limit(BROADCAST_ANCHORS + 1).count() <= BROADCAST_ANCHORS
+    found = None
+    for r in sorted(heads.select(F.length("head").alias("n")).distinct().collect()):
+        # overlapping pieces: a look-ahead takes no characters
+        pieces = F.array_distinct(F.regexp_extract_all("text", F.lit(rf"(?s)(?=(.{{{r.n}}}))"), F.lit(1)))
+        own = heads.where(F.length("head") == r.n)
+        met = docs.select("doc_id", F.explode(pieces).alias("head")).join(F.broadcast(own) if few else own, "head")
+        found = met if found is None else found.unionByName(met)
+    if found is None:
+        return docs.select("doc_id").limit(0).crossJoin(items.select("item_id").limit(0))
+    candidates = found.join(anchored, "head").select("doc_id", "item_id", "item").withColumn("salt", F.pmod(F.xxhash64("item_id"), F.lit(SALTS)))
+    texts = docs.join(candidates.select("doc_id", "salt").distinct(), "doc_id").select("doc_id", "salt", "text")
+    return candidates.join(texts, ["doc_id", "salt"]).where(F.contains("text", F.col("item"))).select("doc_id", "item_id").distinct()

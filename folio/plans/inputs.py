@@ -78,6 +78,11 @@ def seeded(text: str = "text") -> Column:
     return F.regexp_replace(t, r"(\p{L}{4})(\p{Ll}{4})", "$1-\n$2")
 
 
+#: Runs of word characters, and the word that begins one, as SQL.
+RUN_SQL = "[\\p{L}\\p{N}_''’-]+"
+WORD_OF_RUN_SQL = "regexp_extract(run, '^(\\p{L}+(?:[-''’]\\p{L}+)*)(?:$|[-''’])', 1)"
+
+
 def tokens_sql(source: str, keys: str) -> str:
     """SQL for the words of column t of a source with their starts."""
     run = "[\\p{L}\\p{N}_''’-]+"

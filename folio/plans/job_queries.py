@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from folio.operators import integrity, jobs
 from folio.plans.inputs import table
-from folio.plans.registry import fixed, query, values
+from folio.plans.registry import query
 from folio.schema import DOCUMENT
 from folio.sources import files, protocol
 
@@ -61,18 +61,25 @@ def queue_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.queue_summary(jobs.latest(_events(spark, sf_dir), "job", "state", ["t", "event_id"]))
 
 
-_JOBS = [("a", "done", 0), ("b", "pending", 1), ("c", "running", 2), ("d", "pending", 3)]
+_QUEUE = f"{_LOG}, queue AS (SELECT job AS id, arg_max(state, (t, event_id)) AS state, job AS pos FROM log GROUP BY job)"
 
 
-@query(values([("d", 0), ("b", 1), ("a", 2), ("c", 3)], "id, pos"))
+def _queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Jobs with their last states; the list's order is that of their ids."""
+    return jobs.latest(_events(spark, sf_dir), "job", "state", ["t", "event_id"]).select(F.col("job").alias("id"), "state", F.col("job").alias("pos"))
+
+
+@query(f"WITH {_QUEUE}, o AS (SELECT *, CASE WHEN id % 7 = 0 THEN -id END AS ord FROM queue) SELECT id, CAST(row_number() OVER (ORDER BY ord IS NULL, ord, pos) - 1 AS INT) AS pos FROM o")
 def reordered_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    order = fixed(spark, [("d", 0), ("zz", 1), ("b", 2)], "id string, ord int")
-    return jobs.reorder(fixed(spark, _JOBS, "id string, state string, pos int"), order).select("id", "pos")
+    """Every seventh job first, backwards; the order names some that aren't there."""
+    given = _queue(spark, sf_dir)
+    order = given.where("id % 7 = 0").select("id", (-F.col("id")).alias("ord")).unionByName(given.select((F.col("id") + 1_000_000).alias("id"), F.lit(0).alias("ord")))
+    return jobs.reorder(given, order).select("id", "pos")
 
 
-@query(values([("b",)], "id"))
+@query(f"WITH {_QUEUE} SELECT id FROM queue WHERE state = 'pending' ORDER BY pos LIMIT 1")
 def next_job(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jobs.next_pending(fixed(spark, _JOBS, "id string, state string, pos int")).select("id")
+    return jobs.next_pending(_queue(spark, sf_dir)).select("id")
 
 
 _PROGRESS = "CASE WHEN event_id % 3 = 0 THEN 'done' ELSE 'progress' END"
@@ -109,19 +116,42 @@ def progress_throttle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sent.groupBy("job").agg(F.count("*").alias("n"), F.round(F.sum("t"), 3).alias("sum_t"))
 
 
-_ATTEMPTS = [(1, ["ok"], "done", "asked"), (2, ["oom", "ok"], "done", "fast"), (3, ["oom", "oom"], "failed", "fast"), (4, ["died", "ok"], "done", "asked"), (5, ["died", "died"], "failed", "asked"), (6, ["oom", "died", "ok"], "done", "fast"), (7, ["bad"], "failed", "asked"), (8, ["died"], "running", "asked")]
+#: The k-th attempt of an event's page, by digits of its number to the base of four.
+_TRY = "['ok', 'oom', 'died', 'bad'][CAST(event_id // {} % 4 AS INT) + 1]"
+_TRIES = f"e AS (SELECT event_id, event_id % 5 > 1 AS quality, {_TRY.format(1)} AS a, {_TRY.format(4)} AS b, {_TRY.format(16)} AS c, {_TRY.format(64)} AS d FROM events)"
+
+
+def _attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = F.array(*map(F.lit, ("ok", "oom", "died", "bad")))
+    tries = F.array(*(F.element_at(names, (F.floor(F.col("event_id") / 4**k) % 4).cast("int") + 1) for k in range(4)))
+    return table(spark, sf_dir, "events").select("event_id", F.when(F.col("event_id") % 5 > 1, "quality").otherwise("fast").alias("mode"), tries.alias("tries"))
+
 
+def _ladder_sql(after: str, first: str) -> str:
+    """A retry ladder in SQL: a recursive walk over the attempts."""
+    return f"""WITH RECURSIVE {_TRIES}, walk AS (SELECT event_id, [a, b, c, d] AS x, 0 AS i, 'running' AS state, {first} AS mode, 0 AS deaths, FALSE AS reduced FROM e
+UNION ALL SELECT event_id, x, i + 1, {after} FROM walk WHERE state = 'running' AND i < 4)"""
 
-@query(values([(a, s, m) for a, _, s, m in _ATTEMPTS], "id, state, mode"))
+
+@query(_ladder_sql("""CASE WHEN x[i + 1] = 'ok' THEN 'done' WHEN (x[i + 1] = 'oom' AND NOT reduced) OR (x[i + 1] = 'died' AND deaths = 0) THEN 'running' ELSE 'failed' END,
+CASE WHEN x[i + 1] = 'oom' AND NOT reduced THEN 'fast' ELSE mode END, deaths + CASE WHEN x[i + 1] = 'died' THEN 1 ELSE 0 END, reduced OR x[i + 1] = 'oom'""", "'asked'") + "SELECT event_id, arg_max(state, i) AS state, arg_max(mode, i) AS mode FROM walk GROUP BY event_id")
 def retry_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = fixed(spark, [r[:2] for r in _ATTEMPTS], "id int, tries array<string>")
-    return rows.select("id", jobs.outcome(F.col("tries")).alias("o")).select("id", "o.state", "o.mode")
+    """What becomes of jobs by their attempts."""
+    return _attempts(spark, sf_dir).select("event_id", jobs.outcome(F.col("tries")).alias("o")).select("event_id", "o.state", "o.mode")
+
 
+@query(_ladder_sql("""CASE WHEN x[i + 1] = 'ok' THEN 'done' WHEN (x[i + 1] = 'oom' AND mode = 'quality') OR (x[i + 1] = 'died' AND deaths = 0) THEN 'running' ELSE 'failed' END,
+CASE WHEN x[i + 1] = 'oom' THEN 'fast' ELSE mode END, CASE WHEN x[i + 1] = 'oom' THEN 0 WHEN x[i + 1] = 'died' THEN 1 ELSE deaths END, reduced OR (x[i + 1] = 'oom' AND mode = 'quality')""", "CASE WHEN quality THEN 'quality' ELSE 'fast' END")
++ "SELECT event_id, arg_max(state, i) AS state, arg_max(mode, i) AS mode, arg_max(reduced, i) AS reduced FROM walk GROUP BY event_id")
+def page_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What becomes of single pages by their attempts, in either mode."""
+    return _attempts(spark, sf_dir).select("event_id", jobs.page_outcome(F.col("tries"), F.col("mode")).alias("o")).select("event_id", "o.*")
 
-@query(values([(1, "pending"), (2, "cancelled"), (3, "paused"), (4, None)], "id, state"))
+
+@query("SELECT event_id, CASE WHEN event_id % 2 = 1 THEN 'pending' WHEN event_id // 2 % 2 = 1 THEN 'cancelled' WHEN event_id // 4 % 2 = 1 THEN 'paused' END AS state FROM events")
 def interrupt_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = fixed(spark, [(1, True, True, False), (2, False, True, True), (3, False, False, True), (4, False, False, False)], "id int, stopping boolean, cancelled boolean, paused boolean")
-    return rows.select("id", jobs.interrupt(F.col("stopping"), F.col("cancelled"), F.col("paused")).alias("state"))
+    bit = lambda k: F.floor(F.col("event_id") / k) % 2 == 1
+    return table(spark, sf_dir, "events").select("event_id", jobs.interrupt(bit(1), bit(2), bit(4)).alias("state"))
 
 
 @query(f"WITH {_LOG}, e AS (SELECT job AS id, t, CASE WHEN event_id % 7 = 0 THEN 'result' WHEN event_id % 11 = 0 THEN 'error' ELSE 'progress' END AS event FROM log) SELECT id, coalesce(arg_min(event, t) FILTER (WHERE event <> 'progress'), 'timeout') AS outcome, count(*) FILTER (WHERE event = 'progress') AS progress FROM e GROUP BY id")
@@ -168,24 +198,34 @@ def blob_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", integrity.blob_sha1(F.col("text")).alias("digest"))
 
 
-_PATHS = [("a/b.txt", True), ("/a", False), ("C:x", False), ("a\\..\\b", False), ("..", False), ("a..b/c", True), ("\\\\host\\x", False), ("", False)]
-
-
-@query(values(_PATHS, "path, safe"))
+@query("""WITH p AS (SELECT doc_id, ['{s}/{n}.txt', 'a..b/{s}/{n}', '/{s}/{n}', 'C:{s}', '{s}\\..\\{n}', '..', '{s}/..', '\\\\host\\{s}', '', '../{s}'][doc_id % 10 + 1] AS f, source, doc_id % 10 < 2 AS safe FROM documents)
+SELECT doc_id, replace(replace(f, '{s}', source), '{n}', CAST(doc_id AS VARCHAR)) AS path, safe FROM p""")
 def safe_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fixed(spark, [(p,) for p, _ in _PATHS], "path string").select("path", integrity.is_safe(F.col("path")).alias("safe"))
+    """Paths of ten forms, of which the first two stay below their folder."""
+    forms = ("{s}/{n}.txt", "a..b/{s}/{n}", "/{s}/{n}", "C:{s}", "{s}\\..\\{n}", "..", "{s}/..", "\\\\host\\{s}", "", "../{s}")
+    form = F.element_at(F.array(*map(F.lit, forms)), (F.col("doc_id") % 10).cast("int") + 1)
+    path = F.replace(F.replace(form, F.lit("{s}"), F.col("source")), F.lit("{n}"), F.col("doc_id").cast("string"))
+    return table(spark, sf_dir, "documents").select("doc_id", path.alias("path")).select("doc_id", "path", integrity.is_safe(F.col("path")).alias("safe"))
 
 
-@query(values([("a",), ("b",), ("c",), ("d",)], "name"))
+@query("""WITH RECURSIVE edges AS (SELECT doc_id AS name, doc_id // 2 AS needs FROM documents UNION ALL SELECT 0, 5 UNION ALL SELECT 1, 2), c AS (SELECT doc_id AS name FROM documents WHERE doc_id % 97 = 96 UNION SELECT e.needs FROM c JOIN edges e ON e.name = c.name)
+SELECT CAST(name AS VARCHAR) AS name FROM c""")
 def dependency_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = fixed(spark, [("a", "b"), ("b", "c"), ("a", "c"), ("c", "d"), ("x", "y")], "name string, needs string")
-    return integrity.closure(edges, fixed(spark, [("a",)], "name string"))
+    """What every 97th document needs, each one half its number; two edges close cycles."""
+    docs = table(spark, sf_dir, "documents").select("doc_id")
+    edge = lambda name, needs: (name.cast("string").alias("name"), needs.cast("string").alias("needs"))
+    halves = docs.select(*edge(F.col("doc_id"), F.floor(F.col("doc_id") / 2)))
+    back = spark.range(2).select(*edge(F.col("id"), F.when(F.col("id") == 0, 5).otherwise(2)))
+    return integrity.closure(halves.unionByName(back), docs.where("doc_id % 97 = 96").select(F.col("doc_id").cast("string").alias("name")))
 
 
-@query(values([("left-out",), ("z-9",)], "name"))
+@query("SELECT DISTINCT source || '-' || lang || '-x' AS name FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL AND source || '-' || lang || '-x' NOT IN (SELECT source || '-' || lang || '-x' FROM documents WHERE doc_id % 20 = 0 AND source IS NOT NULL AND lang IS NOT NULL)")
 def unlisted_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bundled = fixed(spark, [("Left_Out",), ("left.out",), ("listed",), ("Z__9",)], "name string")
-    return integrity.unlisted(bundled, fixed(spark, [("Listed",)], "name string"))
+    """Names of bundled parts, written with other separators and case than in the list."""
+    docs = table(spark, sf_dir, "documents")
+    sep = F.element_at(F.array(*map(F.lit, ("_", ".", "--", "-._"))), (F.col("doc_id") % 4).cast("int") + 1)
+    bundled = docs.select(F.concat(F.upper("source"), sep, "lang", sep, F.lit("X")).alias("name")).where("name IS NOT NULL")
+    return integrity.unlisted(bundled, docs.where("doc_id % 20 = 0").select(F.concat_ws(".", "source", "lang", F.lit("x")).alias("name")))
 
 
 @query("SELECT doc_id, contains(lower(text), 'the') OR doc_id % 3 = 0 AS hit FROM documents")
@@ -195,12 +235,15 @@ def name_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", integrity.holds_name(wide, "The").alias("hit"))
 
 
-_FILES = [("/in/a.PNG", False), ("/in/a.ocr.pdf", False), ("/in/b_images/1.png", False), ("/in/b.md", False), ("/in/c_images/1.png", False), ("/in/d.txt", False), ("/in/B.pdf", True), ("/in/B.pdf", False)]
-
-
-@query(values([("/in/a.PNG",), ("/in/B.pdf",), ("/in/c_images/1.png",)], "path"))
+@query("""WITH f AS (SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN '/in/' || doc_id || '.PNG' WHEN 1 THEN '/in/' || doc_id || '.ocr.pdf' WHEN 2 THEN '/in/' || doc_id || '.md' WHEN 3 THEN '/in/' || (doc_id - 1) || '_images/' || doc_id || '.png' WHEN 4 THEN '/in/' || doc_id || '_images/1.png' ELSE '/in/' || doc_id || '.txt' END AS path FROM documents)
+SELECT path FROM f WHERE doc_id % 6 IN (0, 4) OR (doc_id % 6 = 3 AND doc_id % 4 = 1)""")
 def found_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return files.find_inputs(fixed(spark, _FILES, "path string, given boolean"))
+    """Pictures, outputs of an earlier run, sheets and picture crops beside them, some of them named themselves."""
+    n = F.col("doc_id").cast("string")
+    forms = [F.concat(F.lit("/in/"), n, F.lit(x)) for x in (".PNG", ".ocr.pdf", ".md")]
+    forms += [F.concat(F.lit("/in/"), (F.col("doc_id") - 1).cast("string"), F.lit("_images/"), n, F.lit(".png")), F.concat(F.lit("/in/"), n, F.lit("_images/1.png")), F.concat(F.lit("/in/"), n, F.lit(".txt"))]
+    path = F.element_at(F.array(*forms), (F.col("doc_id") % 6).cast("int") + 1)
+    return files.find_inputs(table(spark, sf_dir, "documents").select(path.alias("path"), (F.col("doc_id") % 4 == 1).alias("given")))
 
 
 @query("SELECT '/s/' || source AS folder, CAST(sum(strlen(text)) AS BIGINT) AS bytes FROM documents GROUP BY source")
@@ -209,21 +252,26 @@ def folder_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return integrity.folder_sizes(docs)
 
 
-@query(values([("cs", 30, True, "done"), ("en", 5, False, None)], "lang, size, installed, state"))
+@query("""SELECT lang, CAST(sum(n_chars) AS BIGINT) AS size, lang IN (SELECT lang FROM documents WHERE source = 'src3' AND doc_id % 2 = 0) AS installed, CASE WHEN lang > 'en' THEN arg_max(source, doc_id) END AS state FROM documents WHERE lang IS NOT NULL GROUP BY lang""")
 def languages_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    manifest = fixed(spark, [("cs", 10), ("cs", 20), ("en", 5)], "lang string, size int")
-    return jobs.languages_status(manifest, fixed(spark, [("cs",)], "lang string"), fixed(spark, [("cs", "done")], "lang string, state string"))
+    """Sizes by language, whether it is installed, and the last state of its job, of which some have none."""
+    docs = table(spark, sf_dir, "documents").where("lang IS NOT NULL")
+    last = jobs.latest(docs.where("lang > 'en'"), "lang", "source", ["doc_id"]).withColumnRenamed("source", "state")
+    return jobs.languages_status(docs.select("lang", F.col("n_chars").alias("size")), docs.where("source = 'src3' AND doc_id % 2 = 0").select("lang").distinct(), last)
 
 
-@query(values([(0, 16 << 30), (1 << 30, 15 << 30), (1 << 40, 0)], "present, needed"))
+@query("SELECT event_id, greatest(0, 17179869184 - event_id * 4194304) AS needed FROM events")
 def disk_needs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fixed(spark, [(0,), (1 << 30,), (1 << 40,)], "present long").select("present", jobs.free_bytes_needed(F.col("present")).alias("needed"))
+    return table(spark, sf_dir, "events").select("event_id", jobs.free_bytes_needed(F.col("event_id") * (4 << 20)).alias("needed"))
 
 
-@query(values([("a", "x.pdf", 30.0), ("b", "y.png", None)], "id, name, eta"))
+@query(f"WITH {_TOTALS}, q AS (SELECT job, arg_max(state, (t, event_id)) AS state FROM log GROUP BY job) SELECT x.job AS id, x.job || '.pdf' AS name, CASE WHEN state IN ('pending', 'running', 'paused') AND seconds > 0 THEN round(seconds / pages_done * (x.job % 3), 3) END AS eta FROM totals x JOIN q ON q.job = x.job WHERE x.job % 3 > 0 UNION ALL SELECT job, job || '.pdf', NULL FROM totals WHERE job % 3 = 0")
 def job_views(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [("a", "C:\\d\\x.pdf", "running", 20.0, 2, 5), ("b", "/d/y.png", "done", 20.0, 2, 5)]
-    return jobs.job_view(fixed(spark, rows, "id string, source string, state string, seconds double, pages_done int, pages_total int")).select("id", "name", "eta")
+    """File names and time left of jobs of which up to two pages are left."""
+    rows = _totals(spark, sf_dir).join(_queue(spark, sf_dir).withColumnRenamed("id", "job"), "job")
+    folder = F.when(F.col("job") % 2 == 0, "C:\\d\\").otherwise("/d/")
+    seen = rows.select(F.col("job").alias("id"), "state", "seconds", "pages_done", (F.col("pages_done") + F.col("job") % 3).alias("pages_total"), F.concat(folder, F.col("job").cast("string"), F.lit(".pdf")).alias("source"))
+    return jobs.job_view(seen).select("id", "name", F.round("eta", 3).alias("eta"))
 
 
 @query("SELECT doc_id, CAST(1 + doc_id % 2 AS INT) AS n_pages, CAST(2 + doc_id % 2 AS INT) AS n_blocks, 1 AS n_flags, TRUE AS same FROM documents")
@@ -252,17 +300,30 @@ def sidecar_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.join(compared.select("doc_id", (F.col("json") == F.col("again")).alias("same")), "doc_id")
 
 
-@query(values([("a", "done", 0, "x=/n;y=/b"), ("b", "pending", 1, ""), ("c", "failed", 2, None), ("d", "pending", 3, None)], "id, state, pos, outputs"))
+@query(f"""WITH {_QUEUE} SELECT CAST(id AS VARCHAR) AS id, state, pos, CASE WHEN id % 2 = 0 THEN 'x=/n;y=/' || id ELSE 'x=/' || id || ';y=/' || id END AS outputs FROM queue
+UNION ALL SELECT 'new' || id, CASE WHEN id % 5 = 0 THEN 'failed' ELSE 'pending' END, (SELECT max(pos) FROM queue) + row_number() OVER (ORDER BY 'new' || id), NULL FROM queue WHERE id % 11 = 0""")
 def queue_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """New jobs at the end of the list, one of them unreadable, and outputs merged into an old one."""
-    old = fixed(spark, [("a", "done", 0, {"x": "/a", "y": "/b"}), ("b", "pending", 1, {})], "id string, state string, pos int, outputs map<string,string>")
-    new = fixed(spark, [("c", "/c", "unreadable"), ("d", "/d", None)], "id string, source string, error string")
-    merged = jobs.merged_outputs(jobs.added_jobs(old, new), fixed(spark, [("a", {"x": "/n"})], "id string, outputs map<string,string>"))
+    """New jobs at the end of the list, some of them unreadable, and outputs merged into old ones."""
+    n = F.col("id").cast("string")
+    given = _queue(spark, sf_dir)
+    old = given.select(n.alias("id"), "state", "pos", F.create_map(F.lit("x"), F.concat(F.lit("/"), n), F.lit("y"), F.concat(F.lit("/"), n)).alias("outputs"))
+    new = given.where("id % 11 = 0").select(F.concat(F.lit("new"), n).alias("id"), F.lit("/s").alias("source"), F.when(F.col("id") % 5 == 0, "unreadable").alias("error"))
+    more = given.where("id % 2 = 0").select(n.alias("id"), F.create_map(F.lit("x"), F.lit("/n")).alias("outputs"))
+    merged = jobs.merged_outputs(jobs.added_jobs(old, new), more)
     told = F.array_join(F.array_sort(F.transform(F.map_entries("outputs"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ";")
     return merged.select("id", "state", "pos", told.alias("outputs"))
 
 
-@query(values([("b",)], "id"))
+@query(f"WITH {_QUEUE} SELECT id FROM queue WHERE state NOT IN ('done', 'failed', 'cancelled')")
 def open_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = fixed(spark, [("a", "done"), ("b", "paused"), ("c", "failed"), ("d", "cancelled")], "id string, state string")
-    return jobs.without_finished(rows).select("id")
+    return jobs.without_finished(_queue(spark, sf_dir)).select("id")
+
+
+@query("SELECT source, bool_and(doc_id % 10 > 0 AND doc_id % 7 > 0 AND doc_id % 6 > 0) AND source <> 'src5' AS ready FROM documents GROUP BY source")
+def manifest_ready(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether all files of each source are sound and of the wanted revision, which one source's aren't."""
+    n = F.col("doc_id")
+    checked = table(spark, sf_dir, "documents").select("source", F.when((n % 10 > 0) & (n % 7 > 0) & (n % 6 > 0), "ok").otherwise("hash").alias("status"))
+    return integrity.are_ready(checked, ["source"], F.col("source") != "src5")
+
+

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.functions.text import collapse
+from folio.functions.text import collapse, joined
 from folio.operators import guards, layout, parse, render
 from folio.operators.process import process
-from folio.plans.inputs import BLOCKS_SQL, blocks, strip_sql, table
+from folio.plans.inputs import BLOCKS_SQL, blocks, dictionary, lines, strip_sql, table
 from folio.plans.registry import fixed, query, values
-from folio.schema import PAGE_KEYS
+from folio.schema import BLOCK_KEYS, PAGE_KEYS
 from folio.sources.files import page_selection as select_pages
 
 _RUN = "('image', 'figure', 'image_caption', 'table_caption')"
@@ -61,23 +61,24 @@ def markdown_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     return render.markdown(blocks(spark, sf_dir), page_comments=True, tables=False).select("doc_id", F.md5("markdown").alias("digest"))
 
 
-_FORMULAS = [(1, "$$ a $$"), (2, "\\[b\\]"), (3, "$c$"), (4, "d"), (5, "$$"), (6, "")]
-
-
-@query(values([(1, "$$\na\n$$"), (2, "$$\nb\n$$"), (3, "$$\nc\n$$"), (4, "$$\nd\n$$"), (5, "$$\n$$\n$$"), (6, "$$\n\n$$")], "id, md"))
+@query(f"WITH {BLOCKS_SQL} SELECT doc_id, no, '$$' || chr(10) || {strip_sql("translate(line, '$[]' || chr(92), '')")} || chr(10) || '$$' AS md FROM lines")
 def formulas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fixed(spark, _FORMULAS, "id int, t string").select("id", render.markdown_formula(F.col("t")).alias("md"))
-
-
-_LISTS = [(1, "• a\n2) b\n\n - c"), (2, "plain")]
+    """Every line as a formula within one of three kinds of delimiters, or none."""
+    t = F.translate("line", "$[]\\", "")
+    k = F.col("no") % 4
+    opening = F.when(k == 0, "$$ ").when(k == 1, "\\[ ").when(k == 2, "$ ").otherwise("")
+    closing = F.when(k == 0, " $$").when(k == 1, " \\]").when(k == 2, " $").otherwise("")
+    return lines(spark, sf_dir).select("doc_id", "no", render.markdown_formula(F.concat(opening, t, closing)).alias("md"))
 
 
-@query(values([(1, "- a\n- b\n- c", ["List Bullet", "List Bullet", "List Bullet"]), (2, "- plain", ["List Bullet"])], "id, md, styles").replace("'List Bullet', 'List Bullet', 'List Bullet'", "'List Bullet', 'List Number', 'List Bullet'"))
+@query("SELECT doc_id, '- ' || source || chr(10) || '- ' || doc_id || chr(10) || '- x ' || doc_id AS md, ['List Bullet', 'List Number', 'List Bullet'] AS styles FROM documents")
 def lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """List items for both exporters, whose bullets differ."""
-    rows = fixed(spark, _LISTS, "doc_id int, text string").withColumns({"page_index": F.lit(0), "block_no": F.lit(0), "label": F.lit("list")})
+    n = F.col("doc_id").cast("string")
+    text = F.concat(F.lit("• "), "source", F.lit("\n2) "), n, F.lit("\n\n - x "), n)
+    rows = table(spark, sf_dir, "documents").select("doc_id", text.alias("text"), F.lit(0).alias("page_index"), F.lit(0).alias("block_no"), F.lit("list").alias("label"))
     styles = render.word_paragraphs(rows).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("item", "style"))).alias("x")).select("doc_id", F.col("x.style").alias("styles"))
-    return rows.join(styles, "doc_id").select(F.col("doc_id").alias("id"), render.markdown_list(F.col("text")).alias("md"), "styles")
+    return rows.join(styles, "doc_id").select("doc_id", render.markdown_list(F.col("text")).alias("md"), "styles")
 
 
 @query(f"""WITH {BLOCKS_SQL}, b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page_index, block_no) AS k FROM blocks WHERE label = 'image')
@@ -88,12 +89,10 @@ def image_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return render.image_links(blocks(spark, sf_dir).withColumn("stem", stem), "stem")
 
 
-_WRAPS = [(1, "aa bb cc dd", 2), (2, "one", 3), (3, "a b c", 1), (4, "aaaa b c dddd", 3)]
-
-
-@query(values([(1, ["aa bb", "cc dd"]), (2, ["one"]), (3, ["a b c"]), (4, ["aaaa", "b c", "dddd"])], "id, lines"))
+@query()
 def wrapped_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fixed(spark, _WRAPS, "id int, t string, n int").select("id", render.wrap_line(F.col("t"), F.col("n")).alias("lines"))
+    """Every line of all documents over two to five lines, as a box of that height would have it; tested against a loop."""
+    return lines(spark, sf_dir).select("doc_id", "no", render.wrap_line(F.col("line"), (2 + F.col("no") % 4).cast("int")).alias("lines"))
 
 
 @query(f"""WITH {BLOCKS_SQL}, l AS (SELECT doc_id, page_index, block_no, {_FLAT} AS t, x2 - x1 AS w, y2 - y1 AS h FROM blocks),
@@ -102,8 +101,8 @@ SELECT doc_id, page_index, block_no, round(greatest(1.0, least(400.0, h / (great
 def font_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The size of text fitted to each block's box, its text being one line."""
     rows = blocks(spark, sf_dir).withColumn("t", collapse(F.col("text"))).where("t <> ''")
-    _, size = render.fit_lines(F.array("t"), (F.col("box.x2") - F.col("box.x1")).cast("double"), (F.col("box.y2") - F.col("box.y1")).cast("double"))
-    return rows.select(*PAGE_KEYS, "block_no", F.round(size, 6).alias("size"))
+    fit = render.fit_lines(F.array("t"), (F.col("box.x2") - F.col("box.x1")).cast("double"), (F.col("box.y2") - F.col("box.y1")).cast("double"))
+    return rows.select(*PAGE_KEYS, "block_no", F.round(fit["size"], 6).alias("size"))
 
 
 @query(values([(0, [1.0, 0.0, 0.0, 1.0, 0.0, 0.0]), (90, [0.0, 1.0, -1.0, 0.0, 200.0, 0.0]), (180, [-1.0, 0.0, 0.0, -1.0, 200.0, 300.0]), (270, [0.0, -1.0, 1.0, 0.0, 0.0, 300.0]), (450, [0.0, 1.0, -1.0, 0.0, 200.0, 0.0])], "turn, matrix"))
@@ -111,16 +110,20 @@ def frame_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixed(spark, [(t,) for t in (0, 90, 180, 270, 450)], "turn int").select("turn", render.frame_matrix(F.col("turn"), F.lit(200.0), F.lit(300.0)).alias("matrix"))
 
 
-@query(values([("a.md", 1, "a.md"), ("a.md", 2, "a_1.md"), ("b.ocr.pdf", 1, "b.ocr.pdf"), ("b.ocr.pdf", 2, "b_1.ocr.pdf"), ("a.md", 3, "a_2.md")], "name, seq, unique_name"))
+@query("""WITH r AS (SELECT doc_id AS seq, source || CASE WHEN doc_id % 2 = 0 THEN '.md' ELSE '.ocr.pdf' END AS name, row_number() OVER (PARTITION BY source, doc_id % 2 ORDER BY doc_id) - 1 AS k FROM documents)
+SELECT name, seq, CASE WHEN k = 0 THEN name ELSE replace(replace(name, '.ocr', '_' || k || '.ocr'), '.md', '_' || k || '.md') END AS unique_name FROM r""")
 def unique_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [("a.md", 1), ("a.md", 2), ("a.md", 3), ("b.ocr.pdf", 1), ("b.ocr.pdf", 2)]
-    return render.unique_names(fixed(spark, rows, "name string, seq int"), "name", ["seq"])
+    name = F.concat("source", F.when(F.col("doc_id") % 2 == 0, ".md").otherwise(".ocr.pdf"))
+    return render.unique_names(table(spark, sf_dir, "documents").select(name.alias("name"), F.col("doc_id").alias("seq")), "name", ["seq"])
 
 
-@query(values([(1, "plain", ["x", "y z"]), (2, "span", ["a", "b c"])], "id, kind, cells"))
+@query("""SELECT n_regionkey, list_concat([any_value(r_name)], flatten(list([CAST(n_nationkey AS VARCHAR), n_name || ' b'] ORDER BY n_nationkey))) AS cells FROM nation JOIN region ON r_regionkey = n_regionkey GROUP BY n_regionkey""")
 def word_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(1, "plain", "<table><tr><td>x</td><td>y z</td></tr></table>"), (2, "span", '<table><tr><td colspan="2">a</td><td>b <b>c</b></td></tr></table>')]
-    return fixed(spark, rows, "id int, kind string, html string").select("id", "kind", F.flatten(render.word_table(F.col("html"))).alias("cells"))
+    """Cells of tables whose first row spans both columns, with tags inside cells."""
+    row = F.concat(F.lit("<tr><td>"), F.col("n_nationkey").cast("string"), F.lit("</td><td>"), "n_name", F.lit(" <b>b</b></td></tr>"))
+    both = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    html = F.concat(F.lit('<table><tr><td colspan="2">'), F.first("r_name"), F.lit("</td></tr>"), joined(row, "", "n_nationkey"), F.lit("</table>"))
+    return both.groupBy("n_regionkey").agg(html.alias("html")).select("n_regionkey", F.flatten(render.word_table(F.col("html"))).alias("cells"))
 
 
 _SIZES_SQL = "img AS (SELECT doc_id, CAST(100 + n_chars % 300 AS INT) AS w, CAST(n_chars AS INT) AS h FROM documents WHERE n_chars > 0)"
@@ -148,12 +151,13 @@ def strip_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.own_blocks(boxes, strips, ["doc_id"]).select("doc_id", "n", "k", "y1", "y2")
 
 
-_PAGES = [("a", "1-3,2", 5), ("b", "9-4", 6), ("c", "x", 5), ("d", " 2 , 4 - 4", 3), ("e", "0-1", 2)]
-
-
-@query(values([("a", 0), ("a", 1), ("a", 2), ("b", 3), ("b", 4), ("b", 5), ("d", 1), ("e", 0)], "id, page_index"))
+@query("""WITH r AS (SELECT doc_id, doc_id % 7 + 1 AS n, doc_id % 5 AS a, doc_id * 3 % 11 AS b, doc_id % 6 + 1 AS c FROM documents WHERE doc_id % 13 > 0),
+p AS (SELECT doc_id, n, unnest(generate_series(greatest(1, least(a, b)), greatest(a, b))) AS k FROM r UNION ALL SELECT doc_id, n, c FROM r) SELECT DISTINCT doc_id, CAST(k - 1 AS INT) AS page_index FROM p WHERE k BETWEEN 1 AND n""")
 def page_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return select_pages(fixed(spark, _PAGES, "id string, pages string, n_pages int"), ["id"])
+    """A range in either order and a page, some of them beyond the document; every 13th selection isn't valid."""
+    n = F.col("doc_id")
+    pages = F.concat(F.lit(" "), n % 5, F.lit(" -"), n * 3 % 11, F.lit(", "), n % 6 + 1)
+    return select_pages(table(spark, sf_dir, "documents").select("doc_id", F.when(n % 13 > 0, pages).otherwise("1-x").alias("pages"), (n % 7 + 1).cast("int").alias("n_pages")), ["doc_id"])
 
 
 @query("""WITH h AS (SELECT doc_id, unnest(generate_series(0, 7)) AS k FROM documents), r AS (SELECT doc_id, CAST((k * 36) AS INT) AS level, 1 + (doc_id * 7 + k * k * 13) % 97 + CASE WHEN k = 6 THEN (doc_id % 3) * 100000 ELSE 0 END AS n FROM h),
@@ -194,13 +198,12 @@ def page_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return guards.page_kind(rows.select("doc_id", (F.col("doc_id") * F.col("k") * 13 % 101).alias("covered"), F.lit(100.0).alias("page_area")), ["doc_id"])
 
 
-_ROUTES = [(1, "x", "scan", "always", True), (2, "x", "scan", "born_digital", False), (3, "x", "born_digital", "born_digital", True), (4, None, "born_digital", "always", False), (5, "x", "born_digital", "never", False)]
-
-
-@query(values([(r[0], r[4]) for r in _ROUTES], "id, used"))
+@query("SELECT doc_id, doc_id % 5 > 0 AND text <> '' AND (doc_id % 3 = 0 OR (doc_id % 3 = 1 AND doc_id % 2 = 0)) AS used FROM documents")
 def text_layer_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = fixed(spark, [r[:4] for r in _ROUTES], "id int, layer string, kind string, o string")
-    return rows.select("id", guards.use_text_layer(F.col("layer"), F.col("kind"), F.col("o")).alias("used"))
+    n = F.col("doc_id")
+    option = F.when(n % 3 == 0, "always").when(n % 3 == 1, "born_digital").otherwise("never")
+    layer = F.when(n % 5 > 0, F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", guards.use_text_layer(layer, F.when(n % 2 == 0, "born_digital").otherwise("scan"), option).alias("used"))
 
 
 @query("SELECT doc_id, len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')) >= 10 AND doc_id % 10 < 5 AS turned FROM documents")
@@ -215,52 +218,91 @@ def pages_with_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nested.select(*PAGE_KEYS, parse.has_text(F.col("b")).alias("has_text"))
 
 
-_CARDS = [("m1", "NVIDIA GeForce RTX 4080 SUPER, 572.16, 16376, 15000, 8.9"), ("m2", "Tesla T4, 550.54, 15360, 15000"), ("m2", "bad, line"), ("m3", "GTX 1080, 572.16, 8192, 8000"), ("m4", "RTX 3060, 400.10, 12288, 12000, x")]
+#: Fixed values of the queries below: cards, with the capability that their names stand for.
+_CARDS = [("NVIDIA GeForce RTX 4080 SUPER", 8.9), ("Tesla T4", 7.5), ("GTX 1080", 6.1), ("RTX 3060", 8.6), ("NVIDIA A100-SXM4", 8.0), ("Quadro RTX 5000", 12.0), ("Tesla V100", 7.0), ("NVIDIA RTX A2000", 8.6), ("Unknown", None)]
+_CARDS_SQL = f"""c AS (SELECT s_suppkey AS machine, {[x for x, _ in _CARDS]}[s_suppkey % {len(_CARDS)} + 1] AS name, [{', '.join('NULL' if x is None else str(x) for _, x in _CARDS)}][s_suppkey % {len(_CARDS)} + 1] AS known,
+400 + s_suppkey * 7 % 200 AS driver, 4000 + s_suppkey * 131 % 14000 AS total_mib, s_suppkey * 977 % 32000 AS ram_mib FROM supplier),
+cards AS (SELECT *, CASE WHEN s % 4 = 0 THEN 9.5 ELSE known END AS capability FROM (SELECT *, machine AS s FROM c))"""
+
 
+def _cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A line of each machine's card; every fourth tells its capability, and each has a broken line too."""
+    n = F.col("s_suppkey")
+    name = F.element_at(F.array(*(F.lit(x) for x, _ in _CARDS)), (n % len(_CARDS)).cast("int") + 1)
+    line = F.concat(name, F.lit(", "), 400 + n * 7 % 200, F.lit(".16, "), 4000 + n * 131 % 14000, F.lit(" MiB, 3000"), F.when(n % 4 == 0, ", 9.5").otherwise(""))
+    rows = table(spark, sf_dir, "supplier").select(n.alias("machine"), F.explode(F.array(line, F.lit("bad, line"))).alias("line"))
+    return guards.graphics_cards(rows)
 
-@query(values([("m1", "NVIDIA GeForce RTX 4080 SUPER", 16376, 8.9), ("m2", "Tesla T4", 15360, 7.5), ("m3", "GTX 1080", 8192, 6.1), ("m4", "RTX 3060", 12288, 8.6)], "machine, name, total_mib, capability"))
+
+@query(f"WITH {_CARDS_SQL} SELECT machine, name, CAST(total_mib AS INT) AS total_mib, CAST(capability AS DOUBLE) AS capability FROM cards")
 def graphics_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return guards.graphics_cards(fixed(spark, _CARDS, "machine string, line string")).select("machine", "name", "total_mib", "capability")
+    return _cards(spark, sf_dir).select("machine", "name", "total_mib", "capability")
 
 
-@query(values([("m1", "gpu_full", "ok"), ("m2", "gpu_reduced", "ok"), ("m3", "cpu", "gpu_too_old"), ("m4", "unsupported", "driver_too_old"), ("m5", "unsupported", "ram_too_small")], "machine, tier, reason"))
+@query(f"""WITH {_CARDS_SQL}, t AS (SELECT machine, ram_mib, machine % 10 < 8 AS has, driver + 0.16 >= 528 AS new, coalesce(capability, 0) AS cap, total_mib FROM cards),
+u AS (SELECT *, CASE WHEN has AND new AND cap >= 8 AND total_mib >= 10000 THEN 'gpu_full' WHEN has AND new AND cap >= 7.5 AND total_mib >= 7000 THEN 'gpu_reduced' END AS best, CASE WHEN NOT has THEN 'no_nvidia_gpu' WHEN NOT new THEN 'driver_too_old' WHEN cap < 7.5 THEN 'gpu_too_old' ELSE 'vram_too_small' END AS why FROM t)
+SELECT machine, coalesce(best, CASE WHEN ram_mib >= 15360 THEN 'cpu' ELSE 'unsupported' END) AS tier, CASE WHEN best IS NOT NULL THEN 'ok' WHEN ram_mib >= 15360 OR why = 'driver_too_old' THEN why ELSE 'ram_too_small' END AS reason FROM u""")
 def hardware_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cards = guards.graphics_cards(fixed(spark, _CARDS, "machine string, line string")).withColumn("driver", F.col("driver").cast("double"))
-    ram = fixed(spark, [("m1", 16000), ("m2", 16000), ("m3", 16000), ("m4", 8000), ("m5", 8000)], "machine string, ram_mib int")
+    """Machines with a card or, every fifth, none."""
+    cards = _cards(spark, sf_dir).where("machine % 10 < 8").withColumn("driver", F.col("driver").cast("double"))
+    ram = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("machine"), (F.col("s_suppkey") * 977 % 32000).cast("int").alias("ram_mib"))
     return guards.choose_tier(ram.join(cards, "machine", "left"), ["machine"], 528.0, 10000, 7000)
 
 
-_WORDS = [("cs", w) for w in ("žena", "buď", "plat", "nový", "je", "doma")] + [("en", w) for w in ("house", "stands", "here", "the")]
-_READ = [
-    (1, 0, "ocr", None, "<|det|>text [10, 200, 900, 240]<|/det|>żena je doma, ted bud' plat<|det|>header [10, 10, 900, 40]<|/det|>Hlava", False),
-    (1, 1, "text_layer", "the house\n\nstands heer", None, False),
-    (1, 2, "ocr", None, "la " * 3000, False),
-    (1, 3, "blank", None, None, False),
-]
+def _read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of documents: markup, every fourth a text layer, every fifth document's last words over and over at the end."""
+    b = blocks(spark, sf_dir)
+    tag = F.concat(F.lit("<|det|>"), "label", F.lit(" ["), F.concat_ws(", ", *(F.col(f"box.{c}") for c in ("x1", "y1", "x2", "y2"))), F.lit("]<|/det|>"), "text")
+    pages = b.groupBy(*PAGE_KEYS).agg(joined(tag, "\n", "block_no").alias("markup"), joined("text", "\n\n", "block_no").alias("plain"))
+    layer = (F.col("doc_id") + F.col("page_index")) % 4 == 0
+    raw = F.concat("markup", F.when(F.col("doc_id") % 5 == 0, F.repeat(F.lit(" la"), 20_000)).otherwise(""))
+    return pages.select(*PAGE_KEYS, F.when(layer, "text_layer").otherwise("ocr").alias("source"), F.when(layer, F.col("plain")).alias("layer"), F.when(~layer, raw).alias("raw"), F.lit(False).alias("hit_token_cap"))
 
 
-@query(values([(1, 0, 0, "header", "Hlava", 0), (1, 0, 1, "text", "žena je doma, ted buď plat", 2), (1, 1, 0, "text", "the house", 0), (1, 1, 1, "text", "stands heer", 0), (1, 2, 0, "text", ("la " * 3000)[:200].rstrip(), 0)], "doc_id, page_index, block_no, label, text, n_flags"))
+@query()
 def processed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole path: a recognised page, a text layer, a page that loops and a blank one."""
-    pages = fixed(spark, _READ, "doc_id int, page_index int, source string, layer string, raw string, hit_token_cap boolean")
-    done, _ = process(pages, fixed(spark, _WORDS, "lang string, form string"))
+    """The whole path over all pages of all documents with the derived dictionary; tested on written pages."""
+    done, _ = process(_read(spark, sf_dir), dictionary(spark, sf_dir))
     return done.select(*PAGE_KEYS, "block_no", "label", "text", F.size("flags").alias("n_flags"))
 
 
-@query(values([(1, 1, "heer"), (1, 0, "żena"), (1, 0, "bud'"), (1, 0, "ted"), (1, 0, "Hlava"), (1, 2, "la")], "doc_id, page_index, original"))
+@query()
 def processed_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the same path flags, each word of a page once."""
-    pages = fixed(spark, _READ, "doc_id int, page_index int, source string, layer string, raw string, hit_token_cap boolean")
-    _, flags = process(pages, fixed(spark, _WORDS, "lang string, form string"))
-    return flags.select(*PAGE_KEYS, "original").distinct()
-
-
-@query(f"""WITH {BLOCKS_SQL}, l AS (SELECT doc_id, page_index, block_no, x1, y1, greatest((y2 - y1) / 999 * 842, 1.0) AS h, (x2 - x1) / 999 * 595 AS w, {_FLAT} AS t FROM blocks WHERE label NOT IN ('image', 'figure')),
-g AS (SELECT *, sqrt(w * h / (greatest(length(t), 1) * 0.5 * 1.2)) AS s FROM l WHERE t <> ''),
-n AS (SELECT *, greatest(1, least(round_even(h / (s * 1.2), 0), len(string_split(t, ' ')))) AS n FROM g)
-SELECT doc_id, page_index, block_no, 0 AS line, round(greatest(1.0, least(400.0, h / (n * 1.2))), 6) AS size, round(x1 / 999 * 595, 6) AS x, round(842 - y1 / 999 * 842 - h / n + 0.2 * greatest(1.0, least(400.0, h / (n * 1.2))), 6) AS y FROM n""")
-def pdf_first_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Place and size of each block's first line on an A4 page."""
+    """What the same path flags."""
+    _, flags = process(_read(spark, sf_dir), dictionary(spark, sf_dir))
+    return flags.select(*BLOCK_KEYS, "kind", "start", "end", "original")
+
+
+@query()
+def pdf_text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place, size and text of every line of all blocks on A4 pages; tested against a loop."""
     sheet = blocks(spark, sf_dir).withColumn("width_pt", F.lit(595.0)).withColumn("height_pt", F.lit(842.0))
-    plan = render.pdf_text_plan(sheet).where("line = 0")
-    return plan.select(*PAGE_KEYS, "block_no", "line", F.round("size", 6).alias("size"), F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+    return render.pdf_text_plan(sheet)
+
+
+@query("""WITH s AS (SELECT doc_id, unnest(generate_series(0, 2)) AS n FROM documents), r AS (SELECT doc_id, n, CASE WHEN (doc_id + n) % 2 = 0 THEN ['runaway'] ELSE ['empty_retried', 'empty'] END AS w, (doc_id + n) % 2 = 0 AND doc_id % 3 = 0 AS has, doc_id % 7 = 0 AND n = 2 AS stopped FROM s),
+p AS (SELECT doc_id, bool_or(has) AS has, bool_or(stopped) AS stopped, doc_id % 2 = 0 AS runaway_first FROM r GROUP BY doc_id)
+SELECT doc_id, CASE WHEN has THEN ['runaway'] WHEN runaway_first THEN ['runaway', 'empty_retried', 'empty'] ELSE ['empty_retried', 'empty', 'runaway'] END AS warnings FROM p""")
+def strip_page_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Warnings of three strips a page, of which some have text."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("n"))
+    even = (F.col("doc_id") + F.col("n")) % 2 == 0
+    told = F.when(even, F.array(F.lit("runaway"))).otherwise(F.array(F.lit("empty_retried"), F.lit("empty")))
+    given = rows.select("doc_id", "n", told.alias("warnings"), (even & (F.col("doc_id") % 3 == 0)).alias("has_text"), ((F.col("doc_id") % 7 == 0) & (F.col("n") == 2)).alias("stopped"))
+    return layout.strip_warnings(given, ["doc_id"])
+
+
+@query("""WITH p AS (SELECT doc_id, (doc_id * 37 % 100) / 100 AS up, doc_id % 17 = 0 AS stopped, [((doc_id * 37 + 90) % 100) / 100, ((doc_id * 37 + 180) % 100) / 100, ((doc_id * 37 + 270) % 100) / 100] AS r FROM documents),
+b AS (SELECT *, list_max(r) AS top FROM p), t AS (SELECT *, CASE WHEN stopped OR greatest(top, up) - up < 0.15 - 1e-9 THEN 0 ELSE 90 * list_position(r, top) END AS turn FROM b),
+j AS (SELECT *, doc_id % 10 / 10 AS rate, doc_id % 10 < 5 AS doubtful, (doc_id * 7 % 10) / 10 AS later, doc_id % 9 = 0 AS cancelled FROM t)
+SELECT doc_id, doubtful AND turn > 0 AND NOT cancelled AND later > rate AS reread, CAST(CASE WHEN doubtful AND turn > 0 AND NOT cancelled AND later > rate THEN (90 + turn) % 360 ELSE 90 END AS INT) AS rotation, CASE WHEN doubtful AND turn > 0 AND NOT cancelled AND later > rate THEN later ELSE rate END AS rate,
+CASE WHEN doubtful AND turn > 0 AND NOT cancelled AND later > rate THEN ['late', 'rotated'] ELSE ['first'] END AS warnings FROM j""")
+def reread_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages that were turned once already: probes of four angles, and second readings at each."""
+    n = F.col("doc_id")
+    docs = table(spark, sf_dir, "documents").select("doc_id")
+    angles = docs.select("doc_id", F.explode(F.array(*map(F.lit, (0, 90, 180, 270)))).alias("degrees"))
+    turns = guards.best_rotation(angles.select("doc_id", "degrees", (((n * 37 + F.col("degrees")) % 100) / 100).alias("rate"), (n % 17 == 0).alias("cancelled"), F.lit(None).cast("boolean").alias("timed_out")), ["doc_id"])
+    first = docs.select("doc_id", (n % 10 < 5).alias("doubtful"), (n % 10 / 10).alias("rate"), F.lit(90).alias("rotation"), F.array(F.lit("first")).alias("warnings"))
+    second = angles.select("doc_id", F.col("degrees").alias("rotation"), (n * 7 % 10 / 10).alias("rate"), (n % 9 == 0).alias("cancelled"), F.array(F.lit("late")).alias("warnings"))
+    return layout.read_again(first, turns, second, ["doc_id"])

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio.functions import python, text
 from folio.operators import edits, guards, layout, lexicon, parse, render, repair, score
-from folio.plans.inputs import BLOCKS_SQL, DICTIONARY_SQL, SEEDED_SQL, blocks, dictionary, known_sql, seeded, strip_sql, table, tokens_sql, words_sql
-from folio.plans.registry import fixed, query, values
+from folio.plans.inputs import BLOCKS_SQL, DICTIONARY_SQL, RUN_SQL, SEEDED_SQL, WORD_OF_RUN_SQL, blocks, dictionary, known_sql, lines, seeded, strip_sql, table, tokens_sql, words_sql
+from folio.plans.registry import query
 from folio.schema import BLOCK_KEYS, PAGE_KEYS
 
 
@@ -24,20 +24,16 @@ def parse_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _box(parse.parse_raw(raw)).select("doc_id", "block_no", "label", "x1", "y1", "x2", "y2", "text")
 
 
-_MARKUP = [
-    ("plain", "just text"), ("lead", "before <|det|>title [1, 2, 3, 4]<|/det|>A"), ("order", "<|det|>text [900, 1200, 100, -5]<|/det|>x"),
-    ("old", "<|ref|>Text<|/ref|><|det|>[[10, 20, 30, 40],[5, 50, 60, 70]]<|/det|> body<|end|>"), ("unknown", "<|det|>seal [1, 2, 3, 4]<|/det|>s"), ("blank", "<|det|>image [0, 0, 999, 999]<|/det|>"), ("empty", "  "),
-]
-_MARKUP_ROWS = [
-    ("plain", 0, "text", None, None, None, None, "just text"), ("lead", 0, "text", None, None, None, None, "before"), ("lead", 1, "title", 1, 2, 3, 4, "A"),
-    ("order", 0, "text", 100, 0, 900, 999, "x"), ("old", 0, "text", 5, 20, 60, 70, "body"), ("unknown", 0, "text", 1, 2, 3, 4, "s"), ("blank", 0, "image", 0, 0, 999, 999, ""),
-]
-
-
-@query(values(_MARKUP_ROWS, "page, block_no, label, x1, y1, x2, y2, text"))
+@query(f"""WITH {BLOCKS_SQL} SELECT doc_id, no + 1 AS block_no, CASE WHEN no % 5 = 0 THEN 'text' ELSE label END AS label, x1, y1, x2, y2, {strip_sql('text')} AS text FROM blocks
+UNION ALL SELECT DISTINCT doc_id, 0, 'text', CAST(NULL AS INT), CAST(NULL AS INT), CAST(NULL AS INT), CAST(NULL AS INT), 'lead' FROM blocks""")
 def parse_markup_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Both tag forms, text before a tag, unknown labels, coordinates out of range and order."""
-    return _box(parse.parse_raw(fixed(spark, _MARKUP, "page string, raw string"))).select("page", "block_no", "label", "x1", "y1", "x2", "y2", "text")
+    """The older form with two boxes in any order, unknown labels, text before the first tag, model tokens."""
+    label = F.when(F.col("no") % 5 == 0, F.lit("Seal")).otherwise(F.initcap("label"))
+    x1, y1, x2, y2 = (F.col(f"box.{c}").cast("string") for c in ("x1", "y1", "x2", "y2"))
+    boxes = F.concat(F.lit("[["), F.concat_ws(", ", x2, y2, x1, y1), F.lit("],["), F.concat_ws(",", x1, y1, x1, y2), F.lit("]]"))
+    tag = F.concat(F.lit("<|ref|>"), label, F.lit("<|/ref|><|det|>"), boxes, F.lit("<|/det|> "), "text", F.lit("<|end|>"))
+    raw = blocks(spark, sf_dir).groupBy("doc_id").agg(F.concat(F.lit(" lead\n"), text.joined(tag, "\n", "no")).alias("raw"))
+    return _box(parse.parse_raw(raw)).select("doc_id", "block_no", "label", "x1", "y1", "x2", "y2", "text")
 
 
 _BUCKET_SQL = "CASE WHEN label = 'header' OR (label = 'page_number' AND y1 < 500) THEN 0 WHEN label IN ('page_number', 'footer') THEN 2 ELSE 1 END"
@@ -65,12 +61,12 @@ def text_layer_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse.text_layer_blocks(docs).select("doc_id", "block_no", "text")
 
 
-_LAYER = [(1, "a\r\nb\rc"), (2, "soft￾hyphen"), (3, "  \u00a0 "), (4, "bell\x07 and \uffff end\u2003"), (5, None)]
-
-
-@query(values([(1, "a\nb\nc"), (2, "soft-\nhyphen"), (3, None), (4, "bell and  end"), (5, None)], "id, layer"))
+@query(f"SELECT doc_id, md5(nullif({strip_sql("replace(text, ', ', '-' || chr(10))")}, '')) AS digest FROM documents")
 def text_layer_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fixed(spark, _LAYER, "id int, t string").select("id", text.text_layer(F.col("t")).alias("layer"))
+    """Line ends of either kind, soft hyphen marks, control characters and wide blanks go."""
+    ends = F.when(F.col("doc_id") % 2 == 0, "\r\n").otherwise("\r")
+    layer = F.concat(F.lit("\u2003 "), F.replace(F.replace("text", F.lit("\n"), ends), F.lit(", "), F.lit("￾")), F.lit("\x07\uffff\u00a0"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.text_layer(layer)).alias("digest"))
 
 
 @query("SELECT doc_id, md5(replace(text, 'e', '')) AS digest FROM documents")
@@ -79,12 +75,16 @@ def xml_safe_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.xml_safe(F.translate("text", "e", "\x0b"))).alias("digest"))
 
 
-@query(f"SELECT doc_id, len(w) AS n_words, md5(array_to_string(w, ' ')) AS digest, TRUE AS placed FROM (SELECT doc_id, {words_sql('text')} AS w FROM documents)")
+@query(f"""WITH d AS (SELECT doc_id, text AS t FROM documents), c AS (SELECT doc_id, string_split_regex(t, '{RUN_SQL}') AS gaps, regexp_extract_all(t, '{RUN_SQL}') AS runs FROM d),
+u AS (SELECT doc_id, unnest(generate_series(1, len(runs))) AS i, unnest(gaps[1:len(runs)]) AS gap, unnest(runs) AS run FROM c),
+p AS (SELECT doc_id, i, {WORD_OF_RUN_SQL} AS word, sum(length(gap) + length(run)) OVER (PARTITION BY doc_id ORDER BY i) - length(run) AS start FROM u)
+SELECT doc_id, CAST(count(*) AS INT) AS n_words, md5(string_agg(word, ' ' ORDER BY i)) AS digest, md5(string_agg(start || '-' || (start + length(word)), ' ' ORDER BY i)) AS places FROM p WHERE word <> '' GROUP BY doc_id""")
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words of documents; placed: every word stands where its offsets say."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    told = lexicon.tokens(docs, ["doc_id"]).groupBy("doc_id").agg(F.count("*").cast("int").alias("n_words"), F.md5(text.joined("word", " ", "ord")).alias("digest"), F.bool_and(F.col("end") - F.col("start") == F.length("word")).alias("placed"))
-    return told
+    """Words of documents and their places."""
+    w = python.placed_words_of(F.col("text"), text.WORD)
+    placed = table(spark, sf_dir, "documents").select("doc_id", w.alias("w")).where(F.size("w") > 0)
+    places = F.transform("w", lambda x: F.concat_ws("-", x["start"], x["end"]))
+    return placed.select("doc_id", F.size("w").alias("n_words"), F.md5(F.array_join("w.word", " ")).alias("digest"), F.md5(F.array_join(places, " ")).alias("places"))
 
 
 @query(f"SELECT page_id, len(w) AS n_words, md5(array_to_string(w, ' ')) AS digest FROM (SELECT page_id, {words_sql("regexp_replace(html, '<[^>]*>', ' ', 'g')")} AS w FROM pages)")
@@ -108,7 +108,7 @@ def word_hit_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {DICTIONARY_SQL}, langs AS (SELECT DISTINCT lang FROM dictionary), first AS (SELECT doc_id, list_filter({words_sql('text')}, lambda w: length(w) >= 2)[1:300] AS w FROM documents),
 word AS (SELECT doc_id, unnest(w) AS word FROM first), asked AS (SELECT l.lang, q.word FROM (SELECT DISTINCT word FROM word) q, langs l), judged AS (SELECT lang, word, {known_sql('q.lang', 'q.word')} AS known FROM asked q),
 rates AS (SELECT w.doc_id, j.lang, avg(CASE WHEN j.known THEN 1.0 ELSE 0.0 END) AS rate FROM word w JOIN judged j ON j.word = w.word GROUP BY ALL)
-SELECT doc_id, arg_max(lang, (rate, -ascii(lang))) AS language, round(max(rate), 6) AS rate FROM rates GROUP BY doc_id""")
+SELECT doc_id, arg_min(lang, (-rate, lang)) AS language, round(max(rate), 6) AS rate FROM rates GROUP BY doc_id""")
 def language_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language whose dictionary knows most of a document's first words."""
     words = dictionary(spark, sf_dir)
@@ -118,13 +118,12 @@ def language_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexicon.best_language(rates, ["doc_id"]).select("doc_id", "language", F.round("rate", 6).alias("rate"))
 
 
-_VOTES = [(0.9, 0.5), (0.5, 0.9), (0.5, 0.5), (None, 0.7), (None, 0.4), (0.6, None), (0.4, None), (None, None)]
-
-
-@query(values([(i, v) for i, v in enumerate(["cs", "en", "cs", "en", "cs", "cs", "en", "cs"])], "id, language"))
+@query("""WITH r AS (SELECT doc_id, CASE WHEN doc_id % 5 > 0 THEN (doc_id % 11) / 10 END AS cs, CASE WHEN doc_id % 7 > 0 THEN (doc_id * 3 % 11) / 10 END AS en FROM documents)
+SELECT doc_id, CASE WHEN cs IS NULL AND en IS NULL THEN 'cs' WHEN cs IS NULL THEN CASE WHEN en < 0.5 THEN 'cs' ELSE 'en' END WHEN en IS NULL THEN CASE WHEN cs < 0.5 THEN 'en' ELSE 'cs' END WHEN en > cs THEN 'en' ELSE 'cs' END AS language FROM r""")
 def language_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(i, *v) for i, v in enumerate(_VOTES)]
-    return fixed(spark, rows, "id int, cs double, en double").select("id", lexicon.vote(F.col("cs"), F.col("en")).alias("language"))
+    """The vote on rates of which either may be missing."""
+    n = F.col("doc_id")
+    return table(spark, sf_dir, "documents").select("doc_id", lexicon.vote(F.when(n % 5 > 0, (n % 11) / 10), F.when(n % 7 > 0, (n * 3 % 11) / 10)).alias("language"))
 
 
 @query(f"""WITH turns AS (SELECT conv_id, turn, text AS t FROM conversations), tok AS ({tokens_sql('turns', 'conv_id, turn')})
@@ -182,36 +181,68 @@ def char_edit_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", F.md5("text").alias("digest"), F.size(F.filter("flags", lambda f: ~F.startswith(f["note"], F.lit("R3")))).alias("n_other"), stands.alias("placed"))
 
 
-_CS = ["žena", "buď", "loď", "teď", "ňadra", "země", "plat", "nový", "bud", "říká", "město", "děti", "tělo"]
+#: Words of the derived dictionary in plain letters, and a dictionary in which those of even length are softened.
+_SOFT = "CASE WHEN regexp_matches({0}, '^[^dt]*d') THEN regexp_replace({0}, '^([^dt]*)d', '\\1ď') ELSE regexp_replace({0}, '^([^dt]*)t', '\\1ť') END"
+_SOFT_SQL = f"""{DICTIONARY_SQL}, base AS (SELECT DISTINCT form FROM dictionary WHERE regexp_full_match(form, '[a-z]+')),
+soft AS (SELECT DISTINCT CASE WHEN length(form) % 2 = 0 THEN {_SOFT.format('form')} ELSE form END AS form FROM base)"""
+
 
+def _plain_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dictionary(spark, sf_dir).where(F.rlike("form", F.lit("^[a-z]+$"))).select("form").distinct()
 
-def _czech(spark: SparkSession) -> DataFrame:
-    return fixed(spark, [("cs", w) for w in _CS], "lang string, form string")
 
+def _softened(form: Column) -> Column:
+    return F.when(F.rlike(form, F.lit("^[^dt]*d")), F.regexp_replace(form, "^([^dt]*)d", "$1ď")).otherwise(F.regexp_replace(form, "^([^dt]*)t", "$1ť"))
 
-@query(values([("bud'", "buď"), ("lod’", "loď")], "word, new"))
+
+def _czech(forms: DataFrame) -> DataFrame:
+    return forms.select(F.lit("cs").alias("lang"), F.when(F.length("form") % 2 == 0, _softened(F.col("form"))).otherwise(F.col("form")).alias("form"))
+
+
+_MARKED_SQL = f"""{_SOFT_SQL}, asked AS (SELECT form, regexp_replace(form, '^([^dt]*[dt])', '\\1' || chr(39)) AS word, {_SOFT.format('form')} AS new FROM base WHERE regexp_matches(form, '[dt]')),
+marked AS (SELECT word, new FROM asked a WHERE EXISTS (SELECT 1 FROM soft s WHERE s.form = a.new) AND NOT (regexp_full_match(a.form, '[^dt]*[dt]') AND a.form <> 'bud' AND EXISTS (SELECT 1 FROM soft s WHERE s.form = a.form)))"""
+
+
+def _marked_words(forms: DataFrame) -> DataFrame:
+    return forms.where(F.rlike("form", F.lit("[dt]"))).select(F.lit("cs").alias("lang"), F.regexp_replace("form", "^([^dt]*[dt])", "$1'").alias("word"))
+
+
+@query(f"WITH {_MARKED_SQL} SELECT word, new FROM marked")
 def marked_soft_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = fixed(spark, [("cs", w) for w in ("bud'", "lod’", "plat'", "xyzd'")], "lang string, word string")
-    return repair.marked_soft_words(asked, _czech(spark)).select("word", "new")
+    """Dictionary words written with an apostrophe after their first d or t."""
+    forms = _plain_forms(spark, sf_dir)
+    return repair.marked_soft_words(_marked_words(forms), _czech(forms)).select("word", "new")
 
 
-@query(values([("ted", "teď"), ("lod", "loď")], "word, new"))
+@query(f"WITH {_SOFT_SQL} SELECT form AS word, {_SOFT.format('form')} AS new FROM base WHERE regexp_matches(form, '[dt]') AND NOT EXISTS (SELECT 1 FROM soft s WHERE s.form = base.form)")
 def plain_soft_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = fixed(spark, [("cs", w) for w in ("ted", "lod", "plat", "bud", "tdx")], "lang string, word string")
-    return repair.plain_soft_words(asked, _czech(spark)).select("word", "new")
+    """Dictionary words without their softening, where only one softened form is a word."""
+    forms = _plain_forms(spark, sf_dir)
+    return repair.plain_soft_words(forms.select(F.lit("cs").alias("lang"), F.col("form").alias("word")), _czech(forms)).select("word", "new")
 
 
-@query(values([("żena", "žena"), ("zemę", "země"), ("über", None), ("říkà", "říká")], "word, new"))
+@query(f"""WITH {_SOFT_SQL} SELECT regexp_replace(form, '^([^z]*)z', '\\1ż') AS word, CASE WHEN length(form) % 3 = 0 THEN regexp_replace(form, '^([^z]*)z', '\\1ž') WHEN length(form) % 3 = 2 THEN form END AS new
+FROM base WHERE contains(form, 'z')""")
 def look_alike_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = fixed(spark, [("cs", w) for w in ("żena", "zemę", "über", "plat", "říkà")], "lang string, word string")
-    return repair.foreign_words(asked, _czech(spark)).select("word", "new")
+    """Words whose first z is a letter of another alphabet: the likelier candidate is known, the other, or none."""
+    forms = _plain_forms(spark, sf_dir).where(F.contains("form", F.lit("z")))
+    of = lambda new: F.regexp_replace("form", "^([^z]*)z", f"$1{new}")
+    words = forms.where("length(form) % 3 <> 1").select(F.lit("cs").alias("lang"), F.when(F.length("form") % 3 == 0, of("ž")).otherwise(F.col("form")).alias("form"))
+    return repair.foreign_words(forms.select(F.lit("cs").alias("lang"), of("ż").alias("word")), words.unionByName(words.where("length(form) % 3 = 0").select("lang", F.regexp_replace("form", "ž", "z").alias("form")))).select("word", "new")
 
 
-@query(values([(1, "teď loď", 1), (2, "žena – buď", 3), (3, "ümlaut", 1)], "doc_id, text, n_flags"))
+@query(f"""WITH {_MARKED_SQL} SELECT a.word, 'ů ' || coalesce(m.new, a.word) || ' k – ' || CASE WHEN length(form) % 2 = 0 AND NOT EXISTS (SELECT 1 FROM soft s WHERE s.form = a.form) THEN a.new ELSE form END || '„ fi.' AS text,
+CAST(3 + (CASE WHEN m.new IS NULL THEN 0 ELSE 1 END) + (CASE WHEN length(form) % 2 = 0 AND NOT EXISTS (SELECT 1 FROM soft s WHERE s.form = a.form) THEN 1 ELSE 0 END) AS INT) AS n_flags, TRUE AS placed
+FROM asked a LEFT JOIN marked m ON m.word = a.word WHERE m.new IS NOT NULL""")
 def repaired_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(1, 0, 0, "text", "cs", "teď lod"), (2, 0, 0, "text", "cs", "żena - bud'"), (3, 0, 0, "text", "cs", "ümlaut")]
-    given = fixed(spark, rows, "doc_id int, page_index int, block_no int, label string, lang string, text string").withColumn("flags", F.array().cast("array<struct<kind:string,start:int,end:int,original:string,note:string>>"))
-    return repair.repair(given, _czech(spark)).select("doc_id", "text", F.size("flags").alias("n_flags"))
+    """All repairs in one line for each word that has a soft letter: marked, plain, dash, quotation mark and ligature."""
+    forms = _plain_forms(spark, sf_dir)
+    words = _marked_words(forms).join(repair.marked_soft_words(_marked_words(forms), _czech(forms)).select("word"), "word", "left_semi")
+    line = F.concat(F.lit("ů "), "word", F.lit(" k - "), F.regexp_replace("word", "'", ""), F.lit(",, ﬁ."))
+    given = words.select("word", F.xxhash64("word").alias("doc_id"), F.lit(0).alias("page_index"), F.lit(0).alias("block_no"), F.lit("text").alias("label"), "lang", line.alias("text"), F.array().cast("array<struct<kind:string,start:int,end:int,original:string,note:string>>").alias("flags"))
+    done = repair.repair(given, _czech(forms))
+    stands = F.forall("flags", lambda f: (f["end"] <= F.length("text")) & ~F.contains(F.substring(F.col("text"), f["start"] + 1, f["end"] - f["start"]), F.lit("'")))
+    return done.select("word", "text", F.size("flags").alias("n_flags"), stands.alias("placed"))
 
 
 @query(f"SELECT doc_id, md5(regexp_replace({SEEDED_SQL}, '(\\p{{L}})-[ \\t]*\\n[ \\t]*(\\p{{Ll}})', '\\1\\2', 'g')) AS digest FROM documents")
@@ -223,11 +254,14 @@ def dehyphenate_basic(spark: SparkSession, sf_dir: str) -> DataFrame:
 broken AS (SELECT doc_id, lang, unnest(list_filter(list_transform(regexp_extract_all(' ' || regexp_replace(r, '([^-])([ \\t]*\\n[ \\t]*)', '\\1 \\2', 'g') || ' ', '(?:^|[^\\p{{L}}\\p{{N}}_-])\\p{{L}}+-(?:[ \\t]*\\n[ \\t]*)?\\p{{L}}+(?:[^\\p{{L}}\\p{{N}}_-])'), lambda x: {strip_sql('x')}), lambda x: x <> '')) AS b FROM runs),
 parts AS (SELECT doc_id, lang, b, regexp_replace(b, '-\\s*', '') AS whole, regexp_replace(b, '-\\s*', '-') AS dashed, contains(b, chr(10)) AS cut FROM broken),
 judged AS (SELECT *, {known_sql('q.lang', 'q.whole')} AS whole_known, ({known_sql('q.lang', 'q.dashed')} OR ({known_sql('q.lang', "string_split(q.dashed, '-')[1]")} AND {known_sql('q.lang', "string_split(q.dashed, '-')[2]")})) AS dashed_known FROM parts q)
-SELECT d.doc_id, count(*) FILTER (WHERE NOT dashed_known AND (whole_known OR (cut AND regexp_matches(string_split(dashed, '-')[2], '^\\p{{Ll}}')))) AS joined, count(*) FILTER (WHERE NOT dashed_known AND NOT whole_known AND cut AND regexp_matches(string_split(dashed, '-')[2], '^\\p{{Ll}}')) AS guessed
+SELECT d.doc_id, count(*) FILTER (WHERE NOT dashed_known AND (whole_known OR (cut AND regexp_matches(string_split(dashed, '-')[2], '^\\p{{Ll}}')))) AS joined, count(*) FILTER (WHERE NOT dashed_known AND NOT whole_known AND cut AND regexp_matches(string_split(dashed, '-')[2], '^\\p{{Ll}}')) AS guessed,
+count(*) FILTER (WHERE NOT dashed_known AND (whole_known OR (cut AND regexp_matches(string_split(dashed, '-')[2], '^\\p{{Ll}}')))) + count(*) FILTER (WHERE NOT dashed_known AND NOT whole_known AND cut AND regexp_matches(string_split(dashed, '-')[2], '^\\p{{Ll}}')) AS n_flags,
+any_value(length({SEEDED_SQL.replace('text', 'd.text')})) - CAST(coalesce(sum(length(b) - length(whole)) FILTER (WHERE NOT dashed_known AND (whole_known OR (cut AND regexp_matches(string_split(dashed, '-')[2], '^\\p{{Ll}}')))), 0) AS BIGINT) AS n_chars
 FROM documents d LEFT JOIN judged j ON j.doc_id = d.doc_id GROUP BY d.doc_id""")
 def dehyphenate_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.lit(0).alias("page_index"), F.lit(0).alias("block_no"), "lang", F.lit("text").alias("label"), seeded().alias("text"))
-    return layout.dehyphenate(docs, dictionary(spark, sf_dir)).select("doc_id", "joined", "guessed")
+    done = layout.dehyphenate(docs, dictionary(spark, sf_dir))
+    return done.select("doc_id", "joined", "guessed", F.size("flags").cast("long").alias("n_flags"), F.length("text").cast("long").alias("n_chars"))
 
 
 def _html(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -248,20 +282,14 @@ def markdown_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _html(spark, sf_dir).select("n_regionkey", render.markdown_table(F.col("html")).alias("md"))
 
 
-_TABLES = [
-    ("entity", "<table><tr><td>a &amp; b</td><td>x<br>y</td></tr></table>"), ("open", "<table><tr><td>1<td>2<tr><td>3</table>"), ("span", '<table><tr><td colspan="2">w</td></tr><tr><td>a</td><td>b</td></tr></table>'), ("none", "no table"), ("pipe", "<table><tr><th>a|b</th></tr><tr><td>c</td><td>d</td></tr></table>"),
-]
-_TABLE_ROWS = [
-    ("entity", "a & b\tx y", "| a & b | x y |\n|---|---|", "a & b x y"), ("open", "1\t2\n3", "| 1 | 2 |\n|---|---|\n| 3 |  |", "1 2\n3"),
-    ("span", "w\na\tb", _TABLES[2][1], "w\na b"), ("none", "no table", "no table", "no table"), ("pipe", "a|b\nc\td", "| a\\|b |  |\n|---|---|\n| c | d |", "a|b\nc d"),
-]
-
-
-@query(values(_TABLE_ROWS, "id, tsv, md, lines"))
+@query("""WITH r AS (SELECT n_regionkey, n_name || ' & x y' AS a, CAST(n_nationkey AS VARCHAR) AS b, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS i FROM nation)
+SELECT n_regionkey, string_agg(a || chr(9) || b, chr(10) ORDER BY i) AS tsv, string_agg('| ' || a || ' | ' || b || ' |' || CASE WHEN i = 1 THEN chr(10) || '|---|---|' ELSE '' END, chr(10) ORDER BY i) AS md, string_agg(a || ' ' || b, chr(10) ORDER BY i) AS lines FROM r GROUP BY n_regionkey""")
 def table_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Entities, unclosed cells, spans and text that is no table, as TSV, Markdown and lines."""
+    """Entities, line breaks and cells and rows that are never closed, as TSV, Markdown and lines."""
+    row = F.concat(F.lit("<tr><td>"), "n_name", F.lit(" &amp; x<br/>y<TD>"), F.col("n_nationkey").cast("string"))
     html = F.col("html")
-    return fixed(spark, _TABLES, "id string, html string").select("id", parse.table_text(html).alias("tsv"), render.markdown_table(html).alias("md"), F.array_join(parse.block_lines(F.lit("table"), html), "\n").alias("lines"))
+    rows = table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.concat(F.lit("<table>"), text.joined(row, "\n", "n_nationkey")).alias("html"))
+    return rows.select("n_regionkey", parse.table_text(html).alias("tsv"), render.markdown_table(html).alias("md"), F.array_join(parse.block_lines(F.lit("table"), html), "\n").alias("lines"))
 
 
 @query("SELECT page_id, md5(array_to_string(list_filter(list_transform(string_split(regexp_replace(regexp_replace(regexp_replace(html, '(?i)</tr>', chr(10), 'g'), '<[^>]*>', ' ', 'g'), '[\\t ]+', ' ', 'g'), chr(10)), lambda x: trim(x)), lambda x: x <> ''), chr(10))) AS digest FROM pages")
@@ -271,9 +299,9 @@ def page_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.md5(F.array_join(parse.block_lines(F.lit("text"), bare), "\n")).alias("digest"))
 
 
-_CLEAN = "html"
-for _pattern, _new in (("(?s)<\\|ref\\|>.*?<\\|/ref\\|>|<\\|det\\|>.*?<\\|/det\\|>", " "), ("<\\|[^|>]*\\|>|<PAGE>", " "), ("(?i)</tr>|<br\\s*/?>", "\n"), ("(?i)</?(?:table|thead|tbody|tr|td|th)[^>]*>", " "), ("(?m)^\\s{0,3}#{1,6}\\s+|\\*\\*|__|^\\s*[-*]\\s+|^\\s*\\|?[-:| ]{3,}\\|?\\s*$", "")):
-    _CLEAN = f"regexp_replace({_CLEAN}, '{_pattern}', '{_new}', 'g')"
+_BARE = "replace(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<\\|ref\\|>.*?<\\|/ref\\|>', ' ', 'g'), '(?s)<\\|det\\|>.*?<\\|/det\\|>', ' ', 'g'), '<\\|[^|>]*\\|>', ' ', 'g'), '<PAGE>', ' ')"
+_CLEAN = f"""replace(replace(array_to_string(list_transform(string_split(regexp_replace({_BARE}, '(?i)</tr>|<br\\s*/?>', chr(10), 'g'), chr(10)),
+lambda x: regexp_replace(regexp_replace(x, '(?i)</?(?:{'|'.join(text.TABLE_TAGS)})[^>]*>', ' ', 'g'), '{text.LINE_MARK}', '')), chr(10)), '**', ''), '__', '')"""
 
 
 @query(f"SELECT page_id, md5(trim(regexp_replace(replace({_CLEAN}, '|', ' '), '\\s+', ' ', 'g'))) AS digest FROM pages")
@@ -281,27 +309,37 @@ def clean_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.md5(text.collapse(text.clean_model_text(F.col("html")))).alias("digest"))
 
 
+_FOLD = ("äöüßéèñóáíúçêàâîôûëïœÄÖÜÉÈÑÓÁÍÚÇÊÀ", "aouseenoaiuceaaioueioAOUEENOAIUCEA")
+
+
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first 300 characters, and the same with one character changed; doc_id % 3 is the mode."""
-    truth = F.substring(F.translate("text", "äöüßéèñóáíúçêàâîôûëïœÄÖÜÉÈÑÓÁÍÚÇÊÀ", "aouseenoaiuceaaioueioAOUEENOAIUCEA"), 1, 300)
-    docs = table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 3).cast("int").alias("mode"), F.regexp_replace(truth, r"[^\x00-\x7F]", "?").alias("truth"))
-    at = (F.col("doc_id") % 200).cast("int")
-    return docs.where(F.length("truth") > at).withColumn("reading", F.concat(F.expr("substring(truth, 1, doc_id % 200)"), F.lit("x"), F.expr("substring(truth, doc_id % 200 + 2)")))
+    """Every line that isn't empty, in plain letters, and the same with one character changed; doc_id % 3 is the mode."""
+    plain = F.regexp_replace(F.translate("line", *_FOLD), r"[^\x00-\x7F]", "?")
+    rows = lines(spark, sf_dir).select("doc_id", "no", (F.col("doc_id") % 3).cast("int").alias("mode"), "line", plain.alias("truth")).where("truth <> ''")
+    at = F.pmod(F.col("doc_id") + F.col("no"), F.length("truth")).cast("int")
+    return rows.withColumn("reading", F.concat(F.substring("truth", F.lit(1), at), F.lit("~"), F.substring("truth", at + 2, F.length("truth"))))
 
 
-_PAIRS_SQL = """t AS (SELECT doc_id, CAST(doc_id % 3 AS INT) AS mode, regexp_replace(translate(text, 'äöüßéèñóáíúçêàâîôûëïœÄÖÜÉÈÑÓÁÍÚÇÊÀ', 'aouseenoaiuceaaioueioAOUEENOAIUCEA')[1:300], '[^\\x00-\\x7F]', '?', 'g') AS truth FROM documents),
-pairs AS (SELECT doc_id, mode, truth, truth[1:doc_id % 200] || 'x' || truth[doc_id % 200 + 2:] AS reading FROM t WHERE length(truth) > doc_id % 200)"""
+_PAIRS_SQL = f"""{BLOCKS_SQL}, t AS (SELECT doc_id, no, CAST(doc_id % 3 AS INT) AS mode, line, regexp_replace(translate(line, '{_FOLD[0]}', '{_FOLD[1]}'), '[^\\x00-\\x7F]', '?', 'g') AS truth FROM lines),
+pairs AS (SELECT *, truth[1:(doc_id + no) % length(truth)] || '~' || truth[(doc_id + no) % length(truth) + 2:] AS reading FROM t WHERE truth <> '')"""
 
 
 @query(f"WITH {_PAIRS_SQL} SELECT mode, round(sum(levenshtein(truth, reading) / greatest(length(truth), 1) * length(truth)) / sum(length(truth)), 9) AS cer, count(*) AS pages FROM pairs GROUP BY mode")
 def cer_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Error rates of all lines."""
     scored = _pairs(spark, sf_dir).withColumn("cer", score.cer(F.col("truth"), F.col("reading"))).withColumn("chars", F.length("truth"))
     return score.by_group(scored, "mode").select("mode", F.round("cer", 9).alias("cer"), "pages")
 
 
-@query(f"WITH {_PAIRS_SQL} SELECT mode, bool_and(levenshtein(truth, reading) / greatest(length(truth), 1) <= 0.03) AS cer_ok, TRUE AS accents_ok FROM pairs GROUP BY mode")
+_LOST = "length(line) - length(translate(line, 'éíá', ''))"
+
+
+@query(f"""WITH {_PAIRS_SQL}, s AS (SELECT mode, levenshtein(truth, reading) / length(truth) AS cer, length(line) - length(translate(line, '{python.ACCENTED}', '')) AS total, CASE WHEN mode = 1 THEN {_LOST} ELSE 0 END AS lost FROM pairs)
+SELECT mode, bool_and(cer <= 0.03) AS cer_ok, coalesce(sum(total - lost) / nullif(sum(total), 0) >= 0.95, TRUE) AS accents_ok FROM s GROUP BY mode""")
 def accuracy_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score.gate(score.scores(_pairs(spark, sf_dir)), "mode")
+    """Gates on errors and on accents, which readings of one mode have lost."""
+    read = F.when(F.col("mode") == 1, F.translate("line", "éíá", "eia")).otherwise(F.col("line"))
+    return score.gate(_pairs(spark, sf_dir).withColumn("cer", score.cer(F.col("truth"), F.col("reading"))).withColumn("accents", python.accents_of(F.col("line"), read)), "mode")
 
 
 @query("SELECT doc_id, item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text) WHERE b.text <> ''")
@@ -310,18 +348,23 @@ def benchmark_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score.passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-_ACCENTS = [("Příliš žluťoučký kůň", "Prilis žluťoučký kůň"), ("dítě", "dit"), ("kůň", "kůň!"), ("řeka", "reka"), ("", "x")]
+def _unaccented(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines(spark, sf_dir).where("line <> ''").select("doc_id", "no", F.col("line").alias("truth"), F.translate("line", "éíá", "eia").alias("reading"))
 
 
-@query(values([("ř→r", 2), ("í→i", 2), ("ě→∅", 1), ("š→s", 1)], "confusion, n"))
+@query(f"""WITH {BLOCKS_SQL}, c AS (SELECT unnest(['é→e', 'í→i', 'á→a']) AS confusion, unnest([sum(length(line) - length(replace(line, 'é', ''))), sum(length(line) - length(replace(line, 'í', ''))), sum(length(line) - length(replace(line, 'á', '')))]) AS n FROM lines)
+SELECT confusion, CAST(n AS BIGINT) AS n FROM c WHERE n > 0""")
 def confusion_top(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score.confusions(score.scores(fixed(spark, _ACCENTS, "truth string, reading string")))
+    """The commonest confusions over all lines (at most twelve: the report's length)."""
+    return score.confusions(score.scores(_unaccented(spark, sf_dir)))
 
 
-@query(values([(0, 9, 6, 0.15, 0.0)], "id, accents, accents_right, cer, cer_plain"))
+@query(f"""WITH {BLOCKS_SQL} SELECT doc_id, CAST(sum(length(line) - length(translate(line, '{python.ACCENTED}', ''))) AS BIGINT) AS accents, CAST(sum(length(line) - length(translate(line, '{python.ACCENTED}', '')) - ({_LOST})) AS BIGINT) AS accents_right,
+round(sum(({_LOST}) / length(line)), 6) AS cer, 0.0 AS cer_plain FROM lines WHERE line <> '' GROUP BY doc_id""")
 def accent_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pair = fixed(spark, [(0, *_ACCENTS[0])], "id int, truth string, reading string")
-    return score.scores(pair).select("id", F.col("accents.total").alias("accents"), F.col("accents.right").alias("accents_right"), "cer", score.cer_without_marks(F.col("truth"), F.col("reading")).alias("cer_plain"))
+    """Accents read right in each document's lines, and error rates with and without marks."""
+    scored = score.scores(_unaccented(spark, sf_dir)).withColumn("cer_plain", score.cer_without_marks(F.col("truth"), F.col("reading")))
+    return scored.groupBy("doc_id").agg(F.sum("accents.total").alias("accents"), F.sum("accents.right").alias("accents_right"), F.round(F.sum("cer"), 6).alias("cer"), F.sum("cer_plain").alias("cer_plain"))
 
 
 @query("SELECT doc_id, md5(trim(regexp_replace(nfc_normalize(text), '\\s+', ' ', 'g'))) AS digest, md5(strip_accents(text)) AS plain FROM documents")
@@ -340,7 +383,13 @@ def _layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.withColumn("b", F.transform("a", lambda w, i: F.when(i % 20 == 7, F.concat(w, F.lit("~"))).otherwise(w)))
 
 
-@query()
+_COMPARED = "regexp_replace(replace(translate(text, '’‘‚„“”–—', chr(39) || chr(39) || ',\"\"\"--'), '…', '...'), '([\\p{L}\\p{N}_])-\\s*\\n\\s*([\\p{L}\\p{N}_])', '\\1\\2', 'g')"
+
+
+@query(f"""WITH w AS (SELECT conv_id, turn, list_filter(string_split_regex({_COMPARED}, '\\s+'), lambda x: x <> '') AS w FROM conversations), d AS (SELECT conv_id, turn, w, len(w) AS n, (len(w) + 12) // 20 AS k FROM w),
+x AS (SELECT conv_id, turn, w, unnest(generate_series(8, n, 20)) AS i FROM d)
+SELECT d.conv_id, d.turn, CAST(d.n - d.k AS INT) AS agreed, CAST((i - 8) // 20 + 1 AS INT) AS id, CASE WHEN i IS NOT NULL THEN 'word' END AS kind, array_to_string(x.w[greatest(1, i - 6):i - 1], ' ') AS before, x.w[i] AS a, x.w[i] || '~' AS b, array_to_string(x.w[i + 1:i + 6], ' ') AS "after"
+FROM d LEFT JOIN x ON x.conv_id = d.conv_id AND x.turn = d.turn""")
 def layer_disagreements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score.disagreements(_layers(spark, sf_dir), ["conv_id", "turn"], "a", "b")
 
@@ -351,12 +400,11 @@ def layer_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score.agreement(_layers(spark, sf_dir), ["conv_id", "turn"], "a", "b").withColumn("agreement", F.round("agreement", 6))
 
 
-_NOTES = [(1, True, "a", "a"), (2, False, "", "made up"), (3, False, "a", " "), (4, False, "a", "b")]
-
-
-@query(values([(1, "hit cap"), (2, "INVENTED 7"), (3, "EMPTY"), (4, "")], "id, note"))
+@query("""WITH r AS (SELECT doc_id, doc_id % 4 = 0 AS cap, CASE WHEN doc_id % 3 = 0 THEN ' ' ELSE text END AS truth, CASE WHEN doc_id % 2 = 0 THEN '' ELSE text END AS reading FROM documents), n AS (SELECT *, trim(regexp_replace(truth, '\\s+', ' ', 'g')) = '' AS blank, length(trim(regexp_replace(reading, '\\s+', ' ', 'g'))) AS said FROM r)
+SELECT doc_id, concat_ws(', ', CASE WHEN cap THEN 'hit cap' END, CASE WHEN blank AND said > 0 THEN 'INVENTED ' || said END, CASE WHEN NOT blank AND said = 0 THEN 'EMPTY' END) AS note FROM n""")
 def report_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fixed(spark, _NOTES, "id int, cap boolean, truth string, reading string").select("id", score.note(F.col("cap"), F.col("truth"), F.col("reading")).alias("note"))
+    n = F.col("doc_id")
+    return table(spark, sf_dir, "documents").select("doc_id", score.note(n % 4 == 0, F.when(n % 3 == 0, " ").otherwise(F.col("text")), F.when(n % 2 == 0, "").otherwise(F.col("text"))).alias("note"))
 
 
 @query()
@@ -369,29 +417,35 @@ def trim_runaway(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").withColumn("__shares", python.packed_shares_of(F.col("text"))).select("doc_id", F.length(guards.trim_runaway(F.col("text"), F.col("__shares"))).alias("kept_chars"))
 
 
-_SHARES = [(1, "x" * 3000, [0.5, 0.1, 0.1]), (2, "y" * 2500, [0.1, 0.1, 0.1]), (3, "z" * 2100, [0.1, 0.5, 0.1]), (4, "a" * 700 + "\n" + "b" * 1299, [0.5, 0.1]), (5, "", [])]
-
-
-@query(values([(1, 1000), (2, 200), (3, 2100), (4, 700), (5, 0)], "id, kept_chars"))
+@query("""WITH d AS (SELECT doc_id, text, length(text) AS size, (length(text) + 999) // 1000 AS n FROM documents),
+v AS (SELECT *, unnest(generate_series(1, n)) AS i FROM d), w AS (SELECT doc_id, i, (doc_id + CASE WHEN i = n AND n > 1 AND size - (n - 1) * 1000 < 200 THEN i - 1 ELSE i END) % 3 > 0 AS loops FROM v),
+s AS (SELECT d.*, coalesce(g.last, 0) AS keep FROM d LEFT JOIN (SELECT doc_id, max(i) AS last FROM w WHERE NOT loops GROUP BY doc_id) g ON g.doc_id = d.doc_id),
+h AS (SELECT *, text[1:keep * 1000] AS head FROM s), c AS (SELECT *, CASE WHEN contains(head, chr(10)) THEN length(head) - strpos(reverse(head), chr(10)) END AS line_end FROM h)
+SELECT doc_id, CASE WHEN n = 0 OR keep = n THEN size WHEN keep = 0 THEN length(regexp_replace(text[1:200], '\\s+$', '')) WHEN line_end > keep * 1000 - 500 THEN length(regexp_replace(head[1:line_end], '\\s+$', '')) ELSE length(regexp_replace(head, '\\s+$', '')) END AS kept_chars FROM c""")
 def trim_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fixed(spark, _SHARES, "id int, t string, s array<double>").select("id", F.length(guards.trim_runaway(F.col("t"), F.col("s"))).alias("kept_chars"))
+    """Where texts are cut, two of three of their windows being told to repeat themselves."""
+    n = F.floor((F.length("text") + 999) / 1000).cast("int")
+    shares = F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.when((F.col("doc_id") + i) % 3 > 0, 0.1).otherwise(0.5))).otherwise(F.array().cast("array<double>"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", shares.alias("shares"))
+    return docs.select("doc_id", F.length(guards.trim_runaway(F.col("text"), F.col("shares"))).cast("long").alias("kept_chars"))
 
 
-_SCRUB = [(1, r"see C:\Users\ann\x and C:/Users/Ann"), (2, r"D:\\Users\\ann\\y"), (3, "c--users-ann-z"), (4, "C:/Users/anna")]
-
-
-@query(values([(1, r"see %USERPROFILE%\x and %USERPROFILE%", 2), (2, r"%USERPROFILE%\\y", 1), (3, "C--Users-<user>-z", 1), (4, "C:/Users/anna", 0)], "id, text, n"))
+@query(r"SELECT doc_id, '%USERPROFILE%\' || source || ' %USERPROFILE%\\' || doc_id || ' C:/Users/anna/ and %USERPROFILE%/' || doc_id || ' C--Users-<user>-' || source AS text, 4 AS n FROM documents")
 def scrubbed_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t, n = text.scrub_user(F.col("t"), "ann")
-    return fixed(spark, _SCRUB, "id int, t string").select("id", t.alias("text"), n.alias("n"))
-
-
-_EXTRACTED = [(1, "# Head\nfirst\nsecond (cid:12)\n\n\n\n12\nwo-\nrd ﬁn\n- item\ntail"), (2, ""), (3, "a\fb")]
+    """Paths of either kind, one of them of another user, as JSON and as a folder's name."""
+    n = F.col("doc_id").cast("string")
+    line = F.concat(F.lit("C:\\Users\\ann\\"), "source", F.lit(" D:\\\\users\\\\Ann\\\\"), n, F.lit(" C:/Users/anna/ and c:/Users/Ann/"), n, F.lit(" c--users-ann-"), "source")
+    scrubbed, found = text.scrub_user(F.col("t"), "ann")
+    return table(spark, sf_dir, "documents").select("doc_id", line.alias("t")).select("doc_id", scrubbed.alias("text"), found.alias("n"))
 
 
-@query(values([(1, "# Head\nfirst second\n\nword fin\n- item\ntail\n"), (2, ""), (3, "a\n\nb\n")], "id, text"))
+@query("SELECT doc_id, md5(rtrim('# ' || source || chr(10) || w, ' ' || chr(10)) || chr(10)) AS digest FROM (SELECT doc_id, source, trim(regexp_replace(text, '[^\\p{L}]+', ' ', 'g')) AS w FROM documents)")
 def cleaned_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fixed(spark, _EXTRACTED, "id int, t string").select("id", text.clean_extracted(F.col("t")).alias("text"))
+    """Words over many lines, some broken by hyphens, with page numbers and glyph marks between them, under a heading."""
+    words = F.trim(F.regexp_replace("text", r"[^\p{L}]+", " "))
+    broken = F.replace(F.replace(F.replace(words, F.lit(" s"), F.lit("\n12\ns")), F.lit(" e"), F.lit(" (cid:7)\ne")), F.lit("the"), F.lit("t-\nhe"))
+    extracted = F.concat(F.lit("# "), "source", F.lit("\n"), broken, F.lit(" (cid:12)"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.clean_extracted(extracted)).alias("digest"))
 
 
 @query("SELECT doc_id, CAST(contains(lower(text), 'the') AS INT) + CAST(contains(lower(text), 'über') AS INT) AS n FROM documents")

@@ -13,6 +13,10 @@ from folio.operators.jobs import OLD_RATE
 from folio.sources.protocol import decode
 
 
+#: Folders by which pages that are written are dealt, and the column that names them.
+PARTS, PART = 256, "part"
+
+
 def read_lines(spark: SparkSession, folder: str) -> DataFrame:
     return spark.readStream.text(folder).withColumnRenamed("value", "line")
 
@@ -24,18 +28,21 @@ def decoded_lines(lines: DataFrame) -> DataFrame:
 def write_pages_once(pages: DataFrame, folder: str, checkpoint: str, keys: list[str]):
     """Append pages to a Parquet folder, each key once: what is there, or comes again, is left out.
 
-    A batch that is run again after a failure finds its own pages and adds none.
+    A batch that is run again after a failure finds its own pages and adds none. Pages lie in folders by a hash of the key,
+    and a batch reads those of its own keys only.
     """
     spark, schema = pages.sparkSession, pages.schema
 
     def add(batch: DataFrame, _: int) -> None:
+        placed = batch.dropDuplicates(keys).withColumn(PART, F.pmod(F.hash(*keys), F.lit(PARTS)))
+        parts = [r[PART] for r in placed.select(PART).distinct().collect()]  # PARTS at most
         try:
-            done = spark.read.schema(schema).parquet(folder).select(*keys)
+            done = spark.read.schema(f"{schema.toDDL()}, {PART} int").parquet(folder).where(F.col(PART).isin(*parts)).select(*keys)
         except Exception as e:
             if "PATH_NOT_FOUND" not in str(e):
                 raise
             done = batch.select(*keys).limit(0)
-        batch.dropDuplicates(keys).join(done, keys, "left_anti").write.mode("append").parquet(folder)
+        placed.join(done, keys, "left_anti").write.mode("append").partitionBy(PART).parquet(folder)
 
     return pages.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True)
 
