@@ -26,7 +26,7 @@ from folio.llm.common import arrow_column
 #: Most symbols of a word that is merged in the array of trees.
 WIDE = 32
 #: Words remembered by a Python worker before the older half goes.
-REMEMBERED = 150_000
+REMEMBERED = 60_000
 #: Characters that are cut into words at a time, or one text.
 PART = 1 << 19
 _NONE = np.int64((1 << 62) - 1)

@@ -61,13 +61,13 @@ class Grams:
     def __init__(self) -> None:
         letters = np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
         #: The symbol of each code point: 1 parts words, letters are two above their code point.
-        self.symbols = np.where(letters, np.arange(0x110000) + 2, 1)
-        self.seen, self.place = np.zeros(0x110002, bool), np.zeros(0x110002, np.int64)
+        self.symbols = np.where(letters, np.arange(0x110000) + 2, 1).astype(np.int32)
+        self.seen, self.place = np.zeros(0x110002, bool), np.zeros(0x110002, np.int32)
         self.flags = np.zeros(ALPHABET + ALPHABET**2 + ALPHABET**3, bool)
 
     def of(self, text: str) -> np.ndarray:
         """Sorted distinct codes of a text's grams of lengths 1 to 3."""
-        s = np.concatenate(([1], self.symbols[np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)], [1]))
+        s = np.concatenate(([1], self.symbols[np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)], [1])).astype(np.int64)
         keep = np.ones(len(s), bool)
         keep[1:] = (s[1:] > 1) | (s[:-1] > 1)  # what parts two words counts once
         s = s[keep]

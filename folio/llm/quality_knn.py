@@ -31,7 +31,7 @@ from folio.llm.common import LOWER, WORD_BYTES, arrow_column, chunks, gram_hashe
 
 SAMPLE, SAMPLE_BYTES, RANK, NEIGHBOURS, SHARPNESS = 3000, 32768, 48, 15, 8.0
 #: Documents scored by one matrix product.
-BLOCK = 512
+BLOCK = 128
 #: Decimal places to which cosines count.
 PLACES = 6
 WORD_TERMS, SHAPES = 1024, 16
@@ -138,8 +138,8 @@ def vote(rows: np.ndarray, model: Model) -> np.ndarray:
     close = np.round((_unit(rows @ model.basis) @ model.vectors.T).astype(np.float64), PLACES)
     k = min(NEIGHBOURS, close.shape[1])
     # of equal cosines those of rows that were drawn first
-    order = close - np.arange(close.shape[1]) * (0.1**PLACES / SAMPLE / 2)
-    near = np.argpartition(-order, k - 1, axis=1)[:, :k]
+    order = np.arange(close.shape[1]) * (0.1**PLACES / SAMPLE / 2) - close
+    near = np.argpartition(order, k - 1, axis=1)[:, :k]
     weight = np.exp(SHARPNESS * (np.take_along_axis(close, near, axis=1) - 1))
     return (weight * model.labels[near]).sum(axis=1) / weight.sum(axis=1)
 
