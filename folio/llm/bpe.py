@@ -5,7 +5,8 @@ leftmost pair of lowest rank. A merge updates three leaves and their ancestors.
 are merged side by side, one tree to a row of an array; longer ones get a tree of their own.
 
 Defined results: a null text is an empty one and gives no ids and an empty decoded text; a symbol that the
-vocabulary lacks is left out; equal rows give equal results; other columns are kept, and one that is named as the result is replaced.
+vocabulary lacks is left out; a text of any length is encoded whole, a word of any length by a tree of its own; an empty
+table gives no rows; equal rows give equal results; other columns are kept, and one that is named as the result is replaced.
 """
 
 from __future__ import annotations

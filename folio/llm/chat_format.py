@@ -6,7 +6,8 @@ the last turns of the window before it that fit the history allowance, then its
 assistant texts of a window's own turns, so that each is a target once; what is repeated is masked.
 
 Sums are taken in two levels (blocks of BLOCK turn numbers, then blocks), and windows are grouped by conversation and
-first prefix sum, so that a conversation of any length is spread over tasks; a task holds one window at a time.
+first prefix sum, so that a long conversation is spread over tasks by its turn numbers (turns that share one number
+share a block); a task holds one window at a time. A text of any length is one turn, in a window of its own.
 
 A window holds at most `budget` tokens: system turn, history and twice the stride. Only a system turn of over a
 quarter of the budget, or a turn of over a stride, can make its window larger, as turns are never cut.
@@ -15,7 +16,8 @@ Texts are escaped: a backslash is doubled and one is put between the characters
 no text holds one; taking each backslash away with what it guards gives the text back.
 
 Defined results: null roles and texts are empty; null turn numbers come first; equal turn numbers are ordered by role,
-then text; a conversation with a null id is one conversation; repeated rows are turns of their own.
+then text; a conversation with a null id is one conversation; repeated rows are turns of their own; an empty table has
+no windows; results have columns of their own, and columns besides the four are left out, whatever their names.
 """
 
 from __future__ import annotations
