@@ -75,11 +75,11 @@ def chunks(texts: pa.Array, most: int = CHUNK_BYTES) -> Iterator[Chunk]:
     offsets = np.frombuffer(flat.buffers()[1], np.int64)[flat.offset : flat.offset + len(flat) + 1] if len(flat) else np.zeros(1, np.int64)
     body = flat.buffers()[2] if len(flat) else None
     data = np.frombuffer(body, np.uint8) if body is not None and body.size else np.zeros(0, np.uint8)
-    for lo, hi in _runs(offsets, most):
+    for lo, hi in runs(offsets, most):
         yield Chunk(lo, hi, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
 
 
-def _runs(offsets: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+def runs(offsets: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
     """Runs of texts of at most so many bytes, or of one text."""
     lo, n = 0, len(offsets) - 1
     while lo < n:
@@ -93,7 +93,7 @@ def pieces(texts: pa.Array, most: int = PIECE_BYTES) -> Iterator[pa.Array]:
     sizes = np.asarray(pc.binary_length(texts).fill_null(0), np.int64)
     if not len(sizes):
         yield texts
-    for lo, hi in _runs(np.concatenate(([0], np.cumsum(sizes))), most):
+    for lo, hi in runs(np.concatenate(([0], np.cumsum(sizes))), most):
         yield texts.slice(lo, hi - lo)
 
 
