@@ -23,9 +23,13 @@ BANDS = (8, 64)
 
 def distance(truth: Column, reading: Column) -> Column:
     """Edits between two texts. Its cost is the length times the distance, or for unlike texts the product of lengths."""
+
+    def within(band: int, beyond: Column) -> Column:
+        return let(F.levenshtein(truth, reading, band), lambda near: F.when(near >= 0, near).otherwise(beyond))
+
     whole = F.levenshtein(truth, reading)
     for band in reversed(BANDS):
-        whole = let(F.levenshtein(truth, reading, band), lambda near, beyond=whole: F.when(near >= 0, near).otherwise(beyond))
+        whole = within(band, whole)
     return whole
 
 

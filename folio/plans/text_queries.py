@@ -360,7 +360,7 @@ def confusion_top(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {BLOCKS_SQL} SELECT doc_id, CAST(sum(length(line) - length(translate(line, '{python.ACCENTED}', ''))) AS BIGINT) AS accents, CAST(sum(length(line) - length(translate(line, '{python.ACCENTED}', '')) - ({_LOST})) AS BIGINT) AS accents_right,
-round(sum(({_LOST}) / length(line)), 6) AS cer, 0.0 AS cer_plain FROM lines WHERE line <> '' GROUP BY doc_id""")
+round(sum(({_LOST}) / length(line)), 6) AS cer, CAST(0 AS DOUBLE) AS cer_plain FROM lines WHERE line <> '' GROUP BY doc_id""")
 def accent_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Accents read right in each document's lines, and error rates with and without marks."""
     scored = score.scores(_unaccented(spark, sf_dir)).withColumn("cer_plain", score.cer_without_marks(F.col("truth"), F.col("reading")))

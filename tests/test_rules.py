@@ -138,6 +138,15 @@ def cheapest(a, b):
     return row[-1]
 
 
+def test_distances_beyond_every_band(spark):
+    rng = random.Random(2)
+    words = lambda n: "".join(rng.choices("abcdefgh ", k=n))
+    rows = [(i, words(n), words(m)) for i, (n, m) in enumerate([(0, 0), (0, 5), (9, 9), (40, 30), (120, 130), (200, 90)])]
+    rows += [(100 + i, t, t[: i * 3] + "~" * i + t[i * 4 :]) for i, t in ((k, words(300)) for k in (0, 1, 7, 8, 9, 60, 70))]
+    got = table(spark, rows, "id int, a string, b string").select("id", score.distance(F.col("a"), F.col("b")).alias("d")).collect()
+    assert {r.id: r.d for r in got} == {i: cheapest(a, b) for i, a, b in rows}
+
+
 @pytest.mark.parametrize("cells", [python.ALIGNED_CELLS, 30])
 def test_alignments_are_cheapest(monkeypatch, cells):
     monkeypatch.setattr(python, "ALIGNED_CELLS", cells)
