@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from folio.functions.lineage import checkpoint
 from folio.functions.python import accents_of, differences_of, fold_of, nfc_of
-from folio.functions.text import collapse, let
+from folio.functions.text import collapse
 
 CER_GATE, ACCENT_GATE = 0.03, 0.95
 
@@ -23,13 +23,10 @@ BANDS = (8, 64)
 
 def distance(truth: Column, reading: Column) -> Column:
     """Edits between two texts. Its cost is the length times the distance, or for unlike texts the product of lengths."""
-
-    def within(band: int, beyond: Column) -> Column:
-        return let(F.levenshtein(truth, reading, band), lambda near: F.when(near >= 0, near).otherwise(beyond))
-
     whole = F.levenshtein(truth, reading)
     for band in reversed(BANDS):
-        whole = within(band, whole)
+        near = F.levenshtein(truth, reading, band)
+        whole = F.when(near >= 0, near).otherwise(whole)
     return whole
 
 
