@@ -78,13 +78,13 @@ def xml_safe_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH d AS (SELECT doc_id, text AS t FROM documents), c AS (SELECT doc_id, string_split_regex(t, '{RUN_SQL}') AS gaps, regexp_extract_all(t, '{RUN_SQL}') AS runs FROM d),
 u AS (SELECT doc_id, unnest(generate_series(1, len(runs))) AS i, unnest(gaps[1:len(runs)]) AS gap, unnest(runs) AS run FROM c),
 p AS (SELECT doc_id, i, {WORD_OF_RUN_SQL} AS word, sum(length(gap) + length(run)) OVER (PARTITION BY doc_id ORDER BY i) - length(run) AS start FROM u)
-SELECT doc_id, CAST(count(*) AS INT) AS n_words, md5(string_agg(word, ' ' ORDER BY i)) AS digest, md5(string_agg(start || '-' || (start + length(word)), ' ' ORDER BY i)) AS places FROM p WHERE word <> '' GROUP BY doc_id""")
+SELECT doc_id, CAST(count(*) AS INT) AS n_words, md5(string_agg(word, ' ' ORDER BY i)) AS digest, md5(string_agg(start, ' ' ORDER BY i)) AS starts, md5(string_agg(start + length(word), ' ' ORDER BY i)) AS ends FROM p WHERE word <> '' GROUP BY doc_id""")
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of documents and their places."""
     w = python.placed_words_of(F.col("text"), text.WORD)
     placed = table(spark, sf_dir, "documents").select("doc_id", w.alias("w")).where(F.size("w") > 0)
-    places = F.transform("w", lambda x: F.concat_ws("-", x["start"], x["end"]))
-    return placed.select("doc_id", F.size("w").alias("n_words"), F.md5(F.array_join("w.word", " ")).alias("digest"), F.md5(F.array_join(places, " ")).alias("places"))
+    told = lambda field: F.md5(F.array_join(F.col(f"w.{field}").cast("array<string>"), " "))
+    return placed.select("doc_id", F.size("w").alias("n_words"), told("word").alias("digest"), told("start").alias("starts"), told("end").alias("ends"))
 
 
 @query(f"SELECT page_id, len(w) AS n_words, md5(array_to_string(w, ' ')) AS digest FROM (SELECT page_id, {words_sql("regexp_replace(html, '<[^>]*>', ' ', 'g')")} AS w FROM pages)")
