@@ -87,6 +87,8 @@ def pair_up(truths: DataFrame, readings: DataFrame) -> DataFrame:
 ANCHORS = (1, 2, 4, 8, 16, 32)
 #: Anchors that are broadcast at most, so that a document's other places stay where they are.
 BROADCAST_ANCHORS = 200_000
+#: Anchors of a length that are listed in the plan at most.
+LISTED_ANCHORS = 2_000
 #: Parts into which a document's candidates are dealt with its text.
 SALTS = 8
 
@@ -104,11 +106,15 @@ def passages(docs: DataFrame, items: DataFrame) -> DataFrame:
     heads = checkpoint(anchored.select("head").distinct())
     few = heads.limit(BROADCAST_ANCHORS + 1).count() <= BROADCAST_ANCHORS
     found = None
-    for r in sorted(heads.select(F.length("head").alias("n")).distinct().collect()):
+    for r in sorted(heads.groupBy(F.length("head").alias("n")).agg(F.count("*").alias("number")).collect()):
         # overlapping pieces: a look-ahead takes no characters
-        pieces = F.array_distinct(F.regexp_extract_all("text", F.lit(rf"(?s)(?=(.{{{r.n}}}))"), F.lit(1)))
+        pieces = F.regexp_extract_all("text", F.lit(rf"(?s)(?=(.{{{r.n}}}))"), F.lit(1))
         own = heads.where(F.length("head") == r.n)
-        met = docs.select("doc_id", F.explode(pieces).alias("head")).join(F.broadcast(own) if few else own, "head")
+        if r.number <= LISTED_ANCHORS:  # so few stand in the plan, and a row's other pieces never leave it
+            listed = F.array(*(F.lit(x.head) for x in own.collect()))
+            met = docs.select("doc_id", F.explode(F.array_intersect(pieces, listed)).alias("head"))
+        else:
+            met = docs.select("doc_id", F.explode(F.array_distinct(pieces)).alias("head")).join(F.broadcast(own) if few else own, "head")
         found = met if found is None else found.unionByName(met)
     if found is None:
         return docs.select("doc_id").limit(0).crossJoin(items.select("item_id").limit(0))

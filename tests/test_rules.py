@@ -175,7 +175,9 @@ def test_paths_closures_and_names(spark):
     assert not spark.catalog.listTables()
 
 
-def test_passages_anywhere(spark):
+@pytest.mark.parametrize("listed", [2000, 0])
+def test_passages_anywhere(spark, monkeypatch, listed):
+    monkeypatch.setattr(score, "LISTED_ANCHORS", listed)
     items = ['passage "of" words that go on for longer than any anchor', "short", "é", "", "a\nb"]
     texts = ['("' + items[0] + '")', "xshorty", "caf\u00e9", "-" + items[0], "\t" + items[0] + "\r", "a\nb", "nothing", "", None]
     docs = table(spark, list(enumerate(texts)), "doc_id int, text string")
