@@ -49,7 +49,7 @@ def shingle_sets(texts: pa.Array):
             yield np.unique(gram_hashes(words[a:b], min(SHINGLE, b - a))) if b > a else np.zeros(1, np.uint64)
 
 
-def _value(shingles: np.ndarray) -> int:
+def value_of(shingles: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(shingles.tobytes()) - (1 << 63)
 
 
@@ -73,7 +73,7 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
 def _sketches(texts: pa.Array) -> pa.Array:
     values, sizes, keys, bits = [], [], [], []
     for s in shingle_sets(texts):
-        values.append(_value(s))
+        values.append(value_of(s))
         sizes.append(len(s))
         k, b = _keys(s)
         keys.append(k)
@@ -84,7 +84,7 @@ def _sketches(texts: pa.Array) -> pa.Array:
 
 def _sets(texts: pa.Array) -> pa.Array:
     sets = list(shingle_sets(texts))
-    return pa.StructArray.from_arrays([pa.array([_value(s) for s in sets], pa.int64()), _lists([s.view(np.int64) for s in sets])], ["fp", "shingles"])
+    return pa.StructArray.from_arrays([pa.array([value_of(s) for s in sets], pa.int64()), _lists([s.view(np.int64) for s in sets])], ["fp", "shingles"])
 
 
 def sketches(text: Column) -> Column:
@@ -95,7 +95,7 @@ def sets(text: Column) -> Column:
     return arrow_column(lambda: _sets, "struct<fp: long, shingles: array<long>>")(text)
 
 
-def _verified(pairs: DataFrame, known: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, known: DataFrame) -> DataFrame:
     """The distinct pairs u > v whose shingle sets agree enough; a set goes to as many salts as it has pairs in."""
     pairs = pairs.withColumn("salt", F.pmod(F.xxhash64("u"), F.lit(SALTS)).cast("int"))
     lesser = pairs.select(F.col("v").alias("fp"), "salt").distinct().join(known, "fp").select(F.col("fp").alias("v"), "salt", F.col("shingles").alias("x"))
@@ -113,7 +113,7 @@ def _plausible(pairs: DataFrame, members: DataFrame) -> DataFrame:
     return both.where(alike & (apart <= FAR)).select("u", "v")
 
 
-def _across(rooted: DataFrame, members: DataFrame, known: DataFrame) -> DataFrame:
+def across(rooted: DataFrame, members: DataFrame, known: DataFrame) -> DataFrame:
     """Pairs u > v of values (fp, root) of different components that have a shingle in both prefixes and can agree enough.
 
     In an order of shingles from rare to common, two sets that agree enough share one in their prefixes of size -
@@ -151,12 +151,12 @@ def links(docs: DataFrame, values: DataFrame) -> DataFrame:
     # each value of a bucket with the one that meets most others, in all of that one's buckets alike
     pivots = inside.groupBy("key").agg(F.max(F.struct("weight", "fp")).alias("p")).select("key", F.col("p.fp").alias("pivot"))
     pairs = inside.join(pivots, "key").where("fp <> pivot").select(F.greatest("fp", "pivot").alias("u"), F.least("fp", "pivot").alias("v")).distinct()
-    linked = checkpoint(_verified(_plausible(pairs, members), known))
+    linked = checkpoint(verified(_plausible(pairs, members), known))
     placed = inside.select("key", "fp").join(components(linked).select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     split = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
     apart = checkpoint(placed.join(split, "key").select("fp", "root").distinct())
     release(docs.sparkSession)
-    return linked.unionByName(_verified(_plausible(_across(apart, members, known), members), known))
+    return linked.unionByName(verified(_plausible(across(apart, members, known), members), known))
 
 
 def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

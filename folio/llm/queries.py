@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm import bpe, chat_format, decontamination, language_id, license_scan, quality_knn, quality_rules, sharding, simhash, suffix_lm
+from folio.llm import bpe, chat_format, decontamination, language_id, license_scan, partenum, quality_knn, quality_rules, sharding, simhash, suffix_lm
 from folio.llm.common import held_out, table
 
 
@@ -93,6 +93,10 @@ def op10_suffix_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_lm.score(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op13_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return partenum.jaccard_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_chat_format": op2_chat_format,
@@ -104,6 +108,7 @@ QUERIES = {
     "op8_license_scan": op8_license_scan,
     "op9_decontamination": op9_decontamination,
     "op10_suffix_lm": op10_suffix_lm,
+    "op13_jaccard_join": op13_jaccard_join,
 }
 
 ORACLE_SQL: dict[str, str] = {}
