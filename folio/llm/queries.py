@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm import bpe, chat_format, decontamination, language_id, license_scan, partenum, quality_knn, quality_rules, sharding, simhash, suffix_lm
+from folio.llm import bpe, chat_format, decontamination, filter_audit, language_id, license_scan, partenum, quality_knn, quality_rules, sharding, simhash, suffix_lm
 from folio.llm.common import held_out, table
 
 
@@ -93,6 +93,10 @@ def op10_suffix_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_lm.score(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), table(spark, sf_dir, "labels"))
+
+
 def op13_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return partenum.jaccard_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -108,6 +112,7 @@ QUERIES = {
     "op8_license_scan": op8_license_scan,
     "op9_decontamination": op9_decontamination,
     "op10_suffix_lm": op10_suffix_lm,
+    "op12_filter_audit": op12_filter_audit,
     "op13_jaccard_join": op13_jaccard_join,
 }
 
@@ -197,3 +202,34 @@ SELECT d.doc_id, d.digest, k.license_id FROM digests d LEFT JOIN (SELECT digest,
 
 
 ORACLE_SQL["op8_license_scan"] = _license_sql()
+
+ORACLE_SQL["op12_filter_audit"] = r"""
+WITH texts AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS least FROM documents
+), counted AS (
+  SELECT doc_id, part, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w, coalesce(least < doc_id, false) AS e FROM texts
+), failed AS (
+  SELECT doc_id, part, [len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w), 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * length(text), regexp_matches(text, '[#$%&*|]'), e] AS f FROM counted
+), known AS (
+  SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id
+), kinds AS (
+  SELECT part, f, count(*) AS n, count(*) FILTER (coalesce(good, false)) AS good, count(*) FILTER (coalesce(toxic, false)) AS toxic FROM failed LEFT JOIN known USING (doc_id) GROUP BY part, f
+), letters AS (
+  SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x
+), orders AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM letters a, letters b, letters c, letters d, letters e
+  WHERE a.x NOT IN (b.x, c.x, d.x, e.x) AND b.x NOT IN (c.x, d.x, e.x) AND c.x NOT IN (d.x, e.x) AND d.x <> e.x
+), steps AS (
+  SELECT filter_order, step, substr(filter_order, step, 1) AS own, ascii(substr(filter_order, step, 1)) - 64 AS place, [ascii(substr(filter_order, CAST(i AS INT), 1)) - 64 FOR i IN generate_series(1, step - 1)] AS earlier
+  FROM orders, (SELECT unnest(generate_series(1, 5)) AS step)
+), met AS (
+  SELECT part, filter_order, step, own, n, good, toxic, f[place] AS fails, coalesce(list_bool_or([f[i] FOR i IN earlier]), false) AS early, f[place] AND len(list_filter(f, lambda x: x)) = 1 AS alone FROM kinds, steps
+), summed AS (
+  SELECT part, filter_order, step, own, coalesce(sum(n) FILTER (NOT fails AND NOT early), 0) AS kept, coalesce(sum(n) FILTER (fails AND NOT early), 0) AS removed, coalesce(sum(n) FILTER (fails AND early), 0) AS redundant,
+    coalesce(sum(n) FILTER (alone), 0) AS unique_fails, coalesce(sum(good) FILTER (fails AND NOT early), 0) AS good_lost, coalesce(sum(toxic) FILTER (fails AND NOT early), 0) AS toxic_lost
+  FROM met GROUP BY part, filter_order, step, own
+)
+SELECT part, filter_order, CAST(step AS INT) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+  CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
+FROM summed
+"""
