@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm import bpe, chat_format, decontamination, filter_audit, language_id, license_scan, partenum, quality_knn, quality_rules, sharding, simhash, suffix_lm
+from folio.llm import bpe, chat_format, decontamination, filter_audit, language_id, license_scan, partenum, quality_knn, quality_rules, sharding, simhash, suffix_lm, whitening
 from folio.llm.common import held_out, table
 
 
@@ -93,6 +93,13 @@ def op10_suffix_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_lm.score(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    of = F.col("component")
+    # a deviation beyond a long is null here
+    return made.select("vec_id", of["component"].alias("component"), of["n"].alias("n"), of["deviation"].try_cast("long").alias("deviation"), of["whitened"].alias("whitened"), of["explained"].alias("explained"), of["identity_error"].alias("identity_error"))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), table(spark, sf_dir, "labels"))
 
@@ -112,6 +119,7 @@ QUERIES = {
     "op8_license_scan": op8_license_scan,
     "op9_decontamination": op9_decontamination,
     "op10_suffix_lm": op10_suffix_lm,
+    "op11_whitening": op11_whitening,
     "op12_filter_audit": op12_filter_audit,
     "op13_jaccard_join": op13_jaccard_join,
 }
