@@ -9,8 +9,8 @@ N-grams are exact: a gram is its letters' code points, 21 bits each, so that no
 parts words and counts as one mark.
 
 The model is fitted on a bounded sample: of the MOST_LANGUAGES commonest languages, the rows of least seeded hash of
-the id among those that aren't held out, PER_LANGUAGE of each and MOST_ROWS in all; texts of over SAMPLE_BYTES only
-where a language has no other, then its shortest. Landmarks are the first of these by hash, equal ones once.
+id and text among those that aren't held out, equal rows once, PER_LANGUAGE of each and MOST_ROWS in all, whatever ids they
+share; texts of over SAMPLE_BYTES only where a language has no other, then its shortest. Landmarks are the first of these by hash, equal ones once.
 Prediction covers every whole text.
 
 Defined results: a null text, and one without a letter, is `und` with score 0; so is every text if there is no row to
@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from folio.llm.common import arrow_column, held_out, unit_hash
+from folio.llm.common import arrow_column, held_out
 
 #: Sampled rows of a language and of all, languages, rows of one without a short text, and bytes of a short text.
 PER_LANGUAGE, MOST_ROWS, MOST_LANGUAGES, LONG_ROWS, SAMPLE_BYTES = 300, 3000, 1000, 2, 32768
@@ -176,13 +176,16 @@ def sample(docs: DataFrame, doc_id: str, text: str, lang: str, seed: int = 5) ->
     if not counts.num_rows:
         return []
     quota = max(1, min(PER_LANGUAGE, MOST_ROWS // counts.num_rows))
-    drawn = unit_hash(seed, F.col("i").cast("string"))
-    # twice as many are drawn as are wanted, so that fewer than wanted come by no chance that counts
     few = F.broadcast(docs.sparkSession.createDataFrame(counts))
-    chosen = rows.join(few, "l").where(F.when(F.col("short") > 0, short & (drawn * F.col("short") < 2 * quota + 20)).otherwise(size == F.col("least")))
-    rank = F.row_number().over(W.partitionBy("l").orderBy(drawn, "i", "t"))
-    ranked = chosen.select("t", "l", "i", rank.alias("rank"), F.when(F.col("short") > 0, quota).otherwise(min(quota, LONG_ROWS)).alias("most"))
-    return [(r.t, r.l) for r in ranked.where("rank <= most").orderBy(drawn, "i", "t").select("t", "l").collect()]
+    drawn = F.xxhash64(F.lit(seed), F.col("i").cast("string"), "t")
+    eligible = rows.join(few, "l").where(F.when(F.col("short") > 0, short).otherwise(size == F.col("least")))
+    placed = eligible.select("l", "t", drawn.alias("drawn"), F.when(F.col("short") > 0, quota).otherwise(min(quota, LONG_ROWS)).alias("most"))
+    # the numbers alone are ranked, equal rows once; texts are read again up to a language's last number
+    rank = F.row_number().over(W.partitionBy("l").orderBy("drawn"))
+    last = placed.select("l", "drawn", "most").distinct().withColumn("rank", rank).where(F.col("rank") <= quota).where("rank <= most").groupBy("l").agg(F.max("drawn").alias("last"))
+    cut = F.broadcast(docs.sparkSession.createDataFrame(last.toArrow()))
+    chosen = placed.join(cut, "l").where("drawn <= last").groupBy("l", "drawn").agg(F.min("t").alias("t"))
+    return [(r.t, r.l) for r in chosen.orderBy("drawn", "l").collect()]
 
 
 def _predictor(model: Broadcast) -> Callable[..., Column]:

@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from folio.llm import language_id
 from tests.llm.conftest import DEUTSCH, WORDS, prose
@@ -122,3 +123,14 @@ def test_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     found = language_id.identify(docs, out="found").where("crc32(cast(cast(doc_id as string) as binary)) % 3 = 1")
     assert found.where("lang = found.lang").count() >= 0.98 * found.count()
+
+
+@pytest.mark.parametrize("ids", [[1], [7], [None], [1, 7], list(range(3000))])
+def test_rows_that_share_ids_are_learned_from(spark, ids):
+    """A language isn't lost whose rows have one id, none, or two."""
+    rows = [(ids[k % len(ids)], prose(k), "en") for k in range(1500)] + [(10_000 + k, prose(k, words=DEUTSCH), "de") for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    learned = Counter(lang for _, lang in language_id.sample(docs, "doc_id", "text", "lang"))
+    assert learned["en"] == min(language_id.PER_LANGUAGE, len({(i, t) for i, t, lang in rows if lang == "en" and zlib.crc32(str(i).encode()) % 3 != 1})) or ids == [None] and learned["en"] == language_id.PER_LANGUAGE
+    got = {(r.lang, r.language.lang) for r in language_id.identify(docs).collect()}
+    assert got == {("en", "en"), ("de", "de")}
