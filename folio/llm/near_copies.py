@@ -120,7 +120,8 @@ def across(rooted: DataFrame, members: DataFrame, known: DataFrame) -> DataFrame
     ceil(size * LEAST / OF) + 1, and what follows the first that they share must be enough still. Of a shingle's values
     those outside the component that has most of them are compared with all.
     """
-    each = checkpoint(known.join(rooted, "fp", "left_semi").select("fp", F.explode("shingles").alias("shingle")))
+    # exploded twice rather than written: the sets are a checkpoint already
+    each = checkpoint(known.join(rooted, "fp", "left_semi")).select("fp", F.explode("shingles").alias("shingle"))
     counted = each.groupBy("shingle").agg(F.count("*").alias("n"))
     # shingles of one value come first and meet nothing, so that only their number counts
     shared = each.join(counted.where("n > 1"), "shingle")

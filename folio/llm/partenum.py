@@ -6,13 +6,14 @@ the end of the greater one's band. Each set gets signatures for its own band and
 
 For a band with threshold k the domain of shingles is dealt by hash to groups of parts, and every subset of a group's
 parts but one is a signature, with the set's elements in these parts. Of two sets within k some group holds at most one
-differing part, so that they share a signature: with g groups at least 2 * g - k of them. There are a few groups more
-than that needs, so that signatures without an element needn't be kept: two sets share one with elements as long as one
-of both has fewer than 2 * g - k empty ones; a set that has as many keeps its empty ones too.
+differing part, so that they share a signature: with g groups at least 2 * g - k of them. There are more groups than
+that needs, and a set leaves out its 2 * g - k - 1 signatures of fewest elements, which say least. Signatures that two sets share
+have equal numbers of elements and equal places, so that the greatest of them in this order is left out by neither.
 
 Values (distinct sets) that share a signature are joined as a star to the least of them: first among those that a task
 holds, then among the tasks' least ones, so that a signature of any number of sets costs in proportion to them and no
-task gets them all. Stars' pairs are compared by exact sets. Where a pair stays in two components, other values that share
+task gets them all. Stars' pairs are compared by parities (a bit of a value says whether an odd number of its shingles fall
+to the bit's place, so that two values differ in as many shingles at least as in bits), what is left by exact sets. Where a pair stays in two components, other values that share
 the signature may agree across these: all values of such components are compared by prefixes of their sets, from rare
 shingles to common ones (near_copies.across). A pair that is left out has no signature in common or lies in one component.
 
@@ -35,26 +36,30 @@ from pyspark.sql import functions as F
 
 from folio.llm.common import LOWER, WORD_BYTES, Chunk, arrow_column, checkpoint, chunks, gram_hashes, mix, release, span_hashes, word_bounds
 from folio.llm.graph import components
-from folio.llm.near_copies import LEAST, OF, SHINGLE, across, sets, value_of, verified
+from folio.llm.near_copies import LEAST, OF, SHINGLE, across, value_of, verified
 
 #: Up to this threshold groups have three parts and signatures two of them; beyond it two parts and one.
 FINE = 12
+#: A band has fewer groups than its threshold by one in so many; half as many groups are needed.
+GROUPS = 8
 #: Signatures that a task of the second step holds, and that one of the first step holds before it sends them on.
 BUCKET, HELD = 3 << 20, 1 << 20
+#: Bits of a value's parities, and values whose parities are made at a time.
+PARITIES, SOME = 2048, 512
 #: Ids that are broadcast at most: about 32 MB.
 BROADCAST_IDS = 1_000_000
 
 
 @dataclass(frozen=True)
 class Band:
-    """Sizes first to last, the threshold, groups, parts of a group, and empty signatures from which on a set keeps them."""
+    """Sizes first to last, the threshold, groups, parts of a group, and signatures that a set leaves out."""
 
     first: int
     last: int
     threshold: int
     groups: int
     parts: int
-    empties: int
+    without: int
 
 
 @lru_cache
@@ -64,8 +69,8 @@ def bands(size: int) -> list[Band]:
     while not out or len(out) < 2 or out[-2].last < size:
         last = first * OF // LEAST
         threshold = 2 * last * (OF - LEAST) // (OF + LEAST)
-        groups = (threshold + 2 + max(2, threshold // 8)) // 2
-        out.append(Band(first, last, threshold, groups, 3 if threshold <= FINE else 2, 2 * groups - threshold))
+        groups = threshold + 1 - threshold // GROUPS
+        out.append(Band(first, last, threshold, groups, 3 if threshold <= FINE else 2, 2 * groups - threshold - 1))
         first = last + 1
     return out
 
@@ -82,7 +87,7 @@ class Bands:
         if most > self.upto:
             self.upto = 1 << most.bit_length()
             found = bands(self.upto)
-            self.last, self.first, self.threshold, self.groups, self.parts, self.empties = (np.array([getattr(b, f) for b in found], np.int64) for f in ("last", "first", "threshold", "groups", "parts", "empties"))
+            self.last, self.first, self.threshold, self.groups, self.parts, self.without = (np.array([getattr(b, f) for b in found], np.int64) for f in ("last", "first", "threshold", "groups", "parts", "without"))
         return np.searchsorted(self.last, sizes)
 
     def tagged(self, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -94,9 +99,9 @@ class Bands:
         return at[use], band[use]
 
     def number(self, sizes: np.ndarray) -> int:
-        """The signatures of sets of these sizes, those without an element included."""
+        """The signatures of sets of these sizes."""
         _, band = self.tagged(sizes)
-        return int((self.groups[band] * self.parts[band]).sum())
+        return int((self.groups[band] * self.parts[band] - self.without[band]).sum())
 
 
 def shingles(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
@@ -133,9 +138,9 @@ def signatures(elements: np.ndarray, sizes: np.ndarray, known: Bands) -> tuple[n
     other = np.where(fine, np.arange(base[-1]) + step, 0)
     value = sums * np.uint64(0xA24BAED4963EE407) + np.where(fine, sums[other] * np.uint64(0x9FB21C651E98DF25), np.uint64(0))
     value = mix(value + mix((band[tag].astype(np.uint64) << np.uint64(40)) + part.astype(np.uint64) + np.uint64(1)))
-    filled = counts + np.where(fine, counts[other], 0) > 0
-    empties = np.bincount(tag[~filled], minlength=len(at))
-    keep = filled | (empties >= known.empties[band])[tag]
+    number = np.minimum(counts + np.where(fine, counts[other], 0), 255)
+    order = np.argsort(tag << 8 | number, kind="stable")
+    keep = order[np.arange(base[-1]) - base[tag] >= known.without[band][tag]]
     return value[keep], at[tag[keep]]
 
 
@@ -159,6 +164,34 @@ def named(text: Column) -> Column:
     return arrow_column(lambda: _named, "struct<fp: long, size: long>")(text)
 
 
+def _known(texts: pa.Array) -> pa.Array:
+    values, all_, sizes, parities = [], [], [], []
+    for c in chunks(texts):
+        elements, n = shingles(c)
+        values.append(_values(elements, n))
+        all_.append(elements)
+        sizes.append(n)
+        begin, bit = np.concatenate(([0], np.cumsum(n))), (mix(elements) >> np.uint64(40)).astype(np.int64) % PARITIES
+        for lo in range(0, len(n), SOME):
+            few = n[lo : lo + SOME]
+            place = np.repeat(np.arange(len(few)) * PARITIES, few) + bit[begin[lo] : begin[lo + len(few)]]
+            odd = (np.bincount(place, minlength=len(few) * PARITIES) & 1).astype(np.uint8)
+            parities.append(np.packbits(odd, bitorder="little").view(np.int64))
+    if not values:
+        return pa.array([], pa.struct([("fp", pa.int64()), ("shingles", pa.list_(pa.int64())), ("parities", pa.list_(pa.int64()))]))
+    n = np.concatenate(sizes)
+    offsets = np.concatenate(([0], np.cumsum(n))).astype(np.int32)
+    width = PARITIES // 64
+    lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(all_).view(np.int64)))
+    bits = pa.ListArray.from_arrays(pa.array(np.arange(0, len(n) * width + 1, width, dtype=np.int32)), pa.array(np.concatenate(parities)))
+    return pa.StructArray.from_arrays([pa.array(np.concatenate(values)), lists, bits], ["fp", "shingles", "parities"])
+
+
+def known_sets(text: Column) -> Column:
+    """fp, shingles and parities of a text's set."""
+    return arrow_column(lambda: _known, "struct<fp: long, shingles: array<long>, parities: array<long>>")(text)
+
+
 def stars(signature: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The distinct signatures, the least value of each, and pairs u > v of each other value with the least."""
     order = np.argsort(signature, kind="stable")
@@ -240,23 +273,26 @@ def links(docs: DataFrame, values: DataFrame, number: int) -> DataFrame:
     members = checkpoint(values.join(ends, "fp").select("fp", "size", "least"))
     wanted = members.select(F.col("least").alias("wanted")).distinct()
     few = wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    found = docs.join(F.broadcast(wanted) if few else wanted, F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi").select(sets(F.col("text")).alias("s"))
-    known = checkpoint(found.select("s.fp", "s.shingles").join(members.select("fp"), "fp", "left_semi").dropDuplicates(["fp"]))
+    found = docs.join(F.broadcast(wanted) if few else wanted, F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi").select(known_sets(F.col("text")).alias("s"))
+    known = checkpoint(found.select("s.*").join(members.select("fp"), "fp", "left_semi").dropDuplicates(["fp"]))
     release(docs.sparkSession)
-    linked = checkpoint(verified(_alike(pairs, members), known))
+    linked = checkpoint(verified(_alike(pairs, known), known.drop("parities")))
     rooted = members.select("fp").join(components(linked).select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
     of = lambda name: rooted.select(F.col("fp").alias(name), F.col("root").alias(f"root_{name}"))
     split = pairs.join(of("u"), "u").join(of("v"), "v").where("root_u <> root_v").select(F.explode(F.array("root_u", "root_v")).alias("root")).distinct()
     apart = checkpoint(rooted.join(split, "root").select("fp", "root"))
     release(docs.sparkSession)
-    return linked.unionByName(verified(across(apart, members, known), known))
+    met = checkpoint(across(apart, members, known.drop("parities")))
+    return linked.unionByName(verified(_alike(met, known), known.drop("parities")))
 
 
-def _alike(pairs: DataFrame, members: DataFrame) -> DataFrame:
-    """The pairs whose sizes allow them to agree enough."""
-    of = lambda name: members.select(F.col("fp").alias(name), F.col("size").alias(f"size_{name}"))
+def _alike(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """The pairs whose sizes and parities allow them to agree enough."""
+    of = lambda name: known.select(F.col("fp").alias(name), F.size("shingles").alias(f"size_{name}"), F.col("parities").alias(f"parities_{name}"))
     both = pairs.join(of("u"), "u").join(of("v"), "v")
-    return both.where(F.least("size_u", "size_v") * OF >= F.greatest("size_u", "size_v") * LEAST).select("u", "v")
+    odd = F.aggregate(F.zip_with("parities_u", "parities_v", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x)
+    sizes = F.least("size_u", "size_v") * OF >= F.greatest("size_u", "size_v") * LEAST
+    return both.where(sizes & (odd * (OF + LEAST) <= (F.col("size_u") + F.col("size_v")) * (OF - LEAST))).select("u", "v")
 
 
 def jaccard_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -117,4 +117,4 @@ def test_bands():
     found = pe.bands(1000)
     assert [(b.first, b.last) for b in found[:5]] == [(1, 1), (2, 2), (3, 3), (4, 5), (6, 7)]
     for b, after in itertools.pairwise(found):
-        assert after.first == b.last + 1 and 5 * b.last // 4 <= after.last and b.empties >= 1
+        assert after.first == b.last + 1 and 5 * b.last // 4 <= after.last and b.without >= 0
