@@ -10,12 +10,13 @@ differing part, so that they share a signature: with g groups at least 2 * g - k
 that needs, and a set leaves out its 2 * g - k - 1 signatures of fewest elements, which say least. Signatures that two sets share
 have equal numbers of elements and equal places, so that the greatest of them in this order is left out by neither.
 
-Values (distinct sets) that share a signature are joined as a star to the least of them: first among those that a task
-holds, then among the tasks' least ones, so that a signature of any number of sets costs in proportion to them and no
-task gets them all. Stars' pairs are compared by parities (a bit of a value says whether an odd number of its shingles fall
-to the bit's place, so that two values differ in as many shingles at least as in bits), what is left by exact sets. Where a pair stays in two components, other values that share
-the signature may agree across these: all values of such components are compared by prefixes of their sets, from rare
-shingles to common ones (near_copies.across). A pair that is left out has no signature in common or lies in one component.
+A signature that at most FEW values (distinct sets) have joins each of them with each. One of more values joins them as a star
+to the least: first among those that a task holds, then among the tasks' least ones, so that a signature of any number of
+sets costs in proportion to them and no task gets them all. Pairs are compared by parities (a bit of a value says
+whether an odd number of its shingles fall to the bit's place, so that two values differ in as many shingles at least as in
+bits), what is left by exact sets. Where a star's pair stays in two components, other values of the star may agree across
+these: all values of such components are compared by prefixes of their sets, from rare shingles to common ones
+(near_copies.across). A pair that is left out has no signature in common or lies in one component.
 
 Defined results: words are lower-cased (A-Z) bytes between white space; with fewer words than SHINGLE the whole sequence is the
 one shingle; a text without words, null texts included, has no shingle and is linked with nothing; a component's id is its
@@ -36,14 +37,16 @@ from pyspark.sql import functions as F
 
 from folio.llm.common import LOWER, WORD_BYTES, Chunk, arrow_column, checkpoint, chunks, gram_hashes, mix, release, span_hashes, word_bounds
 from folio.llm.graph import components
-from folio.llm.near_copies import LEAST, OF, SHINGLE, across, value_of, verified
+from folio.llm.near_copies import LEAST, OF, SHINGLE, across, sets, value_of, verified
 
 #: Up to this threshold groups have three parts and signatures two of them; beyond it two parts and one.
 FINE = 12
 #: A band has fewer groups than its threshold by one in so many; half as many groups are needed.
 GROUPS = 8
 #: Signatures that a task of the second step holds, and that one of the first step holds before it sends them on.
-BUCKET, HELD = 3 << 20, 1 << 20
+BUCKET, HELD = 1 << 20, 1 << 19
+#: Values of a signature up to which each meets each.
+FEW = 16
 #: Bits of a value's parities, and values whose parities are made at a time.
 PARITIES, SOME = 2048, 512
 #: Ids that are broadcast at most: about 32 MB.
@@ -164,68 +167,91 @@ def named(text: Column) -> Column:
     return arrow_column(lambda: _named, "struct<fp: long, size: long>")(text)
 
 
-def _known(texts: pa.Array) -> pa.Array:
-    values, all_, sizes, parities = [], [], [], []
+def _parities(texts: pa.Array) -> pa.Array:
+    values, parities = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for c in chunks(texts):
         elements, n = shingles(c)
         values.append(_values(elements, n))
-        all_.append(elements)
-        sizes.append(n)
         begin, bit = np.concatenate(([0], np.cumsum(n))), (mix(elements) >> np.uint64(40)).astype(np.int64) % PARITIES
         for lo in range(0, len(n), SOME):
             few = n[lo : lo + SOME]
             place = np.repeat(np.arange(len(few)) * PARITIES, few) + bit[begin[lo] : begin[lo + len(few)]]
             odd = (np.bincount(place, minlength=len(few) * PARITIES) & 1).astype(np.uint8)
             parities.append(np.packbits(odd, bitorder="little").view(np.int64))
-    if not values:
-        return pa.array([], pa.struct([("fp", pa.int64()), ("shingles", pa.list_(pa.int64())), ("parities", pa.list_(pa.int64()))]))
-    n = np.concatenate(sizes)
-    offsets = np.concatenate(([0], np.cumsum(n))).astype(np.int32)
-    width = PARITIES // 64
-    lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(all_).view(np.int64)))
-    bits = pa.ListArray.from_arrays(pa.array(np.arange(0, len(n) * width + 1, width, dtype=np.int32)), pa.array(np.concatenate(parities)))
-    return pa.StructArray.from_arrays([pa.array(np.concatenate(values)), lists, bits], ["fp", "shingles", "parities"])
+    found, width = np.concatenate(values), PARITIES // 64
+    bits = pa.ListArray.from_arrays(pa.array(np.arange(0, len(found) * width + 1, width, dtype=np.int32)), pa.array(np.concatenate(parities)))
+    return pa.StructArray.from_arrays([pa.array(found), bits], ["fp", "parities"])
 
 
-def known_sets(text: Column) -> Column:
-    """fp, shingles and parities of a text's set."""
-    return arrow_column(lambda: _known, "struct<fp: long, shingles: array<long>, parities: array<long>>")(text)
+def parities(text: Column) -> Column:
+    """fp and parities of a text's set."""
+    return arrow_column(lambda: _parities, "struct<fp: long, parities: array<long>>")(text)
 
 
-def stars(signature: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct signatures, the least value of each, and pairs u > v of each other value with the least."""
-    order = np.argsort(signature, kind="stable")
-    signature, value = signature[order], value[order]
-    head = np.ones(len(signature), bool)
-    head[1:] = signature[1:] != signature[:-1]
-    starts = np.flatnonzero(head)
-    if not len(starts):
-        return signature, value, value, value
-    least = np.minimum.reduceat(value, starts)
-    lesser = np.repeat(least, np.diff(np.append(starts, len(value))))
-    apart = value != lesser
-    pairs = np.unique(np.stack((value[apart], lesser[apart])), axis=1) if apart.any() else np.zeros((2, 0), np.int64)
-    return signature[starts], least, pairs[0], pairs[1]
+@dataclass
+class Met:
+    """What shares signatures: pairs u > v, `crowded` where they are a star's, and signatures with values that others may have."""
+
+    signature: np.ndarray
+    value: np.ndarray
+    many: np.ndarray
+    u: np.ndarray
+    v: np.ndarray
+
 
+def meet(signature: np.ndarray, value: np.ndarray, many: np.ndarray, last: bool) -> tuple[Met, np.ndarray, np.ndarray]:
+    """Signatures with their values, met: what is to be met elsewhere with the stars' pairs, and (if `last`) few values' pairs.
 
-_BLOCKS = "bucket int, signatures binary, owners binary, u binary, v binary"
+    `many` says of a signature's value that it stands for a star.
+    """
+    order = np.lexsort((value, signature))
+    signature, value, many = signature[order], value[order], many[order]
+    head = np.ones(len(signature), bool)
+    head[1:] = (signature[1:] != signature[:-1]) | (value[1:] != value[:-1])
+    places = np.flatnonzero(head)
+    many = np.logical_or.reduceat(many, places) if len(places) else many
+    signature, value = signature[places], value[places]
+    first = np.ones(len(signature), bool)
+    first[1:] = signature[1:] != signature[:-1]
+    starts = np.flatnonzero(first)
+    size = np.diff(np.append(starts, len(signature)))
+    star = (size > FEW) | ((size > 1) & np.logical_or.reduceat(many, starts)) if len(starts) else np.zeros(0, bool)
+    group = np.repeat(np.arange(len(starts)), size)
+    lesser = np.repeat(value[starts], size)
+    arm = star[group] & (value != lesser)
+    stars = np.unique(np.stack((value[arm], lesser[arm])), axis=1) if arm.any() else np.zeros((2, 0), np.int64)
+    sent = ~arm
+    few_u, few_v = [], []
+    if last:
+        for apart in range(1, FEW):  # each value with those that stand so many places before it
+            at = np.flatnonzero((group[apart:] == group[:-apart]) & ~star[group[apart:]]) + apart
+            few_u.append(value[at])
+            few_v.append(value[at - apart])
+        few = np.unique(np.stack((np.concatenate(few_u), np.concatenate(few_v))), axis=1)
+    else:
+        few = np.zeros((2, 0), np.int64)
+    return Met(signature[sent], value[sent], (many | star[group])[sent], *stars), *few
+
+
+_BLOCKS = "bucket int, signatures binary, owners binary, many binary, u binary, v binary"
 
 
 def _dealt(buckets: int):
-    """A mapper from texts to blocks of signatures with the least value that the task holds of each, and of stars' pairs."""
+    """A mapper from texts to blocks of signatures, with the values that the task holds of each, and of stars' pairs."""
 
     def blocks(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        signature, least, u, v = stars(np.concatenate([s for s, _ in held]), np.concatenate([f for _, f in held]))
+        signature = np.concatenate([s for s, _ in held])
+        met, _, _ = meet(signature, np.concatenate([f for _, f in held]), np.zeros(len(signature), bool), False)
         sides = []
-        for key, columns in ((signature, (signature, least)), (u.view(np.uint64), (u, v))):
+        for key, columns in ((met.signature, (met.signature, met.value, met.many)), (met.u.view(np.uint64), (met.u, met.v))):
             to = ((key >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
             order = np.argsort(to, kind="stable")
             cuts = np.searchsorted(to[order], np.arange(buckets + 1))
             for x in columns:
-                data = x[order].tobytes()
-                sides.append([data[8 * a : 8 * b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)])
-        some = [i for i in range(buckets) if sides[0][i] or sides[2][i]]
-        return pa.record_batch([pa.array(some, pa.int32()), *(pa.array([s[i] for i in some], pa.binary()) for s in sides)], names=["bucket", "signatures", "owners", "u", "v"])
+                data, size = x[order].tobytes(), x.itemsize
+                sides.append([data[size * a : size * b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)])
+        some = [i for i in range(buckets) if sides[0][i] or sides[3][i]]
+        return pa.record_batch([pa.array(some, pa.int32()), *(pa.array([s[i] for i in some], pa.binary()) for s in sides)], names=["bucket", "signatures", "owners", "many", "u", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, held, size = Bands(), [], 0
@@ -245,50 +271,69 @@ def _dealt(buckets: int):
 
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The stars' pairs of all blocks of a partition, those that came along included."""
-    parts: list[list[np.ndarray]] = [[], [], [], []]
+    """The pairs of all blocks of a partition, those that came along included."""
+    parts: list[list[np.ndarray]] = [[], [], [], [], []]
     for batch in batches:
-        for part, name, kind in zip(parts, ("signatures", "owners", "u", "v"), (np.uint64, np.int64, np.int64, np.int64), strict=True):
+        for part, name, kind in zip(parts, ("signatures", "owners", "many", "u", "v"), (np.uint64, np.int64, np.bool_, np.int64, np.int64), strict=True):
             part.extend(np.frombuffer(x, kind) for x in batch.column(name).to_pylist())
     if not parts[0]:
         return
-    signature, owner, u, v = (np.concatenate(p) for p in parts)
+    signature, owner, many, u, v = (np.concatenate(p) for p in parts)
     parts.clear()
-    _, _, more_u, more_v = stars(signature, owner)
-    pairs = np.unique(np.stack((np.concatenate((u, more_u)), np.concatenate((v, more_v)))), axis=1)
-    for lo in range(0, pairs.shape[1], 1 << 16):
-        yield pa.record_batch([pa.array(p[lo : lo + (1 << 16)]) for p in pairs], names=["u", "v"])
+    met, few_u, few_v = meet(signature, owner, many, True)
+    for crowded, x, y in ((True, np.concatenate((u, met.u)), np.concatenate((v, met.v))), (False, few_u, few_v)):
+        pairs = np.unique(np.stack((x, y)), axis=1)
+        for lo in range(0, pairs.shape[1], 1 << 16):
+            some = [pa.array(p[lo : lo + (1 << 16)]) for p in pairs]
+            yield pa.record_batch([*some, pa.array(np.full(len(some[0]), crowded))], names=["u", "v", "crowded"])
 
 
 def candidates(texts: DataFrame, number: int) -> DataFrame:
-    """Distinct pairs u > v of values: with each signature's least value those of all others that have it. `number`: about how many signatures there are."""
+    """Distinct pairs u > v of values that share a signature, as stars or each with each, and whether a star's is among them.
+
+    `number`: about how many signatures there are.
+    """
     buckets = max(1, -(-number // BUCKET))
-    return texts.mapInArrow(_dealt(buckets), _BLOCKS).repartitionById(buckets, F.col("bucket")).mapInArrow(_met, "u long, v long").distinct()
+    met = texts.mapInArrow(_dealt(buckets), _BLOCKS).repartitionById(buckets, F.col("bucket")).mapInArrow(_met, "u long, v long, crowded boolean")
+    return met.groupBy("u", "v").agg(F.bool_or("crowded").alias("crowded"))
+
+
+def _read(docs: DataFrame, members: DataFrame, function, columns: list[str]) -> DataFrame:
+    """A function's result for each of the members' values (fp, least), from the texts of their least ids."""
+    wanted = members.select(F.col("least").alias("wanted")).distinct()
+    few = wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    found = docs.join(F.broadcast(wanted) if few else wanted, F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi").select(function(F.col("text")).alias("s"))
+    own = found.select(*(f"s.{c}" for c in columns)).join(members.select("fp"), "fp", "left_semi")  # an id may have several texts
+    out = checkpoint(own.dropDuplicates(["fp"]))
+    release(docs.sparkSession)
+    return out
+
+
+def _ends(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    return checkpoint(members.join(pairs.select(F.explode(F.array("u", "v")).alias("fp")).distinct(), "fp"))
 
 
 def links(docs: DataFrame, values: DataFrame, number: int) -> DataFrame:
     """Links u > v that connect the values (fp, size, least) of docs (doc_id, text) as all pairs that agree enough would."""
     pairs = checkpoint(candidates(docs.select("text"), number))
-    ends = pairs.select(F.explode(F.array("u", "v")).alias("fp")).distinct()
-    members = checkpoint(values.join(ends, "fp").select("fp", "size", "least"))
-    wanted = members.select(F.col("least").alias("wanted")).distinct()
-    few = wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    found = docs.join(F.broadcast(wanted) if few else wanted, F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi").select(known_sets(F.col("text")).alias("s"))
-    known = checkpoint(found.select("s.*").join(members.select("fp"), "fp", "left_semi").dropDuplicates(["fp"]))
+    members = _ends(pairs, values.select("fp", "size", "least"))
+    marks = checkpoint(members.select("fp", "size").join(_read(docs, members, parities, ["fp", "parities"]), "fp"))
+    alike = checkpoint(_alike(pairs, marks))
+    linked = checkpoint(verified(alike, _read(docs, _ends(alike, members), sets, ["fp", "shingles"])))
     release(docs.sparkSession)
-    linked = checkpoint(verified(_alike(pairs, known), known.drop("parities")))
     rooted = members.select("fp").join(components(linked).select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
     of = lambda name: rooted.select(F.col("fp").alias(name), F.col("root").alias(f"root_{name}"))
-    split = pairs.join(of("u"), "u").join(of("v"), "v").where("root_u <> root_v").select(F.explode(F.array("root_u", "root_v")).alias("root")).distinct()
+    split = pairs.where("crowded").join(of("u"), "u").join(of("v"), "v").where("root_u <> root_v").select(F.explode(F.array("root_u", "root_v")).alias("root")).distinct()
     apart = checkpoint(rooted.join(split, "root").select("fp", "root"))
+    known = _read(docs, members.join(apart, "fp", "left_semi"), sets, ["fp", "shingles"])
+    met = checkpoint(_alike(across(apart, members, known), marks))
     release(docs.sparkSession)
-    met = checkpoint(across(apart, members, known.drop("parities")))
-    return linked.unionByName(verified(_alike(met, known), known.drop("parities")))
+    return linked.unionByName(verified(met, known))
 
 
-def _alike(pairs: DataFrame, known: DataFrame) -> DataFrame:
+def _alike(pairs: DataFrame, marks: DataFrame) -> DataFrame:
     """The pairs whose sizes and parities allow them to agree enough."""
-    of = lambda name: known.select(F.col("fp").alias(name), F.size("shingles").alias(f"size_{name}"), F.col("parities").alias(f"parities_{name}"))
+    of = lambda name: marks.select(F.col("fp").alias(name), F.col("size").alias(f"size_{name}"), F.col("parities").alias(f"parities_{name}"))
     both = pairs.join(of("u"), "u").join(of("v"), "v")
     odd = F.aggregate(F.zip_with("parities_u", "parities_v", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x)
     sizes = F.least("size_u", "size_v") * OF >= F.greatest("size_u", "size_v") * LEAST

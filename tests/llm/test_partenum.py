@@ -78,6 +78,7 @@ def test_any_split_of_the_work(spark, planted, monkeypatch):  # noqa: F811
     docs = spark.createDataFrame(planted, "doc_id long, text string").repartition(5)
     known, number = pe.Bands(), 50_000
     few = {(r.u, r.v) for r in pe.candidates(docs.select("text"), number).collect()}
+    monkeypatch.setattr(pe, "FEW", 3)
     monkeypatch.setattr(pe, "HELD", 100)
     monkeypatch.setattr(pe, "BUCKET", 500)
     many = {(r.u, r.v) for r in pe.candidates(docs.select("text"), number).collect()}
