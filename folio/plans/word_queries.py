@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio.functions.text import word_list
-from folio.operators import cleanup
+from folio.operators import affixes, cleanup
 from folio.plans.inputs import DICTIONARY_SQL, dictionary, table, words_sql
-from folio.plans.registry import query
+from folio.plans.registry import fixed, query, values
 
 #: Letters beyond ASCII as single bytes, so that SQL counts edits of letters; words hold no digits or marks.
 _BYTES = "translate({}, 'ßäçèéêíñóöüÄÇÈÉÊÍÑÓÖÜ', '0123456789!#$%&()*+=/')"
@@ -37,3 +37,67 @@ def corrected_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = table(spark, sf_dir, "documents").select("lang", F.explode(F.array_distinct(word_list(F.col("text")))).alias("word"))
     slips = words.where(F.length("form") >= 6).select("lang", _typo(F.col("form")).alias("word"))
     return cleanup.corrections(own.unionByName(slips), words)
+
+
+#: A dictionary's rules, written for the query: a second suffix goes to the first one's forms, one ending needs another, a prefix crosses.
+RULES = [
+    (False, "S", "", "s", "[^sy]", True, ["G"]),
+    (False, "S", "y", "ies", "[^aeiou]y", True, []),
+    (False, "E", "", "en", ".", True, ["S", "N"]),
+    (False, "E", "e", "ing", "[a-z]e", False, []),
+    (False, "G", "", "'s", ".", True, []),
+    (False, "Q", "", "qu", ".", True, ["N", "E"]),
+    (True, "U", "", "un", ".", True, []),
+    (True, "R", "", "re", "[^aeiou]", False, ["S"]),
+]
+_RULE_NAMES = "prefix, flag, strip, \"add\", condition, crosses, more"
+SETTINGS = [("NEEDAFFIX", "N"), ("FORBIDDENWORD", "F"), ("ONLYINCOMPOUND", "O"), ("COMPOUNDFLAG", "C"), ("COMPOUNDEND", "Z"), ("COMPOUNDMIN", "4")]
+#: Flags of a stem, by how long it is and what it begins with.
+_STEM_FLAGS = [("S", "length(form) % 2 = 0"), ("E", "length(form) % 3 = 0"), ("Q", "length(form) = 5"), ("U", "form < 'k'"), ("R", "form >= 'k'"), ("C", "length(form) IN (4, 6)"), ("Z", "length(form) = 7"), ("N", "length(form) = 8"), ("F", "length(form) = 9"), ("O", "length(form) = 10")]
+
+
+def written_dictionary(spark: SparkSession, words: DataFrame) -> affixes.Dictionary:
+    """Stems that are words of the derived dictionary, with flags by a rule, and the rules above for each language."""
+    flags = F.array_compact(F.array(*(F.when(F.expr(when), F.lit(flag)) for flag, when in _STEM_FLAGS)))
+    langs = words.select("lang").distinct()
+    rules = fixed(spark, RULES, "prefix boolean, flag string, strip string, add string, condition string, crosses boolean, more array<string>")
+    return affixes.Dictionary(words.select("lang", F.col("form").alias("stem"), flags.alias("flags")), langs.join(F.broadcast(rules)), langs.join(F.broadcast(fixed(spark, SETTINGS, "name string, value string"))))
+
+
+def _made(words: DataFrame) -> DataFrame:
+    """Words of the dictionary with endings and beginnings that rules may allow, and two and three of them in one."""
+    endings = ["s", "en", "ens", "en's", "s's", "qu", "quen", "quens", "ing", "ies"]
+    form = F.col("form")
+    bare = F.expr("substring(form, 1, length(form) - 1)")
+    made = [F.concat(form, F.lit(x)) for x in endings] + [F.concat(bare, F.lit(x)) for x in ("ing", "ies")]
+    made += [F.concat(F.lit(p), x) for p in ("un", "re") for x in (form, *made[:4])]
+    pair = F.concat(form, F.lower("form"))
+    made += [pair, F.concat(pair, F.lit("s")), F.concat(pair, form), F.concat(F.lit("un"), pair), F.concat(F.lit("un"), pair, F.lit("ens"))]
+    return words.select("lang", F.explode(F.array(*made)).alias("word"))
+
+
+_MADE_SQL = """unnest([form || x FOR x IN ['s', 'en', 'ens', 'en''s', 's''s', 'qu', 'quen', 'quens', 'ing', 'ies']] || [form[1:length(form) - 1] || x FOR x IN ['ing', 'ies']]
+ || ['un' || form || x FOR x IN ['', 's', 'en', 'ens', 'en''s']] || ['re' || form || x FOR x IN ['', 's', 'en', 'ens', 'en''s']] || [form || lower(form), form || lower(form) || 's', form || lower(form) || form, 'un' || form || lower(form), 'un' || form || lower(form) || 'ens'])"""
+
+
+@query(f"""WITH RECURSIVE {DICTIONARY_SQL}, rules AS ({values(RULES, _RULE_NAMES)}),
+stems AS (SELECT lang, form AS stem, list_filter([{', '.join(f"CASE WHEN {w} THEN '{f}' END" for f, w in _STEM_FLAGS)}], lambda x: x IS NOT NULL) AS flags FROM dictionary),
+asked AS (SELECT DISTINCT lang, unnest({words_sql('text')}) AS word FROM documents UNION SELECT lang, {_MADE_SQL} FROM dictionary),
+one AS (SELECT lang, stem, flags, stem[1:length(stem) - length(strip)] || "add" AS form, flag AS inner_flag, more AS suffix_more, more AS last_more, crosses FROM stems, rules WHERE NOT prefix AND suffix(stem, strip) AND length(stem) > length(strip) AND regexp_matches(stem, condition || '$')),
+two AS (SELECT o.lang, stem, flags, form[1:length(form) - length(strip)] || "add" AS form, inner_flag, list_concat(suffix_more, more) AS suffix_more, more AS last_more, o.crosses AND r.crosses AS crosses FROM one o, rules r WHERE NOT prefix AND list_contains(suffix_more, flag) AND suffix(form, strip) AND length(form) > length(strip) AND regexp_matches(form, condition || '$')),
+ended AS (SELECT lang, stem, flags, stem AS form, NULL::VARCHAR AS inner_flag, []::VARCHAR[] AS suffix_more, []::VARCHAR[] AS last_more, TRUE AS crosses FROM stems UNION ALL FROM one UNION ALL FROM two),
+begun AS (SELECT *, NULL::VARCHAR AS prefix_flag, []::VARCHAR[] AS prefix_more, TRUE AS prefix_crosses FROM ended
+  UNION ALL SELECT e.lang, stem, flags, "add" || form[length(strip) + 1:], inner_flag, suffix_more, last_more, e.crosses, flag, more, r.crosses FROM ended e, rules r WHERE prefix AND starts_with(stem, strip) AND regexp_matches(stem, '^' || condition)),
+held AS (SELECT *, list_contains(flags, 'F') AS forbidden, NOT (inner_flag IS NULL AND prefix_flag IS NULL AND list_contains(flags, 'N')) AND NOT (inner_flag IS NOT NULL AND prefix_flag IS NULL AND list_contains(last_more, 'N')) AS complete FROM begun
+  WHERE (inner_flag IS NULL OR list_contains(flags, inner_flag) OR list_contains(prefix_more, inner_flag)) AND (prefix_flag IS NULL OR list_contains(flags, prefix_flag) OR list_contains(suffix_more, prefix_flag)) AND (inner_flag IS NULL OR prefix_flag IS NULL OR (crosses AND prefix_crosses))),
+judged AS (SELECT a.lang, a.word, coalesce(bool_or(h.complete AND NOT h.forbidden AND NOT list_contains(h.flags, 'O')), FALSE) AS known, coalesce(bool_or(h.forbidden), FALSE) AS forbidden FROM asked a LEFT JOIN held h ON h.lang = a.lang AND h.form = a.word GROUP BY ALL),
+parts AS (SELECT DISTINCT lang, form, prefix_flag IS NOT NULL AS begins, inner_flag IS NOT NULL AS ends, list_contains(flags, 'C') AS anywhere, list_contains(flags, 'Z') AS at_end FROM held WHERE complete AND NOT forbidden AND length(form) >= 4 AND (list_contains(flags, 'C') OR list_contains(flags, 'Z')) AND NOT (inner_flag IS NOT NULL AND prefix_flag IS NOT NULL)),
+reach AS (SELECT lang, word, 0 AS place FROM judged WHERE NOT known AND NOT forbidden AND length(word) >= 8
+  UNION SELECT r.lang, r.word, r.place + length(p.form) FROM reach r JOIN parts p ON p.lang = r.lang AND length(p.form) < length(r.word) AND r.word[r.place + 1:r.place + length(p.form)] = p.form
+    WHERE (p.anywhere OR (p.at_end AND r.place + length(p.form) = length(r.word))) AND (NOT p.begins OR r.place = 0) AND (NOT p.ends OR r.place + length(p.form) = length(r.word)))
+SELECT lang, word FROM judged WHERE known AND NOT forbidden UNION SELECT lang, word FROM reach WHERE place = length(word)""")
+def affixed_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which words of all documents, and which of those made from the dictionary's, a dictionary of stems and rules knows."""
+    words = dictionary(spark, sf_dir)
+    own = table(spark, sf_dir, "documents").select("lang", F.explode(F.array_distinct(word_list(F.col("text")))).alias("word"))
+    return affixes.recognised(own.unionByName(_made(words)), written_dictionary(spark, words))

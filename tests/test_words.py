@@ -2,8 +2,10 @@
 
 import random
 
+import pytest
 
-from folio.operators import cleanup
+from folio.operators import affixes, cleanup
+from folio.sources import hunspell
 
 
 def plain_distance(a, b):
@@ -65,3 +67,104 @@ def test_cleaned_blocks(spark):
     assert all(got[k] == (r[4], r[5]) for k, r in zip(((1, 1), (1, 2), (2, 0)), rows[1:], strict=True))
     own = {r.block_no: r.text for r in cleanup.cleaned(blocks, dictionary, ["Houze"]).where("doc_id = 1").collect()}
     assert own[0] == "The houze by a water, zzzz"
+
+
+AFF = """SET UTF-8
+FLAG {style}
+NEEDAFFIX {N}
+FORBIDDENWORD {F}
+ONLYINCOMPOUND {O}
+COMPOUNDFLAG {C}
+COMPOUNDBEGIN {B}
+COMPOUNDEND {Z}
+COMPOUNDMIN 2
+PFX {U} Y 1
+PFX {U} 0 un/{V} .
+SFX {S} Y 2
+SFX {S} 0 s/{G} [^sy]
+SFX {S} y ies [^aeiou]y
+SFX {V} Y 1
+SFX {V} 0 en .
+SFX {G} Y 1
+SFX {G} 0 's .
+SFX {Q} N 1
+SFX {Q} 0 qu/{N}{comma}{G} .
+"""
+NAMES = "NFOCBZUSVGQ"
+STYLES = {"UTF-8": {c: c for c in NAMES}, "long": {c: c + c.lower() for c in NAMES}, "num": {c: str(100 + ord(c)) for c in NAMES}}
+
+
+def written(folder, name, stems, style="UTF-8", coding="UTF-8"):
+    """A dictionary's two files; flags are letters here and written in the style."""
+    flags = STYLES[style]
+    comma = "," if style == "num" else ""
+    (folder / f"{name}.aff").write_bytes(AFF.format(style=style, comma=comma, **flags).replace("UTF-8", coding, 1).encode(coding))
+    lines = [f"{w}/{comma.join(flags[c] for c in f)}" if f else w for w, f in stems]
+    (folder / f"{name}.dic").write_bytes(("\n".join([str(len(lines)), *lines]) + "\n").encode(coding))
+
+
+def asked_of(spark, lang, words):
+    return spark.createDataFrame([(lang, w) for w in words], "lang string, word string")
+
+
+def test_affixes(spark, tmp_path):
+    stems = [("do", "US"), ("fly", "S"), ("play", "SQ"), ("may", "U"), ("bad", "F"), ("bads", "C"), ("foot", "C"), ("ball", "CS"), ("haus", "B"), ("boot", "Z"), ("gar", "N"), ("garn", "NS"), ("inn", "O"), ("inner", "OC"), ("město", "C")]
+    written(tmp_path, "xx", stems)
+    dictionary = hunspell.read_dictionary(spark, str(tmp_path), "en=xx,cs=missing")
+    yes = ["do", "dos", "dos's", "undo", "undos", "undoen", "undos's", "fly", "flies", "play", "unmay", "unmayen", "bads", "football", "footballs", "footballs's", "ballfoot", "hausboot", "hausball", "footboot", "garns", "footinnerball", "mě" + "sto", "městofoot", "play" + "qu's", "footfootfootball"]
+    no = ["doss", "flys", "plays", "unfly", "doen", "bad", "boothaus", "footbad", "gar", "garn", "inn", "inner", "undoball", "ballsfoot", "playqu", "foo", "footx", "unfootball", "xfoot", "", "s", "un", "en", "footinner"[:4] + "inn"]
+    got = {r.word for r in affixes.recognised(asked_of(spark, "en", yes + no), dictionary).collect()}
+    assert got == set(yes)
+    assert affixes.recognised(asked_of(spark, "cs", yes), dictionary).count() == 0
+
+
+def test_known_by_affixes(spark, tmp_path):
+    written(tmp_path, "xx", [("buď", ""), ("Praha", ""), ("česko", ""), ("slovenský", "S"), ("it's", "")])
+    dictionary = hunspell.read_dictionary(spark, str(tmp_path), "cs=xx")
+    asked = ["Buď", "BUĎ", "praha", "PRAHA", "česko-slovenský", "Česko-x", "slovenskýs", "it’s", "zzz"]
+    got = {r.word: (r.known, r.strict) for r in affixes.known(asked_of(spark, "cs", asked).unionByName(asked_of(spark, "de", ["w"])), dictionary).collect()}
+    assert got.pop("w") == (True, False)
+    assert {w for w, (known, strict) in got.items() if known} == {"Buď", "BUĎ", "PRAHA", "česko-slovenský", "slovenskýs", "it’s"} and all(a == b for a, b in got.values())
+    # a dictionary that knows none of the words is a dictionary all the same
+    assert [(r.known, r.strict) for r in affixes.known(asked_of(spark, "cs", ["zzz"]), dictionary).collect()] == [(False, False)]
+
+
+@pytest.mark.parametrize("style", ["UTF-8", "long", "num"])
+def test_recognition_and_written_forms_agree(spark, tmp_path, style):
+    """All forms that the rules make of random stems, and slips of them, are judged as the list of forms says."""
+    rng = random.Random(6)
+    stems = [("".join(rng.choices("abesy", k=rng.randint(2, 5))), "".join(sorted(set(rng.choices("NFOUSVGQ", k=rng.randint(0, 4)))))) for _ in range(60)]
+    written(tmp_path, "xx", stems, style, "ISO8859-2")
+    dictionary = hunspell.read_dictionary(spark, str(tmp_path), "en=xx", part_bytes=64)
+    read = hunspell.read_affixes((tmp_path / "xx.aff").read_text("ISO8859-2"))
+    flags = STYLES[style]
+    banned = {w for w, f in stems if "F" in f}
+    listed = set().union(*(hunspell.expand(w, [flags[c] for c in f], read) for w, f in stems if "F" not in f))
+    # a form of a forbidden stem is unknown even if another stem makes it
+    never = set().union(*(hunspell.expand(w, [flags[c] for c in f if c not in "FNO"], read) for w, f in stems if w in banned))
+    open_ = {w for w in listed if not any(w.startswith(b) or b in w for b in banned)}
+    slips = {w[:i] + c + w[i:] for w in sorted(listed)[:150] for i in (0, len(w)) for c in "sn"} - listed - never
+    asked = sorted(listed | slips | {w for w, _ in stems})
+    got = {r.word for r in affixes.recognised(asked_of(spark, "en", asked), dictionary).collect()}
+    assert open_ <= got <= listed and not got & slips
+    forms = spark.read.format("hunspell").option("path", str(tmp_path)).option("names", "en=xx").option("part_bytes", 50).load()
+    assert {r.form for r in forms.collect()} == listed
+
+
+def test_dictionary_files_in_parts(spark, tmp_path):
+    """Every line is read once, wherever the parts are cut."""
+    stems = [(f"w{i}" + "ž" * (i % 7), "S" if i % 3 else "") for i in range(200)]
+    written(tmp_path, "xx", stems)
+    (tmp_path / "xx.dic").write_bytes((tmp_path / "xx.dic").read_bytes().rstrip(b"\n"))
+    spark.dataSource.register(hunspell.HunspellSource)
+    for size in (1, 7, 64, 1000, 1 << 20):
+        rows = spark.read.format("hunspell").option("path", str(tmp_path)).option("names", "en=xx").option("rows", "stems").option("part_bytes", size).load().collect()
+        assert sorted((r.stem, "".join(r.flags)) for r in rows) == sorted(stems)
+
+
+def test_dictionary_entries():
+    read = hunspell.read_affixes("AF 2\nAF AB\nAF C\nSFX A Y 1\nSFX A 0 s/2 [^a-c.]\n")
+    assert read.flags("1") == ["A", "B"] and read.flags("2") == ["C"] and read.flags("9") == []
+    assert read.rules["A"][0].more == ["C"] and read.rules["A"][0].condition == "[^a\\-c\\.]"
+    assert hunspell.read_stem("km\\/h/1 po:noun\tx", read) == ("km/h", ["A", "B"]) and hunspell.read_stem(" \t", read) is None
+    assert hunspell.condition("a[bc].(") == "a[bc].\\("
