@@ -29,14 +29,20 @@ def _column(function: Callable, kind: pa.DataType, returns: str, inputs: int = 1
                 yield pa.array([None if x is None else function(x) for x in batch.to_pylist()], kind)
 
         one.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-        return lambda a: F.arrow_udf(one, returns)(a)  # made at the call: there is no session when this is imported
+        return lambda a: _once(one, returns)(a)  # made at the call: there is no session when this is imported
 
     def two(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for a, b in batches:
             yield pa.array([None if x is None or y is None else function(x, y) for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], kind)
 
     two.__annotations__ = {"batches": Iterator[tuple[pa.Array, pa.Array]], "return": Iterator[pa.Array]}
-    return lambda a, b: F.arrow_udf(two, returns)(a, b)
+    return lambda a, b: _once(two, returns)(a, b)
+
+
+def _once(function: Callable, returns: str) -> Callable[..., Column]:
+    """A function over Arrow batches that counts as nondeterministic, so that the optimizer neither repeats it for each use
+    of its result nor moves a filter on that below it with a copy of it."""
+    return F.arrow_udf(function, returns).asNondeterministic()
 
 
 def nfc(text: str) -> str:
@@ -209,7 +215,7 @@ def placed_words_of(text: Column, pattern: str, mask: bool = True) -> Column:
             yield placed_words(batch, pattern, mask)
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return F.arrow_udf(run, "array<struct<start:int,end:int,word:string,starts:boolean>>")(text)
+    return _once(run, "array<struct<start:int,end:int,word:string,starts:boolean>>")(text)
 
 
 _DIFF = pa.struct([(k, pa.string()) for k in ("kind", "before", "a", "b", "after")])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from folio.functions.text import collapse, joined
 from folio.operators import guards, layout, parse, render
+from folio.operators.cleanup import cleaned
 from folio.operators.process import process
 from folio.plans.inputs import BLOCKS_SQL, blocks, dictionary, lines, strip_sql, table
 from folio.plans.registry import fixed, query, values
@@ -250,27 +251,37 @@ def hardware_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _read(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages of documents: markup, every fourth a text layer, every fifth document's last words over and over at the end."""
+    """Pages of documents: markup, every fourth a text layer, some blank, every fifth document's last words over and over at the end."""
     b = blocks(spark, sf_dir)
     tag = F.concat(F.lit("<|det|>"), "label", F.lit(" ["), F.concat_ws(", ", *(F.col(f"box.{c}") for c in ("x1", "y1", "x2", "y2"))), F.lit("]<|/det|>"), "text")
     pages = b.groupBy(*PAGE_KEYS).agg(joined(tag, "\n", "block_no").alias("markup"), joined("text", "\n\n", "block_no").alias("plain"))
     layer = (F.col("doc_id") + F.col("page_index")) % 4 == 0
     raw = F.concat("markup", F.when(F.col("doc_id") % 5 == 0, F.repeat(F.lit(" la"), 20_000)).otherwise(""))
-    return pages.select(*PAGE_KEYS, F.when(layer, "text_layer").otherwise("ocr").alias("source"), F.when(layer, F.col("plain")).alias("layer"), F.when(~layer, raw).alias("raw"), F.lit(False).alias("hit_token_cap"))
+    blank = (F.col("doc_id") + F.col("page_index")) % 11 == 5
+    source = F.when(layer, "text_layer").when(blank, "blank").otherwise("ocr")
+    return pages.select(*PAGE_KEYS, source.alias("source"), F.when(layer, F.col("plain")).alias("layer"), F.when(source == "ocr", raw).alias("raw"), F.lit(False).alias("hit_token_cap"))
 
 
 @query()
 def processed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole path over all pages of all documents with the derived dictionary; tested on written pages."""
-    done, _ = process(_read(spark, sf_dir), dictionary(spark, sf_dir))
-    return done.select(*PAGE_KEYS, "block_no", "label", "text", F.size("flags").alias("n_flags"))
+    """The record of every page of the whole path, over all pages of all documents with the derived dictionary; tested on written pages."""
+    done = process(_read(spark, sf_dir), dictionary(spark, sf_dir))
+    return done.pages.select(*PAGE_KEYS, "source", "rotation_applied", F.md5("raw").alias("raw_digest"), F.array_join("warnings", ",").alias("warnings"))
+
+
+@query()
+def processed_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The finished blocks of the same path, their unknown words set right where the dictionary has one nearest form."""
+    words = dictionary(spark, sf_dir)
+    done = process(_read(spark, sf_dir), words, cleanup=lambda b: cleaned(b, words))
+    return done.blocks.select(*PAGE_KEYS, "block_no", "label", "text", F.size("flags").alias("n_flags"))
 
 
 @query()
 def processed_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the same path flags."""
-    _, flags = process(_read(spark, sf_dir), dictionary(spark, sf_dir))
-    return flags.select(*BLOCK_KEYS, "kind", "start", "end", "original")
+    """What the same path flags, without setting words right."""
+    done = process(_read(spark, sf_dir), dictionary(spark, sf_dir))
+    return done.flags.select(*BLOCK_KEYS, "kind", "start", "end", "original")
 
 
 @query()

@@ -44,7 +44,7 @@ def test_query(spark, db, name):
 
 
 def test_nearly_all_queries_have_sql():
-    assert sorted(set(QUERIES) - set(ORACLE_SQL)) == ["pdf_text_lines", "processed_flags", "processed_pages", "runaway", "trim_runaway", "wrapped_lines"]
+    assert sorted(set(QUERIES) - set(ORACLE_SQL)) == ["pdf_text_lines", "processed_blocks", "processed_flags", "processed_pages", "runaway", "trim_runaway", "wrapped_lines"]
 
 
 def test_entry(spark):

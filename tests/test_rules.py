@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folio.functions import python, text
-from folio.operators import edits, guards, integrity, layout, lexicon, parse, render, repair, score
+from folio.operators import cleanup, edits, guards, integrity, layout, lexicon, parse, render, repair, score
 from folio.operators.process import process
 
 FLAGS = "array<struct<kind:string,start:int,end:int,original:string,note:string>>"
@@ -231,16 +231,65 @@ def test_processed_pages(spark):
         (1, 0, "ocr", None, "<|det|>text [10, 200, 900, 240]<|/det|>żena je doma, ted bud' plat<|det|>header [10, 10, 900, 40]<|/det|>Hlava", False),
         (1, 1, "text_layer", "the house\n\nstands heer", None, False), (1, 2, "ocr", None, "la " * 3000, False), (1, 3, "blank", None, None, False),
     ]
-    done, flags = process(table(spark, read, "doc_id int, page_index int, source string, layer string, raw string, hit_token_cap boolean"), words)
+    kind = "doc_id int, page_index int, source string, layer string, raw string, hit_token_cap boolean"
+    done, flags, pages = process(table(spark, read, kind), words)
     got = {(r.page_index, r.block_no): (r.label, r.text, len(r.flags)) for r in done.collect()}
-    assert got == {(0, 0): ("header", "Hlava", 0), (0, 1): ("text", "žena je doma, ted buď plat", 2), (1, 0): ("text", "the house", 0), (1, 1): ("text", "stands heer", 0), (2, 0): ("text", ("la " * 3000)[:200].rstrip(), 0)}
+    assert got == {(0, 0): ("header", "Hlava", 1), (0, 1): ("text", "žena je doma, ted buď plat", 3), (1, 0): ("text", "the house", 0), (1, 1): ("text", "stands heer", 1), (2, 0): ("text", ("la " * 3000)[:200].rstrip(), 67)}
     assert {(r.page_index, r.original) for r in flags.collect()} == {(1, "heer"), (0, "żena"), (0, "bud'"), (0, "ted"), (0, "Hlava"), (2, "la")}
-    again, _ = process(table(spark, read, "doc_id int, page_index int, source string, layer string, raw string, hit_token_cap boolean"), words, ["heer", "TED"], cleanup=lambda b: b.withColumn("text", F.upper("text")))
+    records = {r.page_index: (r.source, r.rotation_applied, r.raw, r.warnings) for r in pages.collect()}
+    assert records == {0: ("ocr", 0, read[0][4], []), 1: ("text_layer", 0, read[1][3], []), 2: ("ocr", 0, read[2][4], ["runaway"]), 3: ("blank", 0, "", [])}
+    again = process(table(spark, read, kind), words, ["heer", "TED"], cleanup=lambda b: b.withColumn("text", F.upper("text"))).blocks
     assert {r.text for r in again.collect()} >= {"HLAVA", "STANDS HEER"}
-    _, personal = process(table(spark, read, "doc_id int, page_index int, source string, layer string, raw string, hit_token_cap boolean"), words, ["heer", "TED"])
+    personal = process(table(spark, read, kind), words, ["heer", "TED"]).flags
     assert not {"heer", "ted"} & {r.original for r in personal.collect()}
 
 
+def test_cleanup_comes_after_the_flags(spark):
+    """The hook sees every flag; flags and blocks that come out of it agree."""
+    words = dictionary(spark, "en", "house", "stands", "here", "the", "stream", "water").unionByName(dictionary(spark, "cs", "dům"))
+    read = [(1, 0, "text_layer", "the houze stands here\n\nthe wattr", None, False)]
+    kind = "doc_id int, page_index int, source string, layer string, raw string, hit_token_cap boolean"
+    done = process(table(spark, read, kind), words, cleanup=lambda b: cleanup.cleaned(b, words))
+    assert {r.block_no: r.text for r in done.blocks.collect()} == {0: "the house stands here", 1: "the water"}
+    flags = sorted((r.block_no, r.kind, r.start, r.end, r.original) for r in done.flags.collect())
+    assert flags == [(0, "repaired", 4, 9, "houze"), (1, "repaired", 4, 9, "wattr")]
+
+
+def test_many_dictionaries(spark):
+    """A page finds its dictionary among any number of languages."""
+    words = dictionary(spark, "cs", "žena", "doma", "je")
+    many = spark.range(120).selectExpr("concat('b', id) AS lang", "'x' AS form")
+    read = [(1, 0, "text_layer", "žena je doma xyz", None, False)]
+    done = process(table(spark, read, "doc_id int, page_index int, source string, layer string, raw string, hit_token_cap boolean"), many.unionByName(words))
+    assert [(r.lang, [f.original for f in r.flags]) for r in done.blocks.collect()] == [("cs", ["xyz"])]
+
+
+def test_pages_that_are_turned(spark):
+    """A page that lies on its side is read again; one whose second reading is no better, was stopped, or has few words isn't."""
+    good, bad = " ".join(["the house stands here by the water"] * 3), " ".join(["eht esuoh sdnats ereh yb eht retaw"] * 3)
+    words = dictionary(spark, "en", "house", "stands", "here", "the", "by", "water")
+    tag = lambda t: f"<|det|>text [1, 2, 3, 4]<|/det|>{t}"
+    read = [
+        (1, 0, "ocr", tag(bad), 90, False, False), (1, 1, "ocr", tag(good), 0, False, False), (1, 2, "ocr", tag(bad), 0, False, False), (1, 3, "ocr", tag(bad), 0, True, False),
+        (1, 4, "ocr", tag("eht esuoh"), 0, False, False), (1, 5, "blank", None, 0, False, False), (1, 6, "ocr", "", 0, False, True), (1, 7, "ocr", tag(bad), 0, False, False), (1, 8, "ocr", "", 0, False, False),
+    ]
+    given = table(spark, read, "doc_id int, page_index int, source string, raw string, rotation int, cancelled boolean, timed_out boolean")
+    given = given.selectExpr("*", "CAST(NULL AS string) AS layer", "false AS hit_token_cap", "100 AS width_px", "200 AS height_px", "'quality' AS mode", "array('seen') AS warnings")
+    probes = [(1, p, d, 0.9 if d == 180 else 0.1, False, False) for p in range(9) for d in (0, 90, 180, 270)]
+    second = [(1, 0, 270, tag(good), False), (1, 0, 180, tag("wrong"), False), (1, 2, 180, tag(bad), False), (1, 3, 180, tag(good), False), (1, 4, 180, tag(good), False), (1, 7, 180, tag(good), True)]
+    later = table(spark, second, "doc_id int, page_index int, rotation int, raw string, cancelled boolean").selectExpr("*", "false AS hit_token_cap", "100 AS width_px", "200 AS height_px", "'fast' AS mode")
+    done = process(given, words, probes=table(spark, probes, "doc_id int, page_index int, degrees int, rate double, cancelled boolean, timed_out boolean"), second=later)
+    texts = {r.page_index: r.text for r in done.blocks.collect()}
+    assert texts == {0: good, 1: good, 2: bad, 3: bad, 4: "eht esuoh", 7: bad}
+    records = {r.page_index: (r.source, r.mode, r.width_px, r.height_px, r.rotation_applied, r.warnings) for r in done.pages.collect()}
+    first = ("ocr", "quality", 100, 200, 0)
+    assert records == {
+        0: ("ocr", "fast", 200, 100, 270, ["rotated"]), 1: (*first, ["seen"]), 2: (*first, ["seen"]), 3: (*first, ["seen", "cancelled"]), 4: (*first, ["seen"]),
+        5: ("blank", None, 100, 200, 0, []), 6: (*first, ["seen", "time_limit"]), 7: (*first, ["seen"]), 8: (*first, ["seen", "empty"]),
+    }
+    assert {r.original for r in done.flags.where("page_index = 0").collect()} == set()
+
+
 def test_clean_extract_and_paths(spark):
     rows = ["# Head\nfirst\nsecond (cid:12)\n\n\n\n12\nwo-\nrd ﬁn\n- item\ntail", "", "a\fb", "> q\nx\n3) y\n=== z\n```c"]
     got = table(spark, list(enumerate(rows)), "id int, t string").select("id", text.clean_extracted(F.col("t")).alias("o")).collect()
