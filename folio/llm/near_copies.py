@@ -14,6 +14,8 @@ texts without words, null texts included, are copies of each other; a component'
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -33,6 +35,8 @@ BANDS, ROWS = 32, 5
 FAR = 40
 #: Shingles whose minima are taken at a time.
 PIECE = 512
+#: Rounds in which a shingle's values meet one of them, before those of several components meet each other.
+ROUNDS = 2
 #: Parts into which the pairs of a value are dealt when its set is joined to them.
 SALTS = 8
 _RANDOM = np.random.default_rng(7).integers(0, 1 << 64, (2, BANDS * ROWS, 1), np.uint64)
@@ -113,12 +117,12 @@ def _plausible(pairs: DataFrame, members: DataFrame) -> DataFrame:
     return both.where(alike & (apart <= FAR)).select("u", "v")
 
 
-def across(rooted: DataFrame, members: DataFrame, known: DataFrame) -> DataFrame:
-    """Pairs u > v of values (fp, root) of different components that have a shingle in both prefixes and can agree enough.
+def _heads(rooted: DataFrame, members: DataFrame, known: DataFrame) -> DataFrame:
+    """The prefixes of values (fp, root) with the places of their shingles: fp, root, size, weight, at, shingle.
 
     In an order of shingles from rare to common, two sets that agree enough share one in their prefixes of size -
-    ceil(size * LEAST / OF) + 1, and what follows the first that they share must be enough still. Of a shingle's values
-    those outside the component that has most of them are compared with all.
+    ceil(size * LEAST / OF) + 1, and what follows the first that they share must be enough still. A value's weight says how
+    many others have its shingles; among edited copies of a text that is the text's own.
     """
     # exploded twice rather than written: the sets are a checkpoint already
     each = checkpoint(known.join(rooted, "fp", "left_semi")).select("fp", F.explode("shingles").alias("shingle"))
@@ -128,15 +132,47 @@ def across(rooted: DataFrame, members: DataFrame, known: DataFrame) -> DataFrame
     ranked = shared.groupBy("fp").agg(F.array_sort(F.collect_list(F.struct("n", "shingle"))).alias("order"))
     alone = F.col("size") - F.size("order")
     prefix = F.col("size") - F.ceil(F.col("size") * LEAST / OF) + 1 - alone
-    heads = ranked.join(rooted.join(members.select("fp", "size"), "fp"), "fp").where(prefix > 0).select("fp", "root", "size", F.posexplode(F.slice("order", F.lit(1), prefix.cast("int"))).alias("at", "x"), alone.alias("alone"))
-    heads = checkpoint(heads.select("fp", "root", "size", (F.col("at") + F.col("alone")).alias("at"), F.col("x.shingle").alias("shingle")))
+    weight = F.aggregate("order", F.lit(0).cast("double"), lambda total, x: total + x["n"]) / F.col("size")
+    heads = ranked.join(rooted.join(members.select("fp", "size"), "fp"), "fp").where(prefix > 0).select("fp", "root", "size", weight.alias("weight"), F.posexplode(F.slice("order", F.lit(1), prefix.cast("int"))).alias("at", "x"), alone.alias("alone"))
+    return checkpoint(heads.select("fp", "root", "size", "weight", (F.col("at") + F.col("alone")).alias("at"), F.col("x.shingle").alias("shingle")))
+
+
+def _enough(other: str) -> Column:
+    """Whether a head and another's, of the same shingle, can agree enough: by sizes, and by what follows in both."""
+    sizes = (F.least("size", f"{other}.size") * OF >= F.greatest("size", f"{other}.size") * LEAST) & (F.col("root") != F.col(f"{other}.root"))
+    rest = F.least(F.col("size") - F.col("at"), F.col(f"{other}.size") - F.col(f"{other}.at"))
+    return sizes & (rest * (OF + LEAST) >= (F.col("size") + F.col(f"{other}.size")) * LEAST)
+
+
+def _pairs(met: DataFrame, other: str) -> DataFrame:
+    return met.where(_enough(other)).select(F.greatest("fp", f"{other}.fp").alias("u"), F.least("fp", f"{other}.fp").alias("v")).distinct()
+
+
+def across(rooted: DataFrame, members: DataFrame, known: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Links u > v that `verify` leaves of pairs of values (fp, root) of different components that can agree enough.
+
+    At first each shingle's values meet only the one of them that weighs most, and components grow by what is linked. Then those of a shingle that are outside the component that has most of them are compared with all, so that
+    a large group of copies, which the rounds have put together, isn't compared pair by pair.
+    """
+    heads, found = _heads(rooted, members, known), None
+    for _ in range(ROUNDS):
+        one = F.max(F.struct("weight", "fp", "root", "size", "at")).alias("one")
+        ones = heads.groupBy("shingle").agg(one, F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("shingle", "one")
+        linked = checkpoint(verify(_pairs(heads.join(ones, "shingle"), "one")))
+        found = linked if found is None else found.unionByName(linked)
+        roots = checkpoint(heads.select("fp", "root").distinct())
+        of = lambda name: roots.select(F.col("fp").alias(name), F.col("root").alias(f"root_{name}"))  # noqa: E731, B023
+        joined = linked.join(of("u"), "u").join(of("v"), "v").select(F.greatest("root_u", "root_v").alias("u"), F.least("root_u", "root_v").alias("v")).where("u <> v").distinct()
+        moved = components(joined).select(F.col("node").alias("root"), F.col("root").alias("now"))
+        grown = roots.join(moved, "root").select("fp", "now")
+        heads = checkpoint(heads.join(grown, "fp", "left").withColumn("root", F.coalesce("now", "root")).drop("now"))
+        release(heads.sparkSession)
+        if linked.isEmpty():
+            break
     parts = heads.groupBy("shingle", "root").agg(F.count("*").alias("n")).groupBy("shingle").agg(F.max_by("root", F.struct("n", "root")).alias("most"), F.count("*").alias("roots")).where("roots > 1")
     all_ = heads.join(parts, "shingle")
-    few = all_.where("root <> most").select("shingle", *(F.col(c).alias(f"few_{c}") for c in ("fp", "root", "size", "at")))
-    sizes = (F.least("size", "few_size") * OF >= F.greatest("size", "few_size") * LEAST) & (F.col("root") != F.col("few_root"))
-    rest = F.least(F.col("size") - F.col("at"), F.col("few_size") - F.col("few_at"))
-    met = few.join(all_.select("shingle", "fp", "root", "size", "at"), "shingle").where(sizes & (rest * (OF + LEAST) >= (F.col("size") + F.col("few_size")) * LEAST))
-    return met.select(F.greatest("fp", "few_fp").alias("u"), F.least("fp", "few_fp").alias("v")).distinct()
+    few = all_.where("root <> most").select("shingle", F.struct("fp", "root", "size", "at").alias("few"))
+    return found.unionByName(verify(_pairs(few.join(all_.select("shingle", "fp", "root", "size", "at"), "shingle"), "few")))
 
 
 def links(docs: DataFrame, values: DataFrame) -> DataFrame:
@@ -157,7 +193,7 @@ def links(docs: DataFrame, values: DataFrame) -> DataFrame:
     split = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
     apart = checkpoint(placed.join(split, "key").select("fp", "root").distinct())
     release(docs.sparkSession)
-    return linked.unionByName(verified(_plausible(across(apart, members, known), members), known))
+    return linked.unionByName(across(apart, members, known, lambda pairs: verified(_plausible(pairs, members), known)))
 
 
 def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

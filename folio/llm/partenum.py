@@ -326,9 +326,7 @@ def links(docs: DataFrame, values: DataFrame, number: int) -> DataFrame:
     split = pairs.where("crowded").join(of("u"), "u").join(of("v"), "v").where("root_u <> root_v").select(F.explode(F.array("root_u", "root_v")).alias("root")).distinct()
     apart = checkpoint(rooted.join(split, "root").select("fp", "root"))
     known = _read(docs, members.join(apart, "fp", "left_semi"), sets, ["fp", "shingles"])
-    met = checkpoint(_alike(across(apart, members, known), marks))
-    release(docs.sparkSession)
-    return linked.unionByName(verified(met, known))
+    return linked.unionByName(across(apart, members, known, lambda pairs: verified(checkpoint(_alike(pairs, marks)), known)))
 
 
 def _alike(pairs: DataFrame, marks: DataFrame) -> DataFrame:
