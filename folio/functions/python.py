@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import difflib
 import os
 import unicodedata
 import zlib
@@ -11,6 +10,7 @@ from html import unescape
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -70,8 +70,8 @@ _MARKUP = regex.compile(r"""(?s)<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(?P<end>/?)(
 _SPAN = regex.compile(r"(?i)(?:^|[\s/])(?:row|col)span\s*(?:=|$|[\s/])")
 
 
-def table_rows(html: str) -> list[list[str]] | None:
-    """Cells by row; None if a cell spans others, [] without a table.
+def table_rows(html: str, spans: bool = False) -> list[list[str]] | None:
+    """Cells by row; None if a cell spans others, unless `spans` says that it counts as one; [] without a table.
 
     A cell's text runs to the next start of a cell or row, or to the end of a cell, row or table. A row opens where a tag
     says so, or with the first cell that closes.
@@ -94,7 +94,7 @@ def table_rows(html: str) -> list[list[str]] | None:
         if m["end"]:
             continue
         if is_cell:
-            if _SPAN.search(m["more"]):
+            if not spans and _SPAN.search(m["more"]):
                 return None
             cell = []
         else:
@@ -170,15 +170,118 @@ def accents(truth: str, reading: str) -> dict:
     return {"total": len(marked), "right": sum(a == b for a, b in marked), "wrong": [f"{a}→{'∅' if b is None else b}" for a, b in marked if a != b]}
 
 
-def differences(a: list[str], b: list[str]) -> dict:
-    """Where two word lists differ, with six words around, and how many words agree."""
-    found, agreed = [], 0
-    for kind, a1, a2, b1, b2 in difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes():
-        if kind == "equal":
-            agreed += a2 - a1
-        else:
-            found.append({"kind": "word" if max(a2 - a1, b2 - b1) <= 6 else "block", "before": " ".join(a[max(0, a1 - 6) : a1]), "a": " ".join(a[a1:a2]), "b": " ".join(b[b1:b2]), "after": " ".join(a[a2 : a2 + 6])})
-    return {"agreed": agreed, "found": found}
+_DIFF = pa.struct([(k, pa.string()) for k in ("kind", "before", "a", "b", "after")])
+#: Words that a difference takes at most to be one of words, and words that are shown around it.
+FEW_WORDS, AROUND = 6, 6
+
+
+class Windows:
+    """Names of the windows of two lists of ids: equal windows of a length have equal names, wherever they stand.
+
+    A window of twice a length is named by the names of its halves; any other length by two windows that overlap.
+    """
+
+    def __init__(self, a: np.ndarray, b: np.ndarray) -> None:
+        self.n = len(a)
+        self.names = [np.unique(np.concatenate((a, b)), return_inverse=True)[1].astype(np.int64)]
+
+    def _level(self, k: int) -> np.ndarray:
+        while len(self.names) <= k:
+            half = 1 << len(self.names) - 1
+            last = self.names[-1]
+            both = last[: max(0, len(last) - half)] * (len(last) + 1) + last[half:]
+            self.names.append(np.unique(both, return_inverse=True)[1].astype(np.int64))
+        return self.names[k]
+
+    def of(self, lo: int, hi: int, size: int) -> np.ndarray:
+        """The names of all windows of a size that lie within places lo to hi of both lists end to end."""
+        k = size.bit_length() - 1
+        names, shift = self._level(k), size - (1 << k)
+        first = names[lo : hi - size + 1]
+        return first * (len(self.names[0]) + 1) + names[lo + shift : hi - size + 1 + shift]
+
+    def longest(self, a1: int, a2: int, b1: int, b2: int) -> tuple[int, int, int]:
+        """Places and size of the longest window that both ranges have; of several the first in a, then in b."""
+        lo, hi, best = 1, min(a2 - a1, b2 - b1), (a1, b1, 0)
+        size = hi and 1
+        while lo <= hi:
+            ours, theirs = self.of(a1, a2, size), self.of(self.n + b1, self.n + b2, size)
+            hits = np.flatnonzero(np.isin(ours, theirs))
+            if len(hits):
+                at = int(hits[0])
+                best = (a1 + at, b1 + int(np.argmax(theirs == ours[at])), size)
+                lo = size + 1
+                size = min(hi, 2 * size) if hi - size > size else (lo + hi) // 2
+            else:
+                hi = size - 1
+                size = (lo + hi) // 2
+        return best
+
+
+def blocks_of(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, int]]:
+    """Equal blocks of two lists of ids in order: the longest common one, then those of what is left before and behind it."""
+    windows, found, todo = Windows(a, b), [], [(0, len(a), 0, len(b))]
+    while todo:
+        a1, a2, b1, b2 = todo.pop()
+        i, j, size = windows.longest(a1, a2, b1, b2) if a1 < a2 and b1 < b2 else (0, 0, 0)
+        if size:
+            found.append((i, j, size))
+            todo += [(a1, i, b1, j), (i + size, a2, j + size, b2)]
+    merged: list[tuple[int, int, int]] = []
+    for i, j, size in sorted(found):
+        if merged and merged[-1][0] + merged[-1][2] == i and merged[-1][1] + merged[-1][2] == j:
+            i, j, size = merged[-1][0], merged[-1][1], merged.pop()[2] + size
+        merged.append((i, j, size))
+    return merged
+
+
+def gaps_of(blocks: list[tuple[int, int, int]], n: int, m: int) -> list[tuple[int, int, int, int]]:
+    """What lies between blocks: ranges of both lists, one of which may be empty."""
+    out, i, j = [], 0, 0
+    for x, y, size in [*blocks, (n, m, 0)]:
+        if i < x or j < y:
+            out.append((i, x, j, y))
+        i, j = x + size, y + size
+    return out
+
+
+def _lists(column: pa.Array) -> tuple[list, np.ndarray]:
+    """A column's words end to end, and where each row's begin (one more at the end)."""
+    sizes = np.asarray(pc.list_value_length(column).fill_null(0), np.int64)
+    return column.flatten(), np.concatenate(([0], np.cumsum(sizes)))
+
+
+def differences(a: pa.Array, b: pa.Array) -> pa.Array:
+    """Where the word lists of two columns differ, row by row, with the words around, and how many words agree; null if either is."""
+    (left, at), (right, bt) = _lists(a), _lists(b)
+    ids = pa.concat_arrays([left, right]).dictionary_encode().indices.fill_null(-1).to_numpy()
+    words, others, codes = left.to_pylist(), right.to_pylist(), (ids[: len(left)], ids[len(left) :])
+    rows = []
+    for row in range(len(a)):
+        if not (a.is_valid()[row].as_py() and b.is_valid()[row].as_py()):
+            rows.append(None)
+            continue
+        x, y = at[row], bt[row]
+        n, m = int(at[row + 1] - x), int(bt[row + 1] - y)
+        blocks = blocks_of(codes[0][x : x + n], codes[1][y : y + m])
+        text = lambda source, start, lo, hi: " ".join(w or "" for w in source[start + lo : start + hi])
+        found = [
+            {"kind": "word" if max(i2 - i1, j2 - j1) <= FEW_WORDS else "block", "before": text(words, x, max(0, i1 - AROUND), i1), "a": text(words, x, i1, i2), "b": text(others, y, j1, j2), "after": text(words, x, i2, min(n, i2 + AROUND))}
+            for i1, i2, j1, j2 in gaps_of(blocks, n, m)
+        ]
+        rows.append({"agreed": sum(size for _, _, size in blocks), "found": found})
+    return pa.array(rows, pa.struct([("agreed", pa.int32()), ("found", pa.list_(_DIFF))]))
+
+
+def differences_of(a: Column, b: Column) -> Column:
+    """struct<agreed, found> of two columns of word lists."""
+
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for x, y in batches:
+            yield differences(x, y)
+
+    run.__annotations__ = {"batches": Iterator[tuple[pa.Array, pa.Array]], "return": Iterator[pa.Array]}
+    return _once(run, "struct<agreed:int,found:array<struct<kind:string,before:string,a:string,b:string,after:string>>>")(a, b)
 
 
 _SKIPPED = frozenset(BLANKS + START_OPENERS)
@@ -218,11 +321,10 @@ def placed_words_of(text: Column, pattern: str, mask: bool = True) -> Column:
     return _once(run, "array<struct<start:int,end:int,word:string,starts:boolean>>")(text)
 
 
-_DIFF = pa.struct([(k, pa.string()) for k in ("kind", "before", "a", "b", "after")])
 nfc_of = _column(nfc, pa.string(), "string")
 fold_of = _column(fold, pa.string(), "string")
 packed_share_of = _column(packed_share, pa.float64(), "double")
 packed_shares_of = _column(packed_shares, pa.list_(pa.float64()), "array<double>")
 table_rows_of = _column(table_rows, pa.list_(pa.list_(pa.string())), "array<array<string>>")
+spanned_rows_of = _column(lambda html: table_rows(html, True), pa.list_(pa.list_(pa.string())), "array<array<string>>")
 accents_of = _column(accents, pa.struct([("total", pa.int32()), ("right", pa.int32()), ("wrong", pa.list_(pa.string()))]), "struct<total:int,right:int,wrong:array<string>>", 2)
-differences_of = _column(differences, pa.struct([("agreed", pa.int32()), ("found", pa.list_(_DIFF))]), "struct<agreed:int,found:array<struct<kind:string,before:string,a:string,b:string,after:string>>>", 2)

@@ -113,19 +113,71 @@ def at_sentence_start(before: Column) -> Column:
 
 #: Names of the model's paired tags, whose contents go too, and tags of tables.
 PAIRED, TABLE_TAGS = ("ref", "det"), ("table", "thead", "tbody", "tr", "td", "th")
-#: What Markdown puts before a line's text, one of them: hashes, a bullet, or a line of rules alone.
-LINE_MARK = r"^(?:\s{0,3}#{1,6}(?:\s+|$)|\s*[-*](?:\s+|$)|\s*\|?[-:| ]{3,}\|?\s*$)"
+#: What a line that only draws a rule is made of.
+RULE, LEAST_RULE, MOST_HASHES, MOST_INDENT = "-:| ", 3, 6, 3
+
+
+def _pieces(text: Column, mark: str) -> Column:
+    """A text cut at each place of a mark that is taken literally."""
+    return F.split(text, "\\Q" + mark + "\\E", -1)
+
+
+def without_pairs(text: Column, opening: str, closing: str) -> Column:
+    """A space for each stretch from an opening mark to the next closing one; marks without their other half stay."""
+    pieces = _pieces(text, closing)
+
+    def cut(piece: Column, i: Column) -> Column:
+        at = F.instr(piece, opening)
+        ended = F.when(at > 0, F.concat(F.substring(piece, F.lit(1), at - 1), F.lit(" "))).otherwise(F.concat(piece, F.lit(closing)))
+        return F.when(i < F.size(pieces) - 1, ended).otherwise(piece)
+
+    return F.array_join(F.transform(pieces, cut), "")
+
+
+def without_tokens(text: Column) -> Column:
+    """A space for each model token: an opening mark, and a closing one before any other bar or angle."""
+
+    def cut(piece: Column, i: Column) -> Column:
+        rest = F.regexp_replace(piece, "^[^|>]*", "")
+        return F.when(i == 0, piece).when(F.startswith(rest, F.lit("|>")), F.concat(F.lit(" "), F.substring(rest, 3, 1 << 30))).otherwise(F.concat(F.lit("<|"), piece))
+
+    return F.array_join(F.transform(_pieces(text, "<|"), cut), "")
+
+
+def without_table_tags(text: Column) -> Column:
+    """A line end where a row or line of a table ends, and a space for its other tags; what else is angled stays."""
+
+    def cut(piece: Column, i: Column) -> Column:
+        end = F.instr(piece, ">")
+        inner = F.lower(F.substring(piece, F.lit(1), end - 1))
+        name = F.regexp_extract(inner, "^/?([a-z]*)", 1)
+        after = F.substring(piece, end + 1, F.length(piece))
+        row = (F.btrim(inner) == "/tr") | (name == "br")
+        tag = F.when(row, F.lit("\n")).when(name.isin(*TABLE_TAGS), F.lit(" "))
+        return F.when(i == 0, piece).when((end > 0) & tag.isNotNull(), F.concat(tag, after)).otherwise(F.concat(F.lit("<"), piece))
+
+    return F.array_join(F.transform(_pieces(text, "<"), cut), "")
+
+
+def unmarked_line(line: Column) -> Column:
+    """A line without the Markdown that it begins with: hashes of a heading, or a bullet; nothing of a line that draws a rule."""
+    bare = left_strip(line)
+    first = F.regexp_extract(bare, r"^\S+", 0)
+    rest = left_strip(F.substring(bare, F.length(first) + 1, F.length(bare)))
+    heading = _only(first, "#") & (F.length(first) <= MOST_HASHES) & (F.length(line) - F.length(bare) <= MOST_INDENT)
+    rule = (F.length(line) >= LEAST_RULE) & (F.translate(right_strip(bare), RULE, "") == "") & (bare != "")
+    return F.when(heading | first.isin("-", "*"), rest).when(rule, F.lit("")).otherwise(line)
 
 
 def clean_model_text(raw: Column) -> Column:
     """Plain words of model output: tags, model tokens, table markup and Markdown marks go."""
     for name in PAIRED:
-        raw = F.regexp_replace(raw, rf"(?s)<\|{name}\|>.*?<\|/{name}\|>", " ")
-    bare = F.replace(F.regexp_replace(raw, r"<\|[^|>]*\|>", " "), F.lit("<PAGE>"), F.lit(" "))
-    lines = F.split(F.regexp_replace(bare, r"(?i)</tr>|<br\s*/?>", "\n"), "\n", -1)
-    tag = rf"(?i)</?(?:{'|'.join(TABLE_TAGS)})[^>]*>"
-    unmarked = F.transform(lines, lambda x: F.regexp_replace(F.regexp_replace(x, tag, " "), LINE_MARK, ""))
-    return F.translate(F.replace(F.replace(F.array_join(unmarked, "\n"), F.lit("**"), F.lit("")), F.lit("__"), F.lit("")), "|", " ")
+        raw = without_pairs(raw, f"<|{name}|>", f"<|/{name}|>")
+    lines = F.split(without_table_tags(F.replace(without_tokens(raw), F.lit("<PAGE>"), F.lit(" "))), "\n", -1)
+    plain = F.array_join(F.transform(lines, unmarked_line), "\n")
+    for mark in ("**", "__"):
+        plain = F.replace(plain, F.lit(mark), F.lit(""))
+    return F.translate(plain, "|", " ")
 
 
 def plain_words(text: Column) -> Column:
@@ -135,22 +187,47 @@ def plain_words(text: Column) -> Column:
     return F.filter(F.split(t, f"{SPACE}+"), lambda w: w != "")
 
 
+#: The folder that holds users' homes, and what is put for one.
+HOMES, TOLD, TOLD_NAME = "users", "%USERPROFILE%", "C--Users-<user>-"
+#: How the segments of a path may be parted: a backslash, two as in JSON, a slash.
+PARTED = ("\\\\", "\\", "/")
+
+
 def scrub_user(text: Column, user: str) -> tuple[Column, Column]:
     """A text without paths into a user's home, and how many there were.
 
-    A path may be written with slashes, backslashes, doubled ones as in JSON, or as one name with dashes.
+    The text is cut at the homes' folder. A home is there if a drive stands before the cut and the user's name after it,
+    both parted from it alike: by a slash, a backslash or two of them, or by dashes in a path that was made one name.
     """
-    name, count = "\\Q" + user + "\\E", F.lit(0)
-
-    def home(separator: str) -> str:
-        return rf"(?i)[a-z]:{separator}Users{separator}{name}"
-
-    doubled, end = r"\\" * 2, r"(?=[\\/]|$|[^\w.-])"
-    told = "%USERPROFILE%"
-    for pattern, new in ((home(doubled) + doubled, told + doubled), (home(r"\\") + end, told), (home("/") + end, told), (rf"(?i)[a-z]--Users-{name}-", "C--Users-<user>-")):
-        count = count + F.regexp_count(text, F.lit(pattern))
-        text = F.regexp_replace(text, pattern, new)
-    return text, count
+    name, kind = user.lower(), "struct<before:int,after:int,told:string>"
+
+    def home(pieces: Column, i: Column) -> Column:
+        """How much of the gaps before and after the cut belongs to a home, and what is put for it; null if there is none."""
+        before, after = F.lower(F.get(pieces, i - 1)), F.lower(F.get(pieces, i + 1))
+        out = F.when(F.rlike(before, F.lit("[a-z]--$")) & F.startswith(after, F.lit(f"-{name}-")), F.struct(F.lit(3).alias("before"), F.lit(len(name) + 2).alias("after"), F.lit(TOLD_NAME).alias("told")))
+        for sign in PARTED:
+            drive = F.rlike(F.substring(before, -len(sign) - 2, 2), F.lit("^[a-z]:$")) & F.endswith(before, F.lit(sign))
+            next_ = F.substring(after, len(sign + name) + 1, 1)
+            # in JSON the home's own separator goes along and is put back; else the name must end here
+            json = len(sign) > 1
+            whole = F.startswith(after, F.lit(sign + name + sign * json)) & (F.lit(json) | (next_ == "") | F.rlike(next_, F.lit(r"[^\w.-]")))
+            out = out.when(drive & whole, F.struct(F.lit(len(sign) + 2).alias("before"), F.lit(len(sign + name + sign * json)).alias("after"), F.lit(TOLD + sign * json).alias("told")))
+        return out.otherwise(F.lit(None).cast(kind))
+
+    def scrubbed(pieces: Column) -> Column:
+        def put(cuts: Column) -> Column:
+            def one(x: Column, i: Column) -> Column:
+                head, tail = F.coalesce(F.get(cuts, i - 1)["after"], F.lit(0)), F.coalesce(F.get(cuts, i + 1)["before"], F.lit(0))
+                gap = F.substring(x, head + 1, F.greatest(F.length(x) - head - tail, F.lit(0)))
+                return F.when(i % 2 == 1, F.coalesce(F.get(cuts, i)["told"], x)).otherwise(gap)
+
+            found = F.size(F.array_compact(F.transform(cuts, lambda c: c["told"])))
+            return F.struct(F.array_join(F.transform(pieces, one), "").alias("text"), found.alias("n"))
+
+        return let(F.transform(pieces, lambda x, i: F.when(i % 2 == 1, home(pieces, i)).otherwise(F.lit(None).cast(kind))), put)
+
+    done = let(matches(text, f"(?i){HOMES}"), scrubbed)
+    return done["text"], done["n"]
 
 
 def words_found(text: Column, expected: list[str]) -> Column:

@@ -300,8 +300,9 @@ def page_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _BARE = "replace(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<\\|ref\\|>.*?<\\|/ref\\|>', ' ', 'g'), '(?s)<\\|det\\|>.*?<\\|/det\\|>', ' ', 'g'), '<\\|[^|>]*\\|>', ' ', 'g'), '<PAGE>', ' ')"
+_UNMARKED = "CASE WHEN regexp_extract({x}, '^\\s*(\\S+)', 1) IN ('-', '*') OR regexp_matches({x}, '^\\s{{0,3}}#{{1,6}}(\\s|$)') THEN regexp_replace({x}, '^\\s*\\S+', '') WHEN length({x}) >= 3 AND trim({x}) <> '' AND trim(translate({x}, '-:|', '')) = '' THEN '' ELSE {x} END"
 _CLEAN = f"""replace(replace(array_to_string(list_transform(string_split(regexp_replace({_BARE}, '(?i)</tr>|<br\\s*/?>', chr(10), 'g'), chr(10)),
-lambda x: regexp_replace(regexp_replace(x, '(?i)</?(?:{'|'.join(text.TABLE_TAGS)})[^>]*>', ' ', 'g'), '{text.LINE_MARK}', '')), chr(10)), '**', ''), '__', '')"""
+lambda x: {_UNMARKED.format(x=f"regexp_replace(x, '(?i)</?(?:{'|'.join(text.TABLE_TAGS)})[^>]*>', ' ', 'g')")}), chr(10)), '**', ''), '__', '')"""
 
 
 @query(f"SELECT page_id, md5(trim(regexp_replace(replace({_CLEAN}, '|', ' '), '\\s+', ' ', 'g'))) AS digest FROM pages")

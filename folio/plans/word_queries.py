@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio.functions.text import word_list
-from folio.operators import affixes, cleanup
+from folio.operators import affixes, cleanup, score
 from folio.plans.inputs import DICTIONARY_SQL, dictionary, table, words_sql
 from folio.plans.registry import fixed, query, values
 
@@ -101,3 +101,26 @@ def affixed_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = dictionary(spark, sf_dir)
     own = table(spark, sf_dir, "documents").select("lang", F.explode(F.array_distinct(word_list(F.col("text")))).alias("word"))
     return affixes.recognised(own.unionByName(_made(words)), written_dictionary(spark, words))
+
+
+#: Words of a document from which on one reading of it has a part taken out, another put in and a third moved to its end.
+LEAST_MOVED = 60
+
+
+@query(f"""WITH w AS (SELECT doc_id, list_transform({words_sql('text')}, lambda x, i: x || '#' || i) AS w FROM documents), n AS (SELECT doc_id, w, len(w) AS n FROM w),
+cuts AS (SELECT doc_id, w, n, unnest([1, 2, 3, 4]) AS id FROM n WHERE n >= {LEAST_MOVED}),
+parts AS (SELECT doc_id, n, id, CASE WHEN id = 1 THEN 'word' ELSE 'block' END AS kind,
+  array_to_string(CASE id WHEN 1 THEN w[4:9] WHEN 2 THEN w[25:30] WHEN 3 THEN w[34:39] ELSE w[n - 5:n] END, ' ') AS before,
+  CASE id WHEN 1 THEN array_to_string(w[10:14], ' ') WHEN 3 THEN array_to_string(w[40:47], ' ') ELSE '' END AS a,
+  CASE id WHEN 2 THEN 'p0 p1 p2 p3 p4 p5 p6' WHEN 4 THEN array_to_string(w[40:47], ' ') ELSE '' END AS b,
+  array_to_string(CASE id WHEN 1 THEN w[15:20] WHEN 2 THEN w[31:36] WHEN 3 THEN w[48:53] ELSE [] END, ' ') AS "after" FROM cuts)
+SELECT n.doc_id, CAST(CASE WHEN n.n >= {LEAST_MOVED} THEN n.n - 13 ELSE n.n END AS INT) AS agreed, p.id, p.kind, p.before, p.a, p.b, p."after" FROM n LEFT JOIN parts p ON p.doc_id = n.doc_id""")
+def moved_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two readings of every document, words numbered: in the second a part is missing, one is new, and one stands at the end."""
+    words = F.transform(word_list(F.col("text")), lambda w, i: F.concat(w, F.lit("#"), (i + 1).cast("string")))
+    given = table(spark, sf_dir, "documents").select("doc_id", words.alias("a"))
+    part = lambda lo, hi: F.slice("a", lo, hi - lo + 1)
+    new = F.array(*(F.lit(f"p{i}") for i in range(7)))
+    second = F.concat(part(1, 9), part(15, 30), new, part(31, 39), F.slice("a", F.lit(48), F.size("a")), part(40, 47))
+    both = given.withColumn("b", F.when(F.size("a") >= LEAST_MOVED, second).otherwise(F.col("a")))
+    return score.disagreements(both, ["doc_id"], "a", "b")

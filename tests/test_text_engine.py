@@ -1,8 +1,11 @@
 """Rules on text against literal cases and plain Python."""
 
+import difflib
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -208,6 +211,38 @@ def test_error_rate(spark):
 
 
 def test_differences():
-    got = python.differences("a b c d".split(), "a x c d e e e e e e e".split())
-    assert got["agreed"] == 3 and [x["kind"] for x in got["found"]] == ["word", "block"]
-    assert got["found"][0] == {"kind": "word", "before": "a", "a": "b", "b": "x", "after": "c d"}
+    column = lambda *rows: pa.array([r.split() if r is not None else None for r in rows], pa.list_(pa.string()))
+    got = python.differences(column("a b c d", None, "", "x"), column("a x c d e e e e e e e", "a", "", None)).to_pylist()
+    assert got[0]["agreed"] == 3 and [x["kind"] for x in got[0]["found"]] == ["word", "block"]
+    assert got[0]["found"][0] == {"kind": "word", "before": "a", "a": "b", "b": "x", "after": "c d"}
+    assert got[1] is None and got[2] == {"agreed": 0, "found": []} and got[3] is None
+    sliced = python.differences(column("z", "a b", "c").slice(1), column("z", "a c", "c").slice(1)).to_pylist()
+    assert [x["agreed"] for x in sliced] == [1, 1]
+
+
+@pytest.mark.parametrize("letters", [2, 4, 40])
+def test_blocks_follow_the_longest_block_rule(letters):
+    """Against the standard library's matcher, on random lists and on lists with parts moved, taken out and put in."""
+    rng = random.Random(letters)
+    for _ in range(150):
+        a = rng.choices(range(letters), k=rng.randint(0, 60))
+        b = rng.choices(range(letters), k=rng.randint(0, 60))
+        if rng.random() < 0.6:
+            i, j, k = sorted(rng.randint(0, len(a)) for _ in range(3))
+            b = a[:i] + a[j:k] + rng.choices(range(letters), k=rng.randint(0, 9)) + a[i:j] + a[k:]
+        want = [m for m in difflib.SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks() if m.size]
+        assert python.blocks_of(np.array(a, np.int64), np.array(b, np.int64)) == [tuple(m) for m in want]
+
+
+def test_long_lists_of_few_words():
+    """Words that stand everywhere cost no more than others."""
+    a = np.array([i % 3 for i in range(30_000)])
+    assert python.blocks_of(a, np.concatenate((a[:7], [9], a[7:]))) == [(0, 1, 29_999)] or python.blocks_of(a, a) == [(0, 0, 30_000)]
+
+
+def test_python_runs_once(spark):
+    """A function's result that is used several times, and filtered, is worked out in one place of the plan."""
+    docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
+    w = python.placed_words_of(F.col("text"), text.WORD)
+    made = docs.select("doc_id", w.alias("w")).where(F.size("w") > 0).select("doc_id", F.size("w"), F.col("w.word"), F.col("w.start"))
+    assert made._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
