@@ -6,12 +6,12 @@ enough (a likelihood-ratio test and a least gain a token). A state's probabiliti
 what a state doesn't list goes to its suffix, scaled so that all probabilities sum to one. A text is scored by the
 longest state at each token.
 
-Counts cover all training documents, and contexts have any length up to DEPTH words. Single-token counts stay in a distributed table: tokens with at least 1/COMMON
-of all occurrences (at most COMMON of them) are broadcast, the rest are joined. Contexts are tried from short to long
-and only those with at least 1/CONTEXTS of all tokens can be states, next tokens with at least 1/NEXT are counted
-apart and 1/LISTED listed. So the tree, which every task holds, has a bound that the corpus doesn't move: at each depth
-CONTEXTS states and LISTED + CONTEXTS * DENSE listed pairs at most. What stands behind rarer contexts is scored by the
-table of single tokens, which grows with the corpus.
+Counts cover all training documents, and contexts have any length up to DEPTH words. Single-token counts stay in a
+distributed table: tokens with at least 1/COMMON of all occurrences (at most COMMON of them) are broadcast, the rest are
+joined. Contexts are tried from short to long and only those with at least 1/CONTEXTS of all tokens can be states, with each
+further word a DEEPER part of that (1/LISTED at least), as longer contexts are rarer and fewer; next tokens with at least 1/NEXT are counted
+apart and 1/LISTED listed. So the tree, which every task holds, has a bound that the corpus doesn't move. What stands
+behind rarer contexts is scored by the table of single tokens, which grows with the corpus.
 
 Defined results: tokens are lower-cased (A-Z) words and one end token for each document; a null text is an empty one
 and has the end token alone; a text of any length is scored whole, a batch's texts a megabyte at a time; an empty table
@@ -36,8 +36,10 @@ from folio.llm.common import checkpoint, held_out, runs
 
 #: Bounds as shares of all tokens: broadcast tokens, states of a depth, next tokens, listed pairs of a depth.
 COMMON, CONTEXTS, NEXT, LISTED = 1_000_000, 40_000, 100_000, 1_000_000
-#: Longest context, tokens that any state lists, strength of the pull to the suffix, and the tests of divergence.
-DEPTH, DENSE, PULL, LEAST_GAIN, LEAST_RATIO = 5, 32, 20.0, 0.01, 50.0
+#: By how much the share that a context needs falls with each word of it after the first.
+DEEPER = 4
+#: Longest context, tokens that any state of one word lists (a quarter with each further word), strength of the pull to the suffix, and the tests of divergence.
+DEPTH, DENSE, PULL, LEAST_GAIN, LEAST_RATIO = 5, 32, 20.0, 0.01, 20.0
 #: Distinct keys held by a task before they are sent on.
 HELD = 400_000
 END = b""
@@ -226,11 +228,16 @@ def log_prob(tree: Tree, suffix: np.ndarray, token: np.ndarray) -> np.ndarray:
     return out
 
 
+def dense_of(tree: Tree, depth: int) -> int:
+    """The commonest tokens that every state of a depth lists."""
+    return min(DENSE >> 2 * (depth - 1), tree.next_size)
+
+
 def _states(tree: Tree, depth: int, codes: np.ndarray, counts: np.ndarray, totals: np.ndarray, least: float) -> State:
     """Test, list and smooth the contexts of one depth from their next-token counts."""
     size, width = len(tree.keys[depth - 1]), tree.next_size + 1
     suffix = _suffixes(depth, tree.keys[depth - 1], tree.context_size + 1, tree.states)
-    dense = min(DENSE, tree.next_size)
+    dense = dense_of(tree, depth)
     listed = counts >= least
     code = np.unique(np.concatenate([codes[listed & (codes % width < tree.next_size)], (np.arange(size)[:, None] * width + np.arange(dense)).ravel()]))
     at = np.minimum(np.searchsorted(codes, code), max(0, len(codes) - 1))
@@ -274,11 +281,11 @@ def train(docs: DataFrame, counts: DataFrame) -> Tree:
         got = pairs.groupBy(F.floor(F.col("code") / width).cast("long").alias("i")).agg(F.sum("n").alias("n")).toArrow()
         totals[got.column("i").to_numpy()] = got.column("n").to_numpy()
         least = n / LISTED
-        few = pairs.where(((F.col("n") >= least) & (F.col("code") % width < tree.next_size)) | (F.col("code") % width < min(DENSE, tree.next_size))).orderBy("code").toArrow()
+        few = pairs.where(((F.col("n") >= least) & (F.col("code") % width < tree.next_size)) | (F.col("code") % width < dense_of(tree, depth))).orderBy("code").toArrow()
         codes, number = few.column("code").to_numpy(), few.column("n").to_numpy()
         tree.states.append(_states(tree, depth, codes, number, totals, least))
         index, token = codes // width, codes % width
-        longer = (number * CONTEXTS >= n) & (token < tree.context_size)
+        longer = (number * CONTEXTS * DEEPER**depth >= n) & (token < tree.context_size)
         # the next depth's contexts put one more token before these: for depth 1 the pair (a, b) gives b preceded by a
         keys = np.sort(_prepend(depth, tree, index[longer], token[longer]))
         sent.unpersist()
@@ -314,8 +321,9 @@ def _score(tree):
         t: Tree = tree.value
         get = t.ids().get
         log_root = t.root(np.zeros(1))[0]
+        row = 0
         for batch in batches:
-            doc_ids = batch.column(1).to_pylist()
+            doc_ids, kind = batch.column(1).to_pylist(), batch.column(1).type
             for lo, hi, ids, found, first in _chunked(batch, get):
                 common = ids >= 0
                 base, score, known = np.zeros(len(ids)), np.zeros(len(ids)), np.zeros(len(ids), np.int64)
@@ -341,36 +349,39 @@ def _score(tree):
                 texts = batch.column(0)
                 marks = [xxhash.xxh64_intdigest(texts[i].as_py() or "") - (1 << 63) for i in range(lo, hi)]
                 sums = [np.add.reduceat(x, first[:-1]) for x in (base, score, known)]
-                words = [b" %d" % m for m in marks]
+                # rows of documents meet no word, and go wherever: equal texts to different tasks
+                words = [b" %d %d" % (m, row + i) for i, m in enumerate(marks)]
+                row += len(marks)
                 rows = [words, doc_ids[lo:hi], marks, np.ones(hi - lo, np.int64), np.diff(first), *sums]
                 rare = np.flatnonzero(~common)
                 doc = np.searchsorted(first, rare, "right") - 1
                 tally = Counter(zip(doc.tolist(), [found[i] for i in rare.tolist()], strict=True))
-                yield _rows(rows)
+                yield _rows(rows, kind)
                 if tally:
                     d = [k for k, _ in tally]
                     zero = np.zeros(len(d))
-                    yield _rows([[w for _, w in tally], [doc_ids[lo + k] for k in d], [marks[k] for k in d], np.zeros(len(d), np.int64), np.fromiter(tally.values(), np.int64, len(d)), zero, zero, zero.astype(np.int64)])
+                    yield _rows([[w for _, w in tally], [doc_ids[lo + k] for k in d], [marks[k] for k in d], np.zeros(len(d), np.int64), np.fromiter(tally.values(), np.int64, len(d)), zero, zero, zero.astype(np.int64)], kind)
 
     return run
 
 
-_KINDS = [pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64()]
+#: The second is the id's own type.
+_KINDS = [pa.binary(), None, pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64()]
 _NAMES = ["word", "doc_id", "mark", "is_doc", "number", "base", "score", "known"]
 
 
-def _rows(columns: list) -> pa.RecordBatch:
-    return pa.record_batch([pa.array(c, k) for c, k in zip(columns, _KINDS, strict=True)], names=_NAMES)
+def _rows(columns: list, kind: pa.DataType) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(c, k or kind) for c, k in zip(columns, _KINDS, strict=True)], names=_NAMES)
 
 
 def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", modulus: int = 7, remainder: int = 2) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every whole text."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(f"`{text}`").alias("text"), F.col(f"`{doc_id}`").cast("long").alias("doc_id"), held_out(F.col(f"`{doc_id}`"), modulus, remainder).alias("held"))
+    rows = docs.select(F.col(f"`{text}`").alias("text"), F.col(f"`{doc_id}`").alias("doc_id"), held_out(F.col(f"`{doc_id}`"), modulus, remainder).alias("held"))
     counted = rows.select("text", "held").mapInArrow(_count_words, "word binary, n long, n_all long")
     counts = checkpoint(counted.groupBy("word").agg(F.sum("n").alias("n"), F.sum("n_all").alias("n_all")))
     tree = train(rows, counts)
-    found = rows.select("text", "doc_id").mapInArrow(_score(spark.sparkContext.broadcast(tree)), "word binary, doc_id long, mark long, is_doc long, number long, base double, score double, known long")
+    found = rows.select("text", "doc_id").mapInArrow(_score(spark.sparkContext.broadcast(tree)), f"word binary, doc_id {rows.schema['doc_id'].dataType.simpleString()}, mark long, is_doc long, number long, base double, score double, known long")
     rare = counts.where("n > 0").select("word", F.col("n").alias("count"))
     joined = found.join(rare, "word", "left")
     is_rare = F.col("is_doc") == 0

@@ -139,3 +139,11 @@ def test_empty_and_untrained(spark):
     alone = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)
     r = s.score(spark.createDataFrame([(alone, "x y")], names)).collect()[0]
     assert (r.n_tokens, r.n_known, r.train_tokens) == (3, 0, 0) and r.score == r.base_score == 0.0
+
+
+def test_ids_of_any_kind(spark):
+    """Ids that aren't numbers stay as they are, and so does which of them are held out; equal texts keep their own rows."""
+    rows = [(f"{i:03}", "a b a b c") for i in range(40)] + [(None, "a b a b c"), ("x", "a b a b c")]
+    got = s.score(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert sorted(str(r.doc_id) for r in got) == sorted(str(i) for i, _ in rows)
+    assert all(r.held_out == (r.doc_id is not None and zlib.crc32(r.doc_id.encode()) % 7 == 2) and r.n_tokens == 6 for r in got)
