@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
+from pyspark import Broadcast
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -284,6 +285,27 @@ def differences_of(a: Column, b: Column) -> Column:
     return _once(run, "struct<agreed:int,found:array<struct<kind:string,before:string,a:string,b:string,after:string>>>")(a, b)
 
 
+def strings_in(text: Column, strings: Broadcast) -> Column:
+    """array<long>: the numbers of the strings (string, number) that a text holds, found in one walk over it.
+
+    Equal numbers of different strings are told apart by nothing: numbers are hashes of the strings.
+    """
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for string, number in strings.value:
+            automaton.add_word(string, number)
+        if len(automaton):
+            automaton.make_automaton()
+        for batch in batches:
+            yield pa.array([sorted({n for _, n in automaton.iter(x)}) if x and len(automaton) else [] for x in batch.to_pylist()], pa.list_(pa.int64()))
+
+    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return _once(run, "array<long>")(text)
+
+
 _SKIPPED = frozenset(BLANKS + START_OPENERS)
 
 

@@ -36,12 +36,20 @@ def forms(word: Column) -> Column:
 
 #: Words with their verdicts that are broadcast at most: about 64 MB.
 BROADCAST_WORDS = 1_000_000
+#: Parts into which a word's places are dealt where they are joined by a shuffle.
+SALTS = 32
 
 
 def looked_up(rows: DataFrame, found: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
-    """Rows joined with a checkpointed table of different words: by broadcast while that is small, else by a shuffle."""
-    few = found.limit(BROADCAST_WORDS + 1).count() <= BROADCAST_WORDS
-    return rows.join(F.broadcast(found) if few else found, on, how)
+    """Rows joined with a checkpointed table of different words: by broadcast while that is small, else by a shuffle.
+
+    In a shuffle a word's rows are dealt by their other columns, so that a word that stands everywhere isn't one task's.
+    """
+    if found.limit(BROADCAST_WORDS + 1).count() <= BROADCAST_WORDS:
+        return rows.join(F.broadcast(found), on, how)
+    salt = F.pmod(F.xxhash64(*(c for c in rows.columns if c not in on)), F.lit(SALTS)).cast("int")
+    salted = found.select("*", F.explode(F.array(*map(F.lit, range(SALTS)))).alias("__salt"))
+    return rows.withColumn("__salt", salt).join(salted, [*on, "__salt"], how).drop("__salt")
 
 
 def known_words(words: DataFrame, dictionary: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folio.functions.lineage import checkpoint
-from folio.functions.python import accents_of, differences_of, fold_of, nfc_of
+from folio.functions.python import accents_of, differences_of, fold_of, nfc_of, strings_in
 from folio.functions.text import collapse
 
 CER_GATE, ACCENT_GATE = 0.03, 0.95
@@ -83,41 +83,26 @@ def pair_up(truths: DataFrame, readings: DataFrame) -> DataFrame:
     return readings.join(truths, "page")
 
 
-#: Lengths of anchors: an item's is the greatest that it holds.
-ANCHORS = (1, 2, 4, 8, 16, 32)
-#: Anchors that are broadcast at most, so that a document's other places stay where they are.
-BROADCAST_ANCHORS = 200_000
-#: Anchors of a length that are listed in the plan at most.
-LISTED_ANCHORS = 2_000
-#: Parts into which a document's candidates are dealt with its text.
-SALTS = 8
+#: Bytes of items' texts that one automaton holds about; a node of it takes some tens of bytes in each task.
+BLOCK_BYTES = 1 << 20
 
 
-def passages(docs: DataFrame, items: DataFrame) -> DataFrame:
+def passages(docs: DataFrame, items: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id and item_id where an item's whole text stands anywhere in a document's.
 
-    Items meet documents by their anchor: the first characters, as many as the greatest of ANCHORS that they hold. A
-    document gives its distinct pieces of the lengths that items need, kept where an anchor is one of them; only what
-    meets is compared. A document's text goes to as many salts as it has candidates in.
+    Items are dealt by a hash to blocks of checked size. Each block in turn is sent to all tasks as an automaton of its
+    strings (Aho-Corasick), which finds all of them in one walk over a text; no text leaves its row, and what a text
+    gives are the items that it holds. Null and empty texts hold and match nothing; ids that repeat count once.
     """
-    wanted = items.where("text <> ''").select("item_id", F.col("text").alias("item"))
-    size = F.array_max(F.filter(F.array(*map(F.lit, ANCHORS)), lambda n: n <= F.length("item")))
-    anchored = checkpoint(wanted.withColumn("head", F.substring("item", F.lit(1), size)))
-    heads = checkpoint(anchored.select("head").distinct())
-    few = heads.limit(BROADCAST_ANCHORS + 1).count() <= BROADCAST_ANCHORS
+    wanted = checkpoint(items.where("text <> ''").select("item_id", "text", F.xxhash64("text").alias("number")))
+    size = wanted.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
+    blocks = -(-size // block_bytes)
     found = None
-    for r in sorted(heads.groupBy(F.length("head").alias("n")).agg(F.count("*").alias("number")).collect()):
-        # overlapping pieces: a look-ahead takes no characters
-        pieces = F.regexp_extract_all("text", F.lit(rf"(?s)(?=(.{{{r.n}}}))"), F.lit(1))
-        own = heads.where(F.length("head") == r.n)
-        if r.number <= LISTED_ANCHORS:  # so few stand in the plan, and a row's other pieces never leave it
-            listed = F.array(*(F.lit(x.head) for x in own.collect()))
-            met = docs.select("doc_id", F.explode(F.array_intersect(pieces, listed)).alias("head"))
-        else:
-            met = docs.select("doc_id", F.explode(F.array_distinct(pieces)).alias("head")).join(F.broadcast(own) if few else own, "head")
+    for block in range(blocks):
+        own = wanted.where(F.pmod("number", F.lit(blocks)) == block)
+        strings = docs.sparkSession.sparkContext.broadcast([(r.text, r.number) for r in own.select("text", "number").distinct().collect()])
+        met = docs.where("text <> ''").select("doc_id", F.explode(strings_in(F.col("text"), strings)).alias("number"))
         found = met if found is None else found.unionByName(met)
     if found is None:
         return docs.select("doc_id").limit(0).crossJoin(items.select("item_id").limit(0))
-    candidates = found.join(anchored, "head").select("doc_id", "item_id", "item").withColumn("salt", F.pmod(F.xxhash64("item_id"), F.lit(SALTS)))
-    texts = docs.join(candidates.select("doc_id", "salt").distinct(), "doc_id").select("doc_id", "salt", "text")
-    return candidates.join(texts, ["doc_id", "salt"]).where(F.contains("text", F.col("item"))).select("doc_id", "item_id").distinct()
+    return found.join(wanted.select("number", "item_id"), "number").select("doc_id", "item_id").distinct()

@@ -175,13 +175,13 @@ def test_paths_closures_and_names(spark):
     assert not spark.catalog.listTables()
 
 
-@pytest.mark.parametrize("listed", [2000, 0])
-def test_passages_anywhere(spark, monkeypatch, listed):
-    monkeypatch.setattr(score, "LISTED_ANCHORS", listed)
-    items = ['passage "of" words that go on for longer than any anchor', "short", "é", "", "a\nb"]
+@pytest.mark.parametrize("size", [1 << 20, 7])
+def test_passages_anywhere(spark, size):
+    """One automaton for all items, and one for each few of them."""
+    items = ['passage "of" words that go on for long', "short", "é", "", "a\nb", "of", "passage", "short", None]
     texts = ['("' + items[0] + '")', "xshorty", "caf\u00e9", "-" + items[0], "\t" + items[0] + "\r", "a\nb", "nothing", "", None]
     docs = table(spark, list(enumerate(texts)), "doc_id int, text string")
-    got = score.passages(docs, table(spark, list(enumerate(items)), "item_id int, text string"))
+    got = score.passages(docs, table(spark, list(enumerate(items)), "item_id int, text string"), size)
     assert {(r.doc_id, r.item_id) for r in got.collect()} == {(d, i) for d, t in enumerate(texts) for i, x in enumerate(items) if x and t and x in t}
     assert score.passages(docs, table(spark, [], "item_id int, text string")).count() == 0
 
@@ -315,3 +315,14 @@ def test_cards(spark):
 def test_edits_note_their_rules(spark):
     row = table(spark, [("a,,",)], "text string").withColumn("flags", F.array().cast(FLAGS)).withColumn("edits", repair.character_edits(F.col("text")))
     assert edits.apply_edits(row).first().flags[0].note == repair.NOTES["quote"]
+
+
+def test_words_that_stand_everywhere_are_dealt(spark, monkeypatch):
+    """Look-ups by a shuffle give what those by broadcast give."""
+    blocks = table(spark, [(1, 0, i, "text", "en", "baad good worrd " * (i + 1)) for i in range(20)], "doc_id int, page_index int, block_no int, label string, lang string, text string")
+    words = dictionary(spark, "en", "good", "worse")
+    want = sorted(map(str, lexicon.suspicious(blocks, words).collect()))
+    rates = sorted(map(str, lexicon.hit_rates(blocks, ["doc_id", "page_index", "block_no"], words).collect()))
+    monkeypatch.setattr(lexicon, "BROADCAST_WORDS", 0)
+    assert sorted(map(str, lexicon.suspicious(blocks, words).collect())) == want and len(want) == 2 * 210
+    assert sorted(map(str, lexicon.hit_rates(blocks, ["doc_id", "page_index", "block_no"], words).collect())) == rates
