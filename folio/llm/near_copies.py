@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from folio.llm.common import LOWER, WORD_BYTES, arrow_column, checkpoint, chunks, gram_hashes, mix, release, span_hashes, word_bounds
 from folio.llm.graph import components
-from folio.llm.simhash import assign, stay
+from folio.llm.simhash import BROADCAST_IDS, assign, stay
 
 #: The definition: words a shingle, and the least Jaccard index as a fraction.
 SHINGLE, LEAST, OF = 5, 4, 5
@@ -36,7 +36,7 @@ FAR = 40
 #: Shingles whose minima are taken at a time.
 PIECE = 512
 #: Rounds in which a shingle's values meet one of them, before those of several components meet each other.
-ROUNDS = 2
+ROUNDS = 1
 #: Parts into which the pairs of a value are dealt when its set is joined to them.
 SALTS = 8
 _RANDOM = np.random.default_rng(7).integers(0, 1 << 64, (2, BANDS * ROWS, 1), np.uint64)
@@ -108,6 +108,12 @@ def verified(pairs: DataFrame, known: DataFrame) -> DataFrame:
     return both.where((OF + LEAST) * met >= LEAST * (F.size("x") + F.size("y"))).select("u", "v")
 
 
+def only(table: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The rows of a table of values that checkpointed pairs name, without a shuffle of the others while those are few."""
+    ends = pairs.select(F.explode(F.array("u", "v")).alias("fp")).distinct()
+    return table.join(F.broadcast(ends), "fp", "left_semi") if ends.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else table
+
+
 def _plausible(pairs: DataFrame, members: DataFrame) -> DataFrame:
     """The pairs (u, v) that can agree enough by their sizes and minima."""
     of = lambda name: members.select(F.col("fp").alias(name), F.struct("size", "b0", "b1", "b2").alias(f"of_{name}"))
@@ -117,6 +123,12 @@ def _plausible(pairs: DataFrame, members: DataFrame) -> DataFrame:
     return both.where(alike & (apart <= FAR)).select("u", "v")
 
 
+def _checked(pairs: DataFrame, members: DataFrame, known: DataFrame) -> DataFrame:
+    met = checkpoint(pairs)
+    likely = checkpoint(_plausible(met, only(members, met)))
+    return verified(likely, only(known, likely))
+
+
 def _heads(rooted: DataFrame, members: DataFrame, known: DataFrame) -> DataFrame:
     """The prefixes of values (fp, root) with the places of their shingles: fp, root, size, weight, at, shingle.
 
@@ -160,6 +172,8 @@ def across(rooted: DataFrame, members: DataFrame, known: DataFrame, verify: Call
         ones = heads.groupBy("shingle").agg(one, F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("shingle", "one")
         linked = checkpoint(verify(_pairs(heads.join(ones, "shingle"), "one")))
         found = linked if found is None else found.unionByName(linked)
+        if linked.isEmpty():
+            break
         roots = checkpoint(heads.select("fp", "root").distinct())
         of = lambda name: roots.select(F.col("fp").alias(name), F.col("root").alias(f"root_{name}"))  # noqa: E731, B023
         joined = linked.join(of("u"), "u").join(of("v"), "v").select(F.greatest("root_u", "root_v").alias("u"), F.least("root_u", "root_v").alias("v")).where("u <> v").distinct()
@@ -167,8 +181,6 @@ def across(rooted: DataFrame, members: DataFrame, known: DataFrame, verify: Call
         grown = roots.join(moved, "root").select("fp", "now")
         heads = checkpoint(heads.join(grown, "fp", "left").withColumn("root", F.coalesce("now", "root")).drop("now"))
         release(heads.sparkSession)
-        if linked.isEmpty():
-            break
     parts = heads.groupBy("shingle", "root").agg(F.count("*").alias("n")).groupBy("shingle").agg(F.max_by("root", F.struct("n", "root")).alias("most"), F.count("*").alias("roots")).where("roots > 1")
     all_ = heads.join(parts, "shingle")
     few = all_.where("root <> most").select("shingle", F.struct("fp", "root", "size", "at").alias("few"))
@@ -193,7 +205,7 @@ def links(docs: DataFrame, values: DataFrame) -> DataFrame:
     split = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
     apart = checkpoint(placed.join(split, "key").select("fp", "root").distinct())
     release(docs.sparkSession)
-    return linked.unionByName(across(apart, members, known, lambda pairs: verified(_plausible(pairs, members), known)))
+    return linked.unionByName(across(apart, members, known, lambda pairs: _checked(pairs, members, known)))
 
 
 def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

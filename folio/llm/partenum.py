@@ -37,7 +37,8 @@ from pyspark.sql import functions as F
 
 from folio.llm.common import LOWER, WORD_BYTES, Chunk, arrow_column, checkpoint, chunks, gram_hashes, mix, release, span_hashes, word_bounds
 from folio.llm.graph import components
-from folio.llm.near_copies import LEAST, OF, SHINGLE, across, sets, value_of, verified
+from folio.llm.near_copies import LEAST, OF, SHINGLE, across, only, sets, value_of, verified
+from folio.llm.simhash import BROADCAST_IDS
 
 #: Up to this threshold groups have three parts and signatures two of them; beyond it two parts and one.
 FINE = 12
@@ -49,8 +50,6 @@ BUCKET, HELD = 1 << 20, 1 << 19
 FEW = 16
 #: Bits of a value's parities, and values whose parities are made at a time.
 PARITIES, SOME = 2048, 512
-#: Ids that are broadcast at most: about 32 MB.
-BROADCAST_IDS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -326,7 +325,13 @@ def links(docs: DataFrame, values: DataFrame, number: int) -> DataFrame:
     split = pairs.where("crowded").join(of("u"), "u").join(of("v"), "v").where("root_u <> root_v").select(F.explode(F.array("root_u", "root_v")).alias("root")).distinct()
     apart = checkpoint(rooted.join(split, "root").select("fp", "root"))
     known = _read(docs, members.join(apart, "fp", "left_semi"), sets, ["fp", "shingles"])
-    return linked.unionByName(across(apart, members, known, lambda pairs: verified(checkpoint(_alike(pairs, marks)), known)))
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        met = checkpoint(pairs)
+        likely = checkpoint(_alike(met, only(marks, met)))
+        return verified(likely, only(known, likely))
+
+    return linked.unionByName(across(apart, members, known, verify))
 
 
 def _alike(pairs: DataFrame, marks: DataFrame) -> DataFrame:
