@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from folio.functions.lineage import checkpoint
+
 #: States of a job.
 STATES = ("pending", "running", "paused", "done", "failed", "cancelled")
 OPEN = ("pending", "running", "paused")
@@ -112,22 +114,62 @@ def collapse_progress(events: DataFrame, key: str, stage: str, state: str, order
     return events.withColumn("__on", F.coalesce(goes_on, F.lit(False))).where("NOT __on").drop("__on")
 
 
-def smoothed_rate(events: DataFrame, key: str, stage: str, time: str, done: str) -> DataFrame:
+#: Pieces into which all events are cut for a scan.
+PIECES = 200
+
+
+def pieces(events: DataFrame, order: list[str], number: int = PIECES) -> DataFrame:
+    """Events with `piece`: runs of about equal size in an order of all events, equal rows in one.
+
+    The numbers are checkpointed, as what samples the order may cut it elsewhere when it is done again.
+    """
+    return checkpoint(events.repartitionByRange(number, *order).withColumn("piece", F.spark_partition_id()))
+
+
+def smoothed_rate(events: DataFrame, key: str, stage: str, time: str, done: str, number: int = PIECES) -> DataFrame:
     """The smoothed speed of each key after its last event, from event times in seconds and amounts done.
 
-    A change of stage, or an amount that shrinks, begins anew; the first speed counts whole. A key's events are folded
-    in time order in one array, so keys should be jobs or sessions, not the whole table.
+    A change of stage, or an amount that shrinks, begins anew; the first speed counts whole.
+
+    It is a scan: what an event does to a speed is a map that takes nothing (0) to `zero`, and any other speed to `factor` *
+    speed + `more`; maps of events one after the other make one of the same kind. So a key's events are cut into pieces,
+    each is folded to its map by a task of its own, and the pieces' maps are put together, as many as there are
+    pieces at most.
     """
-    line = F.array_sort(F.collect_list(F.struct(F.col(time).alias("t"), F.col(stage).alias("s"), F.col(done).cast("double").alias("d"))))
-    start = F.struct(F.lit(None).cast("double").alias("t"), F.lit(None).cast("string").alias("s"), F.lit(None).cast("double").alias("d"), F.lit(0.0).alias("rate"))
+    rows = events.select(F.col(key).alias("key"), F.col(time).alias("t"), F.col(stage).alias("s"), F.col(done).cast("double").alias("d"))
+    cut = pieces(rows, ["key", "t", "s", "d"], number)
+    line = F.array_sort(F.collect_list(F.struct("t", "s", "d")))
 
-    def step(a: Column, x: Column) -> Column:
+    def map_of(a: Column, x: Column) -> tuple[Column, Column, Column]:
+        """zero, factor and more of the event x after a."""
         goes_on = F.coalesce((a["s"] == x["s"]) & (x["d"] >= a["d"]) & (x["t"] > a["t"]), F.lit(False))
         now = (x["d"] - a["d"]) / (x["t"] - a["t"])
-        rate = F.when(~goes_on, 0.0).when(a["rate"] == 0, now).otherwise(a["rate"] * OLD_RATE + now * (1 - OLD_RATE))
-        return F.struct(x["t"].alias("t"), x["s"].alias("s"), x["d"].alias("d"), rate.alias("rate"))
+        nil = F.lit(0.0)
+        return F.when(goes_on, now).otherwise(nil), F.when(goes_on, F.lit(OLD_RATE)).otherwise(nil), F.when(goes_on, now * (1 - OLD_RATE)).otherwise(nil)
 
-    return events.groupBy(key).agg(F.aggregate(line, start, step, lambda a: a["rate"]).alias("rate"))
+    def applied(speed: Column, zero: Column, factor: Column, more: Column) -> Column:
+        return F.when(speed == 0, zero).otherwise(factor * speed + more)
+
+    def step(a: Column, x: Column) -> Column:
+        zero, factor, more = map_of(a, x)
+        # where the map so far is a constant, what follows is applied to it; a speed is never below 0
+        fixed = a["factor"] == 0
+        both = F.struct(F.when(fixed, 0.0).otherwise(factor * a["factor"]).alias("factor"), F.when(fixed, applied(a["more"], zero, factor, more)).otherwise(factor * a["more"] + more).alias("more"))
+        # a beginning anew forgets all before it
+        return F.struct(x["t"].alias("t"), x["s"].alias("s"), x["d"].alias("d"), applied(a["zero"], zero, factor, more).alias("zero"), both["factor"].alias("factor"), both["more"].alias("more"))
+
+    first = F.struct(F.col("line")[0]["t"].alias("t"), F.col("line")[0]["s"].alias("s"), F.col("line")[0]["d"].alias("d"), F.lit(0.0).alias("zero"), F.lit(1.0).alias("factor"), F.lit(0.0).alias("more"))
+    folded = cut.groupBy("key", "piece").agg(line.alias("line"))
+    mapped = folded.select("key", "piece", F.col("line")[0].alias("first"), F.aggregate(F.slice("line", F.lit(2), F.size("line")), first, step).alias("last"))
+    ordered = F.array_sort(F.collect_list(F.struct("piece", "first", "last")))
+    start = F.struct(F.lit(None).cast(rows.schema["t"].dataType).alias("t"), F.lit(None).cast(rows.schema["s"].dataType).alias("s"), F.lit(None).cast("double").alias("d"), F.lit(0.0).alias("rate"))
+
+    def joined(a: Column, piece: Column) -> Column:
+        begun = applied(a["rate"], *map_of(a, piece["first"]))
+        last = piece["last"]
+        return F.struct(last["t"].alias("t"), last["s"].alias("s"), last["d"].alias("d"), applied(begun, last["zero"], last["factor"], last["more"]).alias("rate"))
+
+    return mapped.groupBy("key").agg(ordered.alias("all")).select(F.col("key").alias(key), F.aggregate("all", start, joined, lambda a: a["rate"]).alias("rate"))
 
 
 def throttle(events: DataFrame, key: str, time: str, value: str, gap: float = THROTTLE_S) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from folio.functions.lineage import checkpoint
@@ -109,6 +110,22 @@ def protected(word: Column, starts: Column, personal: list[str] | None = None) -
     return own | (F.rlike(word, F.lit(r"^\p{Lu}")) & ~starts)
 
 
+def apart_from(places: DataFrame, taken: DataFrame) -> DataFrame:
+    """Places (keys of a block, start, end) that overlap none of the taken ones, by one sweep over both in order of start.
+
+    A place is free if what begins before it ends by its start, and what begins after it does so at its end or later.
+    """
+    columns = [c for c in places.columns if c not in ("start", "end")]
+    extra = [F.lit(None).cast(places.schema[c].dataType).alias(c) for c in columns if c not in BLOCK_KEYS]
+    both = places.select(*columns, "start", "end", F.lit(False).alias("__taken")).unionByName(taken.select(*BLOCK_KEYS, *extra, "start", "end", F.lit(True).alias("__taken")))
+    up, down = (W.partitionBy(*BLOCK_KEYS).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow) for order in (("start", "end", F.desc("__taken")), (F.desc("start"), F.desc("end"), F.desc("__taken"))))
+    ends = F.max(F.when(F.col("__taken"), F.col("end"))).over(up)
+    begins = F.min(F.when(F.col("__taken"), F.col("start"))).over(down)
+    swept = both.withColumns({"__ends": ends, "__begins": begins}).where("NOT __taken")
+    free = F.coalesce(F.col("__ends") <= F.col("start"), F.lit(True)) & F.coalesce(F.col("__begins") >= F.col("end"), F.lit(True))
+    return swept.where(free).select(*places.columns)
+
+
 def suspicious(blocks: DataFrame, dictionary: DataFrame, taken: DataFrame | None = None, personal: list[str] | None = None) -> DataFrame:
     """Flags of unknown, unprotected words (blocks have a lang) that overlap none of the `taken` flags.
 
@@ -123,9 +140,5 @@ def suspicious(blocks: DataFrame, dictionary: DataFrame, taken: DataFrame | None
     each = open_.select(*BLOCK_KEYS, "lang", F.explode("w").alias("w")).select(*BLOCK_KEYS, "lang", "w.start", "w.end", "w.word")
     found = looked_up(each, unknown, ["lang", "word"])
     if taken is not None:
-        t = taken.select(*(F.col(k).alias(f"t_{k}") for k in BLOCK_KEYS), F.col("start").alias("t_start"), F.col("end").alias("t_end"))
-        overlaps = (F.col("t_start") < F.col("end")) & (F.col("start") < F.col("t_end"))
-        for k in BLOCK_KEYS:
-            overlaps = overlaps & (F.col(k) == F.col(f"t_{k}"))
-        found = found.join(t, overlaps, "left_anti")
+        found = apart_from(found, taken)
     return found.select(*BLOCK_KEYS, "start", "end", F.lit("suspicious").alias("kind"), F.col("word").alias("original"), F.lit(UNKNOWN).alias("note"))

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folio.functions import python, text
-from folio.operators import cleanup, edits, guards, integrity, layout, lexicon, parse, render, repair, score
+from folio.operators import cleanup, edits, guards, integrity, jobs, layout, lexicon, parse, render, repair, score
 from folio.operators.process import process
 
 FLAGS = "array<struct<kind:string,start:int,end:int,original:string,note:string>>"
@@ -326,3 +326,28 @@ def test_words_that_stand_everywhere_are_dealt(spark, monkeypatch):
     monkeypatch.setattr(lexicon, "BROADCAST_WORDS", 0)
     assert sorted(map(str, lexicon.suspicious(blocks, words).collect())) == want and len(want) == 2 * 210
     assert sorted(map(str, lexicon.hit_rates(blocks, ["doc_id", "page_index", "block_no"], words).collect())) == rates
+
+
+def plain_rate(events):
+    last, rate = None, 0.0
+    for t, s, d in sorted(events):
+        if last is None or s != last[1] or d < last[2] or t <= last[0]:
+            rate = 0.0
+        else:
+            now = (d - last[2]) / (t - last[0])
+            rate = now if rate == 0 else 0.7 * rate + 0.3 * now
+        last = (t, s, d)
+    return rate
+
+
+@pytest.mark.parametrize("number", [1, 3, 40])
+def test_rates_of_one_hot_key(spark, number):
+    """However a key's events are cut, the scan gives the fold's speed."""
+    rng = random.Random(number)
+    rows = [("hot", float(i // 2 if i % 50 == 0 else i), "a" if i < 700 or i > 720 else "b", float(0 if i % 301 == 300 else i * (i % 3 > 0) + i * 2)) for i in range(1500)]
+    rows += [("still", float(i), "a", 5.0) for i in range(40)] + [("one", 1.0, "a", 1.0)]
+    rows += [(f"k{rng.randint(0, 20)}", float(rng.randint(0, 40)), rng.choice("ab"), float(rng.randint(0, 9))) for _ in range(600)]
+    made = jobs.smoothed_rate(spark.createDataFrame(rows, "job string, t double, s string, d double").repartition(7), "job", "s", "t", "d", number)
+    got = {r.job: r.rate for r in made.collect()}
+    want = {k: plain_rate([r[1:] for r in rows if r[0] == k]) for k in {r[0] for r in rows}}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from folio.operators import affixes, cleanup
+from folio.operators import affixes, cleanup, lexicon
 from folio.sources import hunspell
 
 
@@ -168,3 +168,21 @@ def test_dictionary_entries():
     assert read.rules["A"][0].more == ["C"] and read.rules["A"][0].condition == "[^a\\-c\\.]"
     assert hunspell.read_stem("km\\/h/1 po:noun\tx", read) == ("km/h", ["A", "B"]) and hunspell.read_stem(" \t", read) is None
     assert hunspell.condition("a[bc].(") == "a[bc].\\("
+
+
+def test_free_places_against_a_plain_loop(spark):
+    rng = random.Random(9)
+    span = lambda: (lambda a: (a, a + rng.randint(0, 6)))(rng.randint(0, 60))
+    places = [(b, 0, 0, *s, "w") for b in range(40) for s in sorted({span() for _ in range(rng.randint(0, 12))}) if s[0] < s[1]]
+    taken = [(b, 0, 0, *span(), "x") for b in range(40) for _ in range(rng.randint(0, 5))]
+    names = "doc_id int, page_index int, block_no int, start int, end int, word string"
+    got = lexicon.apart_from(spark.createDataFrame(places, names), spark.createDataFrame(taken, names))
+    assert got.columns == ["doc_id", "page_index", "block_no", "start", "end", "word"]
+    assert sorted(map(tuple, got.collect())) == sorted(p for p in places if not any(t[0] == p[0] and t[3] < p[4] and p[3] < t[4] for t in taken))
+
+
+def test_one_block_of_very_many_flags(spark):
+    places = spark.range(100_000).selectExpr("1 AS doc_id", "0 AS page_index", "0 AS block_no", "CAST(id * 10 AS int) AS start", "CAST(id * 10 + 5 AS int) AS end")
+    taken = places.where("start % 20 = 0").selectExpr("doc_id", "page_index", "block_no", "start + 4 AS start", "start + 12 AS end")
+    assert lexicon.apart_from(places, taken).count() == 0
+    assert lexicon.apart_from(places, taken.where("start % 40 = 4")).count() == 50_000
