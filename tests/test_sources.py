@@ -81,6 +81,36 @@ def test_export(spark, tmp_path):
         export.export_all(docs, blocks, ["txt"], str(tmp_path / "b"))
 
 
+def files_in(folder):
+    return {p.name: p.read_text() for p in folder.rglob("*") if p.is_file()} if folder.exists() else {}
+
+
+def test_files_one_by_one(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"page{i % 3}.txt", f"text {i}\r\nž") for i in range(20)] + [(99, "empty.txt", None)], "doc_id int, name string, text string").repartition(4)
+    export.export_files(docs, str(tmp_path / "out"))
+    got = files_in(tmp_path / "out")
+    assert len(got) == 21 and got["empty.txt"] == "" and got["page0.txt"] == "text 0\nž" and got["page1_2.txt"] == "text 7\nž"
+    assert {p.read_bytes() for p in (tmp_path / "out").rglob("page2*.txt")} == {f"text {i}\r\nž".encode() for i in range(20) if i % 3 == 2}
+    # what is there stays as it is
+    with pytest.raises(Exception, match="(?i)exists"):
+        export.export_files(docs, str(tmp_path / "out"))
+    assert files_in(tmp_path / "out") == got and [p.name for p in tmp_path.iterdir()] == ["out"]
+
+
+def test_a_failed_write_leaves_nothing(spark, tmp_path):
+    docs = spark.createDataFrame([(i, "bad/name" if i == 13 else f"{i}.txt", "x") for i in range(20)], "doc_id int, name string, text string").repartition(4)
+    with pytest.raises(Exception, match="not a file's name"):
+        export.export_files(docs, str(tmp_path / "out"))
+    assert list(tmp_path.iterdir()) == []
+
+
+def test_exported_documents_as_files(spark, tmp_path):
+    docs = files.from_json_text(document(spark)[0]).withColumn("doc_id", F.lit(7)).withColumn("source_path", F.lit("C:\\scans\\my book.pdf"))
+    _, blocks, _ = files.explode_document(docs)
+    out = export.export_all(docs, blocks, ["txt", "md", "json"], str(tmp_path / "b"), files=True)
+    assert files_in(tmp_path / "b" / "txt") == {"my book.txt": "xy\n"} and set(files_in(tmp_path / "b" / "json")) == {"my book.json"} and len(out) == 3
+
+
 def test_listing(spark, tmp_path):
     (tmp_path / "d").mkdir()
     (tmp_path / "d" / "a.png").write_bytes(b"12")
