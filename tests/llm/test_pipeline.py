@@ -1,9 +1,15 @@
+import hashlib
+
+import numpy as np
+import pyarrow as pa
 import pytest
+import tokenizers
 
 pipeline = pytest.importorskip("corpus_pipeline")
 
-from folio.llm import bpe, queries  # noqa: E402
+from folio.llm import language_id, quality_knn, queries  # noqa: E402
 from tests.llm.test_decontamination import brute as contamination  # noqa: E402
+from tests.llm.test_language_id import brute as languages  # noqa: E402
 from tests.llm.test_near_copies import brute  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
@@ -43,13 +49,33 @@ def test_decisions(spark, stages):
     assert given.join(labels.where("quality = 1"), "doc_id").count() == made.join(labels.where("quality = 1"), "doc_id").count()
 
 
+def test_first_stages_against_plain_models(spark, stages):
+    """Language ID and the quality classifier decide as models of the same rows by plain sets, counts and loops do."""
+    _, given, made = stages[0]
+    docs = given.collect()
+    rows = language_id.sample(given, "doc_id", "text", "lang")
+    told = [r for r in docs if any(c.isalpha() for c in r.text or "")]
+    want = languages(rows, sorted({r.text for r in told}))
+    keep = {r.doc_id for r in told if want[r.text][1] >= language_id.CLAIM}
+    assert {r.doc_id for r in made.collect()} == keep
+    _, given, made = stages[1]
+    docs, labels = given.collect(), spark.read.parquet(f"{SF}/labels.parquet")
+    learned = quality_knn.sample(given, labels, "doc_id", "text")
+    scores = quality_knn.predict(pa.array([r.text for r in docs], pa.string()), quality_knn.fit(learned)).to_pylist()
+    assert {r.doc_id for r in made.collect()} == {r.doc_id for r, score in zip(docs, scores, strict=True) if score >= 0.5}
+
+
 def test_last_stage(stages):
     _, given, made = stages[4]
-    tokenizer = bpe.Tokenizer(queries.tokenizer_path())
     texts = {r.doc_id: r.text for r in given.collect()}
     rows = made.collect()
     assert len(rows) == len(texts)
-    assert all(bytes(r.ids) == tokenizer.run([texts[r.doc_id]])[0][0] for r in rows[:40])
+    library = tokenizers.Tokenizer.from_file(queries.tokenizer_path())
+    for r in rows:
+        ids = library.encode(texts[r.doc_id] or "", add_special_tokens=False).ids
+        packed = np.array(ids, "<u4").tobytes()
+        decoded = library.decode(ids, skip_special_tokens=False).encode()
+        assert (bytes(r.ids), r.n_tokens, r.ids_sha256, r.decoded_sha256) == (packed, len(ids), hashlib.sha256(packed).hexdigest(), hashlib.sha256(decoded).hexdigest())
 
 
 def test_run(spark, stages):
