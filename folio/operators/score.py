@@ -78,6 +78,23 @@ def agreement(pairs: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
     return found.select(*keys, F.size(F.filter("d.found", lambda x: x["kind"] == "word")).alias("word_diffs"), F.size(F.filter("d.found", lambda x: x["kind"] == "block")).alias("block_diffs"), (100.0 * F.col("d.agreed") / F.greatest("n", F.lit(1))).alias("agreement"))
 
 
+#: How files of truths and of readings end; a reading's mode stands before its ending.
+TRUTH, READING = ".gt.txt", ".raw.txt"
+
+
+def pair_files(files: DataFrame) -> DataFrame:
+    """page, mode, truth and reading from files (path, text): `<page>.<mode>.raw.txt` beside `<page>.gt.txt` in one folder.
+
+    A page's name may hold dots. A reading without a truth, and a truth without a reading, is left out.
+    """
+    path = F.col("path")
+    truths = files.where(F.endswith(path, F.lit(TRUTH))).select(F.substring(path, F.lit(1), F.length(path) - len(TRUTH)).alias("page"), F.col("text").alias("truth"))
+    stem = F.substring(path, F.lit(1), F.length(path) - len(READING))
+    mode = F.substring_index(stem, ".", -1)
+    read = files.where(F.endswith(path, F.lit(READING))).select(F.substring(stem, F.lit(1), F.length(stem) - F.length(mode) - 1).alias("page"), mode.alias("mode"), F.col("text").alias("reading"))
+    return pair_up(truths, read.where("page <> '' AND mode <> ''"))
+
+
 def pair_up(truths: DataFrame, readings: DataFrame) -> DataFrame:
     """Readings (page, mode, reading) with their page's truth."""
     return readings.join(truths, "page")

@@ -124,3 +124,17 @@ def moved_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     second = F.concat(part(1, 9), part(15, 30), new, part(31, 39), F.slice("a", F.lit(48), F.size("a")), part(40, 47))
     both = given.withColumn("b", F.when(F.size("a") >= LEAST_MOVED, second).otherwise(F.col("a")))
     return score.disagreements(both, ["doc_id"], "a", "b")
+
+
+@query("""SELECT source || '/p.' || doc_id AS page, mode, md5(text) AS truth, md5(CASE mode WHEN 'fast' THEN lower(text) ELSE text END) AS reading, CAST(CASE mode WHEN 'fast' THEN length(regexp_replace(text, '[^A-Z]', '', 'g')) ELSE 0 END AS INT) AS changed
+FROM documents, (VALUES ('fast'), ('quality')) m(mode) WHERE doc_id % 7 > 0 AND NOT (mode = 'quality' AND doc_id % 5 = 0)""")
+def paired_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Readings in two modes of every document's text, written as files, with their truths; some have none, and some truths are read once."""
+    docs = table(spark, sf_dir, "documents").select(F.concat("source", F.lit("/p."), F.col("doc_id").cast("string")).alias("page"), "doc_id", "text")
+    low = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZÄÇÈÉÊÍÑÓÖÜ", "abcdefghijklmnopqrstuvwxyzäçèéêíñóöü")
+    file = lambda end, text, when: F.when(when, F.struct(F.concat("page", F.lit(end)).alias("path"), text.alias("text")))
+    n = F.col("doc_id")
+    files = docs.select(F.explode(F.array_compact(F.array(file(".gt.txt", F.col("text"), n % 7 > 0), file(".fast.raw.txt", low, n >= 0), file(".quality.raw.txt", F.col("text"), n % 5 > 0), file(".notes.txt", F.col("text"), n >= 0)))).alias("f")).select("f.*")
+    pairs = score.pair_files(files)
+    differ = F.length("truth") - F.length(F.translate("truth", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))
+    return pairs.select("page", "mode", F.md5("truth").alias("truth"), F.md5("reading").alias("reading"), F.when(F.col("mode") == "fast", differ).otherwise(0).alias("changed"))
