@@ -47,6 +47,92 @@ def write_pages_once(pages: DataFrame, folder: str, checkpoint: str, keys: list[
     return pages.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True)
 
 
+class FirstOfKey(StatefulProcessor):
+    """Lets the first row of each key through; what comes again, in whatever batch, is left out until the key is forgotten."""
+
+    def __init__(self, columns: list[str], forget_ms: int | None) -> None:
+        self.columns, self.forget_ms = columns, forget_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getValueState("seen", "seen boolean", self.forget_ms)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:  # noqa: N802
+        if self.seen.exists():
+            return
+        first = pd.concat(list(rows))[self.columns]
+        self.seen.update((True,))
+        # of rows that come together the least counts, so that a batch that is run again gives the same one
+        yield first.sort_values(self.columns, na_position="last").head(1)
+
+    def close(self) -> None:
+        pass
+
+
+def first_pages(pages: DataFrame, keys: list[str], forget_hours: float | None = None) -> DataFrame:
+    """Each page once, by state kept for its key: nothing that was written is read again.
+
+    With `forget_hours`, a key is forgotten that long after its page came, so that the state follows what is in work.
+    """
+    forget = None if forget_hours is None else int(forget_hours * 3_600_000)
+    return pages.groupBy(*keys).transformWithStateInPandas(FirstOfKey(pages.columns, forget), pages.schema, "append", "none" if forget is None else "processingTime")
+
+
+class IdleStop(StatefulProcessor):
+    """Keeps a key's open spans of activity, and gives each one out when event time has passed its end by the idle minutes."""
+
+    def __init__(self, idle_ms: int) -> None:
+        self.idle_ms = idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getListState("open", "began long, last long, events long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:  # noqa: N802
+        times = pd.concat(list(rows))["time"]
+        spans = [tuple(x) for x in self.open.get()] if self.open.exists() else []
+        spans += [(t, t, 1) for t in (times.astype("datetime64[ms]").astype("int64"))]
+        merged: list[tuple[int, int, int]] = []
+        for began, last, events in sorted(spans):  # late events may join two spans
+            if merged and began <= merged[-1][1] + self.idle_ms:
+                a, b, n = merged.pop()
+                merged.append((a, max(b, last), n + events))
+            else:
+                merged.append((began, last, events))
+        self._keep(merged)
+        return iter(())
+
+    def _keep(self, spans: list[tuple[int, int, int]]) -> None:
+        for old in list(self.handle.listTimers()):
+            self.handle.deleteTimer(old)
+        if not spans:
+            self.open.clear()
+            return
+        self.open.put([(int(a), int(b), int(n)) for a, b, n in spans])
+        for end in {int(b) + self.idle_ms for _, b, _ in spans}:
+            self.handle.registerTimer(end)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803  names that Spark calls by
+        now = timerValues.getCurrentWatermarkInMs()
+        spans = [tuple(x) for x in self.open.get()] if self.open.exists() else []
+        done = [x for x in spans if x[1] + self.idle_ms <= now]
+        self._keep([x for x in spans if x not in done])
+        if done:
+            ends = [pd.Timestamp(b + self.idle_ms, unit="ms") for _, b, _ in done]
+            yield pd.DataFrame({"key": [str(key[0])] * len(done), "began": [pd.Timestamp(a, unit="ms") for a, _, _ in done], "stops": ends, "events": [n for *_, n in done]})
+
+    def close(self) -> None:
+        pass
+
+
+def idle_stops(events: DataFrame, key: str, time: str, minutes: float, late_minutes: float = 0) -> DataFrame:
+    """When an engine that is stopped after so many idle minutes would be, as in the batch: key, began, stops and events.
+
+    A span comes out once event time, less `late_minutes` for what comes late, has passed its stop.
+    """
+    given = events.select(F.col(key).alias("key"), F.col(time).alias("time")).withWatermark("time", f"{late_minutes} minutes")
+    return given.groupBy("key").transformWithStateInPandas(IdleStop(int(minutes * 60_000)), "key string, began timestamp, stops timestamp, events long", "append", "eventTime", eventTimeColumnName="stops")
+
+
 def latest_states(events: DataFrame, key: str, value: str, order: list[str]) -> DataFrame:
     """The last value of each key so far, for output mode `update` or `complete`."""
     return events.groupBy(key).agg(F.max_by(value, F.struct(*order)).alias(value))

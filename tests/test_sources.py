@@ -140,6 +140,39 @@ def test_streamed_states(spark, tmp_path):
     assert {r.job: r.state for r in spark.table("states").collect()} == batch == {"j": "done", "k": "pending"}
 
 
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def test_pages_come_once_by_state(spark, tmp_path):
+    """Over batches and restarts each key's first page comes out once."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    batches = [[(1, 0, "b"), (1, 0, "a"), (1, 1, "c")], [(1, 0, "z"), (2, 0, "d")], [(2, 0, "d"), (1, 1, "c"), (3, 0, None)]]
+    for batch in batches:
+        spark.createDataFrame(batch, "doc_id int, page_index int, text string").coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+        stream = spark.readStream.schema("doc_id int, page_index int, text string").json(str(tmp_path / "in"))
+        query = streams.first_pages(stream, ["doc_id", "page_index"]).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "mark")).trigger(availableNow=True).start()
+        query.awaitTermination()  # each start goes on where the one before ended
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect()), key=str) == [(1, 0, "a"), (1, 1, "c"), (2, 0, "d"), (3, 0, None)]
+
+
+def test_streamed_idle_stops_equal_the_batch(spark, tmp_path):
+    """Late events within the watermark join spans; a span that event time hasn't passed stays open."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    at = lambda m: f"2026-01-01 00:{m:02}:00"
+    batches = [[("a", at(0)), ("a", at(3)), ("b", at(1))], [("a", at(12)), ("a", at(7))], [("b", at(20)), ("a", at(30))], [("c", at(59))]]
+    seen = []
+    for batch in batches:
+        rows = spark.createDataFrame(batch, "job string, t string").selectExpr("job", "CAST(t AS timestamp) AS t")
+        rows.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        seen += batch
+        stream = spark.readStream.schema("job string, t timestamp").parquet(str(tmp_path / "in"))
+        streams.idle_stops(stream, "job", "t", 5, late_minutes=10).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "mark")).trigger(availableNow=True).start().awaitTermination()
+    got = {(r.key, str(r.began), str(r.stops), r.events) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    events = spark.createDataFrame(seen, "job string, t string").selectExpr("job", "CAST(t AS timestamp) AS t")
+    batch = {(r.job, str(r.began), str(r.stops), r.events) for r in jobs.idle_sessions(events.withColumn("job", F.col("job")), "job", "t", 5).collect()}
+    assert got == {x for x in batch if x[0] != "c"} and len(got) == 4
+
+
 def test_streamed_rates_equal_the_fold(spark, tmp_path):
     rows = spark.createDataFrame([("j", float(i), "s" if i < 7 else "t", float(i * i % 11)) for i in range(12)], "job string, t double, s string, d double")
     rows.write.json(str(tmp_path / "in"))
