@@ -27,7 +27,9 @@ _TYPO_SQL = "CASE length(form) % 3 WHEN 0 THEN form[1:2] || form[4:] WHEN 1 THEN
 @query(f"""WITH {DICTIONARY_SQL}, asked AS (SELECT DISTINCT lang, unnest({words_sql('text')}) AS word FROM documents UNION SELECT lang, {_TYPO_SQL} FROM dictionary WHERE length(form) >= 6),
 kinds AS (SELECT lang, word, lower(word) AS low, word = upper(word) AND length(word) > 1 AND word <> lower(word) AS shouted, word[1:1] <> lower(word)[1:1] AS capital FROM asked),
 ways AS (SELECT lang, word, word AS asked, 'plain' AS kind FROM kinds UNION ALL SELECT lang, word, low, CASE WHEN shouted THEN 'upper' WHEN capital THEN 'title' ELSE 'plain' END FROM kinds WHERE word <> low),
-met AS (SELECT w.lang, w.word, w.kind, d.form, levenshtein({_BYTES.format('w.asked')}, {_BYTES.format('d.form')}) AS distance FROM ways w JOIN dictionary d ON d.lang = w.lang AND abs(length(d.form) - length(w.asked)) <= 2),
+met AS (SELECT w.lang, w.word, w.kind, d.form, levenshtein(w.bytes, d.bytes) AS distance FROM (SELECT *, {_BYTES.format('asked')} AS bytes FROM ways) w
+  JOIN (SELECT lang, form, {_BYTES.format('form')} AS bytes, form[1:length(form) // 3] AS p1, form[length(form) // 3 + 1:2 * length(form) // 3] AS p2, form[2 * length(form) // 3 + 1:] AS p3 FROM dictionary) d -- two edits leave one of three parts as it is
+  ON d.lang = w.lang AND abs(length(d.form) - length(w.asked)) <= 2 AND (contains(w.asked, d.p1) OR contains(w.asked, d.p2) OR contains(w.asked, d.p3))),
 near AS (SELECT DISTINCT lang, word, distance, CASE kind WHEN 'upper' THEN upper(form) WHEN 'title' THEN upper(form[1:1]) || form[2:] ELSE form END AS new FROM met WHERE distance <= CASE WHEN length(word) >= {cleanup.LEAST_FAR} THEN 2 ELSE 1 END),
 counted AS (SELECT lang, word, distance, min(new) AS new, count(*) AS n, min(distance) OVER (PARTITION BY lang, word) AS least FROM near GROUP BY lang, word, distance)
 SELECT lang, word, new, CAST(distance AS INT) AS distance FROM counted WHERE distance = least AND n = 1 AND distance > 0""")
@@ -93,8 +95,8 @@ held AS (SELECT *, list_contains(flags, 'F') AS forbidden, NOT (inner_flag IS NU
 judged AS (SELECT a.lang, a.word, coalesce(bool_or(h.complete AND NOT h.forbidden AND NOT list_contains(h.flags, 'O')), FALSE) AS known, coalesce(bool_or(h.forbidden), FALSE) AS forbidden FROM asked a LEFT JOIN held h ON h.lang = a.lang AND h.form = a.word GROUP BY ALL),
 parts AS (SELECT DISTINCT lang, form, prefix_flag IS NOT NULL AS begins, inner_flag IS NOT NULL AS ends, list_contains(flags, 'C') AS anywhere, list_contains(flags, 'Z') AS at_end FROM held WHERE complete AND NOT forbidden AND length(form) >= 4 AND (list_contains(flags, 'C') OR list_contains(flags, 'Z')) AND NOT (inner_flag IS NOT NULL AND prefix_flag IS NOT NULL)),
 reach AS (SELECT lang, word, 0 AS place FROM judged WHERE NOT known AND NOT forbidden AND length(word) >= 8
-  UNION SELECT r.lang, r.word, r.place + length(p.form) FROM reach r JOIN parts p ON p.lang = r.lang AND length(p.form) < length(r.word) AND r.word[r.place + 1:r.place + length(p.form)] = p.form
-    WHERE (p.anywhere OR (p.at_end AND r.place + length(p.form) = length(r.word))) AND (NOT p.begins OR r.place = 0) AND (NOT p.ends OR r.place + length(p.form) = length(r.word)))
+  UNION SELECT r.lang, r.word, r.place + r.size FROM (SELECT lang, word, place, unnest(generate_series(4, length(word) - place)) AS size FROM reach) r JOIN parts p ON p.lang = r.lang AND p.form = r.word[r.place + 1:r.place + r.size]
+    WHERE r.size < length(r.word) AND (p.anywhere OR (p.at_end AND r.place + r.size = length(r.word))) AND (NOT p.begins OR r.place = 0) AND (NOT p.ends OR r.place + r.size = length(r.word)))
 SELECT lang, word FROM judged WHERE known AND NOT forbidden UNION SELECT lang, word FROM reach WHERE place = length(word)""")
 def affixed_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which words of all documents, and which of those made from the dictionary's, a dictionary of stems and rules knows."""
