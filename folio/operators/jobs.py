@@ -114,19 +114,16 @@ def collapse_progress(events: DataFrame, key: str, stage: str, state: str, order
     return events.withColumn("__on", F.coalesce(goes_on, F.lit(False))).where("NOT __on").drop("__on")
 
 
-#: Pieces into which all events are cut for a scan.
-PIECES = 200
-
-
-def pieces(events: DataFrame, order: list[str], number: int = PIECES) -> DataFrame:
+def pieces(events: DataFrame, order: list[str], number: int | None = None) -> DataFrame:
     """Events with `piece`: runs of about equal size in an order of all events, equal rows in one.
 
-    The numbers are checkpointed, as what samples the order may cut it elsewhere when it is done again.
+    There are `number` of them, or as many as a shuffle has partitions, small ones being put together. The numbers are checkpointed, as what samples the order may cut it elsewhere when it is done again.
     """
-    return checkpoint(events.repartitionByRange(number, *order).withColumn("piece", F.spark_partition_id()))
+    ranged = events.repartitionByRange(number, *order) if number else events.repartitionByRange(*order)
+    return checkpoint(ranged.withColumn("piece", F.spark_partition_id()))
 
 
-def smoothed_rate(events: DataFrame, key: str, stage: str, time: str, done: str, number: int = PIECES) -> DataFrame:
+def smoothed_rate(events: DataFrame, key: str, stage: str, time: str, done: str, number: int | None = None) -> DataFrame:
     """The smoothed speed of each key after its last event, from event times in seconds and amounts done.
 
     A change of stage, or an amount that shrinks, begins anew; the first speed counts whole.
