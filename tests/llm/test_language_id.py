@@ -1,3 +1,4 @@
+import functools
 import random
 import zlib
 from collections import Counter
@@ -38,6 +39,7 @@ def test_held_out_rows_are_not_learned(spark):
     assert a == b
 
 
+@functools.cache
 def grams(text):
     """Sets of n-grams by plain slices."""
     t = "".join(c if c.isalpha() else " " for c in f" {text.lower()} ")
