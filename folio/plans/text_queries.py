@@ -114,7 +114,8 @@ def language_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = dictionary(spark, sf_dir)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     tried = docs.withColumn("lang", F.explode(F.array(*(F.lit(r.lang) for r in words.select("lang").distinct().collect()))))
-    rates = lexicon.hit_rates(tried.where("text <> ''"), ["doc_id"], words)
+    # a text without words of two letters has no vote
+    rates = lexicon.hit_rates(tried.where(F.exists(text.word_list(F.col("text")), lambda w: F.length(w) >= lexicon.LEAST_LETTERS)), ["doc_id"], words)
     return lexicon.best_language(rates, ["doc_id"]).select("doc_id", "language", F.round("rate", 6).alias("rate"))
 
 

@@ -66,3 +66,12 @@ def _copy(source: Path, to: Path) -> None:
     for path in source.iterdir():
         if path.name not in ("llm", "__pycache__"):
             (to / path.name).symlink_to(path)
+
+
+def test_texts_without_words_have_no_vote(spark, tmp_path):
+    rows = [(i, "the house is old", "en") for i in range(9)] + [(20, "4 7 1.", "en"), (21, "a 5", "en"), (22, None, "en"), (23, "Zzyx 5", "en")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = sorted((r.doc_id, r.language, r.rate) for r in QUERIES["language_vote"](spark, str(tmp_path)).collect())
+    assert got == sorted(db.execute(ORACLE_SQL["language_vote"]).fetchall()) and [r[0] for r in got] == [*range(9), 23]
