@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folio.functions.lineage import checkpoint
-from folio.functions.python import accents_of, differences_of, fold_of, nfc_of, strings_in
+from folio.functions.python import accents_of, differences_of, distance_of, fold_of, nfc_of, strings_in
 from folio.functions.text import collapse
 
 CER_GATE, ACCENT_GATE = 0.03, 0.95
@@ -17,17 +17,9 @@ def normalise(text: Column, is_nfc: bool = False) -> Column:
     return collapse(text if is_nfc else nfc_of(text))
 
 
-#: Distances that are looked for in a band along the diagonal before all cells are worked out.
-BANDS = (8, 64)
-
-
 def distance(truth: Column, reading: Column) -> Column:
-    """Edits between two texts. Its cost is the length times the distance, or for unlike texts the product of lengths."""
-    whole = F.levenshtein(truth, reading)
-    for band in reversed(BANDS):
-        near = F.levenshtein(truth, reading, band)
-        whole = F.when(near >= 0, near).otherwise(whole)
-    return whole
+    """Edits between two texts. Its cost is the length where letters are changed in place, else the length times the distance."""
+    return distance_of(truth, reading)
 
 
 def cer(truth: Column, reading: Column) -> Column:

@@ -358,3 +358,11 @@ def test_a_guess_between_two_counts_of_lines(spark):
     line = " ".join(["abcd"] * 173) + " xy"
     fit = render.fit_lines(F.array(F.lit(line)), F.lit(400.0), F.lit(80.0))["size"]
     assert len(line) == 867 and spark.range(1).select(F.round(fit, 6).alias("size")).first().size == 7.407407
+
+
+def test_letters_changed_in_place_need_no_alignment(monkeypatch):
+    """A long line with many changed letters costs its length."""
+    monkeypatch.setattr(python, "_paired", None)
+    a = "".join(random.Random(1).choices("abcdéf ", k=60_000))
+    told = python.accents(a, a.replace("é", "e"))
+    assert told == {"total": a.count("é"), "right": 0, "wrong": ["é→e"] * a.count("é")}
