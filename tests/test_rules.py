@@ -366,3 +366,13 @@ def test_letters_changed_in_place_need_no_alignment(monkeypatch):
     a = "".join(random.Random(1).choices("abcdéf ", k=60_000))
     told = python.accents(a, a.replace("é", "e"))
     assert told == {"total": a.count("é"), "right": 0, "wrong": ["é→e"] * a.count("é")}
+
+
+def test_gates_walk_no_cells(spark, monkeypatch):
+    """The distance of a line with a changed letter, and what the gate makes of it, need no cells of both texts."""
+    monkeypatch.setattr(python, "_within", None)
+    a = "abcdéf " * 20_000
+    assert python.distance(a, a[:70_000] + "~" + a[70_001:]) == 1
+    from folio.plans.catalogue import QUERIES
+
+    assert "levenshtein" not in QUERIES["accuracy_gate"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
