@@ -376,3 +376,12 @@ def test_gates_walk_no_cells(spark, monkeypatch):
     from folio.plans.catalogue import QUERIES
 
     assert "levenshtein" not in QUERIES["accuracy_gate"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_distances_grow_by_bands(monkeypatch):
+    """Against all cells; the first band is too narrow for most pairs."""
+    monkeypatch.setattr(python, "FIRST_BAND", 1)
+    rng = random.Random(9)
+    for _ in range(300):
+        a, b = ("".join(rng.choices("aáb😀", k=rng.randint(0, 30))) for _ in range(2))
+        assert python.distance(a, b) == cheapest(a, b)
