@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from folio.functions.lineage import checkpoint
+from folio.functions.lineage import checkpoint, kept
 from folio.functions.python import placed_words_of
 from folio.functions.text import WORD, word_list
 from folio.schema import BLOCK_KEYS, SKIPPED
@@ -48,9 +48,8 @@ def looked_up(rows: DataFrame, found: DataFrame, on: list[str], how: str = "inne
     """
     if found.limit(BROADCAST_WORDS + 1).count() <= BROADCAST_WORDS:
         return rows.join(F.broadcast(found), on, how)
-    salt = F.pmod(F.xxhash64(*(c for c in rows.columns if c not in on)), F.lit(SALTS)).cast("int")
-    salted = found.select("*", F.explode(F.array(*map(F.lit, range(SALTS)))).alias("__salt"))
-    return rows.withColumn("__salt", salt).join(salted, [*on, "__salt"], how).drop("__salt")
+    left, right = _salted(rows, found, on)
+    return left.join(right, [*on, "__salt"], how).drop("__salt")
 
 
 def known_words(words: DataFrame, dictionary: DataFrame) -> DataFrame:
@@ -73,19 +72,76 @@ def known_words(words: DataFrame, dictionary: DataFrame) -> DataFrame:
     return joined.select("lang", "word", available.alias("available"), (found | ~available).alias("known"), (found & available).alias("strict"))
 
 
-def hit_rates(texts: DataFrame, keys: list[str], dictionary: DataFrame, text: str = "text") -> DataFrame:
-    """Share of a text's first RATE_WORDS words (of two letters or more) that its lang's dictionary knows.
+def known_forms(asked: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """lang, word and n of the different words (lang, word, n) that the dictionary holds; words without a lang are asked in all languages."""
+    split = F.split(plain(F.col("word")), "-")
+    whole = F.struct(F.lit(0).alias("part"), plain(F.col("word")).alias("w"))
+    ways = F.when(F.size(split) > 1, F.concat(F.array(whole), F.transform(split, lambda w, i: F.struct((i + 1).alias("part"), w.alias("w"))))).otherwise(F.array(whole))
+    looked = asked.select("*", F.size(split).alias("parts"), F.explode(ways).alias("x")).select(*asked.columns, "parts", "x.part", F.explode(forms(F.col("x.w"))).alias("form"))
+    hits = looked_up(looked, dictionary.select("lang", "form"), ["lang", "form"] if "lang" in asked.columns else ["form"]).groupBy("lang", "word", "parts", "n").agg(F.collect_set("part").alias("hits"))
+    return hits.where(F.array_contains("hits", 0) | ((F.col("parts") > 1) & (F.size(F.array_remove("hits", 0)) == F.col("parts")))).select("lang", "word", "n")
+
+
+def _commonest(found: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """A checkpointed table of different words by their counts n: the commonest, BROADCAST_WORDS at most, and all others if there are any."""
+    if found.limit(BROADCAST_WORDS + 1).count() <= BROADCAST_WORDS:
+        return found, None
+    least, total = None, 0
+    for n, words in found.groupBy("n").agg(F.count("*").alias("words")).orderBy(F.desc("n")).toLocalIterator():
+        total += words
+        if total > BROADCAST_WORDS:
+            break
+        least = n
+    return (found.where(F.lit(False)), found) if least is None else (found.where(F.col("n") >= least), found.where(F.col("n") < least))
+
+
+def _salted(rows: DataFrame, found: DataFrame, on: list[str]) -> tuple[DataFrame, DataFrame]:
+    salt = F.pmod(F.xxhash64(*(c for c in rows.columns if c not in on)), F.lit(SALTS)).cast("int")
+    return rows.withColumn("__salt", salt), found.select("*", F.explode(F.array(*map(F.lit, range(SALTS)))).alias("__salt"))
+
+
+def found_in(rows: DataFrame, found: DataFrame, on: list[str]) -> DataFrame:
+    """Rows joined with a checkpointed table of different words with their counts n: only rows of its rarer words are shuffled."""
+    common, rare = _commonest(found)
+    met = rows.join(F.broadcast(common), on)
+    if rare is None:
+        return met.drop("n")
+    left, right = _salted(rows.join(F.broadcast(common.select(on)), on, "left_anti"), rare, on)
+    return met.unionByName(left.join(right, [*on, "__salt"]).drop("__salt")).drop("n")
+
+
+def not_in(rows: DataFrame, found: DataFrame, on: list[str]) -> DataFrame:
+    """Rows whose words aren't in a checkpointed table of different words, which is used in the same way."""
+    common, rare = _commonest(found)
+    rest = rows.join(F.broadcast(common.select(on)), on, "left_anti")
+    if rare is None:
+        return rest
+    left, right = _salted(rest, rare.select(on), on)
+    return left.join(right, [*on, "__salt"], "left_anti").drop("__salt")
+
+
+def hit_rates(texts: DataFrame, keys: list[str], dictionary: DataFrame, text: str = "text", tried: list[str] | None = None) -> DataFrame:
+    """Share of a text's first RATE_WORDS words (of two letters or more) that its lang's dictionary knows, or those of `tried`.
 
     Without words 0; null without a dictionary. Words are looked up once each; a text's own stay in its row.
     """
     first = F.slice(F.filter(word_list(F.col(text)), lambda w: F.length(w) >= LEAST_LETTERS), 1, RATE_WORDS)
-    given = checkpoint(texts.select(*keys, "lang", first.alias("words")))
-    asked = given.select("lang", F.explode(F.array_distinct("words")).alias("word"))
-    unknown = checkpoint(known_words(asked, dictionary).where("NOT known").select("lang", "word", F.lit(1).alias("miss")))
+    own = ["lang"] if tried is None else []
+    given = kept(texts.select(*keys, *own, first.alias("words")))
+    asked = given.select(*own, F.explode("words").alias("word")).groupBy(*own, "word").agg(F.count("*").alias("n"))
+    known = known_forms(asked, dictionary)
+    each = given.select(*keys, *own, F.explode("words").alias("word"))
     has = F.broadcast(dictionary.select("lang").distinct().withColumn("__has", F.lit(True)))
-    each = looked_up(given.select(*keys, "lang", F.explode_outer("words").alias("word")), unknown, ["lang", "word"], "left")
-    rates = each.groupBy(*keys, "lang").agg(F.count("word").alias("n"), F.count("miss").alias("misses")).join(has, "lang", "left")
-    rate = F.coalesce((F.col("n") - F.col("misses")) / F.nullif(F.col("n"), F.lit(0)), F.lit(0.0))
+    if tried is not None:
+        by_word = checkpoint(known.where(F.col("lang").isin(*tried)).groupBy("word").agg(F.collect_set("lang").alias("langs"), F.max("n").alias("n")))
+        hits = found_in(each, by_word, ["word"]).select(*keys, F.explode("langs").alias("lang"))
+        counted = given.select(*keys, F.explode(F.array(*map(F.lit, tried)).cast("array<string>")).alias("lang"), F.size("words").alias("n"))
+    else:
+        hits = found_in(each, checkpoint(known), ["lang", "word"]).select(*keys, "lang")
+        counted = given.select(*keys, "lang", F.size("words").alias("n"))
+    both = counted.withColumn("hits", F.lit(0)).unionByName(hits.select("*", F.lit(0).alias("n"), F.lit(1).alias("hits")))
+    rates = both.groupBy(*keys, "lang").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits")).join(has, "lang", "left")
+    rate = F.coalesce(F.col("hits") / F.nullif(F.col("n"), F.lit(0)), F.lit(0.0))
     return rates.select(*keys, "lang", F.when(F.col("__has"), rate).alias("rate"))
 
 
@@ -134,11 +190,12 @@ def suspicious(blocks: DataFrame, dictionary: DataFrame, taken: DataFrame | None
     shown = blocks.where(~F.col("label").isin(*SKIPPED))
     placed = shown.select(*BLOCK_KEYS, "lang", placed_words_of(F.col("text"), WORD).alias("w"))
     wanted = F.filter("w", lambda w: (F.length(w["word"]) >= LEAST_LETTERS) & ~protected(w["word"], w["starts"], personal))
-    open_ = checkpoint(placed.select(*BLOCK_KEYS, "lang", wanted.alias("w")).where(F.size("w") > 0))
-    asked = open_.select("lang", F.explode(F.array_distinct("w.word")).alias("word"))
-    unknown = checkpoint(known_words(asked, dictionary).where("NOT known").select("lang", "word"))
+    open_ = kept(placed.select(*BLOCK_KEYS, "lang", wanted.alias("w")).where(F.size("w") > 0))
+    asked = open_.select("lang", F.explode("w.word").alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
+    known = checkpoint(known_forms(asked, dictionary))
     each = open_.select(*BLOCK_KEYS, "lang", F.explode("w").alias("w")).select(*BLOCK_KEYS, "lang", "w.start", "w.end", "w.word")
-    found = looked_up(each, unknown, ["lang", "word"])
+    # where a language has no dictionary no word is unknown
+    found = not_in(each.join(F.broadcast(dictionary.select("lang").distinct()), "lang", "left_semi"), known, ["lang", "word"])
     if taken is not None:
         found = apart_from(found, taken)
     return found.select(*BLOCK_KEYS, "start", "end", F.lit("suspicious").alias("kind"), F.col("word").alias("original"), F.lit(UNKNOWN).alias("note"))

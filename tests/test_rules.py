@@ -385,3 +385,15 @@ def test_distances_grow_by_bands(monkeypatch):
     for _ in range(300):
         a, b = ("".join(rng.choices("aáb😀", k=rng.randint(0, 30))) for _ in range(2))
         assert python.distance(a, b) == cheapest(a, b)
+
+
+@pytest.mark.parametrize("most", [0, 1, 2, 9])
+def test_common_words_are_broadcast_and_rare_ones_dealt(spark, monkeypatch, most):
+    """Of the words that are known the commonest are broadcast, as many as may be; the result is the same."""
+    monkeypatch.setattr(lexicon, "BROADCAST_WORDS", most)
+    found = table(spark, [("a", 5), ("b", 2), ("c", 1)], "word string, n long")
+    rows = table(spark, [(i, w) for i, w in enumerate("aaaaabbcdd")], "id int, word string")
+    common, rare = lexicon._commonest(found)
+    assert common.count() == min(most, 3) and (rare is None) == (most > 2)
+    assert sorted(r.id for r in lexicon.found_in(rows, found, ["word"]).collect()) == [*range(8)]
+    assert sorted(r.id for r in lexicon.not_in(rows, found, ["word"]).collect()) == [8, 9]
