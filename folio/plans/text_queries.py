@@ -112,10 +112,10 @@ SELECT doc_id, arg_min(lang, (-rate, lang)) AS language, round(max(rate), 6) AS
 def language_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language whose dictionary knows most of a document's first words."""
     words = dictionary(spark, sf_dir)
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    tried = docs.withColumn("lang", F.explode(F.array(*(F.lit(r.lang) for r in words.select("lang").distinct().collect()))))
     # a text without words of two letters has no vote
-    rates = lexicon.hit_rates(tried.where(F.exists(text.word_list(F.col("text")), lambda w: F.length(w) >= lexicon.LEAST_LETTERS)), ["doc_id"], words)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").where(F.exists(text.word_list(F.col("text")), lambda w: F.length(w) >= lexicon.LEAST_LETTERS))
+    langs = [r.lang for r in words.select("lang").distinct().collect() if r.lang is not None]
+    rates = lexicon.hit_rates(docs, ["doc_id"], words, tried=langs)
     return lexicon.best_language(rates, ["doc_id"]).select("doc_id", "language", F.round("rate", 6).alias("rate"))
 
 
