@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -37,8 +38,44 @@ def delete_folder(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def kept(df: DataFrame) -> DataFrame:
+def release(spark: SparkSession) -> None:
+    """Have Spark delete the shuffle files that nothing refers to any more.
+
+    It does so when the driver's garbage is collected, which a few long stages may not bring about by themselves.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def kept(df: DataFrame, folder: str | None = None) -> DataFrame:
     """Cut the lineage of `df` by compressed files in the shared folder: for texts, of which a checkpoint takes several times as much."""
-    spark, folder = df.sparkSession, f"{shared_folder(df.sparkSession)}/kept-{uuid.uuid4().hex}"
+    spark, folder = df.sparkSession, folder or f"{shared_folder(df.sparkSession)}/kept-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(folder)
     return spark.read.schema(df.schema).parquet(folder)
+
+
+class Stages:
+    """What a run keeps as compressed files, deleted as soon as nothing reads it any more."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder, self.known = spark, f"{shared_folder(spark)}/stages-{uuid.uuid4().hex}", []
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        folder = f"{self.folder}/{uuid.uuid4().hex}"
+        self.known.append((kept(df, folder), folder))
+        return self.known[-1][0]
+
+    def only(self, *needed: DataFrame) -> None:
+        """Delete all that was kept but these, and the shuffle files that led to it."""
+        for df, folder in self.known:
+            if not any(df is x for x in needed):
+                delete_folder(self.spark, folder)
+        self.known = [x for x in self.known if any(x[0] is y for y in needed)]
+        release(self.spark)
+
+    def turn(self, df: DataFrame, *needed: DataFrame) -> DataFrame:
+        """Keep `df`, and of all before it only what is needed still."""
+        out = self.keep(df)
+        del df
+        self.only(out, *needed)
+        return out

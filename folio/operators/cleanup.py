@@ -87,21 +87,20 @@ def corrections(words: DataFrame, dictionary: DataFrame) -> DataFrame:
 
 
 def cleaned(blocks: DataFrame, dictionary: DataFrame, personal: list[str] | None = None) -> DataFrame:
-    """Blocks (with flags and a lang) whose suspicious words are set right where the dictionary has one nearest form.
+    """Blocks (with flags and a lang) whose suspicious words are set right where the dictionary has one nearest form; they are read twice.
 
     Only words flagged as not in the dictionary change, none that is capitalised within a sentence or on the personal list.
     The flag goes; the change leaves one of kind `repaired` with the word as it was, so that it can be undone.
     """
-    given = checkpoint(blocks)
     wanted = F.filter("flags", lambda f: (f["kind"] == "suspicious") & (f["note"] == UNKNOWN))
-    told = given.select(*BLOCK_KEYS, "lang", F.explode(wanted).alias("f")).select(*BLOCK_KEYS, "lang", "f.start", "f.end", F.col("f.original").alias("word"))
+    told = blocks.select(*BLOCK_KEYS, "lang", F.explode(wanted).alias("f")).select(*BLOCK_KEYS, "lang", "f.start", "f.end", F.col("f.original").alias("word"))
     if personal:
         told = told.where(~protected(F.col("word"), F.lit(True), personal))
     told = checkpoint(told)
     found = checkpoint(corrections(told, dictionary).select("lang", "word", "new"))
     edit = F.struct("start", "end", "new", F.lit("repaired").alias("kind"), F.lit(CLEANED).alias("note"))
     edits = looked_up(told, found, ["lang", "word"]).groupBy(*BLOCK_KEYS).agg(F.collect_list(edit).alias("__edits"))
-    merged = given.join(edits, BLOCK_KEYS, "left").withColumn("__edits", F.coalesce("__edits", F.array().cast(f"array<{EDIT}>")))
+    merged = blocks.join(edits, BLOCK_KEYS, "left").withColumn("__edits", F.coalesce("__edits", F.array().cast(f"array<{EDIT}>")))
     gone = F.transform("__edits", lambda e: F.struct(e["start"].alias("start"), e["end"].alias("end")))
     kept = F.filter("flags", lambda f: (f["kind"] != "suspicious") | ~F.array_contains(gone, F.struct(f["start"].alias("start"), f["end"].alias("end"))))
     return apply_edits(merged.withColumn("flags", kept), "__edits").drop("__edits")

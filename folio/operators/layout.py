@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -98,12 +100,12 @@ def dehyphenate(blocks: DataFrame, dictionary: DataFrame) -> DataFrame:
     return flagged.withColumn("joined", F.size("__edits").cast("long")).withColumn("guessed", F.coalesce("__guessed", F.lit(0))).drop("__edits", "__guessed")
 
 
-def arrange(blocks: DataFrame, dictionary: DataFrame | None = None) -> DataFrame:
-    """All reading-order rules in turn."""
+def arrange(blocks: DataFrame, dictionary: DataFrame | None = None, keep: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """All reading-order rules in turn; `keep` cuts the lineage of blocks in order, which are read twice from there."""
     if dictionary is None:
         blocks = blocks.withColumn("text", join_hyphens(F.col("label"), F.col("text")))
     moved = move_captions(furniture_to_edges(blocks))
-    return moved if dictionary is None else dehyphenate(moved, dictionary)
+    return moved if dictionary is None else dehyphenate(keep(moved) if keep else moved, dictionary)
 
 
 def cut_strips(images: DataFrame, keys: list[str], width: str = "w", height: str = "h") -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -120,14 +122,14 @@ def not_in(rows: DataFrame, found: DataFrame, on: list[str]) -> DataFrame:
     return left.join(right, [*on, "__salt"], "left_anti").drop("__salt")
 
 
-def hit_rates(texts: DataFrame, keys: list[str], dictionary: DataFrame, text: str = "text", tried: list[str] | None = None) -> DataFrame:
+def hit_rates(texts: DataFrame, keys: list[str], dictionary: DataFrame, text: str = "text", tried: list[str] | None = None, keep: Callable[[DataFrame], DataFrame] = kept) -> DataFrame:
     """Share of a text's first RATE_WORDS words (of two letters or more) that its lang's dictionary knows, or those of `tried`.
 
     Without words 0; null without a dictionary. Words are looked up once each; a text's own stay in its row.
     """
     first = F.slice(F.filter(word_list(F.col(text)), lambda w: F.length(w) >= LEAST_LETTERS), 1, RATE_WORDS)
     own = ["lang"] if tried is None else []
-    given = kept(texts.select(*keys, *own, first.alias("words")))
+    given = keep(texts.select(*keys, *own, first.alias("words")))
     asked = given.select(*own, F.explode("words").alias("word")).groupBy(*own, "word").agg(F.count("*").alias("n"))
     known = known_forms(asked, dictionary)
     each = given.select(*keys, *own, F.explode("words").alias("word"))
@@ -182,7 +184,7 @@ def apart_from(places: DataFrame, taken: DataFrame) -> DataFrame:
     return swept.where(free).select(*places.columns)
 
 
-def suspicious(blocks: DataFrame, dictionary: DataFrame, taken: DataFrame | None = None, personal: list[str] | None = None) -> DataFrame:
+def suspicious(blocks: DataFrame, dictionary: DataFrame, taken: DataFrame | None = None, personal: list[str] | None = None, keep: Callable[[DataFrame], DataFrame] = kept) -> DataFrame:
     """Flags of unknown, unprotected words (blocks have a lang) that overlap none of the `taken` flags.
 
     Texts are cut into words once; words are looked up once each, and only the unknown ones leave their block's row.
@@ -190,7 +192,7 @@ def suspicious(blocks: DataFrame, dictionary: DataFrame, taken: DataFrame | None
     shown = blocks.where(~F.col("label").isin(*SKIPPED))
     placed = shown.select(*BLOCK_KEYS, "lang", placed_words_of(F.col("text"), WORD).alias("w"))
     wanted = F.filter("w", lambda w: (F.length(w["word"]) >= LEAST_LETTERS) & ~protected(w["word"], w["starts"], personal))
-    open_ = kept(placed.select(*BLOCK_KEYS, "lang", wanted.alias("w")).where(F.size("w") > 0))
+    open_ = keep(placed.select(*BLOCK_KEYS, "lang", wanted.alias("w")).where(F.size("w") > 0))
     asked = open_.select("lang", F.explode("w.word").alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
     known = checkpoint(known_forms(asked, dictionary))
     each = open_.select(*BLOCK_KEYS, "lang", F.explode("w").alias("w")).select(*BLOCK_KEYS, "lang", "w.start", "w.end", "w.word")

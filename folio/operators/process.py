@@ -8,7 +8,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folio.functions.lineage import checkpoint
+from folio.functions.lineage import Stages, checkpoint, kept
 from folio.functions.text import joined
 from folio.operators import guards, layout, lexicon, parse, repair
 from folio.schema import BLOCK_KEYS, BOX, FLAG, NO_TEXT, PAGE_KEYS
@@ -37,15 +37,15 @@ def route(pages: DataFrame, option: str = "born_digital") -> DataFrame:
     return pages.withColumn("source", F.when(used, "text_layer").when(F.col("is_blank"), "blank").otherwise("ocr"))
 
 
-def readings(pages: DataFrame) -> DataFrame:
-    """Routed pages with what is left out filled in, `loops` where the raw text repeats itself, and `cut`, the text up to there.
+def readings(pages: DataFrame, keep: Callable[[DataFrame], DataFrame] = kept) -> DataFrame:
+    """Routed pages with what is left out filled in, `loops` where the raw text repeats itself, and `cut`, the text up to there, if so.
 
     Python sees a long text once to tell whether it loops, and once more where it does.
     """
     whole = pages.withColumns({name: (F.col(name) if name in pages.columns else F.lit(None)).cast(kind) for name, kind in OPTIONAL.items()})
     filled = whole.withColumns({"rotation": F.coalesce("rotation", F.lit(0)), "warnings": F.coalesce("warnings", F.array().cast("array<string>"))} | {c: F.coalesce(c, F.lit(False)) for c in ("cancelled", "timed_out")})
     told = filled.withColumn("loops", F.coalesce((F.col("source") == "ocr") & guards.is_runaway(F.when(F.col("source") == "ocr", F.col("raw")), F.col("hit_token_cap")), F.lit(False)))
-    return checkpoint(told.withColumn("cut", F.when(F.col("loops"), guards.trim_runaway(F.when(F.col("loops"), F.col("raw")))).otherwise(F.col("raw"))))
+    return keep(told.withColumn("cut", F.when(F.col("loops"), guards.trim_runaway(F.when(F.col("loops"), F.col("raw"))))))
 
 
 def read_blocks(pages: DataFrame) -> DataFrame:
@@ -56,7 +56,7 @@ def read_blocks(pages: DataFrame) -> DataFrame:
 def _blocks(read: DataFrame) -> DataFrame:
     layers = read.where("source = 'text_layer'").select(*PAGE_KEYS, F.col("layer").alias("text"))
     from_layer = parse.text_layer_blocks(layers).select(*PAGE_KEYS, "block_no", "label", F.lit(None).cast(BOX).alias("box"), "text", F.col("text").alias("raw_text"))
-    return parse.parse_raw(read.where("source = 'ocr'").select(*PAGE_KEYS, F.col("cut").alias("raw"))).unionByName(from_layer)
+    return parse.parse_raw(read.where("source = 'ocr'").select(*PAGE_KEYS, F.when(F.col("loops"), F.col("cut")).otherwise(F.col("raw")).alias("raw"))).unionByName(from_layer)
 
 
 def _available(dictionary: DataFrame) -> list[str]:
@@ -69,10 +69,9 @@ def _texts(blocks: DataFrame) -> DataFrame:
     return blocks.groupBy(*PAGE_KEYS).agg(joined("text", "\n", "block_no").alias("text"))
 
 
-def page_languages(blocks: DataFrame, dictionary: DataFrame, option: str = "auto") -> DataFrame:
+def page_languages(blocks: DataFrame, dictionary: DataFrame, option: str = "auto", keep: Callable[[DataFrame], DataFrame] = kept) -> DataFrame:
     """Each page's language: the option, or what its words vote for among the languages that have a dictionary."""
-    tried = _texts(blocks).withColumn("lang", F.explode(F.array(*map(F.lit, LANGUAGES))))
-    rates = lexicon.hit_rates(tried, PAGE_KEYS, dictionary)
+    rates = lexicon.hit_rates(_texts(blocks), PAGE_KEYS, dictionary, tried=list(LANGUAGES), keep=keep)
     voted = rates.groupBy(*PAGE_KEYS).agg(lexicon.vote(*(F.max(F.when(F.col("lang") == x, F.col("rate"))) for x in LANGUAGES)).alias("voted"))
     has = _available(dictionary)
     return voted.select(*PAGE_KEYS, lexicon.chosen_language(F.lit(option), F.col("voted"), F.col("voted").isin(*has) if has else F.lit(False)).alias("lang"))
@@ -96,7 +95,7 @@ def _doubts(read: DataFrame, blocks: DataFrame, languages: DataFrame, dictionary
 
 def _warned(read: DataFrame, blocks: DataFrame) -> DataFrame:
     """Readings with all their warnings: what the engine told, then empty, out of time, cancelled and looping ones."""
-    with_text = blocks.where(~F.col("label").isin(*NO_TEXT) & (F.trim("text") != "")).select(*PAGE_KEYS).distinct().withColumn("has_text", F.lit(True))
+    with_text = checkpoint(blocks.where(~F.col("label").isin(*NO_TEXT) & (F.trim("text") != "")).select(*PAGE_KEYS).distinct()).withColumn("has_text", F.lit(True))
     empty = (F.col("source") == "ocr") & F.col("has_text").isNull() & ~F.col("cancelled") & ~F.col("timed_out")
     more = F.array_compact(F.array(F.when(empty, layout.EMPTY), F.when(F.col("timed_out"), TIME_LIMIT), F.when(F.col("cancelled"), CANCELLED), F.when(F.col("loops"), RUNAWAY)))
     return read.join(with_text, PAGE_KEYS, "left").withColumn("warnings", F.array_distinct(F.concat("warnings", more))).drop("has_text")
@@ -144,6 +143,12 @@ def page_records(read: DataFrame) -> DataFrame:
     )
 
 
+def records(pages: DataFrame) -> DataFrame:
+    """The records that `process` gives of routed pages that are read once, which no dictionary changes."""
+    raw = readings(pages)
+    return page_records(_warned(raw, _blocks(raw)))
+
+
 def process(
     pages: DataFrame,
     dictionary: DataFrame,
@@ -159,19 +164,24 @@ def process(
     With `probes` and `second` readings, pages that seem to lie wrong take the reading after a turn (see turn_again).
     `cleanup` comes last, over blocks with all their flags.
     """
-    read = readings(pages)
-    blocks = checkpoint(_blocks(read))
-    read = checkpoint(_warned(read, blocks))
-    languages = checkpoint(page_languages(blocks, dictionary, option))
+    stages = Stages(pages.sparkSession)
+    raw = readings(pages, stages.keep)
+    blocks = stages.keep(_blocks(raw))
+    read = _warned(raw, blocks)
+    languages = checkpoint(page_languages(blocks, dictionary, option, stages.keep))
+    stages.only(raw, blocks)
     if probes is not None and second is not None:
         read, blocks, languages = turn_again(read, blocks, languages, dictionary, probes, second, option)
     given = blocks.join(languages, PAGE_KEYS).withColumn("flags", F.array().cast(f"array<{FLAG}>"))
-    arranged = checkpoint(layout.arrange(checkpoint(given), dictionary).drop("joined", "guessed"))
-    repaired = checkpoint(repair.repair(arranged, dictionary, personal) if repairs else arranged)
+    next_ = lambda df: stages.turn(df, raw)
+    arranged = next_(layout.arrange(next_(given), dictionary, next_).drop("joined", "guessed"))
+    repaired = next_(repair.repair(arranged, dictionary, personal, stages.keep)) if repairs else arranged
     own = repaired.select(*BLOCK_KEYS, F.explode("flags").alias("f")).select(*BLOCK_KEYS, "f.*")
-    found = lexicon.suspicious(repaired, dictionary, own.where(F.col("kind").isin("foreign_letter", "suspicious")), personal)
+    found = lexicon.suspicious(repaired, dictionary, own.where(F.col("kind").isin("foreign_letter", "suspicious")), personal, stages.keep)
     by_block = found.groupBy(*BLOCK_KEYS).agg(F.collect_list(F.struct("kind", "start", "end", "original", "note")).alias("__more"))
     order = lambda x, y: F.when(x["start"] != y["start"], x["start"] - y["start"]).otherwise(x["end"] - y["end"])
     flagged = repaired.join(by_block, BLOCK_KEYS, "left").withColumn("flags", F.when(F.col("__more").isNull(), F.col("flags")).otherwise(F.array_sort(F.concat("flags", "__more"), order))).drop("__more")
-    done = checkpoint(cleanup(flagged) if cleanup else flagged)
+    done = next_(flagged)
+    if cleanup:
+        done = next_(cleanup(done))
     return Finished(done, done.select(*BLOCK_KEYS, F.explode("flags").alias("f")).select(*BLOCK_KEYS, "f.*"), page_records(read))

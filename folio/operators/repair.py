@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
@@ -137,7 +138,7 @@ def plain_soft_words(words: DataFrame, dictionary: DataFrame) -> DataFrame:
     return unique_known(unknown, softened(F.col("word")), dictionary)
 
 
-def word_edits(blocks: DataFrame, dictionary: DataFrame, personal: list[str] | None = None) -> DataFrame:
+def word_edits(blocks: DataFrame, dictionary: DataFrame, personal: list[str] | None = None, keep: Callable[[DataFrame], DataFrame] = checkpoint) -> DataFrame:
     """Edits and foreign-letter flags of blocks (with a lang) by the word rules; `new` is null for a flag."""
     shown = blocks.where(~F.col("label").isin(*SKIPPED))
     keys = [*BLOCK_KEYS, "lang"]
@@ -153,7 +154,7 @@ def word_edits(blocks: DataFrame, dictionary: DataFrame, personal: list[str] | N
         meets = meets & (F.col(k) == F.col(f"c_{k}"))
     # only words that a rule may touch go on, and three branches read them
     touched = is_foreign(F.col("word")) | F.rlike("word", F.lit("[dtDT]"))
-    rest = checkpoint(open_words(tokens(shown, keys).where(touched).join(covered, meets, "left_anti")))
+    rest = keep(open_words(tokens(shown, keys).where(touched).join(covered, meets, "left_anti")))
     foreign = rest.join(foreign_words(rest, dictionary), ["lang", "word"]).withColumn("note", F.when(F.col("new").isNull(), NOTES["foreign"]).otherwise(NOTES["look_alike"]))
     soft_asked = rest.where(~is_foreign(F.col("word")))
     soft = soft_asked.join(plain_soft_words(soft_asked, dictionary), ["lang", "word"]).withColumn("note", F.lit(NOTES["plain"]))
@@ -161,12 +162,12 @@ def word_edits(blocks: DataFrame, dictionary: DataFrame, personal: list[str] | N
     return first.select(columns).unionByName(foreign.select(columns)).unionByName(soft.select(columns))
 
 
-def repair(blocks: DataFrame, dictionary: DataFrame, personal: list[str] | None = None) -> DataFrame:
+def repair(blocks: DataFrame, dictionary: DataFrame, personal: list[str] | None = None, keep: Callable[[DataFrame], DataFrame] = checkpoint) -> DataFrame:
     """Blocks (with flags and a lang) after the character rules and, where lang is cs, the word rules."""
     skipped = F.col("label").isin(*SKIPPED)
     none = F.array().cast(f"array<{EDIT}>")
-    first = checkpoint(apply_edits(blocks.withColumn("__edits", F.when(skipped, none).otherwise(character_edits(F.col("text")))), "__edits").drop("__edits"))
-    found = word_edits(first.where("lang = 'cs'"), dictionary, personal)
+    first = keep(apply_edits(blocks.withColumn("__edits", F.when(skipped, none).otherwise(character_edits(F.col("text")))), "__edits").drop("__edits"))
+    found = word_edits(first.where("lang = 'cs'"), dictionary, personal, keep)
     edit = F.struct("start", "end", "new", F.lit("repaired").alias("kind"), "note")
     flag = F.struct(F.lit("foreign_letter").alias("kind"), "start", "end", F.col("word").alias("original"), "note")
     by_block = found.groupBy(*BLOCK_KEYS).agg(F.collect_list(F.when(F.col("new").isNotNull(), edit)).alias("__edits"), F.collect_list(F.when(F.col("new").isNull(), flag)).alias("__more"))

@@ -1,13 +1,15 @@
 """Literal cases of the rules, plain loops where SQL can't follow, and texts with characters for private use."""
 
+import pathlib
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from folio.functions import python, text
+from folio.functions.lineage import shared_folder
 from folio.operators import cleanup, edits, guards, integrity, jobs, layout, lexicon, parse, render, repair, score
-from folio.operators.process import process
+from folio.operators.process import process, records
 
 FLAGS = "array<struct<kind:string,start:int,end:int,original:string,note:string>>"
 #: Characters for private use and beside the last one of the basic plane; all may stand in texts.
@@ -244,6 +246,22 @@ def test_processed_pages(spark):
     assert not {"heer", "ted"} & {r.original for r in personal.collect()}
 
 
+def test_process_keeps_little(spark):
+    """Of texts that don't compress, the shared folder holds the readings and the finished blocks in the end, not every stage; records of pages are the same alone."""
+    words = dictionary(spark, "en", "house", "stands", "here", "the").unionByName(dictionary(spark, "cs", "dům"))
+    draw = random.Random(3)
+    letters = "".join(map(chr, range(0x4E00, 0x9E00)))
+    read = [(1, i, "ocr", None, "<|det|>text [10, 200, 900, 240]<|/det|>" + "".join(draw.choice(letters) for _ in range(60_000)), False) for i in range(4)] + [(1, 4, "ocr", None, "la " * 3000, False), (1, 5, "blank", None, None, False), (1, 6, "ocr", None, "", False)]
+    kind = "doc_id int, page_index int, source string, layer string, raw string, hit_token_cap boolean"
+    size = lambda: sum(f.stat().st_size for f in pathlib.Path(shared_folder(spark).removeprefix("file:")).rglob("*") if f.is_file())
+    before, whole = size(), sum(len((r[4] or "").encode()) for r in read)
+    done = process(table(spark, read, kind), words)
+    assert size() - before < 4 * whole
+    assert {r.text for r in done.blocks.where("page_index < 4").collect()} == {r[4].split("<|/det|>")[1] for r in read[:4]}
+    plain = lambda rows: sorted(map(str, rows.collect()))
+    assert plain(done.pages) == plain(records(table(spark, read, kind))) and {r.page_index: r.warnings for r in done.pages.collect()} == {i: [["runaway"], [], ["empty"]][i - 4] if i > 3 else [] for i in range(7)}
+
+
 def test_cleanup_comes_after_the_flags(spark):
     """The hook sees every flag; flags and blocks that come out of it agree."""
     words = dictionary(spark, "en", "house", "stands", "here", "the", "stream", "water").unionByName(dictionary(spark, "cs", "dům"))
