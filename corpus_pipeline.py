@@ -1,8 +1,8 @@
 """A training corpus from raw documents: five stages, each over all that the one before kept.
 
 Language ID drops documents without a letter and those that no language's regression claims; the quality classifier
-drops those that are likelier of label 0; groups of near copies (five-word Jaccard of at least 0.8) keep the document of
-least id; documents that hold a benchmark window go; the last stage encodes what is left.
+drops those that are likelier of label 0; groups of near copies (met by SimHash and, beyond its two bits, by
+MinHash; linked by a five-word Jaccard of at least 0.8) keep the document of least id; documents that hold a benchmark window go; the last stage encodes what is left.
 """
 
 from __future__ import annotations
@@ -30,6 +30,7 @@ def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """SimHash links of operator 4 with the exact check that may follow; near copies that it can't reach are met by MinHash."""
     return near_copies.keep_one(docs)
 
 

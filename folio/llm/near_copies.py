@@ -1,6 +1,8 @@
 """Near copies: documents whose sets of five-word shingles have a Jaccard index of at least 0.8.
 
-Texts with equal sets are folded into one value. Values meet by MinHash: each has BANDS keys of ROWS minima, and a pair
+Texts with equal sets are folded into one value. Values meet by SimHash first, as operator 4 links fingerprints within two
+bits by its covering masks, and what it links is checked by exact sets. Copies at 0.8 may lie further apart (3 to 11 bits of
+64), so that values meet by MinHash as well: each has BANDS keys of ROWS minima, and a pair
 at 0.8 shares none with probability (1 - 0.8^5)^32, 3 in a million. What meets is compared by exact shingle sets: each
 value of a bucket with that of its values that meets most others; then values of buckets that lie in several components
 are compared across these where prefixes of their sets, from rare shingles to common ones, allow 0.8. A pair left out is
@@ -23,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from folio.llm import simhash
 from folio.llm.common import LOWER, WORD_BYTES, arrow_column, checkpoint, chunks, gram_hashes, mix, release, span_hashes, word_bounds
 from folio.llm.graph import components
 from folio.llm.simhash import BROADCAST_IDS, assign, stay
@@ -187,12 +190,25 @@ def across(rooted: DataFrame, members: DataFrame, known: DataFrame, verify: Call
     return found.unionByName(verify(_pairs(few.join(all_.select("shingle", "fp", "root", "size", "at"), "shingle"), "few")))
 
 
-def links(docs: DataFrame, values: DataFrame) -> DataFrame:
-    """Links u > v that connect the values (fp, size, keys, b0, b1, b2, least) of docs (doc_id, text)."""
+def simhash_pairs(rows: DataFrame) -> DataFrame:
+    """Pairs u > v of values (fp) of rows (fp, simhash) whose fingerprints are equal or linked by operator 4; a fingerprint's values meet its least."""
+    held = checkpoint(rows.select("simhash", "fp").distinct())
+    heads = checkpoint(held.groupBy("simhash").agg(F.min("fp").alias("head")))
+    equal = held.join(heads, "simhash").select("fp", "head")
+    of = lambda name: heads.select(F.col("simhash").alias(name), F.col("head").alias(f"of_{name}"))
+    near = simhash.links(heads.select(F.col("simhash").alias("fp"))).join(of("u"), "u").join(of("v"), "v").select(F.col("of_u").alias("fp"), F.col("of_v").alias("head"))
+    return equal.unionByName(near).where("fp <> head").select(F.greatest("fp", "head").alias("u"), F.least("fp", "head").alias("v")).distinct()
+
+
+def links(docs: DataFrame, values: DataFrame, rows: DataFrame) -> DataFrame:
+    """Links u > v that connect the values (fp, size, keys, b0, b1, b2, least) of docs (doc_id, text) with rows (fp, simhash)."""
+    first = checkpoint(simhash_pairs(rows))
+    release(docs.sparkSession)
     keyed = values.select("fp", F.explode("keys").alias("key")).repartition("key")
     met = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     inside = checkpoint(keyed.join(met, "key").withColumn("weight", F.sum("n").over(W.partitionBy("fp"))).drop("n"))
-    members = checkpoint(values.join(inside.select("fp").distinct(), "fp", "left_semi").select("fp", "least", "size", "b0", "b1", "b2"))
+    asked = inside.select("fp").unionByName(first.select(F.explode(F.array("u", "v")).alias("fp"))).distinct()
+    members = checkpoint(values.join(asked, "fp", "left_semi").select("fp", "least", "size", "b0", "b1", "b2"))
     wanted = members.select(F.col("least").alias("wanted")).distinct()
     found = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi").select(sets(F.col("text")).alias("s"))
     known = checkpoint(found.select("s.fp", "s.shingles").dropDuplicates(["fp"]))
@@ -200,7 +216,8 @@ def links(docs: DataFrame, values: DataFrame) -> DataFrame:
     # each value of a bucket with the one that meets most others, in all of that one's buckets alike
     pivots = inside.groupBy("key").agg(F.max(F.struct("weight", "fp")).alias("p")).select("key", F.col("p.fp").alias("pivot"))
     pairs = inside.join(pivots, "key").where("fp <> pivot").select(F.greatest("fp", "pivot").alias("u"), F.least("fp", "pivot").alias("v")).distinct()
-    linked = checkpoint(verified(_plausible(pairs, members), known))
+    # by SimHash, then by MinHash what it hasn't named
+    linked = checkpoint(verified(_plausible(first.unionByName(pairs.join(first, ["u", "v"], "left_anti")), members), known))
     placed = inside.select("key", "fp").join(components(linked).select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     split = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
     apart = checkpoint(placed.join(split, "key").select("fp", "root").distinct())
@@ -211,9 +228,9 @@ def links(docs: DataFrame, values: DataFrame) -> DataFrame:
 def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, fp (a digest of the shingle set) and component_id of every row."""
     given = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    rows = checkpoint(given.select("doc_id", sketches(F.col("text")).alias("s")).select("doc_id", "s.*"))
+    rows = checkpoint(given.select("doc_id", sketches(F.col("text")).alias("s"), simhash.fingerprints(F.col("text")).alias("simhash")).select("doc_id", "s.*", "simhash"))
     values = checkpoint(rows.groupBy("fp").agg(F.count("*").alias("n"), F.min("doc_id").alias("least"), *(F.first(c).alias(c) for c in ("size", "keys", "b0", "b1", "b2"))))
-    return assign(rows.select("doc_id", "fp"), values.select("fp", "n", "least"), components(links(given, values)))
+    return assign(rows.select("doc_id", "fp"), values.select("fp", "n", "least"), components(links(given, values, rows)))
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -2,8 +2,10 @@ import itertools
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from folio.llm import near_copies as nc
+from folio.llm import simhash
 
 
 def plain(text):
@@ -70,3 +72,17 @@ def test_odd_rows(odd, none):
     rows = [(r.doc_id, r.text) for r in odd.select("doc_id", "text").collect()]
     assert sorted(((str(r.doc_id), r.component_id) for r in nc.near_copies(odd).collect()), key=str) == sorted(brute(rows), key=str)
     assert nc.keep_one(odd).columns == odd.columns and nc.near_copies(none).count() == 0
+
+
+def test_simhash_step(spark):
+    """Where no MinHash key meets another, operator 4's links still do; fingerprints that agree without the sets link nothing."""
+    words = [f"w{i}" for i in range(400)]
+    far = ["x", "y", "z"] * 500
+    texts = [" ".join(words), " ".join([*words[:-1], "v"]), " ".join(far + [f"p{i}" for i in range(40)]), " ".join(far + [f"q{i}" for i in range(40)])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = docs.select("doc_id", nc.sketches(F.col("text")).alias("s"), simhash.fingerprints(F.col("text")).alias("simhash")).select("doc_id", "s.*", "simhash")
+    values = rows.select("fp", "size", F.array("fp").alias("keys"), "b0", "b1", "b2", F.col("doc_id").alias("least"))
+    fp = {r.doc_id: r.fp for r in rows.collect()}
+    assert {(r.u, r.v) for r in nc.simhash_pairs(rows).collect()} == {(max(a, b), min(a, b)) for a, b in ((fp[0], fp[1]), (fp[2], fp[3]))}
+    assert [(r.u, r.v) for r in nc.links(docs, values, rows).collect()] == [(max(fp[0], fp[1]), min(fp[0], fp[1]))]
+    assert sorted((r.doc_id, r.component_id) for r in nc.near_copies(docs).collect()) == [(0, 0), (1, 0), (2, 2), (3, 3)]
