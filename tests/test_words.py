@@ -118,6 +118,24 @@ def test_affixes(spark, tmp_path):
     assert affixes.recognised(asked_of(spark, "cs", yes), dictionary).count() == 0
 
 
+def test_parts_of_compounds_are_not_written(spark, tmp_path, monkeypatch):
+    """A word of 80 letters has some thousand parts, of which only those at places that parts reach are looked up; stems go in blocks."""
+    from pathlib import Path
+
+    written(tmp_path, "xx", [("foot", "C"), ("ball", "CS"), ("ball" * 3, "C"), ("haus", "B"), ("boot", "Z")])
+    dictionary = hunspell.read_dictionary(spark, str(tmp_path), "en=xx")
+    rng = random.Random(3)
+    no = ["".join(rng.choices("cdeghijk", k=80)) for _ in range(300)]
+    yes = ["foot" * 20, "footballs", "haus" + "ball" * 19, "ball" * 18 + "boot"]
+    folder = Path(spark.conf.get("spark.checkpoint.dir"))
+    size = lambda: sum(f.stat().st_size for f in folder.rglob("*") if f.is_file())
+    before = size()
+    assert {r.word for r in affixes.recognised(asked_of(spark, "en", yes + no), dictionary).collect()} == set(yes)
+    assert size() - before < 1_000_000
+    monkeypatch.setattr(affixes, "STEMS", 2)
+    assert {r.word for r in affixes.recognised(asked_of(spark, "en", yes + no[:5]), dictionary).collect()} == set(yes)
+
+
 def test_known_by_affixes(spark, tmp_path):
     written(tmp_path, "xx", [("buď", ""), ("Praha", ""), ("česko", ""), ("slovenský", "S"), ("it's", "")])
     dictionary = hunspell.read_dictionary(spark, str(tmp_path), "cs=xx")
