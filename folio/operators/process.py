@@ -149,6 +149,31 @@ def records(pages: DataFrame) -> DataFrame:
     return page_records(_warned(raw, _blocks(raw)))
 
 
+def _repaired(stages: Stages, blocks: DataFrame, languages: DataFrame, dictionary: DataFrame, personal: list[str] | None, repairs: bool, *needed: DataFrame) -> DataFrame:
+    """Blocks in their pages' languages, arranged and repaired, with the flags of both; of all that was kept only this stays, and what is needed."""
+    given = blocks.join(languages, PAGE_KEYS).withColumn("flags", F.array().cast(f"array<{FLAG}>"))
+    next_ = lambda df: stages.turn(df, *needed)
+    arranged = next_(layout.arrange(next_(given), dictionary, next_).drop("joined", "guessed"))
+    return next_(repair.repair(arranged, dictionary, personal, stages.keep, next_)) if repairs else arranged
+
+
+def _unknown(stages: Stages, repaired: DataFrame, dictionary: DataFrame, personal: list[str] | None) -> tuple[DataFrame, DataFrame]:
+    """The flags that repaired blocks have, as a flat table, and those of unknown words apart from them."""
+    own = repaired.select(*BLOCK_KEYS, F.explode("flags").alias("f")).select(*BLOCK_KEYS, "f.*")
+    return own, lexicon.suspicious(repaired, dictionary, own.where(F.col("kind").isin("foreign_letter", "suspicious")), personal, stages.keep)
+
+
+def flags(pages: DataFrame, dictionary: DataFrame, personal: list[str] | None = None, option: str = "auto", repairs: bool = True) -> DataFrame:
+    """The flags that `process` gives of routed pages that are read once, without a cleanup; no finished block and no record is made for them."""
+    stages = Stages(pages.sparkSession)
+    blocks = stages.turn(_blocks(readings(pages, stages.keep)))
+    languages = checkpoint(page_languages(blocks, dictionary, option, stages.keep))
+    stages.only(blocks)
+    repaired = _repaired(stages, blocks, languages, dictionary, personal, repairs)
+    own, found = _unknown(stages, repaired, dictionary, personal)
+    return own.unionByName(found)
+
+
 def process(
     pages: DataFrame,
     dictionary: DataFrame,
@@ -172,12 +197,9 @@ def process(
     stages.only(raw, blocks)
     if probes is not None and second is not None:
         read, blocks, languages = turn_again(read, blocks, languages, dictionary, probes, second, option)
-    given = blocks.join(languages, PAGE_KEYS).withColumn("flags", F.array().cast(f"array<{FLAG}>"))
     next_ = lambda df: stages.turn(df, raw)
-    arranged = next_(layout.arrange(next_(given), dictionary, next_).drop("joined", "guessed"))
-    repaired = next_(repair.repair(arranged, dictionary, personal, stages.keep)) if repairs else arranged
-    own = repaired.select(*BLOCK_KEYS, F.explode("flags").alias("f")).select(*BLOCK_KEYS, "f.*")
-    found = lexicon.suspicious(repaired, dictionary, own.where(F.col("kind").isin("foreign_letter", "suspicious")), personal, stages.keep)
+    repaired = _repaired(stages, blocks, languages, dictionary, personal, repairs, raw)
+    found = _unknown(stages, repaired, dictionary, personal)[1]
     by_block = found.groupBy(*BLOCK_KEYS).agg(F.collect_list(F.struct("kind", "start", "end", "original", "note")).alias("__more"))
     order = lambda x, y: F.when(x["start"] != y["start"], x["start"] - y["start"]).otherwise(x["end"] - y["end"])
     flagged = repaired.join(by_block, BLOCK_KEYS, "left").withColumn("flags", F.when(F.col("__more").isNull(), F.col("flags")).otherwise(F.array_sort(F.concat("flags", "__more"), order))).drop("__more")

@@ -162,11 +162,11 @@ def word_edits(blocks: DataFrame, dictionary: DataFrame, personal: list[str] | N
     return first.select(columns).unionByName(foreign.select(columns)).unionByName(soft.select(columns))
 
 
-def repair(blocks: DataFrame, dictionary: DataFrame, personal: list[str] | None = None, keep: Callable[[DataFrame], DataFrame] = checkpoint) -> DataFrame:
-    """Blocks (with flags and a lang) after the character rules and, where lang is cs, the word rules."""
+def repair(blocks: DataFrame, dictionary: DataFrame, personal: list[str] | None = None, keep: Callable[[DataFrame], DataFrame] = checkpoint, turn: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Blocks (with flags and a lang) after the character rules and, where lang is cs, the word rules; `turn` keeps what stands for the given ones."""
     skipped = F.col("label").isin(*SKIPPED)
     none = F.array().cast(f"array<{EDIT}>")
-    first = keep(apply_edits(blocks.withColumn("__edits", F.when(skipped, none).otherwise(character_edits(F.col("text")))), "__edits").drop("__edits"))
+    first = (turn or keep)(apply_edits(blocks.withColumn("__edits", F.when(skipped, none).otherwise(character_edits(F.col("text")))), "__edits").drop("__edits"))
     found = word_edits(first.where("lang = 'cs'"), dictionary, personal, keep)
     edit = F.struct("start", "end", "new", F.lit("repaired").alias("kind"), "note")
     flag = F.struct(F.lit("foreign_letter").alias("kind"), "start", "end", F.col("word").alias("original"), "note")

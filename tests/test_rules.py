@@ -246,6 +246,31 @@ def test_processed_pages(spark):
     assert not {"heer", "ted"} & {r.original for r in personal.collect()}
 
 
+def test_flags_alone_keep_less(spark, monkeypatch):
+    """What the flags of the whole path hold of texts at a time: under five times their bytes, 5.2 times when they came with blocks and records."""
+    from folio.operators import process as module
+
+    words = dictionary(spark, "en", "house", "stands", "here", "the").unionByName(dictionary(spark, "cs", "dům"))
+    draw = random.Random(4)
+    letters = "".join(map(chr, range(0x4E00, 0x9E00)))
+    read = [(1, i, "ocr", None, "<|det|>text [10, 200, 900, 240]<|/det|>the hause " + "".join(draw.choice(letters) for _ in range(60_000)) + "ted", False) for i in range(4)]
+    pages = table(spark, read, "doc_id int, page_index int, source string, layer string, raw string, hit_token_cap boolean")
+    size = lambda: sum(f.stat().st_size for f in pathlib.Path(shared_folder(spark).removeprefix("file:")).rglob("*") if f.is_file())
+    plain = lambda rows: sorted(map(str, rows.collect()))
+    before, whole, held, keep = size(), sum(len(r[4].encode()) for r in read), [], module.Stages.keep
+
+    def noted(self, df):
+        out = keep(self, df)
+        held.append(size() - before)
+        return out
+
+    monkeypatch.setattr(module.Stages, "keep", noted)
+    find = getattr(module, "flags", lambda *given: process(*given).flags)
+    found = plain(find(pages, words))
+    assert max(held) / whole < 5, [round(x / whole, 2) for x in held]
+    assert found == plain(process(pages, words).flags) and any("hause" in x for x in found)
+
+
 def test_process_keeps_little(spark):
     """Of texts that don't compress, the shared folder holds the readings and the finished blocks in the end, not every stage; records of pages are the same alone."""
     words = dictionary(spark, "en", "house", "stands", "here", "the").unionByName(dictionary(spark, "cs", "dům"))
