@@ -421,6 +421,23 @@ def test_gates_walk_no_cells(spark, monkeypatch):
     assert "levenshtein" not in QUERIES["accuracy_gate"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
 
 
+@pytest.mark.parametrize("piece", [1, 7, 1 << 20])
+def test_pairs_are_compared_in_pieces(spark, monkeypatch, piece):
+    """Lines of one length are compared many at once, with what each alone gives; one changed letter needs no walk over its line."""
+    rng = random.Random(11)
+    a = ["".join(rng.choices("aáéb😀í", k=rng.randint(0, 12))) for _ in range(500)]
+    b = [x.replace("é", "e") if k % 2 else "".join(rng.choices("aáéb😀í", k=rng.choice([len(x), 5]))) for k, x in enumerate(a)]
+    monkeypatch.setattr(python, "PIECE", piece)
+    assert list(python.distances(a, b)) == [python.distance(x, y) for x, y in zip(a, b, strict=True)]
+    assert list(python.all_accents(a, b)) == [python.accents(x, y) for x, y in zip(a, b, strict=True)]
+    monkeypatch.setattr(python, "_changed", None)
+    assert list(python.distances(["abc", "", "aé"], ["abd", "", "ae"])) == [1, 0, 1]
+    given = table(spark, [("abc", "abd"), (None, "a"), ("a", None), ("é", "e"), ("", "x")], "a string, b string")
+    monkeypatch.undo()
+    found = given.select(python.distance_of(F.col("a"), F.col("b")).alias("d"), python.accents_of(F.col("a"), F.col("b")).alias("x")).collect()
+    assert [r.d for r in found] == [1, None, None, 1, 1] and [r.x and tuple(r.x) for r in found] == [(0, 0, []), None, None, (1, 0, ["é→e"]), (0, 0, [])]
+
+
 def test_distances_grow_by_bands(monkeypatch):
     """Against all cells; the first band is too narrow for most pairs."""
     monkeypatch.setattr(python, "FIRST_BAND", 1)
