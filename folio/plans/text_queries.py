@@ -316,8 +316,9 @@ _FOLD = ("äöüßéèñóáíúçêàâîôûëïœÄÖÜÉÈÑÓÁÍÚÇÊÀ",
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every line that isn't empty, in plain letters, and the same with one character changed; doc_id % 3 is the mode."""
-    plain = F.regexp_replace(F.translate("line", *_FOLD), r"[^\x00-\x7F]", "?")
-    rows = lines(spark, sf_dir).select("doc_id", "no", (F.col("doc_id") % 3).cast("int").alias("mode"), "line", plain.alias("truth")).where("truth <> ''")
+    plain = F.when(F.octet_length("line") == F.length("line"), F.col("line")).otherwise(F.regexp_replace(F.translate("line", *_FOLD), r"[^\x00-\x7F]", "?"))
+    # a line's plain letters are as many as its own, so that none is written out for those that are empty
+    rows = lines(spark, sf_dir).where("line <> ''").select("doc_id", "no", (F.col("doc_id") % 3).cast("int").alias("mode"), "line", plain.alias("truth"))
     at = F.pmod(F.col("doc_id") + F.col("no"), F.length("truth")).cast("int")
     return rows.withColumn("reading", F.concat(F.substring("truth", F.lit(1), at), F.lit("~"), F.substring("truth", at + 2, F.length("truth"))))
 

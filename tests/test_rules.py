@@ -438,6 +438,16 @@ def test_pairs_are_compared_in_pieces(spark, monkeypatch, piece):
     assert [r.d for r in found] == [1, None, None, 1, 1] and [r.x and tuple(r.x) for r in found] == [(0, 0, []), None, None, (1, 0, ["é→e"]), (0, 0, [])]
 
 
+def test_empty_lines_go_before_letters_are_replaced(spark):
+    """Which lines are empty is seen by the lines themselves; no filter writes their plain letters first."""
+    from folio.plans.catalogue import QUERIES
+
+    for name in ("cer_by_group", "accuracy_gate"):
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        filters = [x for x in plan.splitlines() if "Filter" in x]
+        assert filters and not any("regexp_replace" in x for x in filters)
+
+
 def test_distances_grow_by_bands(monkeypatch):
     """Against all cells; the first band is too narrow for most pairs."""
     monkeypatch.setattr(python, "FIRST_BAND", 1)
