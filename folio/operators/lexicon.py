@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from folio.functions.lineage import checkpoint, kept
+from folio.functions.lineage import checkpoint, kept, release
 from folio.functions.python import placed_words_of
 from folio.functions.text import WORD, word_list
 from folio.schema import BLOCK_KEYS, SKIPPED
@@ -193,8 +193,10 @@ def suspicious(blocks: DataFrame, dictionary: DataFrame, taken: DataFrame | None
     placed = shown.select(*BLOCK_KEYS, "lang", placed_words_of(F.col("text"), WORD).alias("w"))
     wanted = F.filter("w", lambda w: (F.length(w["word"]) >= LEAST_LETTERS) & ~protected(w["word"], w["starts"], personal))
     open_ = keep(placed.select(*BLOCK_KEYS, "lang", wanted.alias("w")).where(F.size("w") > 0))
+    release(blocks.sparkSession)
     asked = open_.select("lang", F.explode("w.word").alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
     known = checkpoint(known_forms(asked, dictionary))
+    release(blocks.sparkSession)
     each = open_.select(*BLOCK_KEYS, "lang", F.explode("w").alias("w")).select(*BLOCK_KEYS, "lang", "w.start", "w.end", "w.word")
     # where a language has no dictionary no word is unknown
     found = not_in(each.join(F.broadcast(dictionary.select("lang").distinct()), "lang", "left_semi"), known, ["lang", "word"])
