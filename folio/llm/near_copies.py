@@ -98,6 +98,16 @@ def sketches(text: Column) -> Column:
     return arrow_column(lambda: _sketches, "struct<fp: long, size: long, keys: array<long>, b0: long, b1: long, b2: long>")(text)
 
 
+def _marks(texts: pa.Array) -> pa.Array:
+    found = _sketches(texts)
+    return pa.StructArray.from_arrays([*found.flatten(), simhash.fingerprint_batch(texts)], [*(f.name for f in found.type), "simhash"])
+
+
+def marks(text: Column) -> Column:
+    """Sketches with SimHash fingerprints; as two functions they would have two Python workers in each task."""
+    return arrow_column(lambda: _marks, "struct<fp: long, size: long, keys: array<long>, b0: long, b1: long, b2: long, simhash: long>")(text)
+
+
 def sets(text: Column) -> Column:
     return arrow_column(lambda: _sets, "struct<fp: long, shingles: array<long>>")(text)
 
@@ -228,7 +238,7 @@ def links(docs: DataFrame, values: DataFrame, rows: DataFrame) -> DataFrame:
 def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, fp (a digest of the shingle set) and component_id of every row."""
     given = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    rows = checkpoint(given.select("doc_id", sketches(F.col("text")).alias("s"), simhash.fingerprints(F.col("text")).alias("simhash")).select("doc_id", "s.*", "simhash"))
+    rows = checkpoint(given.select("doc_id", marks(F.col("text")).alias("s")).select("doc_id", "s.*"))
     values = checkpoint(rows.groupBy("fp").agg(F.count("*").alias("n"), F.min("doc_id").alias("least"), *(F.first(c).alias(c) for c in ("size", "keys", "b0", "b1", "b2"))))
     return assign(rows.select("doc_id", "fp"), values.select("fp", "n", "least"), components(links(given, values, rows)))
 

@@ -57,14 +57,14 @@ def fingerprint(text: bytes) -> int:
     return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def _batch(texts: pa.Array) -> pa.Array:
+def fingerprint_batch(texts: pa.Array) -> pa.Array:
     found = np.fromiter((fingerprint(c.data[a:b].tobytes()) for c in chunks(texts) for a, b in itertools.pairwise(c.offsets.tolist())), np.uint64, len(texts))
     return pa.array(found.view(np.int64))
 
 
 def fingerprints(text: Column) -> Column:
     """Fingerprints as signed 64-bit integers."""
-    return arrow_column(lambda: _batch, "long")(text)
+    return arrow_column(lambda: fingerprint_batch, "long")(text)
 
 
 def masks(radius: int = RADIUS, seed: int = 1) -> list[int]:

@@ -86,3 +86,14 @@ def test_simhash_step(spark):
     assert {(r.u, r.v) for r in nc.simhash_pairs(rows).collect()} == {(max(a, b), min(a, b)) for a, b in ((fp[0], fp[1]), (fp[2], fp[3]))}
     assert [(r.u, r.v) for r in nc.links(docs, values, rows).collect()] == [(max(fp[0], fp[1]), min(fp[0], fp[1]))]
     assert sorted((r.doc_id, r.component_id) for r in nc.near_copies(docs).collect()) == [(0, 0), (1, 0), (2, 2), (3, 3)]
+
+
+def test_marks_take_one_worker_a_task(spark, odd, monkeypatch):
+    """Sketches and fingerprints come from one function; two would have two Python workers in each task."""
+    seen, kept = [], nc.checkpoint
+    monkeypatch.setattr(nc, "checkpoint", lambda df: seen.append(df._jdf.queryExecution().executedPlan().toString()) or kept(df))
+    nc.near_copies(odd)
+    assert max(plan.count("ArrowEvalPython") for plan in seen) == 1
+    got = odd.select(nc.marks(F.col("text")).alias("m")).select("m.*")
+    want = odd.select(nc.sketches(F.col("text")).alias("s"), simhash.fingerprints(F.col("text")).alias("simhash")).select("s.*", "simhash")
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
